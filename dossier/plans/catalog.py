@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_GROUPS = ("text", "tables")
+_GROUPS = ("text", "tables", "retrieval")
 
 
 def _collect(prefix: str, name: str) -> dict:

@@ -205,7 +205,7 @@ def nearness_scorer(pairs: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     far = F.max("distance").over(Window.partitionBy("query_id"))
-    return pairs.withColumn("rerank_score", F.round(-F.coalesce(F.col("distance"), far), 9))
+    return pairs.withColumn("rerank_score", F.round(F.lit(0.0) - F.coalesce(F.col("distance"), far), 9))
 
 
 # --- verdicts --------------------------------------------------------------------------
