@@ -169,7 +169,11 @@ def call_rate_breaches(calls: DataFrame, cfg: AuditConfig = AuditConfig()) -> Da
     """
     width = cfg.window_seconds * 1_000_000
     limit = cfg.calls_per_window
-    timed = calls.withColumn("us", F.unix_micros("ts")).withColumn("own", F.floor(F.col("us") / width).cast("long"))
+    if calls.schema["ts"].dataType.typeName() == "timestamp_ntz":
+        micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    else:
+        micros = F.unix_micros("ts")
+    timed = calls.withColumn("us", micros).withColumn("own", F.floor(F.col("us") / width).cast("long"))
     shown = timed.withColumn("bucket", F.explode(F.array(F.col("own"), F.col("own") + 1)))
     w = Window.partitionBy("provider", "bucket").orderBy("us", "call_id")
     ahead = F.col("us") - F.lag("us", limit).over(w)

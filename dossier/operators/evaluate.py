@@ -305,8 +305,7 @@ def apply_remap(scenarios: DataFrame, remap: DataFrame) -> DataFrame:
     """Scenarios with new gold ids; one label that could not be verified leaves all unchanged."""
     failed = remap.agg(F.coalesce(F.sum(F.when(F.col("status") != "ok", 1).otherwise(0)), F.lit(0)).alias("failed"))
     moved = scenarios.join(remap.select("kb", "chunk_id", "host_id"), ["kb", "chunk_id"], "left")
-    # `failed` is a single row (a total), so this join adds one constant column
-    return moved.join(F.broadcast(failed), F.lit(True)).withColumn(
+    return moved.withColumn("failed", failed.scalar()).withColumn(
         "chunk_id", F.when((F.col("failed") == 0) & F.col("host_id").isNotNull(), F.col("host_id")).otherwise(F.col("chunk_id"))
     ).select(*scenarios.columns)
 
@@ -349,7 +348,7 @@ def latency_profile(results: DataFrame, by: str = "model", seconds: str = "elaps
         F.sum("c").alias("n"),
         (F.sum(F.col("s") * F.col("c")) / F.sum("c")).alias("avg_s"),
         F.sum(F.col("s") * F.col("c")).alias("total_s"),
-        F.percentile("s", 0.5, "c").alias("median_s"),
+        F.percentile("s", 0.5, F.col("c")).alias("median_s"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_GROUPS = ("text", "tables", "retrieval")
+_GROUPS = ("text", "tables", "retrieval", "audit", "evaluation", "scenarios")
 
 
 def _collect(prefix: str, name: str) -> dict:
