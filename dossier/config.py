@@ -56,4 +56,4 @@ class AuditConfig:
 
 
 # Rows per span of a two-level ordered scan (see functions/scan.py).
-SPAN_ROWS = 65536
+SPAN_ROWS = 4096

@@ -1,23 +1,29 @@
-"""Cutting lineage where several branches read one derived table."""
+"""Writing a derived table once where several branches read it."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one only when the session names none."""
+    """The shared folder the cluster names; a local one only where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         folder = tempfile.mkdtemp(prefix="dossier-checkpoint-")
-    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` once to the checkpoint folder so that later branches do not recompute it."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """`df` as a table in the checkpoint folder: computed once, safe against lost executors.
+
+    Unlike a plain checkpoint the result keeps its columns apart, so that each branch reads
+    only what it needs, and its size is known to the planner.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -92,7 +92,7 @@ def running_values(
 ) -> DataFrame:
     """Add running values over `order` (a unique long within `keys`)."""
     keys = list(keys)
-    spanned = df.withColumn(_SPAN, F.floor(F.col(order) / F.lit(span)).cast("long"))
+    spanned = df.withColumn(_SPAN, F.expr(f"`{order}` div {int(span)}"))
     w_in = Window.partitionBy(*keys, _SPAN).orderBy(order)
     has_prev = any(r.kind == "prev" for r in values)
     here = spanned.select("*", *[_local(r, w_in).alias(r.name) for r in values])

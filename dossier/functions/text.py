@@ -13,11 +13,21 @@ CODE_PATTERN = (
 )
 WORD_PATTERN = r"[\p{L}\p{N}_]+"
 _LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85  ]"
+# Every character that counts as white space, as text and as a regex class.
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
+    "               　"
+)
+SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
 
 
 def strip(c: Column) -> Column:
-    """Trim every kind of white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Trim every kind of white space at both ends (looks at the ends only)."""
+    return F.btrim(c, F.lit(SPACE_CHARS))
+
+
+def rstrip(c: Column) -> Column:
+    return F.rtrim(c, F.lit(SPACE_CHARS))
 
 
 def rstrip_colon(c: Column) -> Column:
@@ -26,12 +36,12 @@ def rstrip_colon(c: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     """White-space runs become one space."""
-    return F.regexp_replace(c, r"(?U)\s+", " ")
+    return F.regexp_replace(c, SPACE + "+", " ")
 
 
 def norm_line(c: Column) -> Column:
     """Form in which repeated lines are compared."""
-    return F.lower(strip(collapse(c)))
+    return F.lower(F.btrim(collapse(c)))
 
 
 def split_lines(c: Column) -> Column:

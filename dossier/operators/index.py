@@ -125,7 +125,9 @@ def attach_questions(generated: DataFrame, n: int = 2) -> DataFrame:
         lambda ln: strip(F.regexp_replace(strip(ln), r"^[-*0123456789.) ]+", "")),
     )
     good = F.filter(tidy, lambda q: (F.length(q) >= MIN_QUESTION_CHARS) & F.contains(q, F.lit("?")))
-    return generated.select("kb", "chunk_id", F.posexplode(F.slice(good, 1, n)).alias("question_no", "question"))
+    return generated.select(
+        "kb", "chunk_id", F.posexplode_outer(F.slice(good, 1, n)).alias("question_no", "question")
+    ).filter(F.col("question").isNotNull())
 
 
 def chunks_to_do(chunks: DataFrame, done: DataFrame) -> DataFrame:
@@ -136,27 +138,6 @@ def chunks_to_do(chunks: DataFrame, done: DataFrame) -> DataFrame:
 # --- lexical index ---------------------------------------------------------------------
 
 
-def token_counts(tokens: Column) -> Column:
-    """(token, n) pairs of one token array, counted inside the row (no shuffle)."""
-    ordered = F.sort_array(tokens)
-    n = F.size(tokens)
-
-    def counted(s: Column) -> Column:
-        starts = F.filter(
-            F.sequence(F.lit(0), n - 1),
-            lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)),
-        )
-        return F.transform(
-            F.arrays_zip(starts.alias("a"), F.slice(starts, F.lit(2), F.size(starts)).alias("b")),
-            lambda z: F.struct(
-                F.get(s, z["a"]).alias("token"), (F.coalesce(z["b"], n) - z["a"]).alias("n")
-            ),
-        )
-
-    pairs = F.element_at(F.transform(F.array(ordered), counted), 1)
-    return F.when(n > 0, pairs).otherwise(F.array().cast("array<struct<token:string,n:int>>"))
-
-
 @dataclass(frozen=True)
 class LexicalIndex:
     """postings: kb, doc_id, doc_len, token, tf; terms: kb, token, df, idf; stats: kb, n_docs, avg_len."""
@@ -169,14 +150,16 @@ class LexicalIndex:
 def lexical_index(docs: DataFrame, text: str = "document") -> LexicalIndex:
     """Postings, document frequencies and corpus statistics of each knowledge base.
 
-    Postings are partitioned by document: token counts are taken inside the row, and each
-    document can later be scored against all queries without moving its postings again.
+    Texts are spread by document before they are cut into words, so the words of a document
+    are counted where they are: the groupBy below needs no further shuffle, and a document can
+    later be scored against all queries without moving its postings again.
     """
-    spread = docs.select("kb", "doc_id", index_tokens(F.col(text)).alias("toks")).repartition("kb", "doc_id")
-    sized = spread.withColumn("doc_len", F.size("toks"))
+    spread = docs.select("kb", "doc_id", F.col(text).alias("t")).repartition("doc_id")
+    sized = spread.select("kb", "doc_id", index_tokens(F.col("t")).alias("toks")).withColumn("doc_len", F.size("toks"))
     postings = (
-        sized.select("kb", "doc_id", "doc_len", F.explode(token_counts(F.col("toks"))).alias("p"))
-        .select("kb", "doc_id", "doc_len", "p.token", F.col("p.n").alias("tf"))
+        sized.select("kb", "doc_id", "doc_len", F.explode_outer("toks").alias("token"))
+        .filter(F.col("token").isNotNull())
+        .groupBy("kb", "doc_id", "doc_len", "token").agg(F.count(F.lit(1)).cast("int").alias("tf"))
     )
     stats = sized.groupBy("kb").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
     return LexicalIndex(postings, term_weights(postings, stats), stats)

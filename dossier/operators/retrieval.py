@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions.sizes import broadcast_if, is_small
 from dossier.functions.text import code_overlap, code_tokens, index_tokens
-from dossier.operators.index import B, K1, LexicalIndex, token_counts
+from dossier.operators.index import B, K1, LexicalIndex
 from dossier.operators.text import first_per_key
 
 # Scores are compared after rounding, so that equal texts tie whatever the order of the sums.
@@ -35,8 +35,11 @@ def bm25_topk(queries: DataFrame, index: LexicalIndex, n: int = 10) -> DataFrame
     inside one task and only each task's best `n` are shuffled; a word found in every document
     gathers nowhere. Ties go by doc_id, or by doc_order if the postings carry one.
     """
-    counted = queries.select("kb", "query_id", F.explode(token_counts(index_tokens(F.col("text")))).alias("p"))
-    asked = counted.select("kb", "query_id", "p.token", F.col("p.n").alias("qtf"))
+    asked = (
+        queries.select("kb", "query_id", F.explode_outer(index_tokens(F.col("text"))).alias("token"))
+        .filter(F.col("token").isNotNull())
+        .groupBy("kb", "query_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
+    )
     small = is_small(asked)
     weighted = (
         index.terms.join(broadcast_if(small, asked), ["kb", "token"])

@@ -53,7 +53,7 @@ def matrix_claims(cells: DataFrame, claims: Sequence[tuple] = tuple(CLAIMS)) ->
         ),
     )
     flat = (
-        body.select("table_id", "row_idx", F.col("cells")[0].alias("row"), F.explode(each).alias("e"))
+        body.select("table_id", "row_idx", F.col("cells")[0].alias("row"), F.explode_outer(each).alias("e"))
         .filter("e.col_idx > 0")
         .select("table_id", "row_idx", "e.col_idx", "row", "e.col", "e.value")
         .filter(~F.col("value").startswith("Note"))
@@ -180,7 +180,7 @@ def equivalence_pairs(rows: DataFrame, n_false: int) -> DataFrame:
             lambda x: F.struct(a.alias("a"), x["b"].alias("b")),
         ))
     )
-    true = rows.select("table_id", "grp", F.explode(a_b).alias("p")).select(
+    true = rows.select("table_id", "grp", F.explode_outer(a_b).alias("p")).filter(F.col("p").isNotNull()).select(
         "table_id",
         fill(F.lit(PAIR_TRUE), ra=F.col("p.a.regime"), ta=F.col("p.a.title"), rb=F.col("p.b.regime"), tb=F.col("p.b.title"), g=F.col("grp")).alias("text"),
         F.lit(_CFG.compliant).alias("expected"),

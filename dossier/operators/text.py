@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from dossier.config import SPAN_ROWS, TextConfig
 from dossier.functions.lineage import cut
 from dossier.functions.scan import Running, running_values
+from dossier.functions.sizes import written_side
 from dossier.functions.text import (
     join_nonempty,
     norm_line,
+    rstrip,
     split_lines,
     strip,
 )
@@ -57,8 +59,10 @@ def _norm_lines(blocks: DataFrame) -> DataFrame:
         "standard_id",
         "block_idx",
         F.coalesce("page_idx", F.lit(0)).alias("page_idx"),
-        F.explode(F.transform(split_lines(F.col("content")), norm_line)).alias("line"),
-    ).filter(F.length("line") > 0)
+        # outer: otherwise Spark would first filter on the size of the computed array, and so
+        # compute it twice
+        F.explode_outer(split_lines(F.col("content"))).alias("line"),
+    ).withColumn("line", norm_line(F.col("line"))).filter(F.length("line") > 0)
 
 
 def repeated_lines(blocks: DataFrame, min_pages: int = TextConfig.repeat_min_pages) -> DataFrame:
@@ -116,7 +120,7 @@ def repeated_blocks(blocks: DataFrame, min_pages: int = TextConfig.repeat_min_pa
 
 def _marked_rows(blocks: DataFrame, min_pages: int) -> DataFrame:
     """Body rows with heading marks; headings that are repeated lines are left out."""
-    repeated = repeated_lines(blocks, min_pages)
+    repeated = written_side(repeated_lines(blocks, min_pages))
     title = strip(F.coalesce("text", F.lit("")))
     heading = (
         (F.col("type") == "text")
@@ -131,7 +135,9 @@ def _marked_rows(blocks: DataFrame, min_pages: int) -> DataFrame:
         F.when(heading, F.col("text_level")).alias("level"),
         F.when(heading, title).alias("title"),
         F.when(heading, title).otherwise(F.col("content")).alias("content"),
-        F.when(heading, norm_line(F.col("text"))).alias("line"),
+        # other rows get a key of their own, so that a shuffle by line would not pile them up
+        F.when(heading, norm_line(F.col("text")))
+        .otherwise(F.concat(F.lit("\u0000"), F.col("block_idx").cast("string"))).alias("line"),
     )
     # A heading that is itself a repeated line neither opens a section nor adds content.
     return rows.join(
@@ -163,7 +169,7 @@ def _stack_depth(starts: DataFrame, span: int) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("block_idx")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     here = (
-        starts.withColumn("__span", F.floor(F.col("block_idx") / F.lit(span)).cast("long"))
+        starts.withColumn("__span", F.expr(f"block_idx div {int(span)}"))
         .withColumn("i", F.row_number().over(w))
         .withColumn("gap", F.col("level") - F.col("i"))
         .withColumn("low", F.min("gap").over(upto))
@@ -202,7 +208,7 @@ def _sections_of(starts: DataFrame, span: int) -> DataFrame:
 
 
 def _sectioned(blocks: DataFrame, min_pages: int, span: int) -> tuple[DataFrame, DataFrame]:
-    rows = cut(_with_preamble(_marked_rows(blocks, min_pages)))
+    rows = _with_preamble(cut(_marked_rows(blocks, min_pages)))
     starts = rows.filter("is_start").select("standard_id", "block_idx", "page_idx", "level", "title")
     sections = _sections_of(starts, span)
     opened = Running("start_idx", "max", F.when(F.col("is_start"), F.col("block_idx")))
@@ -288,7 +294,8 @@ def pack_windows(chunks: DataFrame, max_chars: int = TextConfig.window_max_chars
     windows = F.when(whole, F.array(content)).otherwise(F.aggregate(lines, empty, step, finish))
     packed = chunks.withColumn("__windows", windows).withColumn("__n", F.size("__windows"))
     return (
-        packed.select("*", F.posexplode("__windows").alias("window_no", "window"))
+        packed.select("*", F.posexplode_outer("__windows").alias("window_no", "window"))
+        .filter(F.col("window_no").isNotNull())
         .withColumn(
             "doc_id",
             F.when(F.col("__n") == 1, F.col("chunk_id")).otherwise(
@@ -340,7 +347,7 @@ def numbered_items(lines: DataFrame, span: int = SPAN_ROWS) -> DataFrame:
     item, later non-blank lines continue it, lines before the first item are dropped.
     """
     # a line is one physical line here: trailing white space is not part of it
-    trimmed = F.regexp_replace(F.col("line"), r"(?U)\s+$", "")
+    trimmed = rstrip(F.col("line"))
     numbered = lines.select(
         "report_id",
         "line_no",

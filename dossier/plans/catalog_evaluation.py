@@ -48,7 +48,7 @@ def _lexical_ranks(spark, sf):
     docs, asked = inputs.corpus(spark, sf), inputs.passages(spark, sf)
     index = ix.lexical_index(docs)
     top = rt.bm25_topk(asked, index, 10)
-    words = asked.select("query_id", F.explode(F.array_distinct(_inner_words(F.col("text")))).alias("token"))
+    words = asked.select("query_id", F.explode_outer(F.array_distinct(_inner_words(F.col("text")))).alias("token"))
     rarest = tx.first_per_key(
         words.join(index.terms.select("token", "df"), "token"), ["query_id"], [F.col("df"), F.col("token")]
     ).select("query_id", "token")

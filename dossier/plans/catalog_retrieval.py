@@ -78,7 +78,7 @@ def tokens(spark, sf):
 
 def bm25_topk(spark, sf):
     index = ix.lexical_index(inputs.corpus(spark, sf))
-    return rt.bm25_topk(inputs.passages(spark, sf), index, 10).select("query_id", "doc_id", r6("score"), "rank")
+    return rt.bm25_topk(inputs.passages(spark, sf), index, 10).select("query_id", "doc_id", "score", "rank")
 
 
 def code_overlap(spark, sf):
@@ -142,7 +142,7 @@ def _ranked(spark, sf):
 
 
 def fuse_code_bonus(spark, sf):
-    return _ranked(spark, sf).select("query_id", "channel", "doc_id", r6("norm_score"), "rank")
+    return _ranked(spark, sf).select("query_id", "channel", "doc_id", "norm_score", "rank")
 
 
 def _floored(ranked):
@@ -182,7 +182,7 @@ def format_context(spark, sf):
 
 
 def retrieve_all(spark, sf):
-    return _retrieved(spark, sf).select("query_id", "doc_id", "type", "key", r6("norm_score"), "final_rank")
+    return _retrieved(spark, sf).select("query_id", "doc_id", "type", "key", "norm_score", "final_rank")
 
 
 QUERIES = {

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dossier.functions.lineage import cut
 from dossier.functions.scan import Running, running_values
 
 
@@ -16,13 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page blocks with all block types, headings, captions and small tables."""
+    """Page blocks with all block types, headings, captions and small tables, as a stored table."""
     docs = table(spark, sf_dir, "documents").select(
         F.col("source").alias("standard_id"), "doc_id", F.split("text", "\n", -1).alias("lines")
     )
     placed = running_values(
         docs, ["standard_id"], "doc_id",
         [Running("page_no", "sum", F.lit(1)), Running("n_upto", "sum", F.size("lines"))],
+        span=512,
     )
     line = F.col("line")
     n = F.length("line")
@@ -31,7 +33,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "standard_id",
         (F.col("page_no") - 1).cast("int").alias("page_idx"),
         (F.col("n_upto") - F.size("lines")).alias("first"),
-        F.posexplode("lines").alias("line_no", "line"),
+        F.posexplode_outer("lines").alias("line_no", "line"),
     ).select(
         "standard_id", "page_idx", (F.col("first") + F.col("line_no")).cast("long").alias("block_idx"),
         line, n.alias("n"), level.cast("int").alias("text_level"),
@@ -46,7 +48,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.array().cast("array<string>")
     body = F.replace(F.replace(F.regexp_replace("line", "[<>&]", ""), F.lit(". "), F.lit("</td></tr><tr><td>")), F.lit(" "), F.lit("</td><td>"))
     is_table = F.col("type") == "table"
-    return typed.select(
+    return cut(typed.select(
         "standard_id",
         "page_idx",
         "block_idx",
@@ -59,14 +61,14 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(is_table & (F.col("n") % 2 == 0), F.array(F.substring_index("line", " ", 1))).otherwise(none).alias("table_caption"),
         F.when(is_table, F.array(F.concat(F.lit("1 "), line))).otherwise(none).alias("table_footnote"),
         F.lit("").alias("img_path"),
-    )
+    ))
 
 
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation as a report whose turns are numbered items."""
     numbered = F.concat((F.col("turn") + 1).cast("string"), F.lit(". "), F.col("text"))
     return table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").alias("report_id"), "turn", F.posexplode(F.split(numbered, "\n", -1)).alias("pos", "line")
+        F.col("conv_id").alias("report_id"), "turn", F.posexplode_outer(F.split(numbered, "\n", -1)).alias("pos", "line")
     ).select("report_id", (F.col("turn") * 1_000_000 + F.col("pos")).alias("line_no"), "line")
 
 
@@ -152,12 +154,17 @@ def table_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- retrieval -------------------------------------------------------------------------
 
 
+def _main(id_: str) -> Column:
+    """One knowledge base; a value of the row, so that plans look as they do with many bases."""
+    return F.when(F.col(id_).isNotNull(), "main").otherwise("none")
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.lit("main").alias("kb"), "doc_id", F.col("text").alias("document"))
+    return table(spark, sf_dir, "documents").select(_main("doc_id").alias("kb"), "doc_id", F.col("text").alias("document"))
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.lit("main").alias("kb"), F.col("item_id").alias("query_id"), "text")
+    return table(spark, sf_dir, "benchmark").select(_main("item_id").alias("kb"), F.col("item_id").alias("query_id"), "text")
 
 
 def vector_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +182,7 @@ def kb(spark: SparkSession, sf_dir: str) -> DataFrame:
     is_table = F.col("type") == "table"
     text = F.col("text")
     return vector_docs(spark, sf_dir).join(docs, "vec_id").select(
-        F.lit("main").alias("kb"), "doc_id", "type", "embedding", "label",
+        _main("doc_id").alias("kb"), "doc_id", "type", "embedding", "label",
         F.when(is_table, F.concat(F.lit("Table "), (F.col("n_chars") % 150).cast("string"))).otherwise("").alias("table_name"),
         F.when(is_table, F.concat(F.lit("Table "), (F.col("n_chars") % 150).cast("string"))).otherwise("").alias("display_name"),
         F.when(is_table, "").otherwise(

@@ -187,7 +187,7 @@ ORACLES = {
         from postings p join doc_lens using (doc_id) join terms using (token)""",
     "tokens": f"""select item_id query_id, array_to_string({toks('text')}, ' ') tokens, len({codes('text')}) n_codes from benchmark
         union all select doc_id + 1000000, array_to_string({words('text')}, ' '), len({codes('text')}) from documents""",
-    "bm25_topk": f"with {_CORPUS} select query_id, doc_id, round(score, 6) score, rank from lexical",
+    "bm25_topk": f"with {_CORPUS} select query_id, doc_id, score, rank from lexical",
     "code_overlap": f"""with c as (select doc_id, source, {codes('text')} c from documents),
         best as (select source, list_distinct(flatten(list(c))) q from c group by 1)
         select doc_id, round(case when len(q) > 0 then len(list_intersect(q, c)) / len(q) else 0.0 end, 6) code_score
@@ -199,11 +199,11 @@ ORACLES = {
     "dedupe_candidates": f"with {chain()} select query_id, channel, doc_id, key, seq from deduped",
     "rerank": f"with {chain()} select query_id, channel, key, doc_id, round(rerank_score, 6) rerank_score from scored",
     "znorm_by_modality": f"with {chain()} select query_id, channel, doc_id, round(raw_norm, 6) norm_score from normed",
-    "fuse_code_bonus": f"with {chain()} select query_id, channel, doc_id, round(norm_score, 6) norm_score, rank from ranked",
+    "fuse_code_bonus": f"with {chain()} select query_id, channel, doc_id, norm_score, rank from ranked",
     "table_floor": f"with {chain()} select query_id, doc_id, rank before_rank, floor_rank rank from floored",
     "split_topk": f"with {chain()} select query_id, channel, doc_id, type, final_rank from final",
     "mixed_slot_fill": f"with {chain()} select query_id, channel, doc_id, final_rank from mixed",
     "distance_fallback": f"with {chain()} select query_id, doc_id, round(distance, 6) distance, final_rank from fallback",
     "format_context": f"with {chain()} select query_id, n_blocks, context from evidence",
-    "retrieve": f"with {chain()} select query_id, doc_id, type, key, round(norm_score, 6) norm_score, final_rank from final",
+    "retrieve": f"with {chain()} select query_id, doc_id, type, key, norm_score, final_rank from final",
 }

@@ -53,8 +53,8 @@ def read_blocks(spark: SparkSession, path: str, pattern: str = "pages_*_content_
     first_page = F.regexp_extract("shard", r"^pages_(\d+)-", 1).try_cast("int") - 1
     placed = shards.join(starts, ["standard_id", "shard"])
     return placed.select(
-        "standard_id", "start", F.coalesce(first_page, F.lit(0)).alias("first_page"), F.posexplode("blocks").alias("pos", "b")
-    ).select(
+        "standard_id", "start", F.coalesce(first_page, F.lit(0)).alias("first_page"), F.posexplode_outer("blocks").alias("pos", "b")
+    ).filter(F.col("pos").isNotNull()).select(
         "standard_id",
         (F.col("start") + F.col("pos")).cast("long").alias("block_idx"),
         (F.col("b.page_idx") + F.col("first_page")).alias("page_idx"),
