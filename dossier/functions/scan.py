@@ -73,7 +73,7 @@ def _carry(r: Running, w) -> Column:
 def _combine(r: Running, first_in_span: Column) -> Column:
     here, there = F.col(r.name), F.col(f"__c_{r.name}")
     if r.kind == "sum":
-        return here + F.coalesce(there, F.lit(0))
+        return F.coalesce(here + there, here, there)
     if r.kind == "min":
         return F.least(here, there)
     if r.kind == "max":

@@ -33,8 +33,8 @@ def read_blocks(spark: SparkSession, path: str, pattern: str = "pages_*_content_
     one (standard, shard, size) row per file is ever ordered, never the blocks.
     """
     files = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern).text(path)
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+        .text(path, wholetext=True)
         .select(
             F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("standard_id"),
             F.col("_metadata.file_name").alias("shard"),
