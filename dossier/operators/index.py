@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.config import TextConfig
+from dossier.functions.lineage import cut
 from dossier.functions.text import index_tokens, split_lines, strip
 from dossier.operators.text import pack_windows
 
@@ -152,23 +153,32 @@ def lexical_index(docs: DataFrame, text: str = "document") -> LexicalIndex:
 
     Texts are spread by document before they are cut into words, so the words of a document
     are counted where they are: the groupBy below needs no further shuffle, and a document can
-    later be scored against all queries without moving its postings again.
+    later be scored against all queries without moving its postings again. The vocabulary is
+    written once; corpus statistics come from it, not from another pass over the texts.
     """
     spread = docs.select("kb", "doc_id", F.col(text).alias("t")).repartition("doc_id")
     sized = spread.select("kb", "doc_id", index_tokens(F.col("t")).alias("toks")).withColumn("doc_len", F.size("toks"))
+    # outer: otherwise Spark would first filter on the size of the computed array, below the
+    # shuffle, and so cut every text into words twice
     postings = (
         sized.select("kb", "doc_id", "doc_len", F.explode_outer("toks").alias("token"))
         .filter(F.col("token").isNotNull())
         .groupBy("kb", "doc_id", "doc_len", "token").agg(F.count(F.lit(1)).cast("int").alias("tf"))
     )
-    stats = sized.groupBy("kb").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
-    return LexicalIndex(postings, term_weights(postings, stats), stats)
+    vocabulary = cut(
+        postings.groupBy("kb", "token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n_tokens"))
+    )
+    sizes = docs.groupBy("kb").agg(F.count(F.lit(1)).alias("n_docs"))
+    totals = vocabulary.groupBy("kb").agg(F.sum("n_tokens").alias("total"))
+    stats = sizes.join(totals, "kb", "left").select(
+        "kb", "n_docs", (F.coalesce("total", F.lit(0)) / F.col("n_docs")).alias("avg_len")
+    )
+    return LexicalIndex(postings, term_weights(vocabulary, stats), stats)
 
 
-def term_weights(postings: DataFrame, stats: DataFrame) -> DataFrame:
-    """Document frequency and Okapi idf; terms in most documents get a small share of the mean."""
-    df = postings.groupBy("kb", "token").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.join(stats.select("kb", "n_docs"), "kb").withColumn(
+def term_weights(vocabulary: DataFrame, stats: DataFrame) -> DataFrame:
+    """Okapi idf of each term; terms in most documents get a small share of the mean."""
+    raw = vocabulary.join(stats.select("kb", "n_docs"), "kb").withColumn(
         "raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     )
     mean = raw.groupBy("kb").agg(F.avg("raw").alias("mean_raw"))

@@ -61,7 +61,7 @@ def reuse_verdicts(spark, sf):
     prompt = au.prompt_hash(PROMPT)
     n = F.length("text") % 3
     requests = cut(requests)
-    keyed = requests.filter(F.length(F.coalesce("context", F.lit(""))) % 2 == 0).select(
+    keyed = requests.filter(F.substring("text", 1, 1) < "N").select(
         au.cache_key(F.col("model"), prompt, F.col("text"), F.coalesce("context", F.lit(""))).alias("cache_key"),
         F.when(n == 0, "COMPLIANT").when(n == 1, "NON_COMPLIANT").otherwise("NOT_EVALUATED").alias("verdict"),
         F.lit("stored").alias("reasoning"),
@@ -72,8 +72,8 @@ def reuse_verdicts(spark, sf):
 def audit_results(spark, sf):
     n = F.length("text")
     items = _items(spark, sf)
-    matches = cut(_matches(spark, sf)).join(items.filter(n % 4 != 0).select("query_id"), "query_id", "left_semi")
-    replied = items.filter(n % 5 != 0).select(
+    matches = cut(_matches(spark, sf)).join(items.filter(~F.contains("text", F.lit("\n"))).select("query_id"), "query_id", "left_semi")
+    replied = items.filter(F.substring("text", 1, 1) < "N").select(
         "query_id", F.when(n % 2 == 0, "COMPLIANT").otherwise("NON_COMPLIANT").alias("verdict"), F.lit("because").alias("reasoning")
     )
     results = au.audit_results(items, matches, rt.format_context(matches), replied)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from dossier.config import RetrievalConfig, TextConfig
-from dossier.functions.lineage import cut
+from dossier.functions.lineage import checkpoint_folder, cut
 from dossier.functions.text import code_tokens, word_tokens
 from dossier.operators import index as ix
 from dossier.operators import retrieval as rt
@@ -15,6 +17,7 @@ from dossier.operators import vectors as vx
 from dossier.plans import inputs
 from dossier.plans.retrieve import attach_evidence, candidates, channel_pools, retrieve
 from dossier.sources import kb as kb_store
+from dossier.streaming.audit_stream import stream_kb_refresh as refresh
 
 CFG = RetrievalConfig()
 
@@ -40,6 +43,33 @@ def kb_catalog(spark, sf):
     return kb_store.kb_catalog(inputs.kb(spark, sf))
 
 
+def _folder(spark):
+    return f"{checkpoint_folder(spark).rstrip('/')}/kb-{uuid.uuid4().hex}"
+
+
+def _stored(spark, folder):
+    tables = kb_store.read_kb(spark, folder, "table").select("kb", "doc_id", "type", "table_name", "document")
+    return tables.unionByName(kb_store.read_kb(spark, folder, "text_chunk").select("kb", "doc_id", "type", "table_name", "document"))
+
+
+def stored_kb(spark, sf):
+    """Two bases written; then one is replaced by its texts only, the other must stay."""
+    folder, docs = _folder(spark), inputs.kb(spark, sf)
+    kb_store.write_kb(docs.unionByName(docs.withColumn("kb", F.lit("second"))), folder)
+    kb_store.write_kb(docs.filter("type = 'text_chunk'"), folder)
+    return _stored(spark, folder)
+
+
+def stream_kb_refresh(spark, sf):
+    """The knowledge base arrives as a stream of files and is stored by base and type."""
+    folder = _folder(spark)
+    arrived = f"{folder}-in"
+    inputs.kb(spark, sf).write.parquet(arrived)
+    stream = spark.readStream.schema(spark.read.parquet(arrived).schema).parquet(arrived)
+    refresh(stream, folder, f"{folder}-state").awaitTermination()
+    return _stored(spark, folder)
+
+
 def attach_questions(spark, sf):
     raw = F.replace("text", F.lit(". "), F.lit("? \n- "))
     generated = inputs.table(spark, sf, "documents").select(F.lit("main").alias("kb"), F.col("doc_id").alias("chunk_id"), raw.alias("raw"))
@@ -187,7 +217,7 @@ def retrieve_all(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (kb_documents, kb_catalog, attach_questions, lexical_index, embed, tokens, bm25_topk, code_overlap, vector_topk,
+    for f in (kb_documents, kb_catalog, stored_kb, stream_kb_refresh, attach_questions, lexical_index, embed, tokens, bm25_topk, code_overlap, vector_topk,
               vector_topk_by_type, candidate_pool, dedupe_candidates, rerank, znorm_by_modality, fuse_code_bonus,
               table_floor, split_topk, mixed_slot_fill, distance_fallback, format_context)
 }

@@ -37,11 +37,11 @@ requests as (
 _CACHED = """
 call_keys as (
   select m.model, r.query_id, sha256(m.model || chr(0) || left(sha256('check the rules'), 12) || chr(0) || r.text || chr(0) || coalesce(context, '')) cache_key,
-    context, length(r.text) n, length(coalesce(context, '')) n_context
+    context, length(r.text) n, substr(r.text, 1, 1) < 'N' early
   from requests r cross join model_list m),
 stored as (
   select cache_key, case when n % 3 = 0 then 'COMPLIANT' when n % 3 = 1 then 'NON_COMPLIANT' else 'NOT_EVALUATED' end verdict
-  from call_keys where n_context % 2 = 0)
+  from call_keys where early)
 """
 
 ORACLES = {
@@ -60,12 +60,12 @@ ORACLES = {
         from call_keys k left join (select distinct * from stored where verdict <> 'NOT_EVALUATED') s using (cache_key)""",
     "audit_results": f"""with {chain()}, picked as (
           select f.*, case when f.type = 'table' then table_name else title end source, kb.page_idx
-          from final f join kb using (doc_id) join benchmark b on b.item_id = f.query_id where length(b.text) % 4 <> 0),
+          from final f join kb using (doc_id) join benchmark b on b.item_id = f.query_id where not contains(b.text, chr(10))),
         listed as (select query_id, string_agg(source || '@' || page_idx, '|' order by final_rank) sources from picked group by 1)
-        select item_id query_id, case when sources is null or length(text) % 5 = 0 then 'NOT_EVALUATED'
+        select item_id query_id, case when sources is null or substr(text, 1, 1) >= 'N' then 'NOT_EVALUATED'
             when length(text) % 2 = 0 then 'COMPLIANT' else 'NON_COMPLIANT' end verdict,
           case when sources is null then 'No related rule was found in the knowledge base.'
-            when length(text) % 5 = 0 then 'The model gave an empty reply.' else 'because' end reasoning,
+            when substr(text, 1, 1) >= 'N' then 'The model gave an empty reply.' else 'because' end reasoning,
           coalesce(sources, '') sources
         from benchmark left join listed on query_id = item_id""",
     "audit_summary": f"""with {RUNS}, c as (

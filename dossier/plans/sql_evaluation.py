@@ -80,7 +80,7 @@ def _card(policy: str) -> str:
 
 _OLD_CHUNKS = f"""
 {BLOCKS}, {BODY}, {SECTIONS}, {CHUNKS},
-new_chunks as (select standard_id kb, chunk_id, start_idx, content from chunks where length(title) % 3 <> 0),
+new_chunks as (select standard_id kb, chunk_id, start_idx, content from chunks where not contains(title, ',')),
 old_chunks as (select standard_id kb, chunk_id, start_idx, content,
     list_filter(list_transform(string_split(content, {NL}), lambda x: {strip('x')}), lambda x: length(x) >= 20) probes from chunks),
 lost as (select kb, chunk_id, start_idx, probes, case when len(probes) > 1 then list_slice(probes, 2, 4) else list_slice(probes, 1, 3) end proof

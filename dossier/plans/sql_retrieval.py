@@ -177,6 +177,9 @@ ORACLES = {
           '', chunk_id, array_to_string(section_path, ' > ') from chunks""",
     "kb_catalog": f"""with {KB} select 'main' kb, count(*) filter (where type = 'table') tables,
         count(distinct case when type = 'text_chunk' then chunk_id end) chunks, count(*) total, 'main' collection from kb""",
+    "stored_kb": f"""with {KB} select 'main' kb, doc_id, type, table_name, document from kb where type = 'text_chunk'
+        union all select 'second', doc_id, type, table_name, document from kb""",
+    "stream_kb_refresh": f"with {KB} select 'main' kb, doc_id, type, table_name, document from kb",
     "attach_questions": rf"""with asked as (select doc_id, i, {strip(r"regexp_replace(ln, '^[-*0123456789.) ]+', '')")} q from (
           select doc_id, i, {strip('list_extract(ls, i)')} ln from (
             select doc_id, ls, unnest(range(1, len(ls) + 1)) i
