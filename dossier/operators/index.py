@@ -156,7 +156,10 @@ def lexical_index(docs: DataFrame, text: str = "document") -> LexicalIndex:
     later be scored against all queries without moving its postings again. The vocabulary is
     written once; corpus statistics come from it, not from another pass over the texts.
     """
-    spread = docs.select("kb", "doc_id", F.col(text).alias("t")).repartition("doc_id")
+    # A given number of partitions: scoring multiplies the rows by the queries that match, so
+    # small texts must not be packed together by their size.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = docs.select("kb", "doc_id", F.col(text).alias("t")).repartition(n, "doc_id")
     sized = spread.select("kb", "doc_id", index_tokens(F.col("t")).alias("toks")).withColumn("doc_len", F.size("toks"))
     # outer: otherwise Spark would first filter on the size of the computed array, below the
     # shuffle, and so cut every text into words twice
