@@ -7,9 +7,11 @@ signature takes about as many darts as coordinates need, however long the text i
 limit is doubled. Two texts agree in a coordinate with the probability of their weighted Jaccard similarity.
 
 Texts that agree in a band are candidates, and a candidate pair is a link if the exact similarity of the whole shingle
-sets reaches `SIMILARITY`. All links matter, but not all pairs of a group: in each band bucket first every text meets the
-bucket's smallest one; then only texts of different components that still share a bucket do, first against one text of
-each component, then against all, until no pair that could join two components is untested. Nothing is capped.
+sets reaches `SIMILARITY`. Pairs are never written out. Buckets with a text in common form clusters (found through one
+link of each member to its bucket's smallest text), and the texts of a cluster meet in tiles of bounded size, where each
+is compared with all others that are not yet in its class: first by the signatures' last bytes, with a margin of six
+deviations, then by whole sets. A tile gives back a link for each two classes it joins, so no class that links could
+join stays apart, and what leaves a tile is linear in its texts. Nothing is capped.
 
 Equal texts (same words) are one text from the start. Null texts and texts without words link with nothing. Rows with a
 null doc_id link with nothing and are kept. Repeated rows are copies of each other. Only `doc_id` and `text` are read.
@@ -29,6 +31,9 @@ WIDTH = 5
 SIMILARITY = 0.8
 BANDS = 40
 ROWS = 6  # a pair of similarity 0.8 misses all bands with a probability of 6 in a million
+TILE_TEXTS = 512  # texts of one side of a tile, and their shingles, about
+TILE_SHINGLES = 4_000_000
+MARGIN = 6.0  # deviations by which a signature may fall short of a pair that is compared as a whole
 
 _U = np.uint64
 # Constants of a public 64-bit mixing function.
@@ -87,7 +92,7 @@ def dart_signatures(sets: list[np.ndarray], k: int, weights: list[np.ndarray] |
         darts = []
         while len(e):
             throw += 1
-            h = mix(e + _STEP * _U(throw))
+            h = mix(e + _U(int(_STEP) * throw % (1 << 64)))
             rank = rank - np.log(((h >> _U(11)).astype(float) + 0.5) * 2.0**-53)
             near = rank <= lim
             e, own, rank, lim, h = e[near], own[near], rank[near], lim[near], h[near]
@@ -122,7 +127,7 @@ def words_key(words: list[bytes]) -> bytes:
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
-    """doc_id, key (of the words), n (shingles; 0 without words), bands."""
+    """doc_id, key (of the words), n (shingles; 0 without words), bands, sketch (last byte of each coordinate)."""
 
     def make():
         def step(given):
@@ -130,75 +135,137 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int
             keys = [words_key(w) for w in words]
             own = {k: w for k, w in zip(keys, words) if w}
             sets = {k: shingles(w, width) for k, w in own.items()}
-            made = bands_of(dart_signatures(list(sets.values()), bands * rows), bands, rows)
-            of = dict(zip(sets, made))
+            sig = dart_signatures(list(sets.values()), bands * rows)
+            of = dict(zip(sets, bands_of(sig, bands, rows)))
+            bytes_of = dict(zip(sets, map(bytes, sig.astype(np.uint8))))
             yield {
                 "doc_id": given["doc_id"], "key": keys, "n": [len(sets.get(k, ())) for k in keys],
-                "bands": [of[k] if k in of else [] for k in keys],
+                "bands": [of[k] if k in of else [] for k in keys], "sketch": [bytes_of.get(k) for k in keys],
             }
 
         return step
 
-    return map_rows(docs.select("doc_id", "text"), "doc_id long, key binary, n int, bands array<long>", make, rows=256)
+    return map_rows(docs.select("doc_id", "text"), "doc_id long, key binary, n int, bands array<long>, sketch binary", make, rows=256)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of text keys whose shingle sets are similar enough."""
-    keys = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+class Classes:
+    """Classes of the numbers below n; joined ones share a name."""
 
-    @F.pandas_udf("binary")
-    def key_of(texts):
-        return texts.map(lambda t: words_key(alnum_words(t)))
+    def __init__(self, n: int) -> None:
+        self.name = np.arange(n)
 
-    def make():
+    def join(self, a: int, b: int) -> None:
+        self.name[self.name == self.name[b]] = self.name[a]
+
+
+def tile_links(sets: list[np.ndarray], sketches: np.ndarray, side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links that join the classes of a tile's texts. With two sides, only texts of different sides are compared."""
+    n, k = sketches.shape
+    sizes = np.array([len(s) for s in sets])
+    agree = similarity + (1 - similarity) / 256
+    enough = k * agree - MARGIN * np.sqrt(k * agree * (1 - agree))
+    classes, links = Classes(n), []
+    two = len(np.unique(side)) > 1
+
+    def similar(i: int, others: np.ndarray) -> np.ndarray:
+        """Exact similarity of set i with other sets."""
+        flat = np.concatenate([sets[j] for j in others])
+        at = np.minimum(np.searchsorted(sets[i], flat), len(sets[i]) - 1)
+        ends = np.cumsum(sizes[others])
+        common = np.add.reduceat((sets[i][at] == flat).astype(np.int64), ends - sizes[others])
+        return common >= similarity * (sizes[i] + sizes[others] - common)
+
+    for i in range(1, n):
+        before = np.flatnonzero(side[:i] != side[i]) if two else np.arange(i)
+        before = before[np.minimum(sizes[before], sizes[i]) >= similarity * np.maximum(sizes[before], sizes[i])]
+        before = before[classes.name[before] != classes.name[i]]
+        if not len(before):
+            continue
+        score = (sketches[before] == sketches[i]).sum(1)
+        before, score = before[score >= enough], score[score >= enough]
+        # The likeliest text of each class first: most classes need no other.
+        before = before[np.argsort(-score, kind="stable")]
+        _, best = np.unique(classes.name[before], return_index=True)
+        for part in (before[np.sort(best)], before):
+            part = part[classes.name[part] != classes.name[i]]
+            for at in range(0, len(part), 256):
+                chunk = part[at : at + 256]
+                for j in chunk[similar(i, chunk)] if len(chunk) else ():
+                    if classes.name[j] != classes.name[i]:
+                        classes.join(int(i), int(j))
+                        links.append((int(i), int(j)))
+    return links
+
+
+def cluster_links(docs: DataFrame, members: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) within clusters. `members`: doc_id, key, cluster, n, sketch; each key once."""
+    sizes = members.groupBy("cluster").agg(
+        F.ceil(F.count(F.lit(1)) / TILE_TEXTS + F.sum("n") / TILE_SHINGLES).cast("int").alias("tiles")
+    )
+    placed = members.join(sizes, "cluster")
+    placed = placed.withColumn("c", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")).withColumnRenamed("doc_id", "id")
+
+    def make_sets():
         def step(given):
-            yield {"key": given["key"], "set": [shingles(alnum_words(t), width).view(np.int64) for t in given["text"]]}
+            out = {n: [] for n in ("cluster", "tiles", "c", "key", "sketch", "set")}
+            for row in zip(*(given[n] for n in ("cluster", "tiles", "c", "key", "sketch", "text"))):
+                words = alnum_words(row[5])
+                if words_key(words) == row[3]:  # else another text with the same doc_id
+                    for name, value in zip(out, (*row[:5], shingles(words, width).tobytes())):
+                        out[name].append(value)
+            yield out
 
         return step
 
-    # The key is found where the text lies; only texts that are in a pair move, as sets, and one of each key.
-    wanted = docs.select("text", key_of("text").alias("key")).join(keys, "key", "left_semi")
-    sets = map_rows(wanted, "key binary, set array<long>", make).groupBy("key").agg(F.first("set").alias("set"))
-    sets = cut(sets)
-    left = pairs.join(sets.withColumnsRenamed({"key": "b", "set": "set_b"}), "b")
-    both = left.join(sets.withColumnsRenamed({"key": "a", "set": "set_a"}), "a")
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    return both.where(common >= similarity * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
+    texts = docs.select("doc_id", "text").join(placed, F.col("doc_id") == F.col("id"))
+    with_sets = map_rows(
+        texts.select("cluster", "tiles", "c", "key", "sketch", "text"),
+        "cluster binary, tiles int, c int, key binary, sketch binary, set binary", make_sets, rows=128,
+    )
+    each = with_sets.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiles = each.select("cluster", F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), "c", "key", "sketch", "set")
+    order = ["cluster", "lo", "hi"]
+
+    def make_links():
+        held: dict[bytes, tuple] = {}  # one of each key, should a row repeat
+        current: list = [None]
+
+        def compare():
+            rows = list(held.values())
+            found = tile_links(
+                [np.frombuffer(r[2], _U) for r in rows], np.stack([np.frombuffer(r[1], np.uint8) for r in rows]),
+                np.array([r[0] for r in rows]), similarity,
+            ) if len(rows) > 1 else []
+            names = list(held)
+            held.clear()
+            return {"a": [names[i] for i, _ in found], "b": [names[j] for _, j in found]}
+
+        def step(given):
+            for *tile, c, key, sketch, members in zip(*(given[n] for n in (*order, "c", "key", "sketch", "set"))):
+                if held and current[0] != tile:
+                    yield compare()
+                current[0] = tile
+                held[key] = (c, sketch, members)
+
+        step.rest = lambda: [compare()] if held else []
+        return step
+
+    return map_rows(tiles.repartition(*order).sortWithinPartitions(*order, "key"), "a binary, b binary", make_links, rows=64)
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
     """One row per document: doc_id, key, component_id (smallest doc_id reachable by links), kept."""
-    docs = docs.where("doc_id is not null").select("doc_id", "text").unionByName(
-        docs.where("doc_id is null").select("doc_id", F.lit(None).cast("string").alias("text"))
-    )
-    signed = cut(signatures(docs, bands, rows, width))
-    entries = signed.where("n > 0").select("key", "n", F.explode("bands").alias("h"))
-    shared = cut(entries.groupBy("h").agg(F.min("key").alias("lead"), F.max("key").alias("last")).where("lead <> last").select("h"))
-    members = cut(entries.join(shared, "h").distinct())
-    long_enough = F.least("n", "m") >= similarity * F.greatest("n", "m")
-
-    # First every member meets the smallest text of its bucket.
-    lead = members.groupBy("h").agg(F.min(F.struct("key", "n")).alias("lead"))
-    star = members.join(lead, "h").select(F.col("lead.key").alias("a"), F.col("key").alias("b"), "n", F.col("lead.n").alias("m"))
-    tested = cut(star.where("a <> b").where(long_enough).select("a", "b").distinct())
-    links = cut(verified(tested, docs, width, similarity))
-    comps = cut(components(links))
-    for every in (False, True):
-        placed = members.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-        mixed = placed.groupBy("h").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("h")
-        placed = cut(placed.join(mixed, "h"))
-        ones = placed if every else placed.groupBy("h", "comp").agg(F.min(F.struct("key", "n")).alias("x")).select("h", "comp", "x.key", "x.n")
-        other = ones.select("h", F.col("comp").alias("of"), F.col("key").alias("b"), F.col("n").alias("m"))
-        pairs = placed.join(other, "h").where("comp <> of").where(long_enough).select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))
-        fresh = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            continue
-        more = cut(verified(fresh, docs, width, similarity))
-        tested = tested.unionByName(fresh)
-        if not more.isEmpty():
-            links = cut(links.unionByName(more))
-            comps = cut(components(links))
-    return _classes(signed, comps)
+    named = docs.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("text")).alias("text"))
+    signed = cut(signatures(named, bands, rows, width))
+    entries = signed.where("n > 0").select("key", F.explode("bands").alias("h"))
+    shared = cut(entries.groupBy("h").agg(F.min("key").alias("lead"), F.max("key").alias("last")).where("lead <> last").select("h", "lead"))
+    near = entries.join(shared, "h").where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b"))
+    clusters = cut(components(near).select(F.col("node").alias("key"), F.col("comp").alias("cluster")))
+    one = signed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    sketches = signed.select("doc_id", "key", "sketch").dropDuplicates(["doc_id", "key"])
+    members = one.join(clusters, "key").join(sketches, ["doc_id", "key"])
+    links = cluster_links(named, cut(members), width, similarity)
+    return _classes(signed, cut(components(links)))
 
 
 def _classes(signed: DataFrame, comps: DataFrame) -> DataFrame:
