@@ -25,14 +25,15 @@ SAMPLE_ROWS = 16_000
 THRESHOLD = 0.5
 BUCKETS = 1 << 18
 FACTORS = 8
-PREFIX = 5
+PREFIX = 4
+LEAST_TEXTS, LEAST_CHI, FREQUENT = 3, 25.0, 0.2
 
 
 def terms(text: str | None) -> np.ndarray:
     """Distinct buckets of a text's words and word beginnings, ascending."""
     words = set(alnum_words(text))
     starts = {w[:PREFIX] for w in words if len(w) > PREFIX}
-    hashes = [zlib.crc32(w) for w in words] + [zlib.crc32(w, 1) for w in starts]
+    hashes = [zlib.crc32(w) for w in words] + [zlib.crc32(w, PREFIX) for w in starts]
     return np.unique(np.array(hashes, np.int64) & (BUCKETS - 1)).astype(np.int32)
 
 
@@ -57,7 +58,7 @@ class FactorModel:
 
 
 def _chosen(all_terms: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Buckets in at least 5 texts that are marked by the labels, or in at least 1 text of 200."""
+    """Buckets in at least LEAST_TEXTS texts that the labels mark (chi square), or in a share FREQUENT of them."""
     flat = np.concatenate(all_terms) if all_terms else np.zeros(0, np.int32)
     owner = np.repeat(np.arange(len(all_terms)), [len(t) for t in all_terms])
     n, pos = len(y), y.sum()
@@ -65,10 +66,10 @@ def _chosen(all_terms: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     hit = np.bincount(flat, y[owner], BUCKETS)
     expected = df * pos / n
     spread = df * (pos / n) * (1 - pos / n) * (1 - df / n) + 1e-9
-    return np.flatnonzero((df >= 5) & (((hit - expected) ** 2 / spread > 12) | (df >= n / 200)))
+    return np.flatnonzero((df >= LEAST_TEXTS) & (((hit - expected) ** 2 / spread > LEAST_CHI) | (df >= n * FREQUENT)))
 
 
-def fit(all_terms: list[np.ndarray], y: np.ndarray, epochs: int = 8, rate: float = 0.1, batch: int = 128, seed: int = 7) -> FactorModel:
+def fit(all_terms: list[np.ndarray], y: np.ndarray, epochs: int = 8, rate: float = 0.3, batch: int = 128, seed: int = 7) -> FactorModel:
     n = len(y)
     share = (y.sum() + 1) / (n + 2) if n else 0.5
     base = float(np.log(share / (1 - share)))
@@ -95,11 +96,11 @@ def fit(all_terms: list[np.ndarray], y: np.ndarray, epochs: int = 8, rate: float
             used, place = np.unique(flat, return_inverse=True)
             gw = np.bincount(place, error[owner]) / len(part) + 1e-5 * w[used]
             pull = error[owner][:, None] * (s[owner] - vx)
-            gv = np.stack([np.bincount(place, pull[:, f]) for f in range(FACTORS)], 1) / len(part) + 1e-4 * v[used]
+            gv = np.stack([np.bincount(place, pull[:, f]) for f in range(FACTORS)], 1) / len(part) + 1e-3 * v[used]
             w_sq[used] += gw * gw
             v_sq[used] += (gv * gv).mean(1)
             w[used] -= rate * gw / np.sqrt(w_sq[used])
-            v[used] -= 0.2 * rate * gv / np.sqrt(v_sq[used])[:, None]
+            v[used] -= rate / 15 * gv / np.sqrt(v_sq[used])[:, None]
             gb = error.mean()
             b_sq += gb * gb
             base -= rate * gb / np.sqrt(b_sq)
