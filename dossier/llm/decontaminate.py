@@ -166,6 +166,26 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
+def _sql_words(text: str) -> str:
+    lower = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+OP5_SQL = f"""
+with d as (select row_number() over () rn, doc_id, {_sql_words('text')} w from documents),
+b as (select item_id::varchar item, {_sql_words('text')} w from benchmark),
+win as (select distinct item, array_to_string(list_slice(w, s, s + 9), ' ') k, least(10, len(w)) n
+  from (select item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) s from b where len(w) > 0)),
+places as (select rn, w, n, unnest(range(1, len(w) - n + 2)) i from d, (select distinct n from win) where len(w) >= n),
+hit as (select distinct rn, n, i, k from (select rn, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') k from places) semi join win using (k)),
+pos as (select rn, count(distinct p) n_hit from (select rn, unnest(range(i, i + n)) p from hit) group by 1),
+its as (select rn, count(*) n_items, string_agg(item, ',' order by item) ids from (select distinct rn, item from hit join win using (k)) group by 1)
+select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(ids, '')) items_sha256,
+  coalesce(n_hit, 0) > 0 contaminated
+from d left join pos using (rn) left join its using (rn)
+"""
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Documents without any item window; all columns stay. Rows meet their decision by (doc_id, words of the text)."""
     decided = decontaminate(docs, items)

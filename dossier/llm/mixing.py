@@ -106,11 +106,12 @@ def block_plan(slots: DataFrame, targets: DataFrame, block_words: int) -> DataFr
 
 
 def place(sized: DataFrame, targets: DataFrame, n_docs: int) -> DataFrame:
-    """Documents with their source's row and [start, end) in its shuffled stream of words."""
+    """Documents with their source's row and [start, end) in its stream of words, shuffled by the MD5 of the id."""
     n_buckets = max(16, n_docs // BUCKET_DOCS)
     of = targets.withColumnRenamed("source", "of")
-    known = sized.withColumn("key", F.xxhash64("doc_id")).join(of, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    known = known.withColumn("bucket", F.pmod("key", F.lit(n_buckets)))
+    known = sized.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).join(of, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    # The first digits of the hash: buckets in order hold keys in order.
+    known = known.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * n_buckets / (1 << 32)))
     counts = known.groupBy("no", "bucket").agg(F.sum("size").alias("n"))
     earlier = Window.partitionBy("no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("no", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
@@ -145,3 +146,20 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+with s as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size from documents),
+per as (select source, sum(size)::bigint source_size, row_number() over (order by source nulls last) - 1 no from s group by 1),
+w as (select *, [5.0::double, 2.0, 1.0][no % 3 + 1] weight, 3.0::double * source_size cap from per),
+l as (select *, cap / weight ratio, (sum(source_size) over () - coalesce(sum(cap) over before, 0))
+    / (sum(weight) over () - coalesce(sum(weight) over before, 0)) share
+  from w window before as (order by cap / weight, no rows between unbounded preceding and 1 preceding)),
+t as (select *, least(cap, weight * (select share from l where ratio >= share order by ratio, no limit 1)) target from l),
+g as (select source, source_size, target, case when source_size > 0 then round(target)::bigint // source_size else 0 end laps,
+    case when source_size > 0 then round(target)::bigint % source_size else 0 end part from t),
+p as (select s.*, g.source_size, target, laps, part, sum(size) over (partition by s.source order by md5(coalesce(doc_id::varchar, '')),
+    doc_id, size rows unbounded preceding) upto from s join g on s.source is not distinct from g.source)
+select doc_id, source, size, source_size, target, (laps * size + greatest(0, least(upto, part) - (upto - size)))::bigint taken,
+  greatest(1, least(65536, (select sum(size) from s) // 100000))::bigint block_words from p
+"""

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from dossier.llm.dart_minhash import op10_dart_minhash
-from dossier.llm.decontaminate import op5_decontaminate
+from dossier.llm.decontaminate import OP5_SQL, op5_decontaminate
 from dossier.llm.lm_scoring import op1_lm_scoring
-from dossier.llm.mixing import op8_mixing
+from dossier.llm.mixing import OP8_SQL, op8_mixing
 from dossier.llm.pii import op9_pii
 from dossier.llm.quality import op4_quality
 from dossier.llm.toxicity import op7_toxicity
@@ -29,5 +29,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_url_filters": OP2_SQL,
     "op3_vector_dedup": OP3_SQL,
+    "op5_decontaminate": OP5_SQL,
     "op6_warc": OP6_SQL,
+    "op8_mixing": OP8_SQL,
 }
