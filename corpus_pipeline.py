@@ -1,6 +1,7 @@
 """A training-data pipeline: stages over documents, each written as Parquet and read again by the next.
 
-Every stage takes (spark, docs, sf_dir) and returns documents; the last returns the mix of what is left.
+Every stage takes (spark, docs, sf_dir), works on all rows of docs and returns the columns of docs; the last returns the
+mix of what is left. Empty documents run through; extra columns stay until the last stage.
 """
 
 from __future__ import annotations
@@ -8,9 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from dossier.llm.common import cut, table
+from dossier.llm.dart_minhash import keep_one_of_each
 from dossier.llm.decontaminate import drop_contaminated
 from dossier.llm.mixing import mix
 from dossier.llm.pii import redact_pii
+from dossier.llm.quality import keep_good
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject; it learns from labelled rows among `docs`."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest doc_id."""
+    return keep_one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +32,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents with personal data replaced by its kind."""
+    """The same documents with personal data replaced by its kind; n_chars follows."""
     return redact_pii(docs)
 
 
@@ -29,12 +42,14 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality_classifier", quality),
+    ("minhash_near_dedup", near_duplicates),
     ("benchmark_decontamination", decontamination),
     ("pii", pii),
     ("mixing", mixing),
 ]
 
-# Two stages use trained models and hashes that SQL cannot express; tests/llm holds the stages against brute force.
+# Trained models and 64-bit hashes cannot be expressed in SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
