@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,3 +27,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, mark: str, rows: int, fo
         marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
     # About `rows` narrow rows: their size has a bound, so each task can look ids up.
     return docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")
+
+
+def gathered(sample: pa.Table, column: str) -> list[np.ndarray]:
+    """The arrays of a list column as views of one buffer each chunk: no Python object per number."""
+    out: list[np.ndarray] = []
+    for chunk in sample[column].chunks:
+        offsets, values = chunk.offsets.to_numpy(), chunk.values.to_numpy(zero_copy_only=False)
+        out += [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+    return out

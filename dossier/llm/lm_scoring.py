@@ -2,8 +2,8 @@
 
 Tokens are words with A-Z lower-cased and one end. Words become subword ids of a public tokenizer, and the model gives
 each id a probability: that of its class, from attention over the ids before it and from the last one alone, times the
-id's share of its class. Windows overlap; each id is scored once, with at least `WINDOW - STRIDE` ids before it where
-the text has them, in batches of masked attention.
+id's share of its class, which for frequent ids depends on the class before. Windows of `WINDOW` places overlap by `PAD`: each id is scored once, with at least that many
+places before it (ends stand before a text), in batches of masked attention.
 
 What is learned comes from all learning rows: word counts for the base score, subword counts, counts of classes behind
 a subword, and one window of each text (its place is chosen by a hash). Attention weights start from a bounded sample of
@@ -19,7 +19,9 @@ Null and empty texts are scored as texts of the end alone. Repeated rows are sco
 from __future__ import annotations
 
 import base64
+from array import array
 from collections import Counter
+from math import fsum
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -29,13 +31,16 @@ from dossier.llm.common import cut, held_out_row, learning_row, map_rows, plain_
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 WINDOW, STRIDE = 32, 24
+PAD = WINDOW - STRIDE
 SIZE = 16  # of the vectors
 CLASSES, OWN_CLASS, RARE_CLASSES = 64, 24, 4
 SYMBOLS = 1024  # inputs told apart: frequent ids, and the classes of all others
+FREQUENT = 2048  # ids whose share of their class depends on the class before
+SMOOTHING = 8.0
 HEAD_WORDS = 100_000
 CLASS_TEXTS = 1_000
 START_WINDOWS = 4_096
-_PIECE = 32  # longest part of a word given to the tokenizer at once, in characters
+_PIECE = 64  # longest part of a word given to the tokenizer at once, in bytes
 _LOG10 = float(np.log(10))
 
 
@@ -47,27 +52,33 @@ def read_ranks(path: str = TOKENIZER) -> dict[bytes, int]:
 class Subwords(dict):
     """Cache from a word (UTF-8) to the bytes of its subword ids (uint16); emptied when it holds `most` words."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 300_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], most: int = 400_000) -> None:
         import tiktoken
 
-        self.encode = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.encode = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         self.most = most
 
     def __missing__(self, word: bytes) -> bytes:
-        text = " " + word.decode("utf-8", "replace")
-        ids = [i for at in range(0, len(text), _PIECE) for i in self.encode(text[at : at + _PIECE])]
-        out = np.array(ids, np.uint16).tobytes()
+        piece = b" " + word
+        if len(piece) <= _PIECE:
+            ids = self.encode(piece)
+        else:
+            ids = [i for at in range(0, len(piece), _PIECE) for i in self.encode(piece[at : at + _PIECE])]
+        out = array("H", ids).tobytes()
         if len(self) >= self.most:
             self.clear()
         self[word] = out
         return out
 
-    def ids(self, words: list[bytes], end: int) -> np.ndarray:
-        return np.append(np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint16).astype(np.int32), np.int32(end))
+    def ids(self, texts: list[list[bytes]], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts laid end to end, each with `end` behind it, and their lengths."""
+        last = array("H", [end]).tobytes()
+        parts = [b"".join(map(self.__getitem__, words)) + last for words in texts]
+        return np.frombuffer(b"".join(parts), np.uint16).astype(np.int32), np.array([len(p) // 2 for p in parts], np.int64)
 
 
-def cluster_classes(texts: list[np.ndarray], vocabulary: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """class and symbol of every id, from the ids of some texts."""
+def cluster_classes(texts: list[np.ndarray], vocabulary: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """class, symbol and column of every id, from the ids of some texts. Columns: frequent ids, then the rest of each class."""
     rng = np.random.default_rng(seed)
     flat = np.concatenate(texts) if texts else np.zeros(0, np.int32)
     counts = np.bincount(flat, minlength=vocabulary)
@@ -95,8 +106,32 @@ def cluster_classes(texts: list[np.ndarray], vocabulary: int, seed: int = 3) ->
                     centre[c] = about[group == c].mean(0)
         classes[seen] = OWN_CLASS + group
     symbols = (SYMBOLS - CLASSES + classes).astype(np.int32)
-    symbols[order[: SYMBOLS - CLASSES]] = np.arange(SYMBOLS - CLASSES)
-    return classes, symbols
+    own = order[: SYMBOLS - CLASSES]
+    symbols[own] = np.arange(len(own))
+    columns = (FREQUENT + classes).astype(np.int32)
+    columns[order[:FREQUENT]] = np.arange(min(FREQUENT, vocabulary))
+    return classes, symbols, columns
+
+
+class Shares:
+    """log10 of an id's share of its class, given the class before: a table of columns, and what is left inside a rest."""
+
+    def __init__(self, ids: np.ndarray, pairs: np.ndarray, classes: np.ndarray, columns: np.ndarray) -> None:
+        """`ids`: counts by id; `pairs`: counts by class before and column."""
+        share = (ids + 1) / np.bincount(classes, ids + 1, CLASSES)[classes]
+        rare = columns >= FREQUENT
+        column_share = np.bincount(columns, share, FREQUENT + CLASSES)
+        of = np.concatenate([np.zeros(FREQUENT, np.int64), np.arange(CLASSES)])
+        of[columns[~rare]] = classes[~rare]
+        totals = np.stack([np.bincount(of, row, CLASSES) for row in pairs])
+        table = (pairs + SMOOTHING * column_share) / (totals[:, of] + SMOOTHING)
+        self.table = np.log10(np.maximum(table, 1e-30)).astype(np.float32)
+        self.inside = np.where(rare, np.log10(share / column_share[columns]), 0.0).astype(np.float32)
+        self.classes, self.columns = classes, columns
+
+    def log(self, before: np.ndarray, target: np.ndarray) -> np.ndarray:
+        at = self.classes[before] * (FREQUENT + CLASSES) + self.columns[target]
+        return self.table.ravel().take(at) + self.inside.take(target)
 
 
 class AttentionModel:
@@ -123,40 +158,51 @@ class AttentionModel:
         return self
 
     def tables(self) -> tuple[np.ndarray, ...]:
-        """Queries, keys and values by symbol, and the causal weights of distances: what scoring looks up."""
-        e, i = self.p["embed"], np.arange(WINDOW)
-        far = i[:, None] - i[None, :]
-        mask = np.where(far >= 0, np.exp(np.clip(self.p["near"][far.clip(0)], -20, 20)), 0).astype(np.float32)
-        return e @ self.p["wq"] * np.float32(SIZE**-0.5), e @ self.p["wk"], e @ self.p["wv"], mask
-
-    @staticmethod
-    def _weights(q, k, mask):
-        w = np.matmul(q, k.transpose(0, 2, 1))
-        np.clip(w, -30, 30, out=w)
-        np.exp(w, out=w)
-        w *= mask
-        w /= w.sum(2, keepdims=True)
-        return w
+        """Queries, keys and values by symbol, and the causal weights of distances: what scoring looks up.
+
+        Places from PAD on ask; all places of the window up to their own answer. Exponents stay in range without
+        looking for maxima: queries are scaled down where learnt weights could exceed it.
+        """
+        e, far = self.p["embed"], np.arange(PAD, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
+        mask = np.where(far >= 0, np.exp(np.clip(self.p["near"][far.clip(0)], -20, 20)), 0)
+        q, k = e @ self.p["wq"] * SIZE**-0.5, e @ self.p["wk"]
+        most = np.linalg.norm(q, axis=1).max() * np.linalg.norm(k, axis=1).max()
+        if most > 40:
+            q = q * (40 / most)
+        return tuple(x.astype(self.p["embed"].dtype) for x in (q, k, e @ self.p["wv"], mask))
+
+    def scoring_tables(self) -> tuple[np.ndarray, ...]:
+        """The tables with a column of ones behind the values, and what attention adds to logits, scaled down likewise."""
+        q, k, v, mask = self.tables()
+        out = self.p["out"]
+        most = np.linalg.norm(v, axis=1).max() * np.linalg.norm(out, axis=0).max()
+        out = out if most <= 40 else out * np.asarray(40 / most, out.dtype)
+        return q, k, np.concatenate([v, np.ones((len(v), 1), v.dtype)], 1), mask, out
 
     def class_log_probs(self, s: np.ndarray, target: np.ndarray, tables) -> np.ndarray:
-        """Log probability of each target class behind windows of symbols s (both n x WINDOW)."""
-        tq, tk, tv, mask = tables
-        h = np.matmul(self._weights(tq[s], tk[s], mask), tv[s]).reshape(-1, SIZE)
-        logits = h @ self.p["out"]
-        logits += self.follow[s.ravel()]
+        """Log probability of each target class (n x STRIDE) behind windows of symbols (n x WINDOW)."""
+        tq, tk, tv, mask, out = tables
+        asks = np.ascontiguousarray(s[:, PAD:])
+        w = np.matmul(tq.take(asks, 0), tk.take(s, 0).transpose(0, 2, 1))
+        np.exp(w, out=w)
+        w *= mask
+        h = np.matmul(w, tv.take(s, 0)).reshape(-1, SIZE + 1)  # the last column sums the weights
+        logits = h[:, :SIZE] / h[:, SIZE:] @ out
+        logits += self.follow.take(asks.ravel(), 0)
         picked = logits[np.arange(len(logits)), target.ravel()]
-        np.clip(logits, -60, 60, out=logits)
         np.exp(logits, out=logits)
-        return (picked - np.log(logits.sum(1))).reshape(s.shape)
+        return (picked - np.log(logits @ np.ones(logits.shape[1], logits.dtype))).reshape(target.shape)
 
     def gradients(self, s: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over windows and its gradients, by hand."""
-        p, (n, width) = self.p, s.shape
+        p = self.p
         tq, tk, tv, mask = self.tables()
-        e, q, k, v = p["embed"][s], tq[s], tk[s], tv[s]
-        w = self._weights(q, k, mask)
+        asks = s[:, PAD:]
+        e, ea, q, k, v = p["embed"][s], p["embed"][asks], tq[asks], tk[s], tv[s]
+        w = np.exp(np.matmul(q, k.transpose(0, 2, 1))) * mask
+        w /= w.sum(2, keepdims=True)
         h = np.matmul(w, v)
-        logits = h.reshape(-1, SIZE) @ p["out"] + self.follow[s.ravel()]
+        logits = h.reshape(-1, SIZE) @ p["out"] + self.follow[asks.ravel()]
         logits -= logits.max(1, keepdims=True)
         probs = np.exp(logits)
         probs /= probs.sum(1, keepdims=True)
@@ -169,17 +215,16 @@ class AttentionModel:
         dw = np.matmul(dh, v.transpose(0, 2, 1))
         dv = np.matmul(w.transpose(0, 2, 1), dh)
         ds = w * (dw - (dw * w).sum(2, keepdims=True))
-        i = np.arange(width)
-        far = i[:, None] - i[None, :]
+        far = np.arange(PAD, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
         total = ds.sum(0)
-        g["near"] = np.bincount(far[far >= 0], total[far >= 0], WINDOW).astype(np.float32)
-        dq = np.matmul(ds, k) * np.float32(SIZE**-0.5)
+        g["near"] = np.bincount(far[far >= 0], total[far >= 0], WINDOW).astype(p["near"].dtype)
+        dq = np.matmul(ds, k) * np.asarray(SIZE**-0.5, ds.dtype)
         dk = np.matmul(ds.transpose(0, 2, 1), q)
         flat = lambda x: x.reshape(-1, SIZE)
-        g["wq"], g["wk"], g["wv"] = flat(e).T @ flat(dq), flat(e).T @ flat(dk), flat(e).T @ flat(dv)
-        de = flat(dq) @ p["wq"].T + flat(dk) @ p["wk"].T + flat(dv) @ p["wv"].T
+        g["wq"], g["wk"], g["wv"] = flat(ea).T @ flat(dq), flat(e).T @ flat(dk), flat(e).T @ flat(dv)
         g["embed"] = np.zeros_like(p["embed"])
-        np.add.at(g["embed"], s.ravel(), de)
+        np.add.at(g["embed"], s.ravel(), flat(dk) @ p["wk"].T + flat(dv) @ p["wv"].T)
+        np.add.at(g["embed"], asks.ravel(), flat(dq) @ p["wq"].T)
         return loss, g
 
     def train(self, s: np.ndarray, target: np.ndarray, epochs: int, rate: float, batch: int = 64, seed: int = 1) -> float:
@@ -203,87 +248,107 @@ class AttentionModel:
         return float(np.mean(losses))
 
 
-def windows_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts laid end to end: owner, start and first scored place (in the window) of each overlapping window."""
-    n = 1 + np.maximum(0, -(-(lengths - WINDOW) // STRIDE))
-    owner = np.repeat(np.arange(len(lengths)), n)
-    no = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return owner, no * STRIDE, np.where(no == 0, 0, WINDOW - STRIDE)
+def windows_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and start (in its targets) of each window of texts of these lengths; a window scores STRIDE targets."""
+    n = -(-lengths // STRIDE)
+    return np.repeat(np.arange(len(lengths)), n), (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * STRIDE
+
+
+def behind(lengths: np.ndarray) -> np.ndarray:
+    """Places in the inputs of the id before each target."""
+    return np.arange(lengths.sum()) + np.repeat(PAD * (np.arange(len(lengths)) + 1), lengths)
+
+
+def inputs_of(target: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs of texts laid end to end, each behind PAD + 1 ends and without its last id, and where each begins."""
+    n = len(lengths)
+    given = np.full(len(target) + PAD * n, end, np.int32)
+    at = np.arange(len(target)) + np.repeat(PAD * (np.arange(n) + 1) + 1, lengths)
+    inner = np.ones(len(target), bool)
+    inner[np.cumsum(lengths) - 1] = False
+    given[at[inner]] = target[inner]
+    return given, np.cumsum(lengths) - lengths + PAD * np.arange(n)
 
 
 class Scorer:
     """log10 probabilities of texts given as ids that end in `end`."""
 
-    def __init__(self, model: AttentionModel, classes: np.ndarray, symbols: np.ndarray, share: np.ndarray, end: int) -> None:
-        self.model, self.classes, self.symbols, self.share, self.end = model, classes, symbols, share, end
-        self.tables = model.tables()
+    def __init__(self, model: AttentionModel, symbols: np.ndarray, shares: Shares, end: int) -> None:
+        self.model, self.classes, self.symbols, self.shares, self.end = model, shares.classes, symbols, shares, end
+        self.tables = model.scoring_tables()
 
-    def score(self, texts: list[np.ndarray], batch: int = 128) -> np.ndarray:
-        total = np.zeros(len(texts))
-        if not texts:
+    def score(self, target: np.ndarray, lengths: np.ndarray, batch: int = 128) -> np.ndarray:
+        total = np.zeros(len(lengths))
+        if not len(lengths):
             return total
-        lengths = np.array([len(t) for t in texts])
-        target = np.concatenate(texts)
+        given, begin = inputs_of(target, lengths, self.end)
         first = np.cumsum(lengths) - lengths
-        given = np.empty_like(target)
-        given[1:] = target[:-1]
-        given[first] = self.end
         s, c = self.symbols[given], self.classes[target]
-        np.add.at(total, np.repeat(np.arange(len(texts)), lengths), self.share[target])
-        owner, start, scored = windows_of(lengths)
-        place = np.arange(WINDOW)
+        before = given[behind(lengths)]
+        total += np.add.reduceat(self.shares.log(before, target), first, dtype=float)
+        owner, start = windows_of(lengths)
+        here, there = np.arange(STRIDE), np.arange(WINDOW)
         for at in range(0, len(owner), batch):
-            o, st, sc = owner[at : at + batch], start[at : at + batch], scored[at : at + batch]
-            inside = st[:, None] + place < lengths[o][:, None]
-            take = np.where(inside, (first[o] + st)[:, None] + place, 0)
-            logp = self.model.class_log_probs(s[take], c[take], self.tables)
-            logp[~inside | (place < sc[:, None])] = 0
-            total += np.bincount(o, logp.sum(1, dtype=float), len(texts)) / _LOG10
+            o, st = owner[at : at + batch], start[at : at + batch]
+            inside = st[:, None] + here < lengths[o][:, None]
+            take = np.minimum((begin[o] + st)[:, None] + there, len(s) - 1)
+            aims = np.where(inside, (first[o] + st)[:, None] + here, 0)
+            logp = self.model.class_log_probs(s[take], c[aims], self.tables)
+            logp[~inside] = 0
+            total += np.bincount(o, logp.sum(1, dtype=float), len(lengths)) / _LOG10
         return total
 
 
-def gather(train: DataFrame, ranks, classes: np.ndarray, symbols: np.ndarray) -> DataFrame:
+def gather(train: DataFrame, ranks, classes: np.ndarray, symbols: np.ndarray, columns: np.ndarray) -> DataFrame:
     """What all learning rows give, in rows of three kinds: (word, n), (id, n) and (window).
 
-    id is a subword below the vocabulary's size; above it, a pair of symbol and following class.
+    id is a subword below the vocabulary's size; then come pairs of symbol and following class, then pairs of class and
+    following column.
     """
     end = len(classes) - 1
-    sent = train.sparkSession.sparkContext.broadcast((ranks, classes, symbols))
+    sent = train.sparkSession.sparkContext.broadcast((ranks, classes, symbols, columns))
 
     def make():
         import xxhash
 
         words: Counter[bytes] = Counter()
-        ranks, classes, symbols = sent.value
+        ranks, classes, symbols, columns = sent.value
         subwords = Subwords(ranks)
-        ids, pairs = np.zeros(len(classes), np.int64), np.zeros(SYMBOLS * CLASSES, np.int64)
+        width = FREQUENT + CLASSES
+        ids, pairs, shares = np.zeros(len(classes), np.int64), np.zeros(SYMBOLS * CLASSES, np.int64), np.zeros(CLASSES * width, np.int64)
 
         def flush():
-            out = {"word": [w.decode("utf-8", "replace") for w in words], "n": list(words.values())}
+            out = {"word": list(words), "n": list(words.values())}
             words.clear()
             return out | dict.fromkeys(("id", "window"), [None] * len(out["n"]))
 
         def step(given):
+            own = [plain_words(t) for t in given["text"]]
+            for w in own:
+                words.update(w)
+            words[b""] += len(own)
+            x, lengths = subwords.ids(own, end)
+            before, begin = inputs_of(x, lengths, end)
+            first = np.cumsum(lengths) - lengths
+            last = before[behind(lengths)]
+            ids[:] += np.bincount(x, minlength=len(ids))
+            pairs[:] += np.bincount(symbols[last] * CLASSES + classes[x], minlength=len(pairs))
+            shares[:] += np.bincount(classes[last] * width + columns[x], minlength=len(shares))
             chosen = []
-            for text in given["text"]:
-                own = plain_words(text)
-                words.update(own)
-                words[b""] += 1
-                x = subwords.ids(own, end)
-                before = np.append(np.int32(end), x[:-1])
-                ids[:] += np.bincount(x, minlength=len(ids))
-                np.add.at(pairs, symbols[before] * CLASSES + classes[x], 1)
-                n = 1 + max(0, -(-(len(x) - WINDOW) // STRIDE))
-                at = xxhash.xxh3_64_intdigest(text or "") % n * STRIDE
-                chosen.append(np.stack([before[at : at + WINDOW], x[at : at + WINDOW]]).astype(np.uint16).tobytes())
+            for i, text in enumerate(given["text"]):
+                n = lengths[i] // STRIDE  # whole windows only: shorter texts are left to the counts
+                if n:
+                    at = xxhash.xxh3_64_intdigest(text) % int(n) * STRIDE
+                    inputs = before[begin[i] + at : begin[i] + at + WINDOW]
+                    chosen.append(np.concatenate([inputs, x[first[i] + at : first[i] + at + STRIDE]]).astype(np.uint16).tobytes())
             none = [None] * len(chosen)
             yield {"word": none, "id": none, "n": none, "window": chosen}
-            if len(words) > 200_000:
+            if len(words) > 400_000:
                 yield flush()
 
         def rest():
             yield flush()
-            both = np.concatenate([ids, pairs])
+            both = np.concatenate([ids, pairs, shares])
             at = np.flatnonzero(both)
             none = [None] * len(at)
             yield {"word": none, "id": at, "n": both[at], "window": none}
@@ -291,14 +356,13 @@ def gather(train: DataFrame, ranks, classes: np.ndarray, symbols: np.ndarray) ->
         step.rest = rest
         return step
 
-    return map_rows(train.select("text"), "word string, id int, n long, window binary", make)
+    return map_rows(train.select("text"), "word binary, id int, n long, window binary", make)
 
 
 def _window_arrays(rows: list[bytes], classes, symbols) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and target classes of whole windows; texts shorter than a window are left to the counts."""
-    whole = [r for r in rows if len(r) == 4 * WINDOW]
-    x = np.frombuffer(b"".join(whole), np.uint16).reshape(-1, 2, WINDOW)
-    return symbols[x[:, 0]], classes[x[:, 1]]
+    """Symbols and target classes of windows."""
+    x = np.frombuffer(b"".join(rows), np.uint16).reshape(-1, WINDOW + STRIDE)
+    return symbols[x[:, :WINDOW]], classes[x[:, WINDOW:]]
 
 
 def trained(windows: DataFrame, model: AttentionModel, classes: np.ndarray, symbols: np.ndarray) -> AttentionModel:
@@ -361,23 +425,23 @@ def score_texts(docs: DataFrame, train: DataFrame, tokenizer: str = TOKENIZER) -
         subwords = Subwords(sent_ranks.value)
 
         def step(given):
-            yield {"doc_id": given["doc_id"], "ids": [subwords.ids(plain_words(t), end) for t in given["text"]]}
+            yield {"doc_id": given["doc_id"], "ids": [subwords.ids([plain_words(t)], end)[0] for t in given["text"]]}
 
         return step
 
     sample = map_rows(some.select("doc_id", "text"), "doc_id long, ids array<int>", make_ids).toPandas().sort_values("doc_id", kind="stable")
-    classes, symbols = cluster_classes([np.asarray(x, np.int32) for x in sample["ids"]], end + 1)
+    classes, symbols, columns = cluster_classes([np.asarray(x, np.int32) for x in sample["ids"]], end + 1)
 
     # 2. Counts and windows of all learning rows, in one pass.
-    found = cut(gather(train, ranks, classes, symbols))
+    found = cut(gather(train, ranks, classes, symbols, columns))
     counts = cut(found.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")))
     n_all, n_distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     cells = found.where("id is not null").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the model's size
-    tally = np.zeros(end + 1 + SYMBOLS * CLASSES)
+    parts = [end + 1, SYMBOLS * CLASSES, CLASSES * (FREQUENT + CLASSES)]
+    tally = np.zeros(sum(parts))
     tally[[r["id"] for r in cells]] = [r["n"] for r in cells]
-    ids = tally[: end + 1] + 1
-    id_share = np.log10(ids / np.bincount(classes, ids, CLASSES)[classes])
-    pairs = tally[end + 1 :].reshape(SYMBOLS, CLASSES)
+    ids, pairs, shares = np.split(tally, np.cumsum(parts)[:-1])
+    pairs, shares = pairs.reshape(SYMBOLS, CLASSES), Shares(ids, shares.reshape(CLASSES, -1), classes, columns)
     overall = (pairs.sum(0) + 1) / (pairs.sum() + CLASSES)
     follow = np.log((pairs + 5 * overall) / (pairs.sum(1, keepdims=True) + 5))
     model = trained(found.where("window is not null").select("window"), AttentionModel(follow), classes, symbols)
@@ -389,41 +453,49 @@ def score_texts(docs: DataFrame, train: DataFrame, tokenizer: str = TOKENIZER) -
         least -= 1
         room -= sizes.get(least, 0)
     is_head = F.col("c") >= F.lit(1 << least)
-    head = {r["word"].encode(): r["c"] for r in counts.where(is_head).toLocalIterator()}
-    sent = context.broadcast((ranks, {w: float(np.log10(c + 1)) for w, c in head.items()}, (model, classes, symbols, id_share, end)))
+    head = {bytes(r["word"]): r["c"] for r in counts.where(is_head).toLocalIterator()}
+    sent = context.broadcast((ranks, {w: float(np.log10(c + 1)) for w, c in head.items()}, (model, symbols, shares, end)))
 
     def make_scores():
         ranks, head, parts = sent.value
         subwords, scorer = Subwords(ranks), Scorer(*parts)
 
         def step(given):
-            out = {n: [] for n in ("n_tokens", "sum", "n_known", "rest")}
-            texts = []
-            for text in given["text"]:
-                own = plain_words(text)
-                texts.append(subwords.ids(own, end))
-                counted = Counter(own)
+            out = {n: [] for n in ("n_tokens", "sum", "n_known", "words", "counts")}
+            own = [plain_words(t) for t in given["text"]]
+            find = head.get
+            for words in own:
+                counted = Counter(words)
                 counted[b""] = 1
-                known = head.keys() & counted.keys()
-                out["n_tokens"].append(len(own) + 1)
-                out["sum"].append(sum(counted[w] * head[w] for w in sorted(known)))
-                out["n_known"].append(sum(counted[w] for w in known))
-                out["rest"].append([{"word": w.decode("utf-8", "replace"), "n": n} for w, n in counted.items() if w not in known])
-            yield {"doc_id": given["doc_id"], "row": given["row"], "score": scorer.score(texts), **out}
+                logs, rest, n_known = [], [], 0
+                for w, n in counted.items():
+                    log = find(w)
+                    if log is None:
+                        rest.append(w)
+                    else:
+                        logs.append(n * log)
+                        n_known += n
+                out["n_tokens"].append(len(words) + 1)
+                out["sum"].append(fsum(logs))  # whatever the order
+                out["n_known"].append(n_known)
+                out["words"].append(rest)
+                out["counts"].append([counted[w] for w in rest])
+            yield {"doc_id": given["doc_id"], "row": given["row"], "score": scorer.score(*subwords.ids(own, end)), **out}
 
         return step
 
-    schema = "doc_id long, row long, score double, n_tokens long, sum double, n_known long, rest array<struct<word: string, n: long>>"
+    schema = "doc_id long, row long, score double, n_tokens long, sum double, n_known long, words array<binary>, counts array<int>"
     numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     scored = cut(map_rows(numbered, schema, make_scores, rows=128))
 
     # 4. All other words meet their counts.
-    tail = scored.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.n")
+    tail = scored.select("row", F.explode(F.arrays_zip("words", "counts")).alias("r"))
+    tail = tail.select("row", F.col("r.words").alias("word"), F.col("r.counts").alias("n"))
     met = tail.join(counts.where(~is_head), "word").groupBy("row").agg(
         F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("tail_sum"), F.sum("n").alias("tail_known")
     )
     below = float(np.log10(n_all + n_distinct + 1))
-    return scored.drop("rest").join(met, "row", "left").select(
+    return scored.drop("words", "counts").join(met, "row", "left").select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("sum") + F.coalesce("tail_sum", F.lit(0.0)) - F.col("n_tokens") * below).alias("base_score"), "score",

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm.common import LOWER, held_out_row, map_rows, table
-from dossier.llm.labelled import labelled_sample
+from dossier.llm.labelled import gathered, labelled_sample
 
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.3
@@ -178,10 +178,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Additi
 
         return step
 
-    sample = map_rows(labelled_sample(docs, labels, "quality", rows), "doc_id long, x array<double>, y int", make).toPandas()
-    sample = sample.sort_values("doc_id", kind="stable")
-    x = np.array(sample["x"].tolist(), float).reshape(len(sample), len(FEATURES))
-    return fit(x, sample["y"].to_numpy(float))
+    sample = map_rows(labelled_sample(docs, labels, "quality", rows), "doc_id long, x array<double>, y int", make).toArrow()
+    order = np.argsort(sample["doc_id"].to_numpy(), kind="stable")
+    x = np.concatenate([np.zeros(0), *gathered(sample, "x")]).reshape(-1, len(FEATURES))
+    return fit(x[order], sample["y"].to_numpy().astype(float)[order])
 
 
 def score_quality(docs: DataFrame, model: AdditiveModel) -> DataFrame:

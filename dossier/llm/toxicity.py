@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from dossier.llm.common import alnum_words, held_out_row, map_rows, table
-from dossier.llm.labelled import labelled_sample
+from dossier.llm.labelled import gathered, labelled_sample
 
 SAMPLE_ROWS = 16_000
 THRESHOLD = 0.5
@@ -114,9 +114,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Factor
 
         return step
 
-    sample = map_rows(labelled_sample(docs, labels, "toxic", rows), "doc_id long, x array<int>, y int", make).toPandas()
-    sample = sample.sort_values("doc_id", kind="stable")
-    return fit([np.asarray(t, np.int32) for t in sample["x"]], sample["y"].to_numpy(float))
+    sample = map_rows(labelled_sample(docs, labels, "toxic", rows), "doc_id long, x array<int>, y int", make).toArrow()
+    terms_of, y = gathered(sample, "x"), sample["y"].to_numpy().astype(float)
+    order = np.argsort(sample["doc_id"].to_numpy(), kind="stable")
+    return fit([terms_of[i] for i in order], y[order])
 
 
 def score_toxicity(docs: DataFrame, model: FactorModel) -> DataFrame:
