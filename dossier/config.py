@@ -11,7 +11,7 @@ class RetrievalConfig:
 
     top_k: int = 3
     rerank_factor: int = 4
-    table_pool_max: int = 50
+    table_pool_max: int | None = 50  # None: every table is a candidate
     text_fetch_k: int = 160
     bm25_top_n: int = 10
     bm25_enabled: bool = True
@@ -44,7 +44,7 @@ class AuditConfig:
     compliant: str = "COMPLIANT"
     violation: str = "NON_COMPLIANT"
     error: str = "NOT_EVALUATED"
-    context_char_cap: int = 24000
+    context_char_cap: int | None = None  # the published system cuts at 24,000
     cut_marker: str = "\n…[truncated]"
     calls_per_window: int = 5
     window_seconds: int = 60

@@ -11,22 +11,25 @@ from pyspark.sql import functions as F
 from dossier.config import AuditConfig
 from dossier.functions.text import strip
 
+QUERY = ["kb", "query_id"]
 EMPTY_REPLY = "The model gave an empty reply."
 NO_EVIDENCE = "No related rule was found in the knowledge base."
 
 
 def audit_requests(items: DataFrame, context: DataFrame, cfg: AuditConfig = AuditConfig()) -> DataFrame:
-    """One request per item; an over-long context is cut and marked.
+    """One request per item; a context over `cfg.context_char_cap` (None: no limit) is cut and marked.
 
-    `items`: query_id, text. `context`: query_id, context. Items without evidence keep a null
+    `items`: kb, query_id, text. `context`: kb, query_id, context. Items without evidence keep a null
     request.
     """
-    long = F.length("context") > cfg.context_char_cap
-    shown = F.when(
-        long, F.concat(F.substring("context", 1, cfg.context_char_cap), F.lit(cfg.cut_marker))
-    ).otherwise(F.col("context"))
-    return items.join(context.select("query_id", "context"), "query_id", "left").select(
-        "query_id",
+    cap = cfg.context_char_cap
+    if cap is None:
+        long, shown = F.lit(False), F.col("context")
+    else:
+        long = F.length("context") > cap
+        shown = F.when(long, F.concat(F.substring("context", 1, cap), F.lit(cfg.cut_marker))).otherwise(F.col("context"))
+    return items.join(context.select(*QUERY, "context"), QUERY, "left").select(
+        *QUERY,
         "text",
         shown.alias("context"),
         F.coalesce(long, F.lit(False)).alias("was_cut"),
@@ -80,7 +83,7 @@ def reuse_verdicts(
 ) -> DataFrame:
     """Requests with the stored verdict where there is one (`cached`), else null.
 
-    `requests`: model, query_id, text, context. `cache`: cache_key, verdict, reasoning; error
+    `requests`: model, kb, query_id, text, context. `cache`: cache_key, verdict, reasoning; error
     states are never taken from it.
     """
     keyed = requests.withColumn(
@@ -119,17 +122,17 @@ def audit_results(
     item are its ranked evidence (at most 2k rows).
     """
     sources = (
-        matches.select("query_id", "final_rank", source_struct().alias("s"))
-        .groupBy("query_id")
+        matches.select(*QUERY, "final_rank", source_struct().alias("s"))
+        .groupBy(*QUERY)
         .agg(F.sort_array(F.collect_list(F.struct("final_rank", "s"))).alias("r"))
-        .select("query_id", F.transform("r", lambda x: x["s"]).alias("sources"))
+        .select(*QUERY, F.transform("r", lambda x: x["s"]).alias("sources"))
     )
     none = F.array().cast(sources.schema["sources"].dataType)
     seen = F.col("sources").isNotNull()
     return (
-        items.join(sources, "query_id", "left")
-        .join(contexts.select("query_id", "context"), "query_id", "left")
-        .join(verdicts.select("query_id", "verdict", "reasoning"), "query_id", "left")
+        items.join(sources, QUERY, "left")
+        .join(contexts.select(*QUERY, "context"), QUERY, "left")
+        .join(verdicts.select(*QUERY, "verdict", "reasoning"), QUERY, "left")
         .select(
             *[F.col(c) for c in items.columns],
             F.when(seen, F.coalesce("verdict", F.lit(cfg.error))).otherwise(cfg.error).alias("verdict"),

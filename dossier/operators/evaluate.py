@@ -29,16 +29,17 @@ def _flag(c: Column) -> Column:
 def gold_rank(matches: DataFrame, scenarios: DataFrame, mode: str = "chunk", rules: DataFrame | None = None) -> DataFrame:
     """Rank of the first hit of each scenario inside the gold label's own modality.
 
-    `matches`: query_id, type, table_name, display_name, chunk_id, page_idx, final_rank.
-    `scenarios`: query_id, label, grp. `rules` (RULE_SCHEMA): any row of a label whose given
+    `matches`: kb, query_id, type, table_name, display_name, chunk_id, page_idx, final_rank.
+    `scenarios`: kb, query_id, label, grp (kb may be missing in both: one base). `rules` (RULE_SCHEMA): any row of a label whose given
     conditions all hold is a hit; a label without rules is a name prefix. A scenario without a
     hit has a null rank.
     """
     label = F.col("label")
+    query = [c for c in ("kb", "query_id") if c in scenarios.columns]
     is_chunk = label.startswith("chunk_")
     typed = scenarios.withColumn("type", F.when(is_chunk, "text_chunk").otherwise("table"))
-    rows = matches.join(typed.select("query_id", "label", "type"), ["query_id", "type"])
-    w = Window.partitionBy("query_id", "label").orderBy("final_rank")
+    rows = matches.join(typed.select(*query, "label", "type"), [*query, "type"])
+    w = Window.partitionBy(*query, "label").orderBy("final_rank")
     rows = rows.withColumn("rank", F.row_number().over(w))
     if mode == "page":
         chunk_hit = F.regexp_extract(label, _CHUNK_PAGE, 1).try_cast("int") == F.col("page_idx")
@@ -64,8 +65,8 @@ def gold_rank(matches: DataFrame, scenarios: DataFrame, mode: str = "chunk", rul
 
         table_hit = F.when(F.col("rules").isNotNull(), F.exists("rules", holds)).otherwise(table_hit)
     hit = F.when(is_chunk, chunk_hit).otherwise(table_hit)
-    first = rows.groupBy("query_id", "label").agg(F.min(F.when(hit, F.col("rank"))).alias("rank"))
-    return scenarios.join(first, ["query_id", "label"], "left").select("query_id", "label", "grp", "rank")
+    first = rows.groupBy(*query, "label").agg(F.min(F.when(hit, F.col("rank"))).alias("rank"))
+    return scenarios.join(first, [*query, "label"], "left").select(*query, "label", "grp", "rank")
 
 
 def _metric_columns(ks: Sequence[int]) -> list[Column]:
@@ -119,14 +120,14 @@ def guard_passes(guard: DataFrame) -> DataFrame:
 
 
 def _policy(results: DataFrame, error_policy: str, cfg: AuditConfig) -> DataFrame:
-    """`exclude` leaves error states out of the metrics, `wrong` counts them as wrong."""
+    """`wrong` counts error states as wrong, `exclude` leaves them out of the metrics."""
     if error_policy == "wrong":
         return results
     return results.filter(F.col("verdict") != cfg.error)
 
 
 def verdict_scorecard(
-    results: DataFrame, expected: DataFrame, error_policy: str = "exclude", cfg: AuditConfig = AuditConfig()
+    results: DataFrame, expected: DataFrame, error_policy: str = "wrong", cfg: AuditConfig = AuditConfig()
 ) -> DataFrame:
     """Correct, wrong, accuracy per run: overall and by group; items without a label are skipped.
 
@@ -302,12 +303,11 @@ def remap_gold(scenarios: DataFrame, old: DataFrame, new: DataFrame, span: int =
 
 
 def apply_remap(scenarios: DataFrame, remap: DataFrame) -> DataFrame:
-    """Scenarios with new gold ids; one label that could not be verified leaves all unchanged."""
-    failed = remap.agg(F.coalesce(F.sum(F.when(F.col("status") != "ok", 1).otherwise(0)), F.lit(0)).alias("failed"))
-    moved = scenarios.join(remap.select("kb", "chunk_id", "host_id"), ["kb", "chunk_id"], "left")
-    return moved.withColumn("failed", failed.scalar()).withColumn(
-        "chunk_id", F.when((F.col("failed") == 0) & F.col("host_id").isNotNull(), F.col("host_id")).otherwise(F.col("chunk_id"))
-    ).select(*scenarios.columns)
+    """Scenarios with new gold ids; one label that could not be verified leaves its base unchanged."""
+    failed = remap.groupBy("kb").agg(F.max(F.col("status") != "ok").alias("failed"))
+    moves = remap.join(failed.filter(~F.col("failed")), "kb").select("kb", "chunk_id", "host_id")
+    moved = scenarios.join(moves, ["kb", "chunk_id"], "left")
+    return moved.withColumn("chunk_id", F.coalesce("host_id", "chunk_id")).select(*scenarios.columns)
 
 
 # --- attribution, latency, ablation ----------------------------------------------------
@@ -316,14 +316,16 @@ def apply_remap(scenarios: DataFrame, remap: DataFrame) -> DataFrame:
 def failure_attribution(matches: DataFrame, results: DataFrame) -> DataFrame:
     """Were wrong verdicts missing their evidence, or wrong with it? All margins included.
 
-    `matches`: query_id, type, table_name. `results`: query_id, gold_table, verdict, expected.
+    `matches`: kb, query_id, type, table_name. `results`: kb, query_id, gold_table, verdict,
+    expected (kb may be missing in both: one base).
     """
-    gold = results.select("query_id", F.col("gold_table").alias("table_name"))
+    query = [c for c in ("kb", "query_id") if c in results.columns]
+    gold = results.select(*query, F.col("gold_table").alias("table_name"))
     seen = (
-        matches.filter(F.col("type") == "table").join(gold, ["query_id", "table_name"], "left_semi")
-        .select("query_id").distinct().withColumn("__hit", F.lit(True))
+        matches.filter(F.col("type") == "table").join(gold, [*query, "table_name"], "left_semi")
+        .select(*query).distinct().withColumn("__hit", F.lit(True))
     )
-    flagged = results.join(seen, "query_id", "left").select(
+    flagged = results.join(seen, query, "left").select(
         F.coalesce("__hit", F.lit(False)).alias("evidence_found"),
         F.coalesce(F.col("verdict") == F.col("expected"), F.lit(False)).alias("correct"),
     )

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from dossier.config import TextConfig
 from dossier.functions.lineage import cut
+from dossier.functions.sizes import written_side
 from dossier.functions.text import index_tokens, split_lines, strip
 from dossier.operators.text import pack_windows
 
-NAME_CHARS = 200
 # Okapi parameters of the public BM25 implementation.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 MIN_QUESTION_CHARS = 15
@@ -45,8 +45,8 @@ def table_rows_of_kb(tables: DataFrame) -> DataFrame:
         F.concat(F.lit("table_p"), F.col("page_idx").cast("string"), F.lit("_idx"), F.col("table_idx").cast("string")).alias("doc_id"),
         F.lit("table").alias("type"),
         F.concat("display_name", F.lit("\n"), "serialized").alias("document"),
-        F.substring("table_name", 1, NAME_CHARS).alias("table_name"),
-        F.substring("display_name", 1, NAME_CHARS).alias("display_name"),
+        "table_name",
+        "display_name",
         "page_idx",
         "img_path",
         "legend",
@@ -71,7 +71,7 @@ def chunk_rows_of_kb(chunks: DataFrame, cfg: TextConfig = TextConfig()) -> DataF
         F.concat(header, F.lit("\n"), F.col("window")).alias("document"),
         "page_idx",
         "chunk_id",
-        F.substring("title", 1, NAME_CHARS).alias("title"),
+        "title",
         F.array_join("section_path", " > ").alias("section_path"),
         "content",
         _order(1, F.col("start_idx"), 0, F.col("window_no")),
@@ -87,7 +87,7 @@ def question_rows_of_kb(chunks: DataFrame, questions: DataFrame) -> DataFrame:
         F.col("question").alias("document"),
         "page_idx",
         "chunk_id",
-        F.substring("title", 1, NAME_CHARS).alias("title"),
+        "title",
         F.array_join("section_path", " > ").alias("section_path"),
         "content",
         F.lit(1).alias("synth"),
@@ -141,7 +141,7 @@ def chunks_to_do(chunks: DataFrame, done: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """postings: kb, doc_id, doc_len, token, tf; terms: kb, token, df, idf; stats: kb, n_docs, avg_len."""
+    """postings: kb, doc_id, doc_len, token, tf (and doc_order where documents have one); terms: kb, token, df, idf; stats: kb, n_docs, avg_len."""
 
     postings: DataFrame
     terms: DataFrame
@@ -159,14 +159,15 @@ def lexical_index(docs: DataFrame, text: str = "document") -> LexicalIndex:
     # A given number of partitions: scoring multiplies the rows by the queries that match, so
     # small texts must not be packed together by their size.
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = docs.select("kb", "doc_id", F.col(text).alias("t")).repartition(n, "doc_id")
-    sized = spread.select("kb", "doc_id", index_tokens(F.col("t")).alias("toks")).withColumn("doc_len", F.size("toks"))
+    ids = ["kb", "doc_id", *[c for c in ("doc_order",) if c in docs.columns]]
+    spread = docs.select(*ids, F.col(text).alias("t")).repartition(n, "kb", "doc_id")
+    sized = spread.select(*ids, index_tokens(F.col("t")).alias("toks")).withColumn("doc_len", F.size("toks"))
     # outer: otherwise Spark would first filter on the size of the computed array, below the
     # shuffle, and so cut every text into words twice
     postings = (
-        sized.select("kb", "doc_id", "doc_len", F.explode_outer("toks").alias("token"))
+        sized.select(*ids, "doc_len", F.explode_outer("toks").alias("token"))
         .filter(F.col("token").isNotNull())
-        .groupBy("kb", "doc_id", "doc_len", "token").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        .groupBy(*ids, "doc_len", "token").agg(F.count(F.lit(1)).cast("int").alias("tf"))
     )
     vocabulary = cut(
         postings.groupBy("kb", "token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n_tokens"))
@@ -181,25 +182,30 @@ def lexical_index(docs: DataFrame, text: str = "document") -> LexicalIndex:
 
 def term_weights(vocabulary: DataFrame, stats: DataFrame) -> DataFrame:
     """Okapi idf of each term; terms in most documents get a small share of the mean."""
-    raw = vocabulary.join(stats.select("kb", "n_docs"), "kb").withColumn(
+    # One row per base: sent to the vocabulary after its count, so that a base's words need not meet by its name.
+    raw = vocabulary.join(written_side(stats.select("kb", "n_docs")), "kb").withColumn(
         "raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     )
     mean = raw.groupBy("kb").agg(F.avg("raw").alias("mean_raw"))
-    return raw.join(mean, "kb").select(
+    return raw.join(written_side(mean), "kb").select(
         "kb", "token", "df",
         F.when(F.col("raw") < 0, F.lit(EPSILON) * F.col("mean_raw")).otherwise(F.col("raw")).alias("idf"),
     )
 
 
 def write_index(index: LexicalIndex, folder: str) -> None:
-    """Persist an index; postings keep their partitioning by document."""
-    index.postings.write.mode("overwrite").parquet(f"{folder}/postings")
+    """Store an index, the postings of a document side by side."""
+    ids = ["kb", "doc_id"]
+    index.postings.sortWithinPartitions(*ids).write.mode("overwrite").parquet(f"{folder}/postings")
     index.terms.write.mode("overwrite").parquet(f"{folder}/terms")
     index.stats.write.mode("overwrite").parquet(f"{folder}/stats")
 
 
 def read_index(spark, folder: str) -> LexicalIndex:
-    return LexicalIndex(*(spark.read.parquet(f"{folder}/{part}") for part in ("postings", "terms", "stats")))
+    """A stored index. Files don't tell the planner how they are dealt, so postings are dealt by document once here."""
+    postings, terms, stats = (spark.read.parquet(f"{folder}/{part}") for part in ("postings", "terms", "stats"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return LexicalIndex(postings.repartition(n, "kb", "doc_id"), terms, stats)
 
 
 # --- vectors ---------------------------------------------------------------------------
@@ -221,10 +227,10 @@ def embed(
         ready: dict[str, Encoder] = {}
         for texts, routes in batches:
             out: list = [None] * len(texts)
-            for name, rows in routes.groupby(routes).groups.items():
+            for name, rows in routes.reset_index(drop=True).groupby(routes.to_numpy()).indices.items():
                 encoder = ready.setdefault(name, None) or load_encoder(name)
                 ready[name] = encoder
-                at = [routes.index.get_loc(i) for i in rows]
+                at = rows.tolist()
                 for lo in range(0, len(at), batch_rows):
                     part = at[lo:lo + batch_rows]
                     for i, vec in zip(part, encoder([texts.iloc[i] for i in part])):

@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions.sizes import broadcast_if, is_small
-from dossier.functions.text import code_overlap, code_tokens, index_tokens
+from dossier.functions.text import code_tokens, index_tokens
 from dossier.operators.index import B, K1, LexicalIndex
 from dossier.operators.text import first_per_key
 
 # Scores are compared after rounding, so that equal texts tie whatever the order of the sums.
 SCORE_DIGITS = 9
 SEPARATOR = "=" * 60
+# A query belongs to a knowledge base and is answered from it; ids are unique inside a base only.
+QUERY = ["kb", "query_id"]
 # A scorer adds `rerank_score` to rows with query_text and doc_text.
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -43,58 +45,67 @@ def bm25_topk(queries: DataFrame, index: LexicalIndex, n: int = 10) -> DataFrame
     small = is_small(asked)
     weighted = (
         index.terms.join(broadcast_if(small, asked), ["kb", "token"])
-        .join(index.stats.select("kb", "avg_len"), "kb")
+        .join(broadcast_if(is_small(index.stats), index.stats.select("kb", "avg_len")), "kb")
         .select("kb", "token", "query_id", (F.col("qtf") * F.col("idf")).alias("w"), "avg_len")
     )
     hits = index.postings.join(broadcast_if(small, weighted), ["kb", "token"])
     norm = K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len"))
     part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
     scored = (
-        hits.groupBy("kb", "query_id", "doc_id")
+        hits.groupBy(*QUERY, "doc_id", *[c for c in ("doc_order",) if c in hits.columns])
         .agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
         .filter(F.col("score") > 0)
     )
-    w = Window.partitionBy("kb", "query_id").orderBy(F.desc("score"), "doc_id")
+    if "doc_order" in index.postings.columns:
+        order = [F.desc("score"), "doc_order", "doc_id"]
+    else:
+        order = [F.desc("score"), "doc_id"]
+    w = Window.partitionBy(*QUERY).orderBy(*order)
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def with_code_overlap(pairs: DataFrame, query: str = "query_text", text: str = "doc_text") -> DataFrame:
-    """Share of the query's codes that the text contains."""
-    return pairs.withColumn("code_score", code_overlap(F.col(query), F.col(text)))
+def with_code_overlap(pairs: DataFrame, query: str = "query_codes", doc: str = "doc_codes") -> DataFrame:
+    """`code_score`: share of the query's codes (a set) that the document's codes contain; 0 without codes."""
+    shared = F.size(F.array_intersect(query, doc)) / F.size(query)
+    return pairs.withColumn("code_score", F.when(F.size(query) > 0, shared).otherwise(F.lit(0.0)))
 
 
 # --- pools -----------------------------------------------------------------------------
 
 
 def candidate_pool(vector_hits: DataFrame, bm25_hits: DataFrame | None, fetch_k: int, text_fetch_k: int) -> DataFrame:
-    """Narrow and wide candidate lists of every query, in list order.
+    """Narrow and wide candidate lists of every query; order is (list_no, seq).
 
-    `vector_hits`: query_id, channel (general, table, text), doc_id, distance, seq.
-    `bm25_hits`: query_id, doc_id, rank, already limited to text documents.
+    `vector_hits`: kb, query_id, channel (general, table, text), doc_id, distance, seq.
+    `bm25_hits`: kb, query_id, doc_id, rank, already limited to text documents.
+    As in the published system the vector list of texts is left out where `text_fetch_k` is
+    not above `fetch_k`.
     """
-    shift = 1_000_000  # later lists of a channel come after earlier ones
+    first, second = F.lit(0).alias("list_no"), F.lit(1).alias("list_no")
     narrow = vector_hits.filter(F.col("channel").isin("general", "table")).select(
-        "query_id",
+        *QUERY,
         F.lit("narrow").alias("channel"),
         "doc_id",
         "distance",
-        (F.col("seq") + F.when(F.col("channel") == "table", shift).otherwise(0)).alias("seq"),
+        (F.col("channel") == "table").cast("int").alias("list_no"),
+        "seq",
     )
     parts = [narrow]
     if text_fetch_k > fetch_k:
         parts.append(
             vector_hits.filter(F.col("channel") == "text").select(
-                "query_id", F.lit("wide").alias("channel"), "doc_id", "distance", "seq"
+                *QUERY, F.lit("wide").alias("channel"), "doc_id", "distance", first, "seq"
             )
         )
     if bm25_hits is not None:
         parts.append(
             bm25_hits.select(
-                "query_id",
+                *QUERY,
                 F.lit("wide").alias("channel"),
                 "doc_id",
                 F.lit(None).cast("double").alias("distance"),
-                (F.col("rank") + shift).alias("seq"),
+                second,
+                F.col("rank").alias("seq"),
             )
         )
     pool = parts[0]
@@ -112,7 +123,7 @@ def evidence_key() -> Column:
 
 def dedupe_candidates(cands: DataFrame) -> DataFrame:
     """First occurrence of each piece of evidence inside each channel."""
-    return first_per_key(cands.withColumn("key", evidence_key()), ["query_id", "channel", "key"], [F.col("seq")])
+    return first_per_key(cands.withColumn("key", evidence_key()), [*QUERY, "channel", "key"], [F.col("list_no"), F.col("seq")])
 
 
 def rerank(cands: DataFrame, scorer: Scorer | None, top_k: int) -> DataFrame:
@@ -123,21 +134,26 @@ def rerank(cands: DataFrame, scorer: Scorer | None, top_k: int) -> DataFrame:
     if scorer is None:
         return cands.withColumn("rerank_score", F.lit(None).cast("double"))
     is_narrow = F.col("channel") == "narrow"
-    size = F.sum(F.when(is_narrow, 1).otherwise(0)).over(Window.partitionBy("query_id"))
+    size = F.sum(F.when(is_narrow, 1).otherwise(0)).over(Window.partitionBy(*QUERY))
     sized = cands.withColumn("__narrow", size)
-    order = [F.when(is_narrow, 0).otherwise(1), F.col("seq")]
-    pairs = first_per_key(sized.filter(F.col("__narrow") > top_k), ["query_id", "key"], order)
-    scores = scorer(pairs.drop("__narrow")).select("query_id", "key", "rerank_score")
-    return sized.drop("__narrow").join(scores, ["query_id", "key"], "left")
+    order = [F.when(is_narrow, 0).otherwise(1), F.col("list_no"), F.col("seq")]
+    pairs = first_per_key(sized.filter(F.col("__narrow") > top_k), [*QUERY, "key"], order)
+    scores = scorer(pairs.drop("__narrow")).select(*QUERY, "key", "rerank_score")
+    return sized.drop("__narrow").join(scores, [*QUERY, "key"], "left")
+
 
+def rerank_text(max_chars: int | None = None, max_html_chars: int | None = None) -> Column:
+    """Text given to a pair scorer, whole by default; question rows are judged by their chunk.
 
-def rerank_text() -> Column:
-    """Text given to a pair scorer; question rows are judged by their chunk."""
-    chunk = F.substring(F.concat_ws("\n", "section_path", "title", "content"), 1, 800)
+    The published system cuts chunks to 800 and markup to 500 characters: pass those numbers
+    where the scorer has such limits.
+    """
+    cut_to = lambda c, n: c if n is None else F.substring(c, 1, n)
+    chunk = cut_to(F.concat_ws("\n", "section_path", "title", "content"), max_chars)
     return F.when((F.col("type") == "text_chunk") & (F.coalesce("synth", F.lit(0)) != 0), chunk).otherwise(
         F.when(F.length(F.coalesce("document", F.lit(""))) > 0, F.col("document"))
-        .when(F.length(F.coalesce("content", F.lit(""))) > 0, F.substring("content", 1, 800))
-        .otherwise(F.substring("html", 1, 500))
+        .when(F.length(F.coalesce("content", F.lit(""))) > 0, cut_to(F.col("content"), max_chars))
+        .otherwise(cut_to(F.col("html"), max_html_chars))
     )
 
 
@@ -146,10 +162,10 @@ def znorm_by_modality(scored: DataFrame, shortlist: int = 0) -> DataFrame:
     narrow = F.col("channel") == "narrow"
     group = F.when(narrow, F.col("type")).otherwise(F.lit("*"))
     rows = scored.filter(F.col("rerank_score").isNotNull()).withColumn("__group", group)
-    by = Window.partitionBy("query_id", "channel", "__group")
-    rows = rows.withColumn("type_first", F.when(narrow, F.min("seq").over(by)).otherwise(F.lit(0)))
+    by = Window.partitionBy(*QUERY, "channel", "__group")
+    rows = rows.withColumn("type_first", F.when(narrow, F.min(F.struct("list_no", "seq")).over(by)))
     if shortlist > 0:
-        best = by.orderBy(F.desc("rerank_score"), "seq")
+        best = by.orderBy(F.desc("rerank_score"), "list_no", "seq")
         rows = (
             rows.withColumn("__rn", F.row_number().over(best))
             .filter(~narrow | (F.col("__rn") <= shortlist))
@@ -166,10 +182,11 @@ def fuse_code_bonus(normed: DataFrame, weight: float = 1.0) -> DataFrame:
     """Add the code bonus and rank each channel; ties keep the order they came in."""
     fused = normed.withColumn("norm_score", F.round(F.col("norm_score") + weight * F.col("code_score"), SCORE_DIGITS))
     narrow = F.col("channel") == "narrow"
-    w = Window.partitionBy("query_id", "channel").orderBy(
+    w = Window.partitionBy(*QUERY, "channel").orderBy(
         F.desc("norm_score"),
-        F.when(narrow, F.col("type_first")).otherwise(F.lit(0)),
+        "type_first",
         F.when(narrow, F.col("rerank_score")).otherwise(F.lit(0.0)).desc(),
+        "list_no",
         "seq",
     )
     return fused.withColumn("rank", F.row_number().over(w))
@@ -178,9 +195,9 @@ def fuse_code_bonus(normed: DataFrame, weight: float = 1.0) -> DataFrame:
 def table_floor(ranked: DataFrame, top_k: int) -> DataFrame:
     """Give the best table rank `top_k` if none is above it and it is not below the median.
 
-    `ranked`: narrow rows with query_id, type, norm_score, rank.
+    `ranked`: narrow rows with kb, query_id, type, norm_score, rank.
     """
-    q = Window.partitionBy("query_id")
+    q = Window.partitionBy(*QUERY)
     table_rank = F.when(F.col("type") == "table", F.col("rank"))
     n = F.count(F.lit(1)).over(q)
     best = F.min(table_rank).over(q)
@@ -201,18 +218,18 @@ def table_floor(ranked: DataFrame, top_k: int) -> DataFrame:
 
 def split_topk(narrow: DataFrame, wide: DataFrame, k: int) -> DataFrame:
     """k tables, then k texts; texts come from the wide list if the query has one."""
-    per_type = Window.partitionBy("query_id", "type").orderBy("rank")
+    per_type = Window.partitionBy(*QUERY, "type").orderBy("rank")
     tables = (
         narrow.filter(F.col("type") == "table")
         .withColumn("slot", F.row_number().over(per_type)).filter(F.col("slot") <= k)
     )
     source = F.when(F.col("channel") == "wide", 0).otherwise(1)
     texts = wide.unionByName(narrow.filter(F.col("type") == "text_chunk")).withColumn("__src", source)
-    texts = texts.withColumn("__use", F.min("__src").over(Window.partitionBy("query_id"))).filter("__src = __use")
-    w = Window.partitionBy("query_id").orderBy("rank")
+    texts = texts.withColumn("__use", F.min("__src").over(Window.partitionBy(*QUERY))).filter("__src = __use")
+    w = Window.partitionBy(*QUERY).orderBy("rank")
     texts = texts.withColumn("slot", F.row_number().over(w)).filter(F.col("slot") <= k).drop("__src", "__use")
     both = tables.withColumn("__half", F.lit(0)).unionByName(texts.withColumn("__half", F.lit(1)))
-    order = Window.partitionBy("query_id").orderBy("__half", "slot")
+    order = Window.partitionBy(*QUERY).orderBy("__half", "slot")
     return both.withColumn("final_rank", F.row_number().over(order)).drop("slot", "__half", "rank")
 
 
@@ -221,17 +238,17 @@ def mixed_slot_fill(narrow: DataFrame, wide: DataFrame, k: int) -> DataFrame:
     head = narrow.filter(F.col("rank") <= k)
     is_text = F.col("type") == "text_chunk"
     turn = F.sum(F.when(is_text, 1).otherwise(0)).over(
-        Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy(*QUERY).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     )
     slots = head.withColumn("final_rank", F.col("rank")).withColumn("turn", F.when(is_text, turn)).drop("rank")
     fill = wide.filter(F.col("rank") <= k).select(
-        "query_id", F.col("rank").alias("turn"),
-        F.struct(*[c for c in wide.columns if c not in ("query_id", "rank")]).alias("__w"),
+        *QUERY, F.col("rank").alias("turn"),
+        F.struct(*[c for c in wide.columns if c not in (*QUERY, "rank")]).alias("__w"),
     )
-    joined = slots.join(fill, ["query_id", "turn"], "left")
-    keep = [c for c in wide.columns if c not in ("query_id", "rank")]
+    joined = slots.join(fill, [*QUERY, "turn"], "left")
+    keep = [c for c in wide.columns if c not in (*QUERY, "rank")]
     return joined.select(
-        "query_id",
+        *QUERY,
         *[F.when(F.col("__w").isNotNull(), F.col(f"__w.{c}")).otherwise(F.col(c)).alias(c) for c in keep],
         "final_rank",
     )
@@ -239,7 +256,7 @@ def mixed_slot_fill(narrow: DataFrame, wide: DataFrame, k: int) -> DataFrame:
 
 def distance_fallback(narrow: DataFrame, k: int) -> DataFrame:
     """Narrow list by distance when nothing was scored; unknown distances come last."""
-    w = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), "seq")
+    w = Window.partitionBy(*QUERY).orderBy(F.asc_nulls_last("distance"), "list_no", "seq")
     return narrow.withColumn("final_rank", F.row_number().over(w)).filter(F.col("final_rank") <= k)
 
 
@@ -276,14 +293,14 @@ def _block() -> Column:
 def format_context(matches: DataFrame) -> DataFrame:
     """Evidence of each query as one text, in rank order (at most 2k blocks per query)."""
     return (
-        matches.select("query_id", "final_rank", _block().alias("block"))
-        .groupBy("query_id")
+        matches.select(*QUERY, "final_rank", _block().alias("block"))
+        .groupBy(*QUERY)
         .agg(
             F.sort_array(F.collect_list(F.struct("final_rank", "block"))).alias("b"),
             F.count(F.lit(1)).alias("n_blocks"),
         )
         .select(
-            "query_id",
+            *QUERY,
             "n_blocks",
             F.array_join(F.transform("b", lambda x: x["block"]), f"\n\n{SEPARATOR}\n\n").alias("context"),
         )

@@ -215,22 +215,25 @@ def balanced_sample(pool: DataFrame, n: int, by: Sequence[str] = ("table_id",),
 BRIDGE_TRUE = "For {task} a person holds '{qual}...' and has finished the bridging units."
 BRIDGE_MISSING = "For {task} a person holds '{qual}...' but has no bridging units."
 BRIDGE_OTHER = "For {task} a person relies only on '{qual}...', which belongs to {other}."
-QUALIFICATION_CHARS = 70
 
 
-def bridging_claims(cells: DataFrame, step: int = 3, span: int = SPAN_ROWS) -> DataFrame:
+def bridging_claims(
+    cells: DataFrame, step: int = 3, span: int = SPAN_ROWS, qualification_chars: int | None = None
+) -> DataFrame:
     """Claims from rows (task, qualification, bridging) in which all three are given.
 
     Besides a true and a false claim per row, a false one takes the qualification `step` rows
-    further on (cyclic), unless both rows have the same task.
+    further on (cyclic), unless both rows have the same task. `qualification_chars` shortens the
+    quoted qualification (the published system quotes 70 characters).
     """
     cell = lambda i: F.coalesce(F.get("cells", F.lit(i)), F.lit(""))
     full = _grid_rows(cells).filter("row_idx > 0").filter(
         (F.length(cell(0)) > 0) & (F.length(cell(1)) > 0) & (F.length(cell(2)) > 0)
     )
-    rows = full.select(
-        "table_id", "row_idx", cell(0).alias("task"), F.substring(collapse(cell(1)), 1, QUALIFICATION_CHARS).alias("qual")
-    )
+    quoted = collapse(cell(1))
+    if qualification_chars is not None:
+        quoted = F.substring(quoted, 1, qualification_chars)
+    rows = full.select("table_id", "row_idx", cell(0).alias("task"), quoted.alias("qual"))
     numbered = running_values(rows, ["table_id"], "row_idx", [Running("no", "sum", F.lit(1))], span)
     numbered = numbered.withColumn("no", F.col("no") - 1).join(
         rows.groupBy("table_id").agg(F.count(F.lit(1)).alias("n")), "table_id"

@@ -145,16 +145,24 @@ def _marked_rows(blocks: DataFrame, min_pages: int) -> DataFrame:
     ).drop("line").filter(F.length("content") > 0)
 
 
-def _with_preamble(rows: DataFrame) -> DataFrame:
-    """The first content before any heading opens the Preamble section."""
-    firsts = rows.groupBy("standard_id").agg(F.min("block_idx").alias("__first"))
-    opens = (F.col("block_idx") == F.col("__first")) & ~F.col("is_heading")
-    return (
-        rows.join(firsts, "standard_id")
-        .withColumn("is_start", F.col("is_heading") | opens)
-        .withColumn("level", F.when(opens, F.lit(1)).otherwise(F.col("level")))
-        .withColumn("title", F.when(opens, F.lit(PREAMBLE)).otherwise(F.col("title")))
-        .drop("__first")
+def _opened(rows: DataFrame, span: int) -> DataFrame:
+    """Narrow rows with `start_idx`, the section start in force, and `is_start`.
+
+    The first content before any heading opens the Preamble section: a running minimum finds it
+    in the same scan that carries the last heading, so no row looks for its standard's first one.
+    """
+    scanned = running_values(
+        rows, ["standard_id"], "block_idx",
+        [Running("first", "min", F.col("block_idx")), Running("heading", "max", F.when(F.col("is_heading"), F.col("block_idx")))],
+        span,
+    )
+    opens = (F.col("block_idx") == F.col("first")) & ~F.col("is_heading")
+    return scanned.select(
+        "standard_id", "block_idx", "page_idx",
+        (F.col("is_heading") | opens).alias("is_start"),
+        F.when(opens, F.lit(1)).otherwise(F.col("level")).alias("level"),
+        F.when(opens, F.lit(PREAMBLE)).otherwise(F.col("title")).alias("title"),
+        F.coalesce("heading", "first").alias("start_idx"),
     )
 
 
@@ -207,23 +215,24 @@ def _sections_of(starts: DataFrame, span: int) -> DataFrame:
     )
 
 
-def _sectioned(blocks: DataFrame, min_pages: int, span: int) -> tuple[DataFrame, DataFrame]:
-    rows = _with_preamble(cut(_marked_rows(blocks, min_pages)))
-    starts = rows.filter("is_start").select("standard_id", "block_idx", "page_idx", "level", "title")
-    sections = _sections_of(starts, span)
-    opened = Running("start_idx", "max", F.when(F.col("is_start"), F.col("block_idx")))
-    placed = running_values(
-        rows.select("standard_id", "block_idx", "is_start", "content"),
-        ["standard_id"], "block_idx", [opened], span,
-    )
-    return sections, placed
+def _sectioned(blocks: DataFrame, min_pages: int, span: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sections, narrow rows with their section start, and rows with their text.
+
+    Only the narrow rows are written and scanned; texts stay where they are until a section
+    collects them.
+    """
+    marked = _marked_rows(blocks, min_pages)
+    narrow = cut(marked.select("standard_id", "block_idx", "page_idx", "is_heading", "level", "title"))
+    placed = cut(_opened(narrow, span))
+    starts = placed.filter("is_start").select("standard_id", "block_idx", "page_idx", "level", "title")
+    return _sections_of(starts, span), placed, marked.select("standard_id", "block_idx", "content")
 
 
 def section_paths(
     blocks: DataFrame, min_pages: int = TextConfig.repeat_min_pages, span: int = SPAN_ROWS
 ) -> DataFrame:
     """Heading stack in force at every body row (heading rows included)."""
-    sections, placed = _sectioned(blocks, min_pages, span)
+    sections, placed, _ = _sectioned(blocks, min_pages, span)
     return placed.select("standard_id", "block_idx", "start_idx").join(
         sections.select("standard_id", "start_idx", "title", "section_path"), ["standard_id", "start_idx"]
     )
@@ -239,8 +248,9 @@ def section_chunks(
 
     A chunk is one output value, so its lines meet in one row; nothing larger does.
     """
-    sections, placed = _sectioned(blocks, min_pages, span)
-    bodies = placed.groupBy("standard_id", "start_idx").agg(
+    sections, placed, texts = _sectioned(blocks, min_pages, span)
+    owned = texts.join(placed.select("standard_id", "block_idx", "start_idx"), ["standard_id", "block_idx"])
+    bodies = owned.groupBy("standard_id", "start_idx").agg(
         F.sort_array(F.collect_list(F.struct("block_idx", "content"))).alias("rows")
     )
     content = strip(F.array_join(F.transform("rows", lambda r: r["content"]), "\n"))
@@ -307,11 +317,12 @@ def pack_windows(chunks: DataFrame, max_chars: int = TextConfig.window_max_chars
 
 
 def route_language(
-    docs: DataFrame, sample_chars: int | None = 20000, text: str = "text", min_words: int = 30
+    docs: DataFrame, sample_chars: int | None = None, text: str = "text", min_words: int = 30
 ) -> DataFrame:
     """Encoder family for each text from stop-word rates and letters English does not have.
 
-    `sample_chars=None` looks at the whole text. Everything happens inside the row.
+    The whole text counts; `sample_chars` limits it to a beginning, as the published system
+    does with 20,000. Everything happens inside the row.
     """
     body = F.col(text) if sample_chars is None else F.substring(F.col(text), 1, sample_chars)
     lowered = F.lower(body)
@@ -325,11 +336,22 @@ def route_language(
         *docs.columns, n.alias("n_words"), rate(EN_STOP).alias("en_rate"),
         rate(TR_STOP).alias("tr_rate"), letters.alias("tr_letters"),
     )
+    return measured.withColumn("route", _route(min_words))
+
+
+def _route(min_words: int) -> Column:
     foreign = (F.col("tr_letters") >= 5) | (F.col("tr_rate") > F.col("en_rate")) | (F.col("en_rate") < 0.04)
-    return measured.withColumn(
-        "route",
-        F.when((F.col("n_words") >= min_words) & foreign, F.lit("multilingual")).otherwise(F.lit("english")),
-    )
+    return F.when((F.col("n_words") >= min_words) & foreign, F.lit("multilingual")).otherwise(F.lit("english"))
+
+
+def route_bases(docs: DataFrame, text: str = "document", min_words: int = 30) -> DataFrame:
+    """One encoder family per knowledge base, from the words of all its texts together."""
+    rates = route_language(docs.select("kb", text), None, text, min_words)
+    n = F.sum("n_words")
+    share = lambda c: F.when(n > 0, F.sum(F.col(c) * F.col("n_words")) / n).otherwise(F.lit(0.0))
+    return rates.groupBy("kb").agg(
+        share("en_rate").alias("en_rate"), share("tr_rate").alias("tr_rate"), F.sum("tr_letters").alias("tr_letters"), n.alias("n_words")
+    ).withColumn("route", _route(min_words))
 
 
 def route_counts(routed: DataFrame, *by: str) -> DataFrame:

@@ -6,7 +6,6 @@ queries and gives back only its own best k per query and pool; Spark merges thos
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -15,10 +14,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dossier.functions.lineage import cut
+
 # Query block kept by a task; beyond it, queries and documents are split into blocks.
 MAX_QUERY_FLOATS = 8_000_000
 MAX_QUERY_ROWS = 20_000
-DOC_BLOCK_ROWS = 50_000
+MAX_RESULT_ROWS = 1_000_000  # of one task, over all its queries and pools
+DOC_BLOCK_FLOATS = 4_000_000
+PAIRS = 200_000  # compared exactly at once
+ALL = (1 << 31) - 1  # k of a pool that takes every document
 
 
 @dataclass(frozen=True)
@@ -31,8 +35,9 @@ class Pool:
 
 
 def _exact(docs: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """Distances row by row."""
     if metric == "cosine":
-        norms = np.sqrt((docs * docs).sum(axis=1)) * np.sqrt((q * q).sum())
+        norms = np.sqrt((docs * docs).sum(axis=1)) * np.sqrt((q * q).sum(axis=1))
         return 1.0 - (docs * q).sum(axis=1) / np.where(norms == 0, 1.0, norms)
     return ((docs - q) ** 2).sum(axis=1)
 
@@ -48,88 +53,99 @@ def _rough(docs: np.ndarray, qs: np.ndarray, metric: str) -> tuple[np.ndarray, f
 
 
 class _Best:
-    """Running best k per (query, pool) inside one task."""
+    """Running best k per (query, pool) inside one task, for queries of one knowledge base."""
 
     def __init__(self, queries: np.ndarray, pools: Sequence[Pool], metric: str) -> None:
         self.queries, self.pools, self.metric = queries, pools, metric
-        self.kept: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        self.kept: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
     def add(self, ids: np.ndarray, types: np.ndarray, vectors: np.ndarray) -> None:
         for p, pool in enumerate(self.pools):
             mask = slice(None) if pool.type is None else types == pool.type
             docs, names = vectors[mask], ids[mask]
-            if not len(names):
-                continue
-            for lo in range(0, len(self.queries), 256):
-                block = self.queries[lo:lo + 256]
-                rough, slack = _rough(docs, block, self.metric)
-                k = min(pool.k, len(names))
-                limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + slack
-                for j in range(len(block)):
-                    near = np.nonzero(rough[j] <= limit[j])[0]
-                    self._merge((lo + j, p), names[near], _exact(docs[near], block[j], self.metric), pool.k)
-
-    def _merge(self, key: tuple[int, int], ids: np.ndarray, dist: np.ndarray, k: int) -> None:
-        if key in self.kept:
-            old_ids, old_dist = self.kept[key]
-            ids, dist = np.concatenate([old_ids, ids]), np.concatenate([old_dist, dist])
-        order = sorted(range(len(ids)), key=lambda i: (dist[i], ids[i]))[:k]
-        self.kept[key] = (ids[order], dist[order])
-
-    def frame(self, query_ids: np.ndarray) -> pd.DataFrame:
-        rows = [
-            (query_ids[q], self.pools[p].channel, i, float(d))
-            for (q, p), (ids, dist) in self.kept.items()
-            for i, d in zip(ids, dist)
+            if len(names):
+                self._add(p, pool.k, names, docs)
+
+    def _add(self, p: int, k: int, names: np.ndarray, docs: np.ndarray) -> None:
+        parts = [self.kept[p]] if p in self.kept else []
+        for lo in range(0, len(self.queries), 256):
+            block = self.queries[lo:lo + 256]
+            rough, slack = _rough(docs, block, self.metric)
+            nth = min(k, len(names)) - 1
+            limit = np.partition(rough, nth, axis=1)[:, nth] + slack
+            rows, near = np.nonzero(rough <= limit[:, None])
+            for at in range(0, len(rows), PAIRS):
+                r, n = rows[at:at + PAIRS], near[at:at + PAIRS]
+                parts.append((r + lo, _exact(docs[n], block[r], self.metric), names[n]))
+        query, dist, name = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((name, dist, query))
+        query, dist, name = query[order], dist[order], name[order]
+        first = np.searchsorted(query, query)  # place of the first row of the same query
+        best = np.arange(len(query)) - first < k
+        self.kept[p] = query[best], dist[best], name[best]
+
+    def frame(self, kb: object, query_ids: np.ndarray) -> pd.DataFrame:
+        parts = [
+            pd.DataFrame({"kb": kb, "query_id": query_ids[q], "channel": self.pools[p].channel, "doc_id": name, "distance": dist})
+            for p, (q, dist, name) in self.kept.items()
         ]
-        return pd.DataFrame(rows, columns=["query_id", "channel", "doc_id", "distance"])
+        return pd.concat(parts) if parts else pd.DataFrame(columns=["kb", "query_id", "channel", "doc_id", "distance"])
 
 
 def _matrix(series: pd.Series) -> np.ndarray:
     return np.stack(series.to_numpy()).astype("float64")
 
 
+def _with_base(df: DataFrame) -> DataFrame:
+    """Rows without a knowledge base belong to one unnamed base."""
+    return df if "kb" in df.columns else df.withColumn("kb", F.lit(""))
+
+
 def vector_pools(
     queries: DataFrame,
     docs: DataFrame,
     pools: Sequence[Pool],
     metric: str = "l2sq",
     max_query_rows: int = MAX_QUERY_ROWS,
-    doc_block_rows: int = DOC_BLOCK_ROWS,
+    doc_block_floats: int = DOC_BLOCK_FLOATS,
 ) -> DataFrame:
-    """Nearest documents of every query for several pools in one pass over the documents.
+    """Nearest documents of every query in its own knowledge base, for several pools in one pass.
 
-    `queries`: query_id, embedding. `docs`: doc_id, type, embedding. Ties go by doc_id.
-    Result: query_id, channel, doc_id, distance, seq (1 = nearest).
+    `queries`: kb, query_id, embedding. `docs`: kb, doc_id, type, embedding (kb may be missing
+    in both: one base). Ties go by doc_id. Result: kb, query_id, channel, doc_id, distance,
+    seq (1 = nearest). What a task gives back is bounded by its queries and pools.
     """
     pools = list(pools)
-    q = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
-    d = docs.select("doc_id", "type", "embedding").filter(F.col("embedding").isNotNull())
+    q = _with_base(queries).select("kb", "query_id", "embedding").filter(F.col("embedding").isNotNull())
+    d = _with_base(docs).select("kb", "doc_id", "type", "embedding").filter(F.col("embedding").isNotNull())
     q_type, d_type = q.schema["query_id"].dataType.simpleString(), d.schema["doc_id"].dataType.simpleString()
-    schema = f"query_id {q_type}, channel string, doc_id {d_type}, distance double"
+    schema = f"kb string, query_id {q_type}, channel string, doc_id {d_type}, distance double"
 
     head = q.limit(1).toPandas()
     if len(head) == 0:
         return q.sparkSession.createDataFrame([], schema + ", seq int")
-    cap = max(1, min(max_query_rows, MAX_QUERY_FLOATS // max(1, len(head["embedding"].iloc[0]))))
+    width = max(1, len(head["embedding"].iloc[0]))
+    kept = sum(min(p.k, 1000) for p in pools)
+    cap = max(1, min(max_query_rows, MAX_QUERY_FLOATS // width, MAX_RESULT_ROWS // kept))
     block = q.limit(cap + 1).toPandas()
     if len(block) <= cap:
         shared = q.sparkSession.sparkContext.broadcast(
-            (block["query_id"].to_numpy(), _matrix(block["embedding"]))
+            {kb: (part["query_id"].to_numpy(), _matrix(part["embedding"])) for kb, part in block.groupby("kb")}
         )
 
         def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            query_ids, matrix = shared.value
-            best = _Best(matrix, pools, metric)
+            best = {kb: _Best(matrix, pools, metric) for kb, (_, matrix) in shared.value.items()}
             for b in batches:
-                if len(b):
-                    best.add(b["doc_id"].to_numpy(), b["type"].to_numpy(), _matrix(b["embedding"]))
-            yield best.frame(query_ids)
+                for kb, part in b.groupby("kb"):
+                    if kb in best:
+                        best[kb].add(part["doc_id"].to_numpy(), part["type"].to_numpy(), _matrix(part["embedding"]))
+            for kb, found in best.items():
+                yield found.frame(kb, shared.value[kb][0])
 
         found = d.mapInPandas(local, schema)
     else:
-        found = _by_blocks(q, d, pools, metric, schema, cap, doc_block_rows)
-    w = Window.partitionBy("query_id", "channel").orderBy("distance", "doc_id")
+        found = _by_blocks(q, d, pools, metric, schema, cap, max(1, doc_block_floats // width))
+    w = Window.partitionBy("kb", "query_id", "channel").orderBy("distance", "doc_id")
     size = F.create_map(*[F.lit(x) for p in pools for x in (p.channel, p.k)])
     most = max(p.k for p in pools)
     return (
@@ -142,31 +158,38 @@ def vector_pools(
 def _by_blocks(
     q: DataFrame, d: DataFrame, pools: list[Pool], metric: str, schema: str, cap: int, doc_block_rows: int
 ) -> DataFrame:
-    """More queries than a task may hold: bounded query blocks meet bounded document blocks."""
-    n_q = math.ceil(q.count() / max(1, cap // 2)) or 1
-    n_d = math.ceil(d.count() / doc_block_rows) or 1
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = q.withColumn("__q", part("query_id", n_q)).withColumn("__d", numbers(n_d))
-    right = d.withColumn("__d", part("doc_id", n_d)).withColumn("__q", numbers(n_q))
+    """More queries than a task may hold: within each base, bounded query blocks meet bounded document blocks."""
+    n = lambda rows: F.ceil(F.count(F.lit(1)) / max(1, rows)).cast("int")
+    n_q, n_d = q.groupBy("kb").agg(n(cap // 2).alias("n_q")), d.groupBy("kb").agg(n(doc_block_rows).alias("n_d"))
+    blocks = cut(n_q.join(n_d, "kb"))  # one row per base
+    numbers = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    part = lambda c, k: F.pmod(F.xxhash64(c), F.col(k)).cast("int")
+    left = q.join(blocks, "kb").withColumn("__q", part("query_id", "n_q")).withColumn("__d", numbers("n_d"))
+    right = d.join(blocks, "kb").withColumn("__d", part("doc_id", "n_d")).withColumn("__q", numbers("n_q"))
 
     def meet(qs: pd.DataFrame, ds: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(ds):
-            return pd.DataFrame(columns=["query_id", "channel", "doc_id", "distance"])
+            return pd.DataFrame(columns=["kb", "query_id", "channel", "doc_id", "distance"])
         best = _Best(_matrix(qs["embedding"]), pools, metric)
         best.add(ds["doc_id"].to_numpy(), ds["type"].to_numpy(), _matrix(ds["embedding"]))
-        return best.frame(qs["query_id"].to_numpy())
+        return best.frame(qs["kb"].iloc[0], qs["query_id"].to_numpy())
 
-    return left.groupBy("__q", "__d").cogroup(right.groupBy("__q", "__d")).applyInPandas(meet, schema)
+    keys = ["kb", "__q", "__d"]
+    return (
+        left.select(*keys, "query_id", "embedding").groupBy(*keys)
+        .cogroup(right.select(*keys, "doc_id", "type", "embedding").groupBy(*keys)).applyInPandas(meet, schema)
+    )
 
 
 def vector_topk(queries: DataFrame, docs: DataFrame, k: int, metric: str = "l2sq", **limits: int) -> DataFrame:
-    """The k nearest documents of every query."""
-    return vector_pools(queries, docs, [Pool("all", k)], metric, **limits).drop("channel")
+    """The k nearest documents of every query in its base."""
+    found = vector_pools(queries, docs, [Pool("all", k)], metric, **limits).drop("channel")
+    return found if "kb" in queries.columns else found.drop("kb")
 
 
 def vector_topk_by_type(
     queries: DataFrame, docs: DataFrame, type_: str, k: int, metric: str = "l2sq", **limits: int
 ) -> DataFrame:
     """The k nearest documents of one type; the type filter reaches the stored data first."""
-    return vector_pools(queries, docs.filter(F.col("type") == type_), [Pool(type_, k)], metric, **limits).drop("channel")
+    found = vector_pools(queries, docs.filter(F.col("type") == type_), [Pool(type_, k)], metric, **limits).drop("channel")
+    return found if "kb" in queries.columns else found.drop("kb")

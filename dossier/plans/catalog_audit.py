@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from dossier.config import AuditConfig, RetrievalConfig
-from dossier.functions.lineage import cut
+from dossier.functions.lineage import checkpoint_folder, cut
 from dossier.operators import audit as au
 from dossier.operators import retrieval as rt
 from dossier.plans import inputs
 from dossier.plans.retrieve import attach_evidence, retrieve
+from dossier.sources.kb import export_audit as write_audit
 
-# A shorter cut than the default, so that the given texts are long enough to be cut.
+# Requests carry the whole context. `audit_requests_cut` checks the cut that a model with a short context needs.
 SHORT = AuditConfig(context_char_cap=3000)
 PROMPT = "check the rules"
 
 
 def _items(spark, sf):
-    return inputs.passages(spark, sf).select("query_id", "text")
+    return inputs.passages(spark, sf).select("kb", "query_id", "text")
 
 
 def _matches(spark, sf):
@@ -25,12 +28,16 @@ def _matches(spark, sf):
     return attach_evidence(ranked, inputs.kb(spark, sf))
 
 
-def _requests(spark, sf):
-    return au.audit_requests(_items(spark, sf), rt.format_context(_matches(spark, sf)), SHORT)
+def _requests(spark, sf, cfg=AuditConfig()):
+    return au.audit_requests(_items(spark, sf), rt.format_context(_matches(spark, sf)), cfg)
 
 
 def audit_requests(spark, sf):
-    return _requests(spark, sf).select("query_id", "was_cut", "request")
+    return _requests(spark, sf).select("kb", "query_id", "was_cut", "request")
+
+
+def audit_requests_cut(spark, sf):
+    return _requests(spark, sf, SHORT).select("kb", "query_id", "was_cut", "request")
 
 
 def request_stats(spark, sf):
@@ -66,19 +73,33 @@ def reuse_verdicts(spark, sf):
         F.when(n == 0, "COMPLIANT").when(n == 1, "NON_COMPLIANT").otherwise("NOT_EVALUATED").alias("verdict"),
         F.lit("stored").alias("reasoning"),
     ).distinct()
-    return au.reuse_verdicts(requests, keyed, prompt).select("model", "query_id", "cache_key", "verdict", "cached")
+    return au.reuse_verdicts(requests, keyed, prompt).select("model", "kb", "query_id", "cache_key", "verdict", "cached")
 
 
-def audit_results(spark, sf):
+def _results(spark, sf):
     n = F.length("text")
     items = _items(spark, sf)
-    matches = cut(_matches(spark, sf)).join(items.filter(~F.contains("text", F.lit("\n"))).select("query_id"), "query_id", "left_semi")
+    matches = cut(_matches(spark, sf)).join(items.filter(~F.contains("text", F.lit("\n"))).select("kb", "query_id"), ["kb", "query_id"], "left_semi")
     replied = items.filter(F.substring("text", 1, 1) < "N").select(
-        "query_id", F.when(n % 2 == 0, "COMPLIANT").otherwise("NON_COMPLIANT").alias("verdict"), F.lit("because").alias("reasoning")
+        "kb", "query_id", F.when(n % 2 == 0, "COMPLIANT").otherwise("NON_COMPLIANT").alias("verdict"), F.lit("because").alias("reasoning")
     )
-    results = au.audit_results(items, matches, rt.format_context(matches), replied)
+    return au.audit_results(items, matches, rt.format_context(matches), replied)
+
+
+def _listed(results):
     shown = F.transform("sources", lambda s: F.concat_ws("@", s["name"], s["page_idx"].cast("string")))
-    return results.select("query_id", "verdict", "reasoning", F.array_join(shown, "|").alias("sources"))
+    return results.select("kb", "query_id", "verdict", "reasoning", F.array_join(shown, "|").alias("sources"))
+
+
+def audit_results(spark, sf):
+    return _listed(_results(spark, sf))
+
+
+def export_audit(spark, sf):
+    """Results written as JSON lines and read back."""
+    results, path = _results(spark, sf), f"{checkpoint_folder(spark).rstrip('/')}/audit-{uuid.uuid4().hex}"
+    write_audit(results, path)
+    return _listed(spark.read.schema(results.schema).json(path))
 
 
 def audit_summary(spark, sf):
@@ -94,6 +115,6 @@ def call_rate_breaches(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (audit_requests, request_stats, parse_responses, verdict_counts, reuse_verdicts, audit_results,
+    for f in (audit_requests, audit_requests_cut, request_stats, parse_responses, verdict_counts, reuse_verdicts, audit_results, export_audit,
               audit_summary, call_rate_breaches)
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from dossier.config import RetrievalConfig, TextConfig
 from dossier.functions.lineage import checkpoint_folder, cut
+from dossier.functions.scan import Running, running_values
 from dossier.functions.text import code_tokens, word_tokens
 from dossier.operators import index as ix
 from dossier.operators import retrieval as rt
@@ -15,6 +16,7 @@ from dossier.operators import tables as tb
 from dossier.operators import text as tx
 from dossier.operators import vectors as vx
 from dossier.plans import inputs
+from dossier.plans.build import build_kb, encode_queries
 from dossier.plans.retrieve import attach_evidence, candidates, channel_pools, retrieve
 from dossier.sources import kb as kb_store
 from dossier.streaming.audit_stream import stream_kb_refresh as refresh
@@ -39,6 +41,34 @@ def kb_documents(spark, sf):
     )
 
 
+def _encode(df, text):
+    """A deterministic stand-in for both encoder families."""
+    return df.withColumn("embedding", inputs.text_vector(F.concat("route", F.col(text))))
+
+
+def _built(spark, sf):
+    """Bases built from blocks, with windows and questions of every chunk."""
+    blocks = inputs.blocks(spark, sf)
+    chunks = tx.section_chunks(blocks)
+    asked = chunks.select(F.col("standard_id").alias("kb"), "chunk_id", F.replace("content", F.lit(". "), F.lit("? \n- ")).alias("raw"))
+    return cut(build_kb(blocks, _encode, asked, TextConfig(window_max_chars=400, questions_per_chunk=2)))
+
+
+def build_knowledge_bases(spark, sf):
+    """Every standard as a base: tables, windows and questions with their encoder."""
+    return _built(spark, sf).select("kb", "doc_id", "type", "chunk_id", "table_name", "synth", "route", "document", F.element_at("embedding", 1).alias("first_number"))
+
+
+def retrieve_built(spark, sf):
+    """All passages, each asked of two of the built bases."""
+    docs = _built(spark, sf)
+    bases = F.explode(F.array(*[F.concat(F.lit("src"), ((F.col("item_id") + i) % 20).cast("string")) for i in (0, 7)]))
+    asked = inputs.table(spark, sf, "benchmark").select(bases.alias("kb"), F.col("item_id").alias("query_id"), "text")
+    queries = encode_queries(asked, docs, _encode)
+    index = ix.lexical_index(docs)
+    return retrieve(queries, docs, inputs.nearness_scorer, CFG, index).select("kb", "query_id", "doc_id", "type", "key", "final_rank")
+
+
 def kb_catalog(spark, sf):
     return kb_store.kb_catalog(inputs.kb(spark, sf))
 
@@ -78,7 +108,7 @@ def attach_questions(spark, sf):
 
 def lexical_index(spark, sf):
     index = ix.lexical_index(inputs.corpus(spark, sf))
-    return index.postings.join(index.terms, ["kb", "token"]).select("doc_id", "token", "tf", "doc_len", "df", r6("idf"))
+    return index.postings.join(index.terms, ["kb", "token"]).select("kb", "doc_id", "token", "tf", "doc_len", "df", r6("idf"))
 
 
 def embed(spark, sf):
@@ -92,35 +122,34 @@ def embed(spark, sf):
 
     routed = tx.route_language(inputs.corpus(spark, sf), sample_chars=None, text="document")
     vectors = ix.embed(routed, load, "document", "route")
-    return vectors.select("doc_id", "route", F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",").alias("vector"))
+    return vectors.select("kb", "doc_id", "route", F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",").alias("vector"))
 
 
 def tokens(spark, sf):
-    asked = rt.tokens(inputs.passages(spark, sf)).select(
-        "query_id", F.array_join("index_tokens", " ").alias("tokens"), F.size("code_tokens").alias("n_codes")
+    asked = rt.tokens(inputs.table(spark, sf, "benchmark")).select(
+        F.col("item_id").alias("query_id"), F.array_join("index_tokens", " ").alias("tokens"), F.size("code_tokens").alias("n_codes")
     )
-    docs = inputs.corpus(spark, sf).select(
-        (F.col("doc_id") + 1_000_000).alias("query_id"), F.array_join(word_tokens(F.col("document")), " ").alias("tokens"),
-        F.size(code_tokens(F.col("document"))).alias("n_codes"),
+    docs = inputs.table(spark, sf, "documents").select(
+        (-1 - F.col("doc_id")).alias("query_id"), F.array_join(word_tokens(F.col("text")), " ").alias("tokens"),
+        F.size(code_tokens(F.col("text"))).alias("n_codes"),
     )
     return asked.unionByName(docs)
 
 
 def bm25_topk(spark, sf):
     index = ix.lexical_index(inputs.corpus(spark, sf))
-    return rt.bm25_topk(inputs.passages(spark, sf), index, 10).select("query_id", "doc_id", "score", "rank")
+    return rt.bm25_topk(inputs.passages(spark, sf), index, 10).select("kb", "query_id", "doc_id", "score", "rank")
 
 
 def code_overlap(spark, sf):
-    """Codes of each document against all codes of its source."""
-    coded = inputs.table(spark, sf, "documents").select("doc_id", "source", code_tokens(F.col("text")).alias("codes"))
-    per_source = coded.select("source", F.explode("codes").alias("code")).distinct().groupBy("source").agg(
-        F.collect_list("code").alias("wanted")
-    )
-    hit = F.size(F.array_intersect("wanted", "codes")) / F.size("wanted")
-    return coded.join(per_source, "source", "left").select(
-        "doc_id", F.round(F.when(F.size("wanted") > 0, hit).otherwise(0.0), 6).alias("code_score")
-    )
+    """Codes of each document against the codes of the document before it in its source."""
+    coded = inputs.table(spark, sf, "documents").select("doc_id", "source", code_tokens(F.col("text")).alias("doc_codes"))
+    asked = coded.select("source", F.col("doc_id").alias("key"), F.col("doc_codes").alias("wanted"))
+    pairs = running_values(
+        inputs.table(spark, sf, "documents").select("doc_id", "source"), ["source"], "doc_id", [Running("before", "prev", F.col("doc_id"))]
+    ).filter(F.col("before").isNotNull())
+    both = pairs.join(coded, ["source", "doc_id"]).join(asked.withColumnRenamed("key", "before"), ["source", "before"])
+    return rt.with_code_overlap(both.withColumnRenamed("wanted", "query_codes")).select("doc_id", r6("code_score"))
 
 
 def _all_vectors(spark, sf):
@@ -140,9 +169,9 @@ def vector_topk_by_type(spark, sf):
 def candidate_pool(spark, sf):
     docs, asked = inputs.kb(spark, sf), inputs.kb_queries(spark, sf)
     near = vx.vector_pools(asked, docs, channel_pools(CFG))
-    texts = docs.filter("type = 'text_chunk'").select("doc_id")
-    lexical = rt.bm25_topk(asked, ix.lexical_index(docs), CFG.bm25_top_n).join(texts, "doc_id", "left_semi")
-    return rt.candidate_pool(near, lexical, CFG.fetch_k, CFG.text_fetch_k).select("query_id", "channel", "doc_id", r6("distance"), "seq")
+    texts = docs.filter("type = 'text_chunk'").select("kb", "doc_id")
+    lexical = rt.bm25_topk(asked, ix.lexical_index(docs), CFG.bm25_top_n).join(texts, ["kb", "doc_id"], "left_semi")
+    return rt.candidate_pool(near, lexical, CFG.fetch_k, CFG.text_fetch_k).select("kb", "query_id", "channel", "list_no", "doc_id", r6("distance"), "seq")
 
 
 def _candidates(spark, sf):
@@ -150,21 +179,19 @@ def _candidates(spark, sf):
 
 
 def dedupe_candidates(spark, sf):
-    return _candidates(spark, sf).select("query_id", "channel", "doc_id", "key", "seq")
+    return _candidates(spark, sf).select("kb", "query_id", "channel", "doc_id", "key", "list_no", "seq")
 
 
 def _scored(spark, sf):
-    scored = rt.rerank(cut(_candidates(spark, sf)), inputs.nearness_scorer, CFG.top_k)
-    shared = F.size(F.array_intersect("query_codes", "doc_codes")) / F.size("query_codes")
-    return cut(scored.withColumn("code_score", F.when(F.size("query_codes") > 0, shared).otherwise(0.0)))
+    return cut(rt.with_code_overlap(rt.rerank(cut(_candidates(spark, sf)), inputs.nearness_scorer, CFG.top_k)))
 
 
 def rerank(spark, sf):
-    return _scored(spark, sf).select("query_id", "channel", "key", "doc_id", r6("rerank_score"))
+    return _scored(spark, sf).select("kb", "query_id", "channel", "key", "doc_id", r6("rerank_score"))
 
 
 def znorm_by_modality(spark, sf):
-    return rt.znorm_by_modality(_scored(spark, sf)).select("query_id", "channel", "doc_id", r6("norm_score"))
+    return rt.znorm_by_modality(_scored(spark, sf)).select("kb", "query_id", "channel", "doc_id", r6("norm_score"))
 
 
 def _ranked(spark, sf):
@@ -172,7 +199,7 @@ def _ranked(spark, sf):
 
 
 def fuse_code_bonus(spark, sf):
-    return _ranked(spark, sf).select("query_id", "channel", "doc_id", "norm_score", "rank")
+    return _ranked(spark, sf).select("kb", "query_id", "channel", "doc_id", "norm_score", "rank")
 
 
 def _floored(ranked):
@@ -180,26 +207,26 @@ def _floored(ranked):
 
 
 def table_floor(spark, sf):
-    return _floored(_ranked(spark, sf)).select("query_id", "doc_id", "before_rank", "rank")
+    return _floored(_ranked(spark, sf)).select("kb", "query_id", "doc_id", "before_rank", "rank")
 
 
 def split_topk(spark, sf):
     ranked = _ranked(spark, sf)
     return rt.split_topk(_floored(ranked).drop("before_rank"), ranked.filter("channel = 'wide'"), CFG.top_k).select(
-        "query_id", "channel", "doc_id", "type", "final_rank"
+        "kb", "query_id", "channel", "doc_id", "type", "final_rank"
     )
 
 
 def mixed_slot_fill(spark, sf):
     ranked = _ranked(spark, sf)
     return rt.mixed_slot_fill(_floored(ranked).drop("before_rank"), ranked.filter("channel = 'wide'"), CFG.top_k).select(
-        "query_id", "channel", "doc_id", "final_rank"
+        "kb", "query_id", "channel", "doc_id", "final_rank"
     )
 
 
 def distance_fallback(spark, sf):
     return rt.distance_fallback(_candidates(spark, sf).filter("channel = 'narrow'"), CFG.top_k).select(
-        "query_id", "doc_id", r6("distance"), "final_rank"
+        "kb", "query_id", "doc_id", r6("distance"), "final_rank"
     )
 
 
@@ -212,12 +239,12 @@ def format_context(spark, sf):
 
 
 def retrieve_all(spark, sf):
-    return _retrieved(spark, sf).select("query_id", "doc_id", "type", "key", "norm_score", "final_rank")
+    return _retrieved(spark, sf).select("kb", "query_id", "doc_id", "type", "key", "norm_score", "final_rank")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (kb_documents, kb_catalog, stored_kb, stream_kb_refresh, attach_questions, lexical_index, embed, tokens, bm25_topk, code_overlap, vector_topk,
+    for f in (kb_documents, build_knowledge_bases, retrieve_built, kb_catalog, stored_kb, stream_kb_refresh, attach_questions, lexical_index, embed, tokens, bm25_topk, code_overlap, vector_topk,
               vector_topk_by_type, candidate_pool, dedupe_candidates, rerank, znorm_by_modality, fuse_code_bonus,
               table_floor, split_topk, mixed_slot_fill, distance_fallback, format_context)
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -70,7 +70,7 @@ def stream_calls(spark, sf):
 
     Every micro-batch adds a small file of changed counters; the last state of each is read.
     """
-    root = tempfile.mkdtemp(prefix="stream-", dir=None if "://" in (f := checkpoint_folder(spark)) else f)
+    root = f"{checkpoint_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     events = spark.read.parquet(f"{sf}/events.parquet")
     source = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     calls = source.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("provider"))

@@ -2,16 +2,37 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from dossier.functions.lineage import checkpoint_folder
 from dossier.operators import text as tx
 from dossier.plans import inputs
+from dossier.sources.blocks import BLOCK
+from dossier.sources.blocks import read_blocks as shard_files
 
 
 def _path(df):
     return df.withColumn("section_path", F.array_join("section_path", " > "))
 
 
+def read_blocks(spark, sf):
+    """Blocks written as shard files of 20 pages, one folder per standard, and read back in order."""
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    names = [f.name for f in BLOCK.fields]
+    shards = (
+        inputs.blocks(spark, sf).withColumn("shard", F.expr("page_idx div 20"))
+        .groupBy("standard_id", "shard")
+        .agg(F.sort_array(F.collect_list(F.struct("block_idx", F.struct(*names).alias("b")))).alias("rows"))
+    )
+    values = shards.select("standard_id", "shard", F.to_json(F.transform("rows", lambda r: r["b"])).alias("value"))
+    ordered = values.repartition("standard_id").sortWithinPartitions("standard_id", "shard").drop("shard")
+    ordered.write.option("maxRecordsPerFile", 1).partitionBy("standard_id").text(folder)
+    read = shard_files(spark, folder, "*.txt").withColumn("standard_id", F.substring_index("standard_id", "=", -1))
+    return read.select("standard_id", "block_idx", "page_idx", "type", "text", "text_level", "table_body")
+
+
 def block_text(spark, sf):
     return tx.block_text(inputs.blocks(spark, sf)).select("standard_id", "block_idx", "type", "content")
 
@@ -63,6 +84,6 @@ def numbered_items(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (block_text, repeated_lines, strip_repeated_lines, repeated_blocks, section_paths, section_chunks,
+    for f in (read_blocks, block_text, repeated_lines, strip_repeated_lines, repeated_blocks, section_paths, section_chunks,
               pack_windows, route_language, route_counts, numbered_items)
 }

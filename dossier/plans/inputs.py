@@ -154,37 +154,67 @@ def table_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- retrieval -------------------------------------------------------------------------
 
 
-def _main(id_: str) -> Column:
-    """One knowledge base; a value of the row, so that plans look as they do with many bases."""
-    return F.when(F.col(id_).isNotNull(), "main").otherwise("none")
+N_BASES = 3  # numbers repeat in every base: (base, number) is the key, a number alone is not
+
+
+def base_of(id_: str) -> Column:
+    return F.concat(F.lit("kb"), (F.col(id_) % N_BASES).cast("string"))
+
+
+def number_in_base(id_: str) -> Column:
+    return F.expr(f"{id_} div {N_BASES}")
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(_main("doc_id").alias("kb"), "doc_id", F.col("text").alias("document"))
+    """All documents, dealt to the bases."""
+    return table(spark, sf_dir, "documents").select(
+        base_of("doc_id").alias("kb"), number_in_base("doc_id").alias("doc_id"), F.col("text").alias("document"), "source"
+    )
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(_main("item_id").alias("kb"), F.col("item_id").alias("query_id"), "text")
+    """All passages, asked of every base."""
+    bases = F.explode(F.array(*[F.lit(f"kb{b}") for b in range(N_BASES)])).alias("kb")
+    return table(spark, sf_dir, "benchmark").select(bases, F.col("item_id").alias("query_id"), "text")
 
 
 def vector_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stored vectors; the label decides the type."""
     return table(spark, sf_dir, "embeddings").select(
-        F.concat(F.lit("k"), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("doc_id"),
+        _doc_id(F.col("vec_id")).alias("doc_id"),
         F.when(F.col("label") % 3 == 0, "table").otherwise("text_chunk").alias("type"),
         "embedding", "label", "vec_id",
     )
 
 
+def _doc_id(number: Column) -> Column:
+    return F.concat(F.lit("k"), F.lpad(number.cast("string"), 9, "0"))
+
+
+def text_vector(text: Column) -> Column:
+    """A deterministic stand-in encoder: 64 numbers from the digits of two hashes of the text."""
+    digits = F.concat(F.md5(text.cast("binary")), F.md5(F.concat(F.lit("x"), text).cast("binary")))
+    places = F.sequence(F.lit(1), F.lit(64))
+    return F.transform(
+        places, lambda i: ((F.instr(F.lit("0123456789abcdef"), F.substr(digits, i, F.lit(1))) - 8.5) / 40.0).cast("float")
+    )
+
+
 def kb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors with the text of the document of the same number."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text", "source", "n_chars")
+    """All documents as bases, with the stored vector of the same number, else one from the text."""
+    stored = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("__n"), "embedding", "label")
+    docs = table(spark, sf_dir, "documents")
+    both = docs.join(stored, docs["doc_id"] == stored["__n"], "left").withColumn("number", number_in_base("doc_id"))
+    kind = F.when(F.coalesce(F.col("label").cast("long"), F.col("number")) % 3 == 0, "table").otherwise("text_chunk")
+    both = both.withColumn("type", kind)
     is_table = F.col("type") == "table"
     text = F.col("text")
-    return vector_docs(spark, sf_dir).join(docs, "vec_id").select(
-        _main("doc_id").alias("kb"), "doc_id", "type", "embedding", "label",
-        F.when(is_table, F.concat(F.lit("Table "), (F.col("n_chars") % 150).cast("string"))).otherwise("").alias("table_name"),
-        F.when(is_table, F.concat(F.lit("Table "), (F.col("n_chars") % 150).cast("string"))).otherwise("").alias("display_name"),
+    name = F.concat(F.lit("Table "), (F.col("n_chars") % 150).cast("string"))
+    return both.select(
+        base_of("doc_id").alias("kb"), _doc_id(F.col("number")).alias("doc_id"), "type",
+        F.coalesce("embedding", text_vector(text)).alias("embedding"),
+        F.when(is_table, name).otherwise("").alias("table_name"),
+        F.when(is_table, name).otherwise("").alias("display_name"),
         F.when(is_table, "").otherwise(
             F.concat(F.lit("chunk_p"), (F.col("n_chars") % 50).cast("string"), F.lit("_idx"), F.col("n_chars").cast("string"))
         ).alias("chunk_id"),
@@ -199,9 +229,10 @@ def kb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kb_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All benchmark passages with the stored vector of the same number."""
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding", "label")
-    return passages(spark, sf_dir).join(vectors, "query_id")
+    """All passages, asked of every base, with the stored vector of the same number, else one from the text."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    asked = passages(spark, sf_dir).join(vectors, "query_id", "left")
+    return asked.withColumn("embedding", F.coalesce("embedding", text_vector(F.col("text"))))
 
 
 def nearness_scorer(pairs: DataFrame) -> DataFrame:
@@ -211,7 +242,7 @@ def nearness_scorer(pairs: DataFrame) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    far = F.max("distance").over(Window.partitionBy("query_id"))
+    far = F.max("distance").over(Window.partitionBy("kb", "query_id"))
     return pairs.withColumn("rerank_score", F.round(F.lit(0.0) - F.coalesce(F.col("distance"), far), 9))
 
 

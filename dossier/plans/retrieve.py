@@ -10,6 +10,7 @@ from dossier.functions.lineage import cut
 from dossier.functions.text import code_tokens
 from dossier.operators.index import LexicalIndex, lexical_index
 from dossier.operators.retrieval import (
+    QUERY,
     Scorer,
     bm25_topk,
     candidate_pool,
@@ -21,14 +22,21 @@ from dossier.operators.retrieval import (
     rerank_text,
     split_topk,
     table_floor,
+    with_code_overlap,
     znorm_by_modality,
 )
-from dossier.operators.vectors import Pool, vector_pools
+from dossier.operators.vectors import ALL, Pool, vector_pools
+
+DOC = ["kb", "doc_id"]
 
 
 def channel_pools(cfg: RetrievalConfig) -> list[Pool]:
-    """The three vector searches of one query, answered by one pass."""
-    pools = [Pool("general", cfg.fetch_k), Pool("table", cfg.table_pool_max, "table")]
+    """The three vector searches of one query, answered by one pass.
+
+    Rules of the published system: the list of texts falls away where it is no longer than the
+    general one, and tables are limited to `table_pool_max` (None: all tables are candidates).
+    """
+    pools = [Pool("general", cfg.fetch_k), Pool("table", cfg.table_pool_max or ALL, "table")]
     if cfg.text_fetch_k > cfg.fetch_k:
         pools.append(Pool("text", cfg.text_fetch_k, "text_chunk"))
     return pools
@@ -40,37 +48,39 @@ def candidates(
     """Narrow and wide candidates with the columns ranking needs; long texts stay behind.
 
     `queries`: kb, query_id, text, embedding. `kb`: kb, doc_id, type, table_name, chunk_id,
-    title, document, serialized, content, embedding; doc_id is unique over all bases given.
+    title, document, serialized, content, embedding. A query is answered from its own base;
+    ids need to be unique inside a base only. Codes are taken from candidates, not from all texts.
     """
     vectors = vector_pools(queries, kb, channel_pools(cfg), metric)
     lexical = None
     if cfg.bm25_enabled:
         index = index or lexical_index(kb)
-        text_ids = kb.filter(F.col("type") == "text_chunk").select("doc_id")
-        lexical = bm25_topk(queries, index, cfg.bm25_top_n).join(text_ids, "doc_id", "left_semi")
+        text_ids = kb.filter(F.col("type") == "text_chunk").select("kb", "doc_id")
+        lexical = bm25_topk(queries, index, cfg.bm25_top_n).join(text_ids, DOC, "left_semi")
     pool = candidate_pool(vectors, lexical, cfg.fetch_k, cfg.text_fetch_k)
     own = F.when(F.length(F.coalesce("serialized", F.lit(""))) > 0, F.col("serialized")).when(
         F.length(F.coalesce("content", F.lit(""))) > 0, F.col("content")
     ).otherwise(F.col("document"))
-    facts = kb.select("doc_id", "type", "table_name", "chunk_id", "title", code_tokens(own).alias("doc_codes"))
-    asked = queries.select("query_id", code_tokens(F.col("text")).alias("query_codes"))
-    return dedupe_candidates(pool.join(facts, "doc_id").join(asked, "query_id"))
+    wanted = pool.select(*DOC).distinct()
+    facts = kb.join(wanted, DOC, "left_semi").select(
+        *DOC, "type", "table_name", "chunk_id", "title", code_tokens(own).alias("doc_codes")
+    )
+    asked = queries.select(*QUERY, code_tokens(F.col("text")).alias("query_codes"))
+    return dedupe_candidates(pool.join(facts, DOC).join(asked, QUERY))
 
 
 def with_pair_texts(pairs: DataFrame, queries: DataFrame, kb: DataFrame) -> DataFrame:
     """Query and document text for a pair scorer, joined only for the pairs to be scored."""
-    texts = kb.select("doc_id", rerank_text().alias("doc_text"))
-    return pairs.join(texts, "doc_id").join(queries.select("query_id", F.col("text").alias("query_text")), "query_id")
+    texts = kb.select(*DOC, rerank_text().alias("doc_text"))
+    return pairs.join(texts, DOC).join(queries.select(*QUERY, F.col("text").alias("query_text")), QUERY)
 
 
 def rank_candidates(cands: DataFrame, scorer: Scorer | None, cfg: RetrievalConfig) -> DataFrame:
     """From candidates to the final ranks of every query."""
-    scored = rerank(cands, scorer, cfg.top_k)
-    shared = F.size(F.array_intersect("query_codes", "doc_codes"))
-    overlap = F.when(F.size("query_codes") > 0, shared / F.size("query_codes")).otherwise(F.lit(0.0))
+    scored = with_code_overlap(rerank(cands, scorer, cfg.top_k))
     # a pair scorer is the dearest step: its scores are written once, then ranked
-    scored = cut(scored.withColumn("code_score", overlap).drop("query_codes", "doc_codes"))
-    columns = ["query_id", "channel", "doc_id", "type", "key", "distance", "rerank_score", "code_score", "norm_score"]
+    scored = cut(scored.drop("query_codes", "doc_codes"))
+    columns = [*QUERY, "channel", "doc_id", "type", "key", "distance", "rerank_score", "code_score", "norm_score"]
     ranked = fuse_code_bonus(znorm_by_modality(scored, cfg.rerank_shortlist), cfg.code_token_bonus).select(*columns, "rank")
     narrow, wide = ranked.filter("channel = 'narrow'"), ranked.filter("channel = 'wide'")
     if cfg.table_floor:
@@ -100,4 +110,4 @@ def attach_evidence(ranked: DataFrame, kb: DataFrame) -> DataFrame:
     """Join the long columns back, for the few ranked rows only."""
     wide = ["display_name", "table_name", "serialized", "html", "notes", "legend", "footnotes",
             "chunk_id", "title", "section_path", "content", "page_idx", "img_path"]
-    return ranked.join(kb.select("doc_id", *[c for c in wide if c in kb.columns]), "doc_id")
+    return ranked.join(kb.select(*DOC, *[c for c in wide if c in kb.columns]), DOC)

@@ -27,16 +27,23 @@ replies as (
   from runs)
 """
 
-_REQUESTS = rf"""
+def _requests(cap: int | None) -> str:
+    """Whole contexts, or cut to `cap` characters."""
+    shown, was_cut = "context", "false"
+    if cap:
+        shown = f"case when length(context) > {cap} then substr(context, 1, {cap}) || {NL} || '…[truncated]' else context end"
+        was_cut = f"coalesce(length(context) > {cap}, false)"
+    return f"""
 requests as (
-  select item_id query_id, b.text, case when length(context) > 3000 then substr(context, 1, 3000) || {NL} || '…[truncated]' else context end context,
-    coalesce(length(context) > 3000, false) was_cut
-  from benchmark b left join evidence e on e.query_id = b.item_id)
+  select kb, query_id, text, {shown} context, {was_cut} was_cut from passages left join evidence e using (kb, query_id))
 """
 
+
+_REQUESTS = _requests(None)
+
 _CACHED = """
 call_keys as (
-  select m.model, r.query_id, sha256(m.model || chr(0) || left(sha256('check the rules'), 12) || chr(0) || r.text || chr(0) || coalesce(context, '')) cache_key,
+  select m.model, r.kb, r.query_id, sha256(m.model || chr(0) || left(sha256('check the rules'), 12) || chr(0) || r.text || chr(0) || coalesce(context, '')) cache_key,
     context, length(r.text) n, substr(r.text, 1, 1) < 'N' early
   from requests r cross join model_list m),
 stored as (
@@ -46,7 +53,9 @@ stored as (
 
 ORACLES = {
     "audit_requests": f"""with {chain()}, {_REQUESTS}
-        select query_id, was_cut, 'ITEM: ' || text || {NL} || {NL} || 'CONTEXT:' || {NL} || context request from requests""",
+        select kb, query_id, was_cut, 'ITEM: ' || text || {NL} || {NL} || 'CONTEXT:' || {NL} || context request from requests""",
+    "audit_requests_cut": f"""with {chain()}, {_requests(3000)}
+        select kb, query_id, was_cut, 'ITEM: ' || text || {NL} || {NL} || 'CONTEXT:' || {NL} || context request from requests""",
     "request_stats": f"""with {chain()}, {_REQUESTS}, texts as (
           select was_cut, 'ITEM: ' || text || {NL} || {NL} || 'CONTEXT:' || {NL} || context request from requests)
         select count(*) n_items, count(request) n_requests, cast(sum(was_cut::int) as bigint) n_cut,
@@ -56,18 +65,18 @@ ORACLES = {
           when verdict = 'NOT_EVALUATED' then 'no idea' else 'source ' || grp || {NL} || ' end' end reasoning from replies""",
     "verdict_counts": f"with {RUNS} select model, verdict, count(*) n from runs group by 1, 2",
     "reuse_verdicts": f"""with {RUNS}, {chain()}, {_REQUESTS}, {_CACHED}
-        select k.model, query_id, k.cache_key, s.verdict, s.verdict is not null cached
+        select k.model, kb, query_id, k.cache_key, s.verdict, s.verdict is not null cached
         from call_keys k left join (select distinct * from stored where verdict <> 'NOT_EVALUATED') s using (cache_key)""",
     "audit_results": f"""with {chain()}, picked as (
           select f.*, case when f.type = 'table' then table_name else title end source, kb.page_idx
-          from final f join kb using (doc_id) join benchmark b on b.item_id = f.query_id where not contains(b.text, chr(10))),
-        listed as (select query_id, string_agg(source || '@' || page_idx, '|' order by final_rank) sources from picked group by 1)
-        select item_id query_id, case when sources is null or substr(text, 1, 1) >= 'N' then 'NOT_EVALUATED'
+          from final f join kb using (kb, doc_id) join passages p using (kb, query_id) where not contains(p.text, chr(10))),
+        listed as (select kb, query_id, string_agg(source || '@' || page_idx, '|' order by final_rank) sources from picked group by 1, 2)
+        select kb, query_id, case when sources is null or substr(text, 1, 1) >= 'N' then 'NOT_EVALUATED'
             when length(text) % 2 = 0 then 'COMPLIANT' else 'NON_COMPLIANT' end verdict,
           case when sources is null then 'No related rule was found in the knowledge base.'
             when substr(text, 1, 1) >= 'N' then 'The model gave an empty reply.' else 'because' end reasoning,
           coalesce(sources, '') sources
-        from benchmark left join listed on query_id = item_id""",
+        from passages left join listed using (kb, query_id)""",
     "audit_summary": f"""with {RUNS}, c as (
           select model, count(*) n_items, count(*) filter (where verdict = 'COMPLIANT') n_compliant,
             count(*) filter (where verdict = 'NON_COMPLIANT') n_violation, count(*) filter (where verdict = 'NOT_EVALUATED') n_not_evaluated
@@ -80,3 +89,5 @@ ORACLES = {
             lag(epoch_us(ts), 5) over (partition by event_type order by ts, event_id) before from events)
         select call_id, provider, round(7200.0 - (us - before) / 1000000.0 + 0.5, 6) wait_s from timed where us - before <= 7200000000""",
 }
+
+ORACLES["export_audit"] = ORACLES["audit_results"]

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from dossier.plans.sql_audit import RUNS
-from dossier.plans.sql_retrieval import KB, VECTOR_DOCS, bm25, chain, nearest
+from dossier.plans.sql_retrieval import CORPUS, VECTOR_DOCS, chain, nearest
 from dossier.plans.sql_text import BLOCKS, BODY, CHUNKS, NL, SECTIONS, strip
 
 _LEXICAL = f"""
-corpus as (select doc_id, text document from documents), {bm25('corpus', '(select item_id query_id, text from benchmark)', 10)},
-gold as (select item_id query_id, doc_id, source grp from benchmark b join documents d on contains(d.text, b.text)),
+{CORPUS},
+gold as (select b.kb, b.query_id, doc_id, source grp from passages b join corpus d on b.kb = d.kb and contains(d.document, b.text)),
 found as (
-  select g.query_id, 'chunk_p0_idx' || g.doc_id as label, g.grp, min(l.rank) rank
-  from gold g left join lexical l on l.query_id = g.query_id and l.doc_id = g.doc_id group by 1, 2, 3)
+  select g.kb, g.query_id, 'chunk_p0_idx' || g.doc_id as label, g.grp, min(l.rank) rank
+  from gold g left join lexical l on l.kb = g.kb and l.query_id = g.query_id and l.doc_id = g.doc_id group by 1, 2, 3, 4)
 """
 
 _METRICS = """round(avg(case when rank <= 1 then 1.0 else 0.0 end), 6) hr1, round(avg(case when rank <= 3 then 1.0 else 0.0 end), 6) hr3,
@@ -21,26 +21,26 @@ _METRICS = """round(avg(case when rank <= 1 then 1.0 else 0.0 end), 6) hr1, roun
 _SCEN = f"""
 {chain(5)},
 scen as (
-  select q.query_id, 'own' grp, case when kb.type = 'table' then
+  select q.kb, q.query_id, 'own' grp, case when kb.type = 'table' then
       case when length(q.text) % 2 = 0 then 'Rule ' || table_name else table_name end else chunk_id end as label
-  from kb_queries q join kb on kb.doc_id = 'k' || lpad(cast(q.query_id as varchar), 9, '0')),
+  from kb_queries q join kb on kb.kb = q.kb and kb.doc_id = 'k' || lpad(cast(q.query_id as varchar), 9, '0')),
 shown as (
-  select f.query_id, f.type, kb.table_name, kb.chunk_id, kb.page_idx, f.final_rank,
-    row_number() over (partition by f.query_id, f.type order by f.final_rank) rank
-  from final f join kb using (doc_id)),
+  select f.kb, f.query_id, f.type, kb.table_name, kb.chunk_id, kb.page_idx, f.final_rank,
+    row_number() over (partition by f.kb, f.query_id, f.type order by f.final_rank) rank
+  from final f join kb using (kb, doc_id)),
 hits as (
-  select s.query_id, s.label, s.grp, m.rank,
+  select s.kb, s.query_id, s.label, s.grp, m.rank,
     case when s.label like 'chunk_%' then m.chunk_id = s.label
       when s.label like 'Rule Table 1%' then (starts_with(m.table_name, 'Table 1') and not contains(m.table_name, '11')) or m.page_idx = 7
       else starts_with(m.table_name, s.label) end hit_chunk,
     case when s.label like 'chunk_%' then m.page_idx = cast(regexp_extract(s.label, '^chunk_p(\\d+)_idx', 1) as integer)
       when s.label like 'Rule Table 1%' then (starts_with(m.table_name, 'Table 1') and not contains(m.table_name, '11')) or m.page_idx = 7
       else starts_with(m.table_name, s.label) end hit_page
-  from scen s left join shown m on m.query_id = s.query_id
+  from scen s left join shown m on m.kb = s.kb and m.query_id = s.query_id
     and m.type = case when s.label like 'chunk_%' then 'text_chunk' else 'table' end),
 gold_ranks as (
-  select query_id, label, grp, min(case when hit_chunk then rank end) rank_chunk, min(case when hit_page then rank end) rank_page
-  from hits group by 1, 2, 3)
+  select kb, query_id, label, grp, min(case when hit_chunk then rank end) rank_chunk, min(case when hit_page then rank end) rank_page
+  from hits group by 1, 2, 3, 4)
 """
 
 _SUITE = f"""
@@ -80,7 +80,12 @@ def _card(policy: str) -> str:
 
 _OLD_CHUNKS = f"""
 {BLOCKS}, {BODY}, {SECTIONS}, {CHUNKS},
-new_chunks as (select standard_id kb, chunk_id, start_idx, content from chunks where not contains(title, ',')),
+hosted_chunks as (
+  select standard_id kb, chunk_id, start_idx, content, contains(title, ',') gone,
+    last_value(case when not contains(title, ',') then chunk_id end ignore nulls) over (partition by standard_id order by start_idx) host from chunks),
+new_chunks as (
+  select kb, host chunk_id, min(start_idx) start_idx, string_agg(content, {NL} order by start_idx) content
+  from hosted_chunks where host is not null and (not gone or length(kb) = 4) group by 1, 2),
 old_chunks as (select standard_id kb, chunk_id, start_idx, content,
     list_filter(list_transform(string_split(content, {NL}), lambda x: {strip('x')}), lambda x: length(x) >= 20) probes from chunks),
 lost as (select kb, chunk_id, start_idx, probes, case when len(probes) > 1 then list_slice(probes, 2, 4) else list_slice(probes, 1, 3) end proof
@@ -108,8 +113,8 @@ method_ranks as (
 ORACLES = {
     "label_scenarios": """select doc_id item_no, case when length(text) % 3 = 0 then 'chunk_p1_idx' || doc_id else 'T' || source end as label,
         case when length(text) % 2 = 0 then 'Section ' || lang else 'T' || source end grp from documents""",
-    "lexical_gold_rank": f"with {_LEXICAL} select query_id, label, grp, rank from found",
-    "gold_rank": f"with {_SCEN} select query_id, label, grp, rank_chunk rank, 'chunk' as mode from gold_ranks union all select query_id, label, grp, rank_page, 'page' from gold_ranks",
+    "lexical_gold_rank": f"with {_LEXICAL} select kb, query_id, label, grp, rank from found",
+    "gold_rank": f"with {_SCEN} select kb, query_id, label, grp, rank_chunk rank, 'chunk' as mode from gold_ranks union all select kb, query_id, label, grp, rank_page, 'page' from gold_ranks",
     "retrieval_metrics": f"""with {_LEXICAL} select 'all' as scope, null grp, {_METRICS} from found
         union all select 'group', grp, {_METRICS} from found group by grp""",
     "eval_suite": f"with {_SCEN}, {_SUITE} select * from suite",
@@ -155,13 +160,13 @@ ORACLES = {
         from old_run o join new_run n using (item_no) where (o.verdict = o.expected) <> (n.verdict = n.expected)""",
     "missing_gold": f"with {_OLD_CHUNKS} select kb, chunk_id from lost",
     "remap_gold": f"with {_OLD_CHUNKS} select kb, chunk_id, host_id, status from remapped",
-    "apply_remap": f"""with {_OLD_CHUNKS}, f as (select count(*) filter (where status <> 'ok') failed from remapped)
+    "apply_remap": f"""with {_OLD_CHUNKS}, f as (select kb, count(*) filter (where status <> 'ok') failed from remapped group by 1)
         select o.kb, o.chunk_id old_id, case when failed = 0 and host_id is not null then host_id else o.chunk_id end chunk_id
-        from old_chunks o left join remapped r using (kb, chunk_id), f""",
+        from old_chunks o left join remapped r using (kb, chunk_id) left join f using (kb)""",
     "failure_attribution": f"""with {chain(5)}, gold_tables as (
-          select q.query_id, 'Table ' || (d.n_chars % 150) gold_table, length(q.text) n from kb_queries q join documents d on d.doc_id = q.query_id),
+          select q.kb, q.query_id, 'Table ' || (d.n_chars % 150) gold_table, length(q.text) n from kb_queries q join documents d on d.doc_id = q.query_id),
         flags as (
-          select query_id, exists (select 1 from final f join kb using (doc_id) where f.query_id = g.query_id and f.type = 'table' and kb.table_name = gold_table) evidence_found,
+          select query_id, exists (select 1 from final f join kb using (kb, doc_id) where f.kb = g.kb and f.query_id = g.query_id and f.type = 'table' and kb.table_name = gold_table) evidence_found,
             n % 3 <> 0 correct from gold_tables g)
         select evidence_found, correct, count(*) n, case when correct then 'correct' when not correct and evidence_found then 'model_wrong'
           when not correct and not evidence_found then 'evidence_missing' else 'all' end cause

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dossier.plans.sql_tables import cells, DOCUMENTS, VALUE_FACTS
-from dossier.plans.sql_text import BLOCKS, BODY, CHUNKS, NL, SECTIONS, strip
+from dossier.plans.sql_text import BLOCKS, BODY, CHUNKS, NL, ROUTED, SECTIONS, strip
 
 # Letters outside ASCII count as word characters for the boundary, but are never capitals or
 # digits of a code; a plain small letter stands in for them.
@@ -27,23 +27,23 @@ def toks(x: str) -> str:
 
 
 def bm25(docs: str, queries: str, n: int) -> str:
-    """CTEs from `docs` (doc_id, document) and `queries` (query_id, text) to `lexical`."""
+    """CTEs from `docs` (kb, doc_id, document) and `queries` (kb, query_id, text) to `lexical`."""
     return f"""
-doc_tokens as (select doc_id, unnest({toks('document')}) token from {docs}),
-postings as (select doc_id, token, count(*) tf from doc_tokens group by 1, 2),
-doc_lens as (select d.doc_id, coalesce(l.n, 0) doc_len from {docs} d
-  left join (select doc_id, count(*) n from doc_tokens group by 1) l using (doc_id)),
-stats as (select count(*) n_docs, avg(doc_len) avg_len from doc_lens),
-dfs as (select token, count(*) df from postings group by 1),
-raws as (select token, df, ln(n_docs - df + 0.5) - ln(df + 0.5) raw from dfs, stats),
-terms as (select token, df, case when raw < 0 then 0.25 * (select avg(raw) from raws) else raw end idf from raws),
-asked as (select query_id, token, count(*) qtf from (select query_id, unnest({toks('text')}) token from {queries}) group by 1, 2),
+doc_tokens as (select kb, doc_id, unnest({toks('document')}) token from {docs}),
+postings as (select kb, doc_id, token, count(*) tf from doc_tokens group by 1, 2, 3),
+doc_lens as (select d.kb, d.doc_id, coalesce(l.n, 0) doc_len from {docs} d
+  left join (select kb, doc_id, count(*) n from doc_tokens group by 1, 2) l using (kb, doc_id)),
+stats as (select kb, count(*) n_docs, avg(doc_len) avg_len from doc_lens group by 1),
+dfs as (select kb, token, count(*) df from postings group by 1, 2),
+raws as (select kb, token, df, ln(n_docs - df + 0.5) - ln(df + 0.5) raw from dfs join stats using (kb)),
+terms as (select kb, token, df, case when raw < 0 then 0.25 * avg(raw) over (partition by kb) else raw end idf from raws),
+asked as (select kb, query_id, token, count(*) qtf from (select kb, query_id, unnest({toks('text')}) token from {queries}) group by 1, 2, 3),
 scores as (
-  select query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * doc_len / avg_len))), 9) score
-  from asked join terms using (token) join postings using (token) join doc_lens using (doc_id), stats group by 1, 2),
+  select kb, query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * doc_len / avg_len))), 9) score
+  from asked join terms using (kb, token) join postings using (kb, token) join doc_lens using (kb, doc_id) join stats using (kb) group by 1, 2, 3),
 lexical as (
-  select query_id, doc_id, score, rank from (
-    select *, row_number() over (partition by query_id order by score desc, doc_id) rank from scores where score > 0)
+  select kb, query_id, doc_id, score, rank from (
+    select *, row_number() over (partition by kb, query_id order by score desc, doc_id) rank from scores where score > 0)
   where rank <= {n})
 """
 
@@ -66,16 +66,34 @@ def nearest(queries: str, docs: str, k: int, where: str = "true") -> str:
         select q.query_id, d.doc_id, {_DISTANCE} distance from {queries} q, {docs} d where {where})) where seq <= {k}"""
 
 
+def nearest_in_base(k: int, where: str = "true") -> str:
+    return f"""select kb, query_id, doc_id, distance, seq from (
+      select *, row_number() over (partition by kb, query_id order by distance, doc_id) seq from (
+        select q.kb, q.query_id, d.doc_id, {_DISTANCE} distance from kb_queries q join kb d on q.kb = d.kb and {where})) where seq <= {k}"""
+
+
+def text_vector(x: str) -> str:
+    digits = f"(md5({x}) || md5('x' || {x}))"
+    return f"list_transform(range(1, 65), lambda i: ((strpos('0123456789abcdef', substr({digits}, i, 1)) - 8.5) / 40.0)::float)"
+
+
+PASSAGES = "passages as (select 'kb' || b kb, item_id query_id, text from benchmark, range(3) r(b))"
+
 KB = f"""
-{VECTOR_DOCS},
+{PASSAGES},
+kb_docs as (
+  select 'kb' || (d.doc_id % 3) kb, 'k' || lpad(cast(d.doc_id // 3 as varchar), 9, '0') doc_id, d.text, d.source, n_chars,
+    case when coalesce(label, d.doc_id // 3) % 3 = 0 then 'table' else 'text_chunk' end as type,
+    coalesce(embedding, {text_vector('d.text')}) embedding
+  from documents d left join embeddings e on d.doc_id = e.vec_id),
 kb as (
-  select v.doc_id, v.type, v.embedding, v.label, d.text document,
-    case when v.type = 'table' then 'Table ' || (n_chars % 150) else '' end table_name,
-    case when v.type = 'table' then '' else 'chunk_p' || (n_chars % 50) || '_idx' || n_chars end chunk_id,
-    case when v.type = 'table' then '' else source end title, cast(n_chars % 50 as integer) page_idx
-  from vector_docs v join documents d on d.doc_id = v.vec_id),
+  select kb, doc_id, type, embedding, text document,
+    case when type = 'table' then 'Table ' || (n_chars % 150) else '' end table_name,
+    case when type = 'table' then '' else 'chunk_p' || (n_chars % 50) || '_idx' || n_chars end chunk_id,
+    case when type = 'table' then '' else source end title, cast(n_chars % 50 as integer) page_idx
+  from kb_docs),
 kb_queries as (
-  select item_id query_id, b.text, e.embedding, e.label from benchmark b join embeddings e on e.vec_id = b.item_id)
+  select kb, query_id, text, coalesce(embedding, {text_vector('text')}) embedding from passages left join embeddings e on e.vec_id = query_id)
 """
 
 
@@ -85,79 +103,79 @@ def chain(k: int = 3) -> str:
 {KB},
 {bm25('kb', 'kb_queries', 10)},
 pool as (
-  select query_id, 'narrow' channel, doc_id, distance, seq from ({nearest('kb_queries', 'kb', 4 * k)})
-  union all select query_id, 'narrow', doc_id, distance, seq + 1000000
-    from ({nearest('kb_queries', 'kb', 50, "d.type = 'table'")})
-  union all select query_id, 'wide', doc_id, distance, seq from ({nearest('kb_queries', 'kb', 160, "d.type = 'text_chunk'")})
-  union all select query_id, 'wide', doc_id, null, rank + 1000000 from lexical join kb using (doc_id) where type = 'text_chunk'),
+  select kb, query_id, 'narrow' channel, doc_id, distance, 0 list_no, seq from ({nearest_in_base(4 * k)})
+  union all select kb, query_id, 'narrow', doc_id, distance, 1, seq from ({nearest_in_base(50, "d.type = 'table'")})
+  union all select kb, query_id, 'wide', doc_id, distance, 0, seq from ({nearest_in_base(160, "d.type = 'text_chunk'")})
+  union all select kb, query_id, 'wide', doc_id, null, 1, rank from lexical join kb using (kb, doc_id) where type = 'text_chunk'),
 keyed as (
   select p.*, type, table_name, chunk_id, title, page_idx,
     case when type = 'table' then table_name when chunk_id <> '' then chunk_id else title end as key
-  from pool p join kb using (doc_id)),
+  from pool p join kb using (kb, doc_id)),
 deduped as (
-  select * from (select *, row_number() over (partition by query_id, channel, key order by seq) rn from keyed) where rn = 1),
+  select * from (select *, row_number() over (partition by kb, query_id, channel, key order by list_no, seq) rn from keyed) where rn = 1),
 sized as (
-  select *, count(*) filter (where channel = 'narrow') over (partition by query_id) n_narrow from deduped),
+  select *, count(*) filter (where channel = 'narrow') over (partition by kb, query_id) n_narrow from deduped),
 pairs as (
-  select * from (select *, row_number() over (partition by query_id, key order by case when channel = 'narrow' then 0 else 1 end, seq) pn
+  select * from (select *, row_number() over (partition by kb, query_id, key order by case when channel = 'narrow' then 0 else 1 end, list_no, seq) pn
     from sized where n_narrow > {k}) where pn = 1),
 pair_scores as (
-  select query_id, key, round(0.0 - coalesce(distance, max(distance) over (partition by query_id)), 9) rerank_score from pairs),
+  select kb, query_id, key, round(0.0 - coalesce(distance, max(distance) over (partition by kb, query_id)), 9) rerank_score from pairs),
 scored as (
   select s.*, p.rerank_score, case when len(qc) > 0 then len(list_intersect(qc, dc)) / len(qc) else 0.0 end code_score
-  from sized s left join pair_scores p using (query_id, key)
-  join (select query_id, {codes('text')} qc from kb_queries) using (query_id)
-  join (select doc_id, {codes('document')} dc from kb) using (doc_id)),
+  from sized s left join pair_scores p using (kb, query_id, key)
+  join (select kb, query_id, {codes('text')} qc from kb_queries) using (kb, query_id)
+  join (select kb, doc_id, {codes('document')} dc from kb) using (kb, doc_id)),
 normed as (
   select *, (rerank_score - avg(rerank_score) over g) / case when stddev_pop(rerank_score) over g = 0 then 1.0
       else stddev_pop(rerank_score) over g end raw_norm,
-    case when channel = 'narrow' then min(seq) over g else 0 end type_first
+    case when channel = 'narrow' then min(list_no * 1000000 + seq) over g else 0 end type_first
   from (select *, case when channel = 'narrow' then type else '*' end grp from scored where rerank_score is not null)
-  window g as (partition by query_id, channel, grp)),
+  window g as (partition by kb, query_id, channel, grp)),
 ranked as (
-  select *, row_number() over (partition by query_id, channel order by norm_score desc, type_first,
-      case when channel = 'narrow' then rerank_score else 0.0 end desc, seq) rank
+  select *, row_number() over (partition by kb, query_id, channel order by norm_score desc, type_first,
+      case when channel = 'narrow' then rerank_score else 0.0 end desc, list_no, seq) rank
   from (select *, round(raw_norm + code_score, 9) norm_score from normed)),
 floor_stats as (
-  select query_id, count(*) n, min(case when type = 'table' then rank end) best from ranked where channel = 'narrow' group by 1),
+  select kb, query_id, count(*) n, min(case when type = 'table' then rank end) best from ranked where channel = 'narrow' group by 1, 2),
 floor_more as (
-  select f.query_id, n, best, max(case when r.rank = best then norm_score end) best_score,
+  select f.kb, f.query_id, n, best, max(case when r.rank = best then norm_score end) best_score,
     list_extract(list_sort(list(norm_score)), cast(floor(n / 2) as integer) + 1) median
-  from floor_stats f join ranked r using (query_id) where channel = 'narrow' group by 1, 2, 3),
+  from floor_stats f join ranked r using (kb, query_id) where channel = 'narrow' group by 1, 2, 3, 4),
 floored as (
   select r.*, case when coalesce(n > {k} and best > {k} and best_score >= median, false) then
       case when rank = best then {k} when rank >= {k} and rank < best then rank + 1 else rank end else rank end floor_rank
-  from ranked r join floor_more using (query_id) where channel = 'narrow'),
+  from ranked r join floor_more using (kb, query_id) where channel = 'narrow'),
 final_tables as (
-  select *, row_number() over (partition by query_id order by floor_rank) slot from floored where type = 'table'),
-has_wide as (select distinct query_id from ranked where channel = 'wide'),
+  select *, row_number() over (partition by kb, query_id order by floor_rank) slot from floored where type = 'table'),
+has_wide as (select distinct kb, query_id from ranked where channel = 'wide'),
 final_texts as (
-  select query_id, channel, doc_id, type, key, norm_score, row_number() over (partition by query_id order by r) slot from (
-    select query_id, channel, doc_id, type, key, norm_score, rank r from ranked where channel = 'wide'
-    union all select query_id, channel, doc_id, type, key, norm_score, floor_rank from floored
-      where type = 'text_chunk' and query_id not in (select query_id from has_wide))),
+  select kb, query_id, channel, doc_id, type, key, norm_score, row_number() over (partition by kb, query_id order by r) slot from (
+    select kb, query_id, channel, doc_id, type, key, norm_score, rank r from ranked where channel = 'wide'
+    union all select kb, query_id, channel, doc_id, type, key, norm_score, floor_rank from floored
+      where type = 'text_chunk' and (kb, query_id) not in (select (kb, query_id) from has_wide))),
 final as (
-  select query_id, channel, doc_id, type, key, norm_score, row_number() over (partition by query_id order by half, slot) final_rank
-  from (select query_id, channel, doc_id, type, key, norm_score, slot, 0 half from final_tables where slot <= {k}
-        union all select query_id, channel, doc_id, type, key, norm_score, slot, 1 from final_texts where slot <= {k})),
+  select kb, query_id, channel, doc_id, type, key, norm_score, row_number() over (partition by kb, query_id order by half, slot) final_rank
+  from (select kb, query_id, channel, doc_id, type, key, norm_score, slot, 0 half from final_tables where slot <= {k}
+        union all select kb, query_id, channel, doc_id, type, key, norm_score, slot, 1 from final_texts where slot <= {k})),
 mixed as (
-  select n.query_id, coalesce(w.doc_id, n.doc_id) doc_id, coalesce(w.channel, n.channel) channel, floor_rank final_rank
+  select n.kb, n.query_id, coalesce(w.doc_id, n.doc_id) doc_id, coalesce(w.channel, n.channel) channel, floor_rank final_rank
   from (select *, case when type = 'text_chunk' then sum(case when type = 'text_chunk' then 1 else 0 end)
-          over (partition by query_id order by floor_rank) end turn from floored where floor_rank <= {k}) n
-  left join (select * from ranked where channel = 'wide') w on w.query_id = n.query_id and w.rank = n.turn),
+          over (partition by kb, query_id order by floor_rank) end turn from floored where floor_rank <= {k}) n
+  left join (select * from ranked where channel = 'wide') w on w.kb = n.kb and w.query_id = n.query_id and w.rank = n.turn),
 fallback as (
-  select query_id, doc_id, distance, final_rank from (
-    select *, row_number() over (partition by query_id order by distance nulls last, seq) final_rank
+  select kb, query_id, doc_id, distance, final_rank from (
+    select *, row_number() over (partition by kb, query_id order by distance nulls last, list_no, seq) final_rank
     from deduped where channel = 'narrow') where final_rank <= {k}),
 evidence as (
-  select query_id, string_agg(case when f.type = 'table' then '[TABLE] ' || table_name || {NL} || {NL} || document
+  select kb, query_id, string_agg(case when f.type = 'table' then '[TABLE] ' || table_name || {NL} || {NL} || document
       else '[TEXT] ' || title || {NL} || {NL} || '[SECTION] Root > ' || title || {NL} || {NL} || '[CONTENT]' || {NL} || document end,
       {NL} || {NL} || repeat('=', 60) || {NL} || {NL} order by final_rank) context, count(*) n_blocks
-  from final f join kb using (doc_id) group by 1)
+  from final f join kb using (kb, doc_id) group by kb, query_id)
 """
 
 
-_CORPUS = f"corpus as (select doc_id, text document from documents), {bm25('corpus', '(select item_id query_id, text from benchmark)', 10)}"
+CORPUS = f"""{PASSAGES}, corpus as (select 'kb' || (doc_id % 3) kb, doc_id // 3 doc_id, text document, source from documents),
+  {bm25('corpus', 'passages', 10)}"""
 _ALL = "vector_queries as (select vec_id query_id, embedding from embeddings)"
 
 _WINDOW_FREE_KB = rf"""
@@ -175,38 +193,46 @@ ORACLES = {
         select standard_id, chunk_id, 'text_chunk', case when array_to_string(section_path, ' > ') <> title
             then array_to_string(section_path, ' > ') || {NL} else '' end || title || {NL} || content,
           '', chunk_id, array_to_string(section_path, ' > ') from chunks""",
-    "kb_catalog": f"""with {KB} select 'main' kb, count(*) filter (where type = 'table') tables,
-        count(distinct case when type = 'text_chunk' then chunk_id end) chunks, count(*) total, 'main' collection from kb""",
-    "stored_kb": f"""with {KB} select 'main' kb, doc_id, type, table_name, document from kb where type = 'text_chunk'
+    "kb_catalog": f"""with {KB} select kb, count(*) filter (where type = 'table') tables,
+        count(distinct case when type = 'text_chunk' then chunk_id end) chunks, count(*) total, kb collection from kb group by 1""",
+    "stored_kb": f"""with {KB} select kb, doc_id, type, table_name, document from kb where type = 'text_chunk'
         union all select 'second', doc_id, type, table_name, document from kb""",
-    "stream_kb_refresh": f"with {KB} select 'main' kb, doc_id, type, table_name, document from kb",
+    "stream_kb_refresh": f"with {KB} select kb, doc_id, type, table_name, document from kb",
     "attach_questions": rf"""with asked as (select doc_id, i, {strip(r"regexp_replace(ln, '^[-*0123456789.) ]+', '')")} q from (
           select doc_id, i, {strip('list_extract(ls, i)')} ln from (
             select doc_id, ls, unnest(range(1, len(ls) + 1)) i
             from (select doc_id, string_split(replace(text, '. ', '? ' || {NL} || '- '), {NL}) ls from documents)))),
         good as (select doc_id, q, row_number() over (partition by doc_id order by i) rn from asked where length(q) >= 15 and q like '%?%')
         select 'main' kb, doc_id chunk_id, rn - 1 question_no, q question from good where rn <= 2""",
-    "lexical_index": f"""with {_CORPUS} select p.doc_id, token, tf, doc_len, df, round(idf, 6) idf
-        from postings p join doc_lens using (doc_id) join terms using (token)""",
+    "lexical_index": f"""with {CORPUS} select kb, doc_id, token, tf, doc_len, df, round(idf, 6) idf
+        from postings p join doc_lens using (kb, doc_id) join terms using (kb, token)""",
     "tokens": f"""select item_id query_id, array_to_string({toks('text')}, ' ') tokens, len({codes('text')}) n_codes from benchmark
-        union all select doc_id + 1000000, array_to_string({words('text')}, ' '), len({codes('text')}) from documents""",
-    "bm25_topk": f"with {_CORPUS} select query_id, doc_id, score, rank from lexical",
-    "code_overlap": f"""with c as (select doc_id, source, {codes('text')} c from documents),
-        best as (select source, list_distinct(flatten(list(c))) q from c group by 1)
-        select doc_id, round(case when len(q) > 0 then len(list_intersect(q, c)) / len(q) else 0.0 end, 6) code_score
-        from c join best using (source)""",
+        union all select -1 - doc_id, array_to_string({words('text')}, ' '), len({codes('text')}) from documents""",
+    "bm25_topk": f"with {CORPUS} select kb, query_id, doc_id, score, rank from lexical",
+    "code_overlap": f"""with c as (select doc_id, {codes('text')} c, source from documents),
+        pairs as (select doc_id, c, lag(c) over w q, row_number() over w rn from c window w as (partition by source order by doc_id))
+        select doc_id, round(case when len(q) > 0 then len(list_intersect(q, c)) / len(q) else 0.0 end, 6) code_score from pairs where rn > 1""",
     "vector_topk": f"with {VECTOR_DOCS}, {_ALL} select query_id, doc_id, round(distance, 6) distance, seq from ({nearest('vector_queries', 'vector_docs', 12)})",
     "vector_topk_by_type": f"""with {VECTOR_DOCS}, {_ALL}
         select query_id, doc_id, round(distance, 6) distance, seq from ({nearest('vector_queries', 'vector_docs', 50, "d.type = 'table'")})""",
-    "candidate_pool": f"with {chain()} select query_id, channel, doc_id, round(distance, 6) distance, seq from pool",
-    "dedupe_candidates": f"with {chain()} select query_id, channel, doc_id, key, seq from deduped",
-    "rerank": f"with {chain()} select query_id, channel, key, doc_id, round(rerank_score, 6) rerank_score from scored",
-    "znorm_by_modality": f"with {chain()} select query_id, channel, doc_id, round(raw_norm, 6) norm_score from normed",
-    "fuse_code_bonus": f"with {chain()} select query_id, channel, doc_id, norm_score, rank from ranked",
-    "table_floor": f"with {chain()} select query_id, doc_id, rank before_rank, floor_rank rank from floored",
-    "split_topk": f"with {chain()} select query_id, channel, doc_id, type, final_rank from final",
-    "mixed_slot_fill": f"with {chain()} select query_id, channel, doc_id, final_rank from mixed",
-    "distance_fallback": f"with {chain()} select query_id, doc_id, round(distance, 6) distance, final_rank from fallback",
-    "format_context": f"with {chain()} select query_id, n_blocks, context from evidence",
-    "retrieve": f"with {chain()} select query_id, doc_id, type, key, norm_score, final_rank from final",
+    "candidate_pool": f"with {chain()} select kb, query_id, channel, list_no, doc_id, round(distance, 6) distance, seq from pool",
+    "dedupe_candidates": f"with {chain()} select kb, query_id, channel, doc_id, key, list_no, seq from deduped",
+    "rerank": f"with {chain()} select kb, query_id, channel, key, doc_id, round(rerank_score, 6) rerank_score from scored",
+    "znorm_by_modality": f"with {chain()} select kb, query_id, channel, doc_id, round(raw_norm, 6) norm_score from normed",
+    "fuse_code_bonus": f"with {chain()} select kb, query_id, channel, doc_id, norm_score, rank from ranked",
+    "table_floor": f"with {chain()} select kb, query_id, doc_id, rank before_rank, floor_rank rank from floored",
+    "split_topk": f"with {chain()} select kb, query_id, channel, doc_id, type, final_rank from final",
+    "mixed_slot_fill": f"with {chain()} select kb, query_id, channel, doc_id, final_rank from mixed",
+    "distance_fallback": f"with {chain()} select kb, query_id, doc_id, round(distance, 6) distance, final_rank from fallback",
+    "format_context": f"with {chain()} select kb, query_id, n_blocks, context from evidence",
+    "retrieve": f"with {chain()} select kb, query_id, doc_id, type, key, norm_score, final_rank from final",
 }
+
+
+def _letters(text: str, letters: str) -> str:
+    return "[" + ", ".join(f"length({text}) - length(replace({text}, '{c}', ''))" for c in letters) + "]"
+
+
+ORACLES["embed"] = f"""with {ROUTED} select 'kb' || (doc_id % 3) kb, doc_id // 3 doc_id, route, array_to_string(
+      case when route = 'english' then {_letters('text', 'abcdefgh')} else {_letters('text', 'éçğışöüa')} end, ',') as vector
+    from routed join documents using (doc_id)"""

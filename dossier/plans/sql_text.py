@@ -150,6 +150,7 @@ items as (
 """
 
 ORACLES = {
+    "read_blocks": f"with {BLOCKS} select standard_id, block_idx, page_idx, type, text, text_level, table_body from blocks",
     "block_text": f"with {BLOCKS}, {BODY} select standard_id, block_idx, type, content from body",
     "repeated_lines": f"with {BLOCKS}, {BODY} select standard_id, line, n_pages from repeated",
     "strip_repeated_lines": f"with {BLOCKS}, {BODY} select standard_id, block_idx, kept as content from stripped",
@@ -164,3 +165,20 @@ ORACLES = {
     "route_counts": f"with {ROUTED} select route, lang, count(*) n_docs from routed group by 1, 2",
     "numbered_items": f"with {ITEMS} select report_id, item_line, item_no, text from items where text <> ''",
 }
+
+ORACLES["pack_windows"] = f"""with recursive {BLOCKS}, {BODY}, {SECTIONS}, {CHUNKS},
+    cut_lines as (select standard_id, chunk_id, content, string_split(content, {NL}) ls from chunks),
+    packed as (
+      select standard_id, chunk_id, ls, 1 i, ls[1] cur, 0 w from cut_lines where length(content) > 400
+      union all
+      select standard_id, chunk_id, ls, i + 1,
+        case when length(cur) > 0 and length(cur) + 1 + length(ls[i + 1]) <= 400 then cur || {NL} || ls[i + 1] else ls[i + 1] end,
+        case when length(cur) > 0 and length(cur) + 1 + length(ls[i + 1]) > 400 then w + 1 else w end
+      from packed where i < len(ls)),
+    ended as (
+      select standard_id, chunk_id, w window_no, arg_max(cur, i) as window_text, max(i) = any_value(len(ls)) as is_last from packed group by 1, 2, 3),
+    windows as (
+      select standard_id, chunk_id, window_no, window_text from ended where not (is_last and {strip('window_text')} = '')
+      union all select standard_id, chunk_id, 0, content from cut_lines where length(content) <= 400)
+    select standard_id, chunk_id, case when count(*) over (partition by standard_id, chunk_id) = 1 then chunk_id
+        else chunk_id || '__w' || window_no end doc_id, window_no, window_text as "window" from windows"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from dossier.config import RetrievalConfig
+from dossier.functions.lineage import cut
 from dossier.operators.index import LexicalIndex
 from dossier.operators.retrieval import Scorer
 from dossier.operators.text import numbered_items
@@ -36,19 +37,20 @@ def stream_audit_items(
     """Evidence for the items of reports that arrive as JSON-lines files, one report per file.
 
     Ranking needs whole result lists, so every micro-batch runs the batch chain. Each batch
-    writes its own folder: a repeated batch replaces itself.
+    writes its own folder: a repeated batch replaces itself. Pass a stored `index`: without one
+    every batch indexes the whole base again.
     `encode`: DataFrame (.., text) -> the same with `embedding`.
     """
 
     def audit(batch: DataFrame, batch_id: int) -> None:
         items = numbered_items(batch)
-        queries = encode(items.select(
+        queries = cut(encode(items.select(
             F.lit(kb_name).alias("kb"),
             F.concat_ws("#", "report_id", F.col("item_line").cast("string")).alias("query_id"),
             "report_id", "item_no", "text",
-        ))
+        )))
         ranked = retrieve(queries, kb, scorer, cfg, index)
-        ranked.join(queries.select("query_id", "report_id", "item_no"), "query_id").write.mode("overwrite").parquet(
+        ranked.join(queries.select("kb", "query_id", "report_id", "item_no"), ["kb", "query_id"]).write.mode("overwrite").parquet(
             f"{out_path}/batch_id={batch_id}"
         )
 

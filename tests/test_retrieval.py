@@ -63,7 +63,7 @@ def test_neighbours_are_exact_in_memory_and_in_blocks(spark):
             order = sorted(range(120), key=lambda j: (round(dist[j], 12), j))
             want |= {(i, "all", f"d{j:03d}", k) for k, j in enumerate(order[:7], 1)}
             want |= {(i, "tab", f"d{j:03d}", k) for k, j in enumerate([j for j in order if types[j] == "table"][:4], 1)}
-        for limits in ({}, {"max_query_rows": 4, "doc_block_rows": 25}):
+        for limits in ({}, {"max_query_rows": 4, "doc_block_floats": 150}):
             got = vx.vector_pools(queries, docs, pools, metric, **limits).collect()
             assert {(r.query_id, r.channel, r.doc_id, r.seq) for r in got} == want
     assert vx.vector_topk(queries.filter("false"), docs, 3).count() == 0
@@ -72,8 +72,8 @@ def test_neighbours_are_exact_in_memory_and_in_blocks(spark):
 def test_table_floor_and_slots(spark):
     def ranked(types, scores):
         return spark.createDataFrame(
-            [(1, "narrow", f"n{i}", t, s, i + 1) for i, (t, s) in enumerate(zip(types, scores))],
-            "query_id int, channel string, doc_id string, type string, norm_score double, rank int",
+            [("k", 1, "narrow", f"n{i}", t, s, i + 1) for i, (t, s) in enumerate(zip(types, scores))],
+            "kb string, query_id int, channel string, doc_id string, type string, norm_score double, rank int",
         )
 
     x, t = "text_chunk", "table"
@@ -82,7 +82,7 @@ def test_table_floor_and_slots(spark):
     low = rt.table_floor(ranked([x, x, x, x, t], [6.0, 5.0, 4.0, 3.0, 2.0]), 2).orderBy("rank").collect()
     assert [r.doc_id for r in low] == ["n0", "n1", "n2", "n3", "n4"]
     narrow = ranked([x, t, x], [3.0, 2.0, 1.0])
-    wide = spark.createDataFrame([(1, "wide", "w0", x, 9.0, 1)], narrow.schema)
+    wide = spark.createDataFrame([("k", 1, "wide", "w0", x, 9.0, 1)], narrow.schema)
     mixed = rt.mixed_slot_fill(narrow, wide, 3).orderBy("final_rank").collect()
     assert [r.doc_id for r in mixed] == ["w0", "n1", "n2"]
     split = rt.split_topk(narrow, wide.filter("false"), 1).orderBy("final_rank").collect()
@@ -118,6 +118,36 @@ def test_retrieve_with_and_without_scorer(spark):
     assert retrieve(queries, kb.filter("false"), score).count() == 0
 
 
+def test_evidence_comes_from_the_own_base_only(spark):
+    """Two bases with the same ids: each query is answered as if its base were alone."""
+    one = small_kb(spark)
+    far = F.transform("embedding", lambda x: (x * 3 + 1).cast("float"))
+    two = one.withColumns({"kb": F.lit("other"), "embedding": far, "document": F.concat("document", F.lit(" HD 1.7"))})
+    text = "what about HD 1.7"
+    queries = spark.createDataFrame(
+        [("k", 1, text, [7.2, 0.0]), ("other", 1, text, [7.2, 0.0]), ("k", 2, "rule 3", [2.0, 1.0]), ("none", 1, text, [1.0, 1.0])],
+        "kb string, query_id int, text string, embedding array<float>",
+    )
+    score = lambda p: p.withColumn("rerank_score", -F.coalesce("distance", F.lit(99.0)))
+    cfg = RetrievalConfig(top_k=2)
+    rows = lambda q, kb: sorted((r.kb, r.query_id, r.final_rank, r.doc_id, r.key) for r in retrieve(q, kb, score, cfg).collect())
+    alone = rows(queries.filter("kb = 'k'"), one) + rows(queries.filter("kb = 'other'"), two)
+    both = one.unionByName(two)
+    assert rows(queries, both) == sorted(alone) and {r[0] for r in alone} == {"k", "other"}
+    shown = attach_evidence(retrieve(queries, both, score, cfg), both)
+    assert shown.count() == len(alone)
+    assert {r.kb for r in rt.format_context(shown).collect()} == {"k", "other"}
+
+
+def test_ties_keep_document_order(spark):
+    docs = spark.createDataFrame([("k", f"chunk_p{i}", "same words", i) for i in (2, 10, 1)], "kb string, doc_id string, document string, doc_order int")
+    others = spark.range(9).select(F.lit("k").alias("kb"), F.concat(F.lit("x"), "id").alias("doc_id"), F.lit("none").alias("document"), F.col("id").cast("int").alias("doc_order"))
+    index = ix.lexical_index(docs.unionByName(others))
+    queries = spark.createDataFrame([("k", 1, "same words")], "kb string, query_id int, text string")
+    got = [r.doc_id for r in rt.bm25_topk(queries, index, 5).orderBy("rank").collect()]
+    assert got == ["chunk_p1", "chunk_p2", "chunk_p10"]
+
+
 def test_kb_documents_windows_and_questions(spark):
     chunks = spark.createDataFrame(
         [("k", "chunk_p1_idx5", "B", ["A", "B"], "B\nline one\nline two", 1, 5)],

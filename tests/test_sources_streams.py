@@ -53,10 +53,10 @@ def test_index_is_stored(spark, tmp_path):
 
 
 def test_audit_results_are_exported(spark, tmp_path):
-    items = spark.createDataFrame([(1, "a"), (2, "b")], "query_id int, text string")
+    items = spark.createDataFrame([("k", 1, "a"), ("k", 2, "b")], "kb string, query_id int, text string")
     matches = small_kb(spark).filter("doc_id in ('d00', 'd01')").withColumns({"query_id": F.lit(1), "final_rank": F.when(F.col("type") == "table", 1).otherwise(2)})
-    verdicts = spark.createDataFrame([(1, "COMPLIANT", "ok"), (2, "COMPLIANT", "ok")], "query_id int, verdict string, reasoning string")
-    contexts = spark.createDataFrame([(1, "ctx")], "query_id int, context string")
+    verdicts = spark.createDataFrame([("k", 1, "COMPLIANT", "ok"), ("k", 2, "COMPLIANT", "ok")], "kb string, query_id int, verdict string, reasoning string")
+    contexts = spark.createDataFrame([("k", 1, "ctx")], "kb string, query_id int, context string")
     export_audit(audit_results(items, matches, contexts, verdicts), str(tmp_path / "out"))
     got = {r.query_id: r for r in spark.read.json(str(tmp_path / "out")).collect()}
     assert [s.name for s in got[1].sources] == ["Table 0", "T1"] and got[1].verdict == "COMPLIANT"
