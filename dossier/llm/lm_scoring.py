@@ -50,7 +50,7 @@ def read_ranks(path: str = TOKENIZER) -> dict[bytes, int]:
 
 
 class Subwords(dict):
-    """Cache from a word (UTF-8) to the bytes of its subword ids (uint16); emptied when it holds `most` words."""
+    """From a word (UTF-8) to the bytes of its subword ids (uint16); the first `most` words are remembered."""
 
     def __init__(self, ranks: dict[bytes, int], most: int = 400_000) -> None:
         import tiktoken
@@ -65,9 +65,8 @@ class Subwords(dict):
         else:
             ids = [i for at in range(0, len(piece), _PIECE) for i in self.encode(piece[at : at + _PIECE])]
         out = array("H", ids).tobytes()
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = out
+        if len(self) < self.most:
+            self[word] = out
         return out
 
     def ids(self, texts: list[list[bytes]], end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +76,17 @@ class Subwords(dict):
         return np.frombuffer(b"".join(parts), np.uint16).astype(np.int32), np.array([len(p) // 2 for p in parts], np.int64)
 
 
+_SUBWORDS: dict[tuple, Subwords] = {}
+
+
+def subwords_of(ranks: dict[bytes, int]) -> Subwords:
+    """One cache for all tasks of a worker process."""
+    key = len(ranks), ranks.get(b" the"), ranks.get(b"er")
+    if key not in _SUBWORDS:
+        _SUBWORDS[key] = Subwords(ranks)
+    return _SUBWORDS[key]
+
+
 def cluster_classes(texts: list[np.ndarray], vocabulary: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """class, symbol and column of every id, from the ids of some texts. Columns: frequent ids, then the rest of each class."""
     rng = np.random.default_rng(seed)
@@ -313,7 +323,7 @@ def gather(train: DataFrame, ranks, classes: np.ndarray, symbols: np.ndarray, co
 
         words: Counter[bytes] = Counter()
         ranks, classes, symbols, columns = sent.value
-        subwords = Subwords(ranks)
+        subwords = subwords_of(ranks)
         width = FREQUENT + CLASSES
         ids, pairs, shares = np.zeros(len(classes), np.int64), np.zeros(SYMBOLS * CLASSES, np.int64), np.zeros(CLASSES * width, np.int64)
 
@@ -422,7 +432,7 @@ def score_texts(docs: DataFrame, train: DataFrame, tokenizer: str = TOKENIZER) -
     sent_ranks = context.broadcast(ranks)
 
     def make_ids():
-        subwords = Subwords(sent_ranks.value)
+        subwords = subwords_of(sent_ranks.value)
 
         def step(given):
             yield {"doc_id": given["doc_id"], "ids": [subwords.ids([plain_words(t)], end)[0] for t in given["text"]]}
@@ -458,7 +468,7 @@ def score_texts(docs: DataFrame, train: DataFrame, tokenizer: str = TOKENIZER) -
 
     def make_scores():
         ranks, head, parts = sent.value
-        subwords, scorer = Subwords(ranks), Scorer(*parts)
+        subwords, scorer = subwords_of(ranks), Scorer(*parts)
 
         def step(given):
             out = {n: [] for n in ("n_tokens", "sum", "n_known", "words", "counts")}

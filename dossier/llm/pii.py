@@ -47,9 +47,14 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def iban_valid(text: str) -> bool:
-    s = text.replace(" ", "")
-    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+def iban_end(text: str, start: int, end: int) -> int | None:
+    """Where a valid number of 15 to 34 signs that begins at `start` ends: the longest that ends with a group of signs."""
+    while end > start:
+        s = text[start:end].replace(" ", "")
+        if 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1:
+            return end
+        end = text.rfind(" ", start, end)
+    return None
 
 
 def _automaton():
@@ -125,10 +130,12 @@ class Finder:
                         found.append((start, 5, url_end))
             elif first >= account_end:
                 parser = _SECRET if kind == "secret" else _IBAN if kind == "iban" else _SSN
-                value = parser.match(text, last + 1)
-                if value and (kind != "iban" or iban_valid(value.group(1))):
-                    account_end = value.end(1)
-                    found.append((value.start(1), 4, account_end))
+                if value := parser.match(text, last + 1):
+                    start, end = value.span(1)
+                    end = iban_end(text, start, end) if kind == "iban" else end
+                    if end is not None:
+                        account_end = end
+                        found.append((start, 4, end))
         found.sort()
         return found
 
