@@ -98,7 +98,7 @@ def table_documents(spark, sf):
     return tb.table_documents(notes, facts).select("table_id", "display_name", "serialized")
 
 
-def _variant_tables(spark, sf):
+def variant_tables(spark, sf):
     return inputs.blocks(spark, sf).filter("type = 'table'").select(
         F.concat_ws("#", "standard_id", F.col("block_idx").cast("string")).alias("table_id"),
         F.array_join("table_caption", " ").alias("caption"), "page_idx", F.col("table_body").alias("html"),
@@ -108,11 +108,11 @@ def _variant_tables(spark, sf):
 
 def serialization_variants(spark, sf):
     """The five texts SQL can give; the serializer text (E) is checked by table_documents."""
-    return tb.serialization_variants(_variant_tables(spark, sf)).filter("method <> 'E'")
+    return tb.serialization_variants(variant_tables(spark, sf)).filter("method <> 'E'")
 
 
 def serialization_variants_full(spark, sf):
-    return tb.serialization_variants(_variant_tables(spark, sf)).filter("method = 'E'")
+    return tb.serialization_variants(variant_tables(spark, sf)).filter("method = 'E'")
 
 
 QUERIES = {

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from dossier.plans.sql_audit import RUNS
-from dossier.plans.sql_retrieval import CORPUS, VECTOR_DOCS, chain, nearest
+from dossier.plans.sql_retrieval import CORPUS, chain
+from dossier.plans.sql_tables import RAW_CELLS, VARIANT_ROWS
 from dossier.plans.sql_text import BLOCKS, BODY, CHUNKS, NL, SECTIONS, strip
 
 _LEXICAL = f"""
@@ -99,15 +100,23 @@ remapped as (
   from hosted)
 """
 
+def _letters(text: str) -> str:
+    return "[" + ", ".join(f"length({text}) - length(replace({text}, '{c}', ''))" for c in "abcdefghijklmnopqrstuvwxyz") + "]"
+
+
 _METHODS = f"""
-{VECTOR_DOCS},
-vector_queries as (select vec_id query_id, embedding, label from embeddings),
-methods as (select * from (values ('A', 4), ('B', 7), ('C', 9), ('D', 5), ('E', 1), ('F', 9)) m(method, step)),
+{BLOCKS}, {RAW_CELLS}, {VARIANT_ROWS},
+own_words as (select table_id, {_letters("coalesce(t, '')")} q from variant_base),
+method_docs as (select method, table_id, {_letters('document')} e from variants),
+near as (
+  select method, query_id, table_id, row_number() over (partition by method, query_id order by distance, table_id) rank from (
+    select d.method, w.table_id query_id, d.table_id,
+      list_sum(list_transform(range(1, 27), lambda i: ((q[i] - e[i]) * (q[i] - e[i]))::double)) distance
+    from method_docs d, own_words w)),
 method_ranks as (
-  select method, query_id, min(case when d_label % step = q_label % step then seq end) rank from (
-    select n.query_id, n.seq, q.label q_label, d.label d_label, m.method, m.step
-    from ({nearest('vector_queries', 'vector_docs', 6, 'd.vec_id <> q.query_id')}) n
-    join vector_queries q using (query_id) join vector_docs d using (doc_id) cross join methods m) group by 1, 2)
+  select method, w.table_id query_id, n.rank from (select distinct method from variants) m cross join own_words w
+  left join near n using (method) where n.query_id = w.table_id and n.table_id = w.table_id),
+capped_ranks as (select method, query_id, case when rank <= 10 then rank end rank from method_ranks)
 """
 
 ORACLES = {
@@ -175,6 +184,6 @@ ORACLES = {
           round(median(elapsed_s), 6) median_s from runs group by 1""",
     "stage_latency": """with s as (select unnest(['chunk', 'index', 'total']) stage, unnest([round(n_chars / 700.0, 2), round(n_chars / 300.0, 2), round(n_chars / 150.0, 2)]) x from documents)
         select stage, count(*) n, round(avg(x), 6) avg_s, round(sum(x), 6) total_s, round(median(x), 6) median_s from s group by 1""",
-    "serialization_ablation": f"""with {_METHODS}, scored as (select method, {_METRICS} from method_ranks group by 1)
+    "serialization_ablation": f"""with {_METHODS}, scored as (select method, {_METRICS} from capped_ranks group by 1)
         select *, row_number() over (order by hr3 desc, mrr desc, method) = 1 is_best from scored""",
 }

@@ -184,7 +184,7 @@ serialized as (
   from documents_of)
 """
 
-_VARIANT_ROWS = rf"""
+VARIANT_ROWS = rf"""
 first_rows as (
   select standard_id, block_idx, row_idx, string_agg(text, ' | ' order by col_idx) line
   from block_cells where row_idx < 4 group by 1, 2, 3),
@@ -239,5 +239,5 @@ ORACLES = {
     "binary_matrix_facts": f"with {cells('binary')}, {BINARY_FACTS} select table_id, row_idx, col_idx, fact from binary_facts",
     "key_value_facts": f"with {cells('key_value')}, {KEY_VALUE_FACTS} select table_id, row_idx, col_idx, fact from key_value_facts",
     "table_documents": f"with {cells('value')}, {VALUE_FACTS}, {DOCUMENTS} select table_id, display_name, serialized from serialized",
-    "serialization_variants": f"with {BLOCKS}, {RAW_CELLS}, {_VARIANT_ROWS} select table_id, method, name, document from variants",
+    "serialization_variants": f"with {BLOCKS}, {RAW_CELLS}, {VARIANT_ROWS} select table_id, method, name, document from variants",
 }
