@@ -29,15 +29,16 @@ from pyspark.sql import functions as F
 
 from dossier.llm.common import cut, held_out_row, learning_row, map_rows, plain_words, table
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 WINDOW, STRIDE = 32, 24
 PAD = WINDOW - STRIDE
 SIZE = 16  # of the vectors
 CLASSES, OWN_CLASS, RARE_CLASSES = 64, 24, 4
+GROUP = 8  # classes of a group: a class is predicted as its group, then inside it
 SYMBOLS = 1024  # inputs told apart: frequent ids, and the classes of all others
 FREQUENT = 2048  # ids whose share of their class depends on the class before
 SMOOTHING = 8.0
-HEAD_WORDS = 100_000
+HEAD_WORDS = 200_000
 CLASS_TEXTS = 1_000
 START_WINDOWS = 4_096
 _PIECE = 64  # longest part of a word given to the tokenizer at once, in bytes
@@ -52,7 +53,7 @@ def read_ranks(path: str = TOKENIZER) -> dict[bytes, int]:
 class Subwords(dict):
     """From a word (UTF-8) to the bytes of its subword ids (uint16); the first `most` words are remembered."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 400_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], most: int = 500_000) -> None:
         import tiktoken
 
         self.encode = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
@@ -145,16 +146,19 @@ class Shares:
 
 
 class AttentionModel:
-    """One causal head over symbols, added to the logits of the class behind the last symbol."""
+    """One causal head over symbols, added to the logits of the class behind the last symbol: its group, then inside it."""
 
-    NAMES = ("embed", "wq", "wk", "wv", "near", "out")
+    NAMES = ("embed", "wq", "wk", "wv", "near", "out", "groups")
 
     def __init__(self, follow: np.ndarray, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
         symbols, classes = follow.shape
-        self.follow = follow.astype(np.float32)  # log probability of a class behind a symbol
-        shapes = {"embed": (symbols, SIZE), "wq": (SIZE, SIZE), "wk": (SIZE, SIZE), "wv": (SIZE, SIZE), "near": (WINDOW,), "out": (SIZE, classes)}
-        scale = {"embed": 0.5, "wq": SIZE**-0.5, "wk": SIZE**-0.5, "wv": SIZE**-0.5, "near": 0.0, "out": 0.05}
+        # Log probabilities behind a symbol: of a group, and of a class inside its group (a row for each symbol and group).
+        group = np.log(np.exp(follow).reshape(symbols, -1, GROUP).sum(2))
+        self.group = group.astype(np.float32)
+        self.inside = (follow.reshape(symbols, -1, GROUP) - group[:, :, None]).reshape(-1, GROUP).astype(np.float32)
+        shapes = {"embed": (symbols, SIZE), "wq": (SIZE, SIZE), "wk": (SIZE, SIZE), "wv": (SIZE, SIZE), "near": (WINDOW,), "out": (SIZE, classes), "groups": (SIZE, classes // GROUP)}
+        scale = {"embed": 0.5, "wq": SIZE**-0.5, "wk": SIZE**-0.5, "wv": SIZE**-0.5, "near": 0.0, "out": 0.05, "groups": 0.05}
         self.p = {n: (rng.normal(size=s) * scale[n]).astype(np.float32) for n, s in shapes.items()}
 
     def flat(self) -> np.ndarray:
@@ -184,7 +188,7 @@ class AttentionModel:
     def scoring_tables(self) -> tuple[np.ndarray, ...]:
         """The tables with a column of ones behind the values, and what attention adds to logits, scaled down likewise."""
         q, k, v, mask = self.tables()
-        out = self.p["out"]
+        out = np.concatenate([self.p["out"], self.p["groups"]], 1)
         most = np.linalg.norm(v, axis=1).max() * np.linalg.norm(out, axis=0).max()
         out = out if most <= 40 else out * np.asarray(40 / most, out.dtype)
         return q, k, np.concatenate([v, np.ones((len(v), 1), v.dtype)], 1), mask, out
@@ -198,10 +202,17 @@ class AttentionModel:
         w *= mask
         h = np.matmul(w, tv.take(s, 0)).reshape(-1, SIZE + 1)  # the last column sums the weights
         logits = h[:, :SIZE] / h[:, SIZE:] @ out
-        logits += self.follow.take(asks.ravel(), 0)
-        picked = logits[np.arange(len(logits)), target.ravel()]
-        np.exp(logits, out=logits)
-        return (picked - np.log(logits @ np.ones(logits.shape[1], logits.dtype))).reshape(target.shape)
+        last, aim = asks.ravel(), target.ravel()
+        own, rows = aim // GROUP, np.arange(len(aim))
+        total = np.zeros(len(aim), logits.dtype)
+        n = self.p["out"].shape[1]
+        groups = logits[:, n:] + self.group.take(last, 0)
+        inside = logits[:, :n].reshape(len(aim), -1, GROUP)[rows, own] + self.inside.take(last * (n // GROUP) + own, 0)
+        for part, at in ((groups, own), (inside, aim % GROUP)):
+            total += part[rows, at]
+            np.exp(part, out=part)
+            total -= np.log(part @ np.ones(part.shape[1], part.dtype))
+        return total.reshape(target.shape)
 
     def gradients(self, s: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over windows and its gradients, by hand."""
@@ -212,16 +223,22 @@ class AttentionModel:
         w = np.exp(np.matmul(q, k.transpose(0, 2, 1))) * mask
         w /= w.sum(2, keepdims=True)
         h = np.matmul(w, v)
-        logits = h.reshape(-1, SIZE) @ p["out"] + self.follow[asks.ravel()]
-        logits -= logits.max(1, keepdims=True)
-        probs = np.exp(logits)
-        probs /= probs.sum(1, keepdims=True)
-        rows = np.arange(len(probs))
-        loss = -float(np.log(probs[rows, target.ravel()] + 1e-30).mean())
-        probs[rows, target.ravel()] -= 1
-        probs /= len(probs)
-        g = {"out": h.reshape(-1, SIZE).T @ probs}
-        dh = (probs @ p["out"].T).reshape(h.shape)
+        flat_h, last, aim = h.reshape(-1, SIZE), asks.ravel(), target.ravel()
+        own, rows, n = aim // GROUP, np.arange(len(aim)), p["out"].shape[1]
+        groups = flat_h @ p["groups"] + self.group[last]
+        inside = (flat_h @ p["out"]).reshape(len(aim), -1, GROUP)[rows, own] + self.inside[last * (n // GROUP) + own]
+        loss, slopes = 0.0, []
+        for part, at in ((groups, own), (inside, aim % GROUP)):
+            probs = np.exp(part - part.max(1, keepdims=True))
+            probs /= probs.sum(1, keepdims=True)
+            loss -= float(np.log(probs[rows, at] + 1e-30).mean())
+            probs[rows, at] -= 1
+            slopes.append(probs / np.asarray(len(aim), probs.dtype))
+        wide = np.zeros((len(aim), n // GROUP, GROUP), flat_h.dtype)
+        wide[rows, own] = slopes[1]
+        wide = wide.reshape(len(aim), n)
+        g = {"out": flat_h.T @ wide, "groups": flat_h.T @ slopes[0]}
+        dh = (wide @ p["out"].T + slopes[0] @ p["groups"].T).reshape(h.shape)
         dw = np.matmul(dh, v.transpose(0, 2, 1))
         dv = np.matmul(w.transpose(0, 2, 1), dh)
         ds = w * (dw - (dw * w).sum(2, keepdims=True))
@@ -473,23 +490,18 @@ def score_texts(docs: DataFrame, train: DataFrame, tokenizer: str = TOKENIZER) -
         def step(given):
             out = {n: [] for n in ("n_tokens", "sum", "n_known", "words", "counts")}
             own = [plain_words(t) for t in given["text"]]
-            find = head.get
+            find, last = head.get, head.get(b"")
             for words in own:
-                counted = Counter(words)
-                counted[b""] = 1
-                logs, rest, n_known = [], [], 0
-                for w, n in counted.items():
-                    log = find(w)
-                    if log is None:
-                        rest.append(w)
-                    else:
-                        logs.append(n * log)
-                        n_known += n
+                logs = list(map(find, words))
+                tail = Counter([w for w, log in zip(words, logs) if log is None])
+                ends = [] if last is None else [last]
                 out["n_tokens"].append(len(words) + 1)
-                out["sum"].append(fsum(logs))  # whatever the order
-                out["n_known"].append(n_known)
-                out["words"].append(rest)
-                out["counts"].append([counted[w] for w in rest])
+                out["n_known"].append(len(words) - tail.total() + len(ends))
+                out["sum"].append(fsum([*filter(None, logs), *ends]))  # a known word's log is above 0
+                if last is None:
+                    tail[b""] = 1
+                out["words"].append(list(tail))
+                out["counts"].append(list(tail.values()))
             yield {"doc_id": given["doc_id"], "row": given["row"], "score": scorer.score(*subwords.ids(own, end)), **out}
 
         return step

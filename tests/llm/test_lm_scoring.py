@@ -95,7 +95,7 @@ def small_model(seed=0):
 
 def test_gradients_equal_differences():
     model, rng = small_model()
-    model.follow = model.follow.astype(np.float64)
+    model.group, model.inside = model.group.astype(np.float64), model.inside.astype(np.float64)
     model.p = {n: (x + rng.normal(size=x.shape) * 0.2).astype(np.float64) for n, x in model.p.items()}
     s, c = rng.integers(0, 20, (3, lm.WINDOW)), rng.integers(0, lm.CLASSES, (3, lm.STRIDE))
     _, g = model.gradients(s, c)
