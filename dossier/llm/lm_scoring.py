@@ -53,10 +53,10 @@ def read_ranks(path: str = TOKENIZER) -> dict[bytes, int]:
 class Subwords(dict):
     """From a word (UTF-8) to the bytes of its subword ids (uint16); the first `most` words are remembered."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 500_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], most: int = 800_000) -> None:
         import tiktoken
 
-        self.encode = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        self.encode = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.most = most
 
     def __missing__(self, word: bytes) -> bytes:
@@ -370,7 +370,7 @@ def gather(train: DataFrame, ranks, classes: np.ndarray, symbols: np.ndarray, co
                     chosen.append(np.concatenate([inputs, x[first[i] + at : first[i] + at + STRIDE]]).astype(np.uint16).tobytes())
             none = [None] * len(chosen)
             yield {"word": none, "id": none, "n": none, "window": chosen}
-            if len(words) > 400_000:
+            if len(words) > 600_000:
                 yield flush()
 
         def rest():
