@@ -17,6 +17,7 @@ batch and a window; block work holds two blocks of `BLOCK` vectors; equal vector
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 from dossier.llm.common import components, cut, map_rows, table
 
 COSINE = 0.98
-PASSES = 16
+PASSES = 16  # at least; more vectors of a label need more, see `passes_for`
 HASHES = 12
+MISS = 1e-5  # probability that no pass puts a pair at the limit into one window
 CELL = 1.0  # width of a hash cell; a projection of a unit vector has variance 1
 WINDOW = 12
 BLOCK = 1024
@@ -68,6 +70,18 @@ def clean_vectors(rows: DataFrame) -> DataFrame:
     return map_rows(rows.select("vec_id", F.col("label").cast("long").alias("label"), "embedding"), schema, make)
 
 
+def passes_for(most: int, limit: float = COSINE, window: int = WINDOW) -> tuple[int, int]:
+    """Passes and hashes for labels of up to `most` vectors.
+
+    A pair stands in one window if it agrees in so many hashes that about a window of vectors shares them; a hash tells
+    about four cells apart, and two vectors at the limit agree in it unless their projections fall on both sides of an edge.
+    """
+    depth = max(1.0, math.log2(max(2.0, most / window)) / 2)
+    agree = 1 - math.sqrt(max(1e-9, 2 - 2 * limit)) * math.sqrt(2 / math.pi) / CELL
+    together = max(1e-3, agree) ** depth
+    return max(PASSES, math.ceil(math.log(MISS) / math.log(1 - together))), max(HASHES, math.ceil(depth) + 4)
+
+
 def hashed(nodes: DataFrame, passes: int = PASSES, hashes: int = HASHES, seed: int = 11) -> DataFrame:
     """A row per node and pass: label, dim, pass, key (concatenated hashes, in sorting order), node, unit."""
 
@@ -161,8 +175,8 @@ def link_counts(members: DataFrame, limit: float, block: int = BLOCK) -> DataFra
     return map_rows(tiles, "node binary, n long", make).groupBy("node").agg(F.sum("n").alias("n"))
 
 
-def near_vectors(rows: DataFrame, limit: float = COSINE, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept."""
+def near_vectors(rows: DataFrame, limit: float = COSINE, passes: int | None = None, window: int = WINDOW) -> DataFrame:
+    """One row per vector: vec_id, n_links, component_id, kept. Without `passes` their number follows the largest label."""
     given = cut(clean_vectors(rows))
     # Narrow counts first: of equal vectors one travels.
     nodes = cut(
@@ -170,7 +184,9 @@ def near_vectors(rows: DataFrame, limit: float = COSINE, passes: int = PASSES, w
                                                              F.first("dim").alias("dim"), F.first("unit").alias("unit"))
     )
     order = ["label", "dim", "pass", "key", "node"]
-    ordered = hashed(nodes, passes).repartitionByRange(*order).sortWithinPartitions(*order)
+    most = nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    needed, hashes = passes_for(most, limit, window)
+    ordered = hashed(nodes, passes or needed, hashes).repartitionByRange(*order).sortWithinPartitions(*order)
     comps = cut(components(window_links(ordered, limit, window)))
     members = nodes.join(comps, "node")
     counts = link_counts(members, limit)

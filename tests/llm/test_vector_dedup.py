@@ -67,6 +67,11 @@ def test_dense_group_has_all_links(spark):
     assert rows(v.near_vectors(spark.createDataFrame(given, SCHEMA), window=2), "vec_id", "n_links", "component_id", "kept") == brute(given)
 
 
+def test_passes_follow_the_size():
+    few, many = v.passes_for(1_000), v.passes_for(10**9)
+    assert few == (16, 12) and many[0] > 60 and many[1] > 12
+
+
 def test_empty(spark):
     assert v.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
     nothing = spark.createDataFrame([(None, None, None), (4, None, 1)], SCHEMA)
