@@ -1,17 +1,21 @@
 """Embedding near-duplicates by sorted projection passes.
 
 In each pass vectors are ordered lexicographically by a concatenation of random hashes (cells of random projections),
-so that near vectors tend to stand near each other, and each is compared with its `WINDOW` neighbours. Pairs at or above
-the cosine limit, checked in double precision, are united over all passes into components. Inside a component all pairs
-are then compared in blocks, so that link counts are exact for what the passes connect: a window bounds only the search
-for connections, never the links of a dense group.
+so that near vectors tend to stand near each other. Each is compared with its `WINDOW` neighbours, and all vectors that
+share the first hashes of a pass (a run) are compared with each other in tiles, however many they are. How many hashes
+make a run is chosen for each label by the pairs that measured runs would compare; the number of passes with runs follows
+from that alone, so that a pair at the limit shares no run with probability at most `MISS`, whatever stands around it.
+Labels for which one run of all vectors is cheapest are compared exactly.
+
+Pairs at or above the cosine limit, checked in double precision, are united over all passes into components. Inside a
+component all pairs are then compared in blocks, so that link counts are exact for what the passes connect.
 
 Only vectors of equal label and length are compared. Vectors that are null, empty or zero, hold null or non-finite
 components, or have a null label link with nothing. Equal vectors of a label are one from the start and count as linked.
 Repeated rows are copies of each other. Null ids never name a component that has another id.
 
 Sorting is by ranges of (label, length, pass, hashes), so a hot label is cut where its hashes differ. Comparison holds a
-batch and a window; block work holds two blocks of `BLOCK` vectors; equal vectors never meet.
+batch and a window; tiles hold two blocks of `RUN_BLOCK` or `BLOCK` vectors; equal vectors never meet.
 """
 
 from __future__ import annotations
@@ -33,6 +37,10 @@ MISS = 1e-5  # probability that no pass puts a pair at the limit into one window
 CELL = 1.0  # width of a hash cell; a projection of a unit vector has variance 1
 WINDOW = 12
 BLOCK = 1024
+RUN_BLOCK = 4096
+DEPTH = 16  # most hashes of a run
+MEASURED = 20_000  # vectors of a label whose runs are measured, to choose a depth; they decide cost only
+ROW_COST = 2000.0  # of moving a vector to its tile, in compared pairs
 
 
 def clean_vectors(rows: DataFrame) -> DataFrame:
@@ -82,8 +90,22 @@ def passes_for(most: int, limit: float = COSINE, window: int = WINDOW) -> tuple[
     return max(PASSES, math.ceil(math.log(MISS) / math.log(1 - together))), max(HASHES, math.ceil(depth) + 4)
 
 
+def run_passes(depth: int, limit: float) -> int | None:
+    """Passes after which a pair at the limit has shared a run of `depth` hashes but for MISS; None if out of reach."""
+    agree = 1 - math.sqrt(max(0.0, 2 - 2 * limit)) * math.sqrt(2 / math.pi) / CELL  # at least this, at each hash
+    together = agree**depth if agree > 0 or not depth else 0.0
+    if together >= 1:
+        return 1
+    n = math.log(MISS) / math.log1p(-together) if together > 1e-3 else math.inf
+    return math.ceil(n) if n <= 1000 else None
+
+
 def hashed(nodes: DataFrame, passes: int = PASSES, hashes: int = HASHES, seed: int = 11) -> DataFrame:
-    """A row per node and pass: label, dim, pass, key (concatenated hashes, in sorting order), node, unit."""
+    """A row per node and pass: label, dim, pass, key (concatenated hashes, in sorting order), node, unit.
+
+    Where nodes have a depth and n_passes, their keys have so many hashes and they are in the first n_passes only.
+    """
+    own = [c for c in ("depth", "n_passes") if c in nodes.columns]
 
     def make():
         planes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -97,16 +119,18 @@ def hashed(nodes: DataFrame, passes: int = PASSES, hashes: int = HASHES, seed: i
                 x = np.frombuffer(b"".join(given["unit"][i] for i in at)).reshape(len(at), dim)
                 g, shift = planes[dim]
                 cell = np.clip(np.floor((x @ g + shift) / CELL) + 128, 0, 255).astype(np.uint8).reshape(len(at), passes, hashes)
-                take = lambda name: [given[name][i] for i in at for _ in range(passes)]
+                depth = [given["depth"][i] for i in at] if own else [hashes] * len(at)
+                each = [(k, p) for k, i in enumerate(at) for p in range(given["n_passes"][i] if own else passes)]
+                take = lambda name: [given[name][at[k]] for k, _ in each]
                 yield {
-                    "label": take("label"), "dim": [dim] * (len(at) * passes), "pass": list(range(passes)) * len(at),
-                    "key": [cell[i, p].tobytes() for i in range(len(at)) for p in range(passes)],
+                    "label": take("label"), "dim": [dim] * len(each), "pass": [p for _, p in each],
+                    "key": [cell[k, p, : depth[k]].tobytes() for k, p in each],
                     "node": take("node"), "unit": take("unit"),
                 }
 
         return step
 
-    return map_rows(nodes.select("label", "dim", "node", "unit"), "label long, dim int, pass int, key binary, node binary, unit binary", make)
+    return map_rows(nodes.select("label", "dim", "node", "unit", *own), "label long, dim int, pass int, key binary, node binary, unit binary", make)
 
 
 def window_links(ordered: DataFrame, limit: float, window: int) -> DataFrame:
@@ -135,6 +159,71 @@ def window_links(ordered: DataFrame, limit: float, window: int) -> DataFrame:
     return ordered.mapInArrow(run, "a binary, b binary")
 
 
+def run_depths(nodes: DataFrame, limit: float) -> DataFrame:
+    """label, dim, depth, n_passes: the cheapest runs of each label and length, by the pairs that they would compare."""
+    spark = nodes.sparkSession
+    sizes = cut(nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).withColumn("step", F.ceil(F.col("n") / MEASURED)))
+    some = nodes.join(sizes, ["label", "dim"]).where("pmod(xxhash64(node), step) = 0").drop("n", "step")
+    keys = hashed(some, 2, DEPTH, seed=12).groupBy("label", "dim", "pass", "key").agg(F.count(F.lit(1)).alias("n"))
+    runs = keys.select("label", "dim", "pass", "n", "key", F.explode(F.sequence(F.lit(1), F.lit(DEPTH))).alias("depth"))
+    runs = runs.groupBy("label", "dim", "pass", "depth", F.expr("substring(key, 1, depth)").alias("key")).agg(F.sum("n").alias("n"))
+    pairs = runs.groupBy("label", "dim", "depth").agg((F.sum(F.col("n") * (F.col("n") - 1.0)) / 2).alias("pairs"))
+    pairs = pairs.join(sizes, ["label", "dim"]).withColumn("pairs", F.col("pairs") * F.col("step") * F.col("step")).drop("step")
+    whole = sizes.select("label", "dim", F.lit(0).alias("depth"), (F.col("n") * (F.col("n") - 1.0) / 2).alias("pairs"), "n")
+    passes = [(d, n) for d in range(DEPTH + 1) if (n := run_passes(d, limit))]
+    cost = pairs.unionByName(whole).join(F.broadcast(spark.createDataFrame(passes, "depth int, n_passes int")), "depth")
+    cost = cost.withColumn("cost", F.col("n_passes") * (F.col("pairs") + F.col("n") * ROW_COST))
+    best = cost.groupBy("label", "dim").agg(F.min(F.struct("cost", "depth", "n_passes")).alias("b"))
+    return cut(best.select("label", "dim", "b.depth", "b.n_passes"))
+
+
+def run_links(nodes: DataFrame, depths: DataFrame, limit: float, block: int = RUN_BLOCK) -> DataFrame:
+    """Links (a, b) that connect all that is linked inside runs: every pair of a run is compared, in tiles."""
+    most = depths.agg(F.coalesce(F.max("n_passes"), F.lit(1))).first()[0]
+    runs = hashed(nodes.join(depths, ["label", "dim"]), most, DEPTH, seed=13)
+    run = ["label", "dim", "pass", "key"]
+    sizes = runs.groupBy(*run).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*run, F.ceil(F.col("n") / block).cast("int").alias("k"))
+    placed = runs.join(sizes, run).withColumn("c", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    each = placed.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    tile = [*run, "lo", "hi"]
+    tiles = each.select(*run, F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), "c", "node", "unit")
+    tiles = tiles.repartition(*tile).sortWithinPartitions(*tile)
+
+    def make():
+        held: list[tuple] = []
+
+        def links():
+            """A link for each two parts of a tile that become one."""
+            side, node = np.array([r[6] for r in held]), [r[7] for r in held]
+            x = np.frombuffer(b"".join(r[8] for r in held)).reshape(len(held), held[0][1])
+            i, j = np.flatnonzero(side == held[0][4]), np.flatnonzero(side == held[0][5])
+            part, a, b = np.arange(len(held)), [], []
+            for at in range(0, len(i), 512):
+                near = x[i[at : at + 512]] @ x[j].T >= limit
+                for r in np.flatnonzero(near.any(1)):
+                    one, others = i[at + r], j[near[r]]
+                    own = part[one]
+                    parts, first = np.unique(part[others], return_index=True)
+                    first = first[parts != own]
+                    if len(first):
+                        a += [node[one]] * len(first)
+                        b += [node[k] for k in others[first]]
+                        part[np.isin(part, parts)] = own
+            held.clear()
+            return {"a": a, "b": b}
+
+        def step(given):
+            for row in zip(*(given[n] for n in (*tile, "c", "node", "unit"))):
+                if held and held[0][:6] != row[:6]:
+                    yield links()
+                held.append(row)
+
+        step.rest = lambda: [links()] if held else []
+        return step
+
+    return map_rows(tiles, "a binary, b binary", make)
+
+
 def link_counts(members: DataFrame, limit: float, block: int = BLOCK) -> DataFrame:
     """node, n: copies of other nodes of the component that are linked. `members` has comp, dim, node, unit, copies."""
     sizes = members.groupBy("comp").agg((F.count(F.lit(1)) / block + 1).cast("int").alias("k"))
@@ -183,11 +272,13 @@ def near_vectors(rows: DataFrame, limit: float = COSINE, passes: int | None = No
         given.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"),
                                                              F.first("dim").alias("dim"), F.first("unit").alias("unit"))
     )
+    # Windows find most connections; runs, compared whole, leave none to the density of a label.
     order = ["label", "dim", "pass", "key", "node"]
     most = nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     needed, hashes = passes_for(most, limit, window)
     ordered = hashed(nodes, passes or needed, hashes).repartitionByRange(*order).sortWithinPartitions(*order)
-    comps = cut(components(window_links(ordered, limit, window)))
+    links = window_links(ordered, limit, window).union(run_links(nodes, run_depths(nodes, limit), limit))
+    comps = cut(components(links))
     members = nodes.join(comps, "node")
     counts = link_counts(members, limit)
     info = cut(nodes.select("node", "copies").join(comps, "node", "left").join(counts, "node", "left").select(

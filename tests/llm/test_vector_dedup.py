@@ -1,6 +1,9 @@
 import math
 import random
 
+import numpy as np
+import pytest
+
 from dossier.llm import vector_dedup as v
 from tests.llm.frames import crowded, rows
 
@@ -67,6 +70,36 @@ def test_dense_group_has_all_links(spark):
     assert rows(v.near_vectors(spark.createDataFrame(given, SCHEMA), window=2), "vec_id", "n_links", "component_id", "kept") == brute(given)
 
 
+@pytest.mark.parametrize("depth", [None, 6])
+def test_isolated_links_in_a_hot_group(spark, monkeypatch, depth):
+    """All vectors of a label at cosine 0.94, links only in pairs: in runs of the chosen depth, and of six hashes."""
+    if depth:
+        fixed = spark.createDataFrame([(1, 64, depth, v.run_passes(depth, v.COSINE))], "label long, dim int, depth int, n_passes int")
+        monkeypatch.setattr(v, "run_depths", lambda nodes, limit: fixed)
+        monkeypatch.setattr(v.run_links, "__defaults__", (256,))
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(unit(rng.normal(size=64)) + 0.25 * unit(rng.normal(size=(1500, 64))))
+    x = unit(np.concatenate([x, x + 0.17 * unit(rng.normal(size=x.shape))]))
+    near = x @ x.T >= 0.98
+    np.fill_diagonal(near, False)
+    assert 1300 < near.sum() / 2 < 1700 and 0.93 < np.median(x @ x.T) < 0.95
+    table = spark.createDataFrame([(i, e.tolist(), 1) for i, e in enumerate(x)], SCHEMA)
+    got = rows(v.near_vectors(table), "vec_id", "n_links", "component_id")
+    least = np.arange(len(x))
+    while True:
+        new = np.minimum(least, np.where(near, least, len(x)).min(1))
+        if (new == least).all():
+            break
+        least = new
+    assert got == [(i, int(n), int(c)) for i, (n, c) in enumerate(zip(near.sum(1), least))]
+
+
+def test_run_passes():
+    assert v.run_passes(0, 0.98) == 1 and v.run_passes(6, 0.98) > v.run_passes(3, 0.98) > 1
+    assert v.run_passes(0, -1.0) == 1 and v.run_passes(1, -1.0) is None and v.run_passes(8, 1.0) == 1
+
+
 def test_passes_follow_the_size():
     few, many = v.passes_for(1_000), v.passes_for(10**9)
     assert few == (16, 12) and many[0] > 60 and many[1] > 12
