@@ -7,8 +7,9 @@ places before it (ends stand before a text), in batches of masked attention.
 
 What is learned comes from all learning rows: word counts for the base score, subword counts, counts of classes behind
 a subword, and one window of each text (its place is chosen by a hash). Attention weights start from a bounded sample of
-those windows (`START_WINDOWS`) and are then trained in every task over its windows, and averaged. Classes of subwords
-are clustered from about `CLASS_TEXTS` texts, chosen by hash: they shape the model, probabilities use whole counts.
+those windows (`START_WINDOWS`) and are then trained in every task over its windows, and averaged. Classes, input symbols
+and columns of subwords come from the counts of all learning rows too: of subwords, and of the frequent ones on both
+sides of each (a table of vocabulary times 512). Texts are cut into subwords once for all counts.
 
 The base score needs the count of every word of every text. Words with large counts, at most `HEAD_WORDS`, are looked up
 in each task; all others meet their counts in a join, so that no frequent word gathers anywhere.
@@ -39,7 +40,7 @@ SYMBOLS = 1024  # inputs told apart: frequent ids, and the classes of all others
 FREQUENT = 2048  # ids whose share of their class depends on the class before
 SMOOTHING = 8.0
 HEAD_WORDS = 200_000
-CLASS_TEXTS = 1_000
+SIDES = 255  # frequent ids that describe the ids beside them; all others are one more
 START_WINDOWS = 4_096
 _PIECE = 64  # longest part of a word given to the tokenizer at once, in bytes
 _LOG10 = float(np.log(10))
@@ -88,27 +89,53 @@ def subwords_of(ranks: dict[bytes, int]) -> Subwords:
     return _SUBWORDS[key]
 
 
-def cluster_classes(texts: list[np.ndarray], vocabulary: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """class, symbol and column of every id, from the ids of some texts. Columns: frequent ids, then the rest of each class."""
-    rng = np.random.default_rng(seed)
+def by_count(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids by falling count, and those of them whose class is clustered."""
+    order = np.lexsort((np.arange(len(counts)), -counts))
+    return order, order[OWN_CLASS:][counts[order[OWN_CLASS:]] >= 3]
+
+
+def sides_of(x: np.ndarray, lengths: np.ndarray, end: int, order: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells (512 times id, plus the frequent id before it, or 256 and that behind it) and their counts, of ids marked in
+    `told`, in texts laid end to end. The end stands before a text."""
+    side = np.full(len(order), SIDES, np.int64)
+    side[order[:SIDES]] = np.arange(min(SIDES, len(order)))
+    before = np.concatenate([[end], x[:-1]])  # a text's last id is the end
+    inner = np.ones(len(x), bool)
+    inner[np.cumsum(lengths) - 1] = False
+    behind = np.flatnonzero(inner)
+    cells = np.concatenate([x.astype(np.int64) * 512 + side[before], x[behind].astype(np.int64) * 512 + 256 + side[x[behind + 1]]])
+    return np.unique(cells[told[cells // 512]], return_counts=True)
+
+
+def cluster_classes(texts: list[np.ndarray], vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`classes_of` for texts in memory, each an array of ids that ends in the last id of the vocabulary."""
     flat = np.concatenate(texts) if texts else np.zeros(0, np.int32)
     counts = np.bincount(flat, minlength=vocabulary)
-    order = np.lexsort((np.arange(vocabulary), -counts))
+    order, seen = by_count(counts)
+    told = np.zeros(vocabulary, bool)
+    told[seen] = True
+    if not len(flat):
+        return classes_of(counts, flat, flat)
+    return classes_of(counts, *sides_of(flat, np.array([len(t) for t in texts if len(t)]), vocabulary - 1, order, told))
+
+
+def classes_of(counts: np.ndarray, cells: np.ndarray, n: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """class, symbol and column of every id, from counts of ids and of `sides_of`. Columns: frequent ids, then the rest of each class."""
+    rng = np.random.default_rng(seed)
+    vocabulary = len(counts)
+    order, seen = by_count(counts)
     classes = (CLASSES - RARE_CLASSES + np.arange(vocabulary) % RARE_CLASSES).astype(np.int32)
-    classes[order[:OWN_CLASS]] = np.arange(OWN_CLASS)
-    seen = order[OWN_CLASS:][counts[order[OWN_CLASS:]] >= 3]
+    classes[order[:OWN_CLASS]] = np.arange(min(OWN_CLASS, vocabulary))
     k = CLASSES - RARE_CLASSES - OWN_CLASS
     if len(seen) > k:
         # An id is described by the frequent ids on both sides of it.
-        side = np.full(vocabulary, 255, np.int64)
-        side[order[:255]] = np.arange(255)
         at = np.full(vocabulary, -1)
         at[seen] = np.arange(len(seen))
         about = np.zeros((len(seen), 512), np.float32)
-        for here, near, shift in ((flat[1:], flat[:-1], 0), (flat[:-1], flat[1:], 256)):
-            ok = at[here] >= 0
-            about += np.bincount(at[here[ok]] * 512 + side[near[ok]] + shift, minlength=about.size).reshape(about.shape)
-        about = np.sqrt(about / about.sum(1, keepdims=True).clip(1))
+        about[at[cells // 512], cells % 512] = n
+        about /= about.sum(1, keepdims=True).clip(1)
+        np.sqrt(about, out=about)
         centre = about[rng.choice(len(seen), k, replace=False)]
         for _ in range(12):
             group = np.argmax(about @ centre.T - 0.5 * (centre * centre).sum(1), 1)
@@ -116,6 +143,8 @@ def cluster_classes(texts: list[np.ndarray], vocabulary: int, seed: int = 3) ->
                 if (group == c).any():
                     centre[c] = about[group == c].mean(0)
         classes[seen] = OWN_CLASS + group
+    else:
+        classes[seen] = OWN_CLASS + np.arange(len(seen))
     symbols = (SYMBOLS - CLASSES + classes).astype(np.int32)
     own = order[: SYMBOLS - CLASSES]
     symbols[own] = np.arange(len(own))
@@ -326,28 +355,20 @@ class Scorer:
         return total
 
 
-def gather(train: DataFrame, ranks, classes: np.ndarray, symbols: np.ndarray, columns: np.ndarray) -> DataFrame:
-    """What all learning rows give, in rows of three kinds: (word, n), (id, n) and (window).
-
-    id is a subword below the vocabulary's size; then come pairs of symbol and following class, then pairs of class and
-    following column.
-    """
-    end = len(classes) - 1
-    sent = train.sparkSession.sparkContext.broadcast((ranks, classes, symbols, columns))
+def read(train: DataFrame, ranks) -> DataFrame:
+    """What all learning rows give, in rows of three kinds: (word, n), (id, n) and (doc_id, ids): a text's ids with their end."""
+    end = len(ranks)
+    sent = train.sparkSession.sparkContext.broadcast(ranks)
 
     def make():
-        import xxhash
-
         words: Counter[bytes] = Counter()
-        ranks, classes, symbols, columns = sent.value
-        subwords = subwords_of(ranks)
-        width = FREQUENT + CLASSES
-        ids, pairs, shares = np.zeros(len(classes), np.int64), np.zeros(SYMBOLS * CLASSES, np.int64), np.zeros(CLASSES * width, np.int64)
+        subwords = subwords_of(sent.value)
+        counts = np.zeros(end + 1, np.int64)
 
         def flush():
             out = {"word": list(words), "n": list(words.values())}
             words.clear()
-            return out | dict.fromkeys(("id", "window"), [None] * len(out["n"]))
+            return out | dict.fromkeys(("id", "doc_id", "ids"), [None] * len(out["n"]))
 
         def step(given):
             own = [plain_words(t) for t in given["text"]]
@@ -355,35 +376,106 @@ def gather(train: DataFrame, ranks, classes: np.ndarray, symbols: np.ndarray, co
                 words.update(w)
             words[b""] += len(own)
             x, lengths = subwords.ids(own, end)
+            counts[:] += np.bincount(x, minlength=len(counts))
+            none = [None] * len(own)
+            ids = [p.astype(np.uint16).tobytes() for p in np.split(x, np.cumsum(lengths)[:-1])]
+            yield {"word": none, "id": none, "n": none, "doc_id": given["doc_id"], "ids": ids}
+            if len(words) > 400_000:
+                yield flush()
+
+        def rest():
+            yield flush()
+            at = np.flatnonzero(counts)
+            none = [None] * len(at)
+            yield {"word": none, "id": at, "n": counts[at], "doc_id": none, "ids": none}
+
+        step.rest = rest
+        return step
+
+    return map_rows(train.select("doc_id", "text"), "word binary, id int, n long, doc_id long, ids binary", make)
+
+
+def _laid(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts laid end to end, and their lengths."""
+    return np.frombuffer(b"".join(rows), np.uint16).astype(np.int32), np.array([len(r) // 2 for r in rows], np.int64)
+
+
+def summed(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of n by id, for ids of a bounded table."""
+    t = rows.groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    return t["id"].to_numpy(), t["n"].to_numpy()
+
+
+def learnt_classes(texts: DataFrame, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`classes_of` for all texts, given as ids: sides are counted in every task, in a table of vocabulary x 512."""
+    order, seen = by_count(counts)
+    told = np.zeros(len(counts), bool)
+    told[seen] = True
+    sent = texts.sparkSession.sparkContext.broadcast((order, told))
+
+    def make():
+        order, told = sent.value
+        table = np.zeros(len(order) * 512, np.int32)
+
+        def step(given):
+            cells, n = sides_of(*_laid(given["ids"]), len(order) - 1, order, told)
+            table[cells] += n.astype(np.int32)
+            return ()
+
+        def rest():
+            for start in range(0, len(table), 1 << 20):
+                part = table[start : start + (1 << 20)]
+                at = np.flatnonzero(part)
+                if len(at):
+                    yield {"id": at + start, "n": part[at]}
+
+        step.rest = rest
+        return step
+
+    return classes_of(counts, *summed(map_rows(texts.select("ids"), "id int, n long", make)))
+
+
+def gather(texts: DataFrame, classes: np.ndarray, symbols: np.ndarray, columns: np.ndarray) -> DataFrame:
+    """What all texts, given as ids, say of the model, in rows of two kinds: (id, n) and (window).
+
+    id is a pair of symbol and following class; then come pairs of class and following column.
+    """
+    end = len(classes) - 1
+    sent = texts.sparkSession.sparkContext.broadcast((classes, symbols, columns))
+
+    def make():
+        import xxhash
+
+        classes, symbols, columns = sent.value
+        width = FREQUENT + CLASSES
+        pairs, shares = np.zeros(SYMBOLS * CLASSES, np.int64), np.zeros(CLASSES * width, np.int64)
+
+        def step(given):
+            x, lengths = _laid(given["ids"])
             before, begin = inputs_of(x, lengths, end)
             first = np.cumsum(lengths) - lengths
             last = before[behind(lengths)]
-            ids[:] += np.bincount(x, minlength=len(ids))
             pairs[:] += np.bincount(symbols[last] * CLASSES + classes[x], minlength=len(pairs))
             shares[:] += np.bincount(classes[last] * width + columns[x], minlength=len(shares))
             chosen = []
-            for i, text in enumerate(given["text"]):
+            for i, ids in enumerate(given["ids"]):
                 n = lengths[i] // STRIDE  # whole windows only: shorter texts are left to the counts
                 if n:
-                    at = xxhash.xxh3_64_intdigest(text) % int(n) * STRIDE
+                    at = xxhash.xxh3_64_intdigest(ids) % int(n) * STRIDE
                     inputs = before[begin[i] + at : begin[i] + at + WINDOW]
                     chosen.append(np.concatenate([inputs, x[first[i] + at : first[i] + at + STRIDE]]).astype(np.uint16).tobytes())
             none = [None] * len(chosen)
-            yield {"word": none, "id": none, "n": none, "window": chosen}
-            if len(words) > 400_000:
-                yield flush()
+            yield {"id": none, "n": none, "window": chosen}
 
         def rest():
-            yield flush()
-            both = np.concatenate([ids, pairs, shares])
+            both = np.concatenate([pairs, shares])
             at = np.flatnonzero(both)
-            none = [None] * len(at)
-            yield {"word": none, "id": at, "n": both[at], "window": none}
+            yield {"id": at, "n": both[at], "window": [None] * len(at)}
 
         step.rest = rest
         return step
 
-    return map_rows(train.select("text"), "word binary, id int, n long, window binary", make)
+    return map_rows(texts.select("ids"), "id int, n long, window binary", make)
 
 
 def _window_arrays(rows: list[bytes], classes, symbols) -> tuple[np.ndarray, np.ndarray]:
@@ -442,32 +534,22 @@ def score_texts(docs: DataFrame, train: DataFrame, tokenizer: str = TOKENIZER) -
     ranks = read_ranks(tokenizer)
     end = len(ranks)
 
-    # 1. Classes of subwords from some texts, about CLASS_TEXTS of them chosen by hash.
-    n_train = train.count()
-    share = min(1.0, CLASS_TEXTS / max(1, n_train))
-    some = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    sent_ranks = context.broadcast(ranks)
-
-    def make_ids():
-        subwords = subwords_of(sent_ranks.value)
-
-        def step(given):
-            yield {"doc_id": given["doc_id"], "ids": [subwords.ids([plain_words(t)], end)[0] for t in given["text"]]}
-
-        return step
-
-    sample = map_rows(some.select("doc_id", "text"), "doc_id long, ids array<int>", make_ids).toPandas().sort_values("doc_id", kind="stable")
-    classes, symbols, columns = cluster_classes([np.asarray(x, np.int32) for x in sample["ids"]], end + 1)
-
-    # 2. Counts and windows of all learning rows, in one pass.
-    found = cut(gather(train, ranks, classes, symbols, columns))
+    # 1. Words and subwords of all learning rows, in one pass over their texts.
+    found = cut(read(train, ranks))
     counts = cut(found.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")))
     n_all, n_distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    cells = found.where("id is not null").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the model's size
-    parts = [end + 1, SYMBOLS * CLASSES, CLASSES * (FREQUENT + CLASSES)]
-    tally = np.zeros(sum(parts))
-    tally[[r["id"] for r in cells]] = [r["n"] for r in cells]
-    ids, pairs, shares = np.split(tally, np.cumsum(parts)[:-1])
+    ids = np.zeros(end + 1, np.int64)
+    at, n = summed(found.where("id is not null"))
+    ids[at] = n
+
+    # 2. Classes from what stands beside each subword, then counts of the model's size and windows.
+    texts = found.where("ids is not null").select("doc_id", "ids")
+    classes, symbols, columns = learnt_classes(texts, ids)
+    found = cut(gather(texts, classes, symbols, columns))
+    tally = np.zeros(SYMBOLS * CLASSES + CLASSES * (FREQUENT + CLASSES))
+    at, n = summed(found.where("id is not null"))
+    tally[at] = n
+    pairs, shares = np.split(tally, [SYMBOLS * CLASSES])
     pairs, shares = pairs.reshape(SYMBOLS, CLASSES), Shares(ids, shares.reshape(CLASSES, -1), classes, columns)
     overall = (pairs.sum(0) + 1) / (pairs.sum() + CLASSES)
     follow = np.log((pairs + 5 * overall) / (pairs.sum(1, keepdims=True) + 5))

@@ -57,6 +57,31 @@ def test_no_learning_rows(spark):
     assert lm.score_texts(spark.createDataFrame([], DOCS), docs.where("false")).count() == 0
 
 
+def test_classes_come_from_all_learning_rows(spark, monkeypatch):
+    """A language in 12 of 2,412 texts: its words are counted and clustered like those of a corpus in memory."""
+    rng = random.Random(8)
+    words = [f"{a}{b}" for a in "stone river light garden window silver house water paper green black white north south table glass train horse cloud field music story night world".split() for b in ("", "s", "ed", "ing", "er")]
+    rare = ["квартира", "молоко", "хлеб", "дорога", "зима"]
+    texts = [" ".join(rng.choices(rare if i % 201 == 0 else words, k=20)) for i in range(2412)]
+    taken = []
+
+    def keep(of, classes, symbols, columns):
+        taken.append((classes, symbols, columns))
+        raise StopIteration
+
+    monkeypatch.setattr(lm, "gather", keep)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS).repartition(5)
+    with pytest.raises(StopIteration):
+        lm.score_texts(docs, docs)
+    ranks = lm.read_ranks()
+    subwords = lm.Subwords(ranks)
+    ids = [subwords.ids([lm.plain_words(t)], len(ranks))[0] for t in texts]
+    for got, want in zip(taken[0], lm.cluster_classes(ids, len(ranks) + 1)):
+        assert np.array_equal(got, want)
+    own = np.unique(np.concatenate([ids[i] for i in range(0, 2412, 201)]))
+    assert (taken[0][0][own] < lm.CLASSES - lm.RARE_CLASSES).all()
+
+
 def test_windows_score_each_place_once():
     for length in (1, 23, 24, 25, 48, 49, 500):
         lengths = np.array([length, 3, length])
