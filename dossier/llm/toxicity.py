@@ -2,8 +2,8 @@
 
 Terms are a text's distinct words and the first letters of longer words, hashed to buckets. Besides a weight, each
 bucket has a short vector; the product of two vectors is the weight of both terms together, so that a pair such as an
-insult and a mention of a group counts more than its parts. Buckets take part if they are marked by the labels (chi
-square) or frequent enough for pairs to matter.
+insult and a mention of a group counts more than its parts. Every bucket in at least LEAST_TEXTS learning texts takes
+part, whatever the labels say of it alone.
 
 Learning uses a bounded sample of labelled rows outside the held-out fold (`SAMPLE_ROWS`), scoring covers all whole
 texts in one pass without a shuffle. Inputs are the text alone. Null and empty texts have no terms: their score is the
@@ -26,7 +26,7 @@ THRESHOLD = 0.5
 BUCKETS = 1 << 18
 FACTORS = 8
 PREFIX = 4
-LEAST_TEXTS, LEAST_CHI, FREQUENT = 3, 25.0, 0.2
+LEAST_TEXTS = 3
 
 
 def terms(text: str | None) -> np.ndarray:
@@ -57,16 +57,12 @@ class FactorModel:
         return 1 / (1 + np.exp(-np.clip(np.array([self.margin(t) for t in all_terms], float), -40, 40)))
 
 
-def _chosen(all_terms: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Buckets in at least LEAST_TEXTS texts that the labels mark (chi square), or in a share FREQUENT of them."""
-    flat = np.concatenate(all_terms) if all_terms else np.zeros(0, np.int32)
-    owner = np.repeat(np.arange(len(all_terms)), [len(t) for t in all_terms])
-    n, pos = len(y), y.sum()
-    df = np.bincount(flat, minlength=BUCKETS).astype(float)
-    hit = np.bincount(flat, y[owner], BUCKETS)
-    expected = df * pos / n
-    spread = df * (pos / n) * (1 - pos / n) * (1 - df / n) + 1e-9
-    return np.flatnonzero((df >= LEAST_TEXTS) & (((hit - expected) ** 2 / spread > LEAST_CHI) | (df >= n * FREQUENT)))
+def _chosen(all_terms: list[np.ndarray]) -> np.ndarray:
+    """Buckets in at least LEAST_TEXTS texts."""
+    df = np.zeros(BUCKETS, np.int64)
+    for t in all_terms:
+        df[t] += 1
+    return np.flatnonzero(df >= LEAST_TEXTS)
 
 
 def fit(all_terms: list[np.ndarray], y: np.ndarray, epochs: int = 8, rate: float = 0.3, batch: int = 128, seed: int = 7) -> FactorModel:
@@ -76,7 +72,7 @@ def fit(all_terms: list[np.ndarray], y: np.ndarray, epochs: int = 8, rate: float
     slot = np.full(BUCKETS, -1, np.int32)
     if not n or y.min() == y.max():
         return FactorModel(base, slot, np.zeros(0), np.zeros((0, FACTORS)))
-    chosen = _chosen(all_terms, y)
+    chosen = _chosen(all_terms)
     slot[chosen] = np.arange(len(chosen))
     rows = [(s := slot[t])[s >= 0] for t in all_terms]
     rng = np.random.default_rng(seed)

@@ -62,6 +62,21 @@ def test_toxicity_learns_pairs(data):
     assert accuracy(scored, marks, 2) > 0.95
 
 
+def test_toxicity_learns_pairs_of_rare_words():
+    """60 insults and 60 mentions, each in under 1% of texts and toxic only together: none is marked by the labels alone."""
+    rng = random.Random(9)
+    plain = [f"w{i}" for i in range(40)]
+    texts, y = [], []
+    for _ in range(8000):
+        insult, group = rng.random() < 0.4, rng.random() < 0.4
+        words = rng.sample(plain, 8) + [f"i{rng.randrange(60)}"] * insult + [f"g{rng.randrange(60)}"] * group
+        texts.append(toxicity.terms(" ".join(words)))
+        y.append(float(insult and group))
+    y = np.array(y)
+    model = toxicity.fit(texts[:6000], y[:6000])
+    assert np.mean((model.score(texts[6000:]) >= 0.5) == y[6000:]) > 0.98
+
+
 def test_labels_of_the_held_out_fold_are_not_used(data, spark):
     docs, labels, _, marks = data
     turned = [(i, 1 - q, 1 - t) if i is not None and zlib.crc32(str(i).encode()) % 5 == 0 else (i, q, t) for i, q, t in marks if q is not None]
