@@ -6,8 +6,10 @@ id's share of its class, which for frequent ids depends on the class before. Win
 places before it (ends stand before a text), in batches of masked attention.
 
 What is learned comes from all learning rows: word counts for the base score, subword counts, counts of classes behind
-a subword, and one window of each text (its place is chosen by a hash). Attention weights start from a bounded sample of
-those windows (`START_WINDOWS`) and are then trained in every task over its windows, and averaged. Classes, input symbols
+a subword, and attention weights, trained on all consecutive windows of all texts (the padded last ones included). Windows
+are dealt by hash into rounds, each twice as large as the one before, and in a round into groups of about `TASK_WINDOWS`,
+each trained from the mean of the last round; so weights do not move with partitions. Without any learning row there is
+no attention term. Classes, input symbols
 and columns of subwords come from the counts of all learning rows too: of subwords, and of the frequent ones on both
 sides of each (a table of vocabulary times 512). Texts are cut into subwords once for all counts.
 
@@ -25,6 +27,7 @@ from collections import Counter
 from math import fsum
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +44,9 @@ FREQUENT = 2048  # ids whose share of their class depends on the class before
 SMOOTHING = 8.0
 HEAD_WORDS = 200_000
 SIDES = 255  # frequent ids that describe the ids beside them; all others are one more
-START_WINDOWS = 4_096
+START_WINDOWS = 4_096  # about so many in the first round
+TASK_WINDOWS = 8_192
+PADDED = 65_535  # stands behind a text in its last window; no id
 _PIECE = 64  # longest part of a word given to the tokenizer at once, in bytes
 _LOG10 = float(np.log(10))
 
@@ -244,7 +249,7 @@ class AttentionModel:
         return total.reshape(target.shape)
 
     def gradients(self, s: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss over windows and its gradients, by hand."""
+        """Mean loss over windows and its gradients, by hand. Targets below 0 do not count."""
         p = self.p
         tq, tk, tv, mask = self.tables()
         asks = s[:, PAD:]
@@ -253,6 +258,8 @@ class AttentionModel:
         w /= w.sum(2, keepdims=True)
         h = np.matmul(w, v)
         flat_h, last, aim = h.reshape(-1, SIZE), asks.ravel(), target.ravel()
+        inside_text, aim = aim >= 0, np.maximum(aim, 0)
+        counted = max(1, int(inside_text.sum()))
         own, rows, n = aim // GROUP, np.arange(len(aim)), p["out"].shape[1]
         groups = flat_h @ p["groups"] + self.group[last]
         inside = (flat_h @ p["out"]).reshape(len(aim), -1, GROUP)[rows, own] + self.inside[last * (n // GROUP) + own]
@@ -260,9 +267,10 @@ class AttentionModel:
         for part, at in ((groups, own), (inside, aim % GROUP)):
             probs = np.exp(part - part.max(1, keepdims=True))
             probs /= probs.sum(1, keepdims=True)
-            loss -= float(np.log(probs[rows, at] + 1e-30).mean())
+            loss -= float(np.log(probs[rows, at] + 1e-30)[inside_text].sum()) / counted
             probs[rows, at] -= 1
-            slopes.append(probs / np.asarray(len(aim), probs.dtype))
+            probs[~inside_text] = 0
+            slopes.append(probs / np.asarray(counted, probs.dtype))
         wide = np.zeros((len(aim), n // GROUP, GROUP), flat_h.dtype)
         wide[rows, own] = slopes[1]
         wide = wide.reshape(len(aim), n)
@@ -436,16 +444,15 @@ def learnt_classes(texts: DataFrame, counts: np.ndarray) -> tuple[np.ndarray, np
 
 
 def gather(texts: DataFrame, classes: np.ndarray, symbols: np.ndarray, columns: np.ndarray) -> DataFrame:
-    """What all texts, given as ids, say of the model, in rows of two kinds: (id, n) and (window).
+    """What all texts, given as ids, say of the model, in rows of two kinds: (id, n) and (doc_id, start, window).
 
-    id is a pair of symbol and following class; then come pairs of class and following column.
+    id is a pair of symbol and following class; then come pairs of class and following column. Windows have their text's
+    doc_id and their place in it.
     """
     end = len(classes) - 1
     sent = texts.sparkSession.sparkContext.broadcast((classes, symbols, columns))
 
     def make():
-        import xxhash
-
         classes, symbols, columns = sent.value
         width = FREQUENT + CLASSES
         pairs, shares = np.zeros(SYMBOLS * CLASSES, np.int64), np.zeros(CLASSES * width, np.int64)
@@ -457,74 +464,71 @@ def gather(texts: DataFrame, classes: np.ndarray, symbols: np.ndarray, columns:
             last = before[behind(lengths)]
             pairs[:] += np.bincount(symbols[last] * CLASSES + classes[x], minlength=len(pairs))
             shares[:] += np.bincount(classes[last] * width + columns[x], minlength=len(shares))
-            chosen = []
-            for i, ids in enumerate(given["ids"]):
-                n = lengths[i] // STRIDE  # whole windows only: shorter texts are left to the counts
-                if n:
-                    at = xxhash.xxh3_64_intdigest(ids) % int(n) * STRIDE
-                    inputs = before[begin[i] + at : begin[i] + at + WINDOW]
-                    chosen.append(np.concatenate([inputs, x[first[i] + at : first[i] + at + STRIDE]]).astype(np.uint16).tobytes())
-            none = [None] * len(chosen)
-            yield {"id": none, "n": none, "window": chosen}
+            owner, start = windows_of(lengths)
+            here = start[:, None] + np.arange(STRIDE)
+            aims = np.where(here < lengths[owner][:, None], x[np.minimum(first[owner][:, None] + here, len(x) - 1)], PADDED)
+            there = start[:, None] + np.arange(WINDOW)
+            inputs = before[np.minimum(begin[owner][:, None] + there, len(before) - 1)]
+            inputs[there >= lengths[owner][:, None] + PAD] = end  # not the next text's
+            windows = np.concatenate([inputs, aims], 1).astype(np.uint16)
+            none = [None] * len(owner)
+            doc = [given["doc_id"][i] for i in owner]
+            yield {"id": none, "n": none, "doc_id": doc, "start": start, "window": [w.tobytes() for w in windows]}
 
         def rest():
             both = np.concatenate([pairs, shares])
             at = np.flatnonzero(both)
-            yield {"id": at, "n": both[at], "window": [None] * len(at)}
+            none = [None] * len(at)
+            yield {"id": at, "n": both[at], "doc_id": none, "start": none, "window": none}
 
         step.rest = rest
         return step
 
-    return map_rows(texts.select("ids"), "id int, n long, window binary", make)
+    return map_rows(texts, "id int, n long, doc_id long, start long, window binary", make)
 
 
 def _window_arrays(rows: list[bytes], classes, symbols) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and target classes of windows."""
+    """Symbols and target classes of windows; -1 behind a text."""
     x = np.frombuffer(b"".join(rows), np.uint16).reshape(-1, WINDOW + STRIDE)
-    return symbols[x[:, :WINDOW]], classes[x[:, WINDOW:]]
+    aims = x[:, WINDOW:]
+    return symbols[x[:, :WINDOW]], np.where(aims == PADDED, -1, classes[np.minimum(aims, len(classes) - 1)])
 
 
 def trained(windows: DataFrame, model: AttentionModel, classes: np.ndarray, symbols: np.ndarray) -> AttentionModel:
-    """Start from a bounded sample on the driver, then one round of training in all tasks and the mean of their weights."""
-    start = windows.orderBy(F.xxhash64("window"), "window").limit(START_WINDOWS)
-    s, c = _window_arrays([r[0] for r in start.collect()], classes, symbols)
-    if not len(s):
+    """Rounds of training over all windows (doc_id, start, window); a round's groups start from the mean of the last one's."""
+    n = windows.count()
+    if not n:
+        model.p["out"][:] = 0
+        model.p["groups"][:] = 0
         return model
-    model.train(s, c, epochs=6, rate=0.01)
-    sent = windows.sparkSession.sparkContext.broadcast((model, classes, symbols))
-
-    def make():
-        import copy
-
-        base, classes, symbols = sent.value
-        own, held, count = copy.deepcopy(base), [], 0
-
-        def learn():
-            nonlocal count
-            s, c = _window_arrays(held, classes, symbols)
-            held.clear()
-            if len(s):
-                own.train(s, c, epochs=1, rate=0.002)
-                count += len(s)
-
-        def step(given):
-            held.extend(given["window"])
-            if len(held) >= 8192:
-                learn()
-            return ()
-
-        def rest():
-            learn()
-            if count:
-                w = own.flat()
-                yield {"at": np.arange(len(w)), "value": w.astype(float) * count, "n": [count] * len(w)}
-
-        step.rest = rest
-        return step
-
-    parts = map_rows(windows.select("window"), "at int, value double, n long", make)
-    mean = parts.groupBy("at").agg((F.sum("value") / F.sum("n")).alias("w")).orderBy("at").collect()
-    return model.load(np.array([r["w"] for r in mean])) if mean else model
+    rounds = max(1, int(np.ceil(np.log2(n / START_WINDOWS + 1))))
+    place = F.xxhash64("doc_id", "start", "window")
+    dealt = windows.select("window", place.alias("place"), F.pmod(place, F.lit(1 << 40)).alias("at"))
+    for k in range(rounds):
+        # Round k has 2**k of 2**rounds - 1 equal parts of the windows.
+        low, high = ((1 << 40) * ((1 << j) - 1) // ((1 << rounds) - 1) for j in (k, k + 1))
+        groups = max(1, round(n * (high - low) / (1 << 40) / TASK_WINDOWS))
+        sent = windows.sparkSession.sparkContext.broadcast((model, classes, symbols))
+        epochs, rate = (6, 0.01) if k == 0 else (1, 0.002)
+
+        def learn(given):
+            import copy
+
+            base, classes, symbols = sent.value
+            own = copy.deepcopy(base)
+            rows = given.sort_by([("place", "ascending"), ("window", "ascending")])["window"].to_pylist()
+            own.train(*_window_arrays(rows, classes, symbols), epochs=epochs, rate=rate)
+            # As whole numbers: their sums do not depend on the order, which training would amplify.
+            w = np.rint(own.flat().astype(float) * (1 << 24)).astype(np.int64) * len(rows)
+            return pa.table({"at": np.arange(len(w), dtype=np.int32), "value": w, "n": np.full(len(w), len(rows), np.int64)})
+
+        part = dealt.where((F.col("at") >= low) & (F.col("at") < high))
+        part = part.select(F.pmod(F.xxhash64("place"), F.lit(groups)).alias("g"), "place", "window")
+        parts = part.groupBy("g").applyInArrow(learn, "at int, value long, n long")
+        mean = parts.groupBy("at").agg((F.sum("value") / F.sum("n") / (1 << 24)).alias("w")).toArrow()
+        if mean.num_rows:
+            model.load(mean.sort_by("at")["w"].to_numpy())
+    return model
 
 
 def score_texts(docs: DataFrame, train: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -553,7 +557,7 @@ def score_texts(docs: DataFrame, train: DataFrame, tokenizer: str = TOKENIZER) -
     pairs, shares = pairs.reshape(SYMBOLS, CLASSES), Shares(ids, shares.reshape(CLASSES, -1), classes, columns)
     overall = (pairs.sum(0) + 1) / (pairs.sum() + CLASSES)
     follow = np.log((pairs + 5 * overall) / (pairs.sum(1, keepdims=True) + 5))
-    model = trained(found.where("window is not null").select("window"), AttentionModel(follow), classes, symbols)
+    model = trained(found.where("window is not null").select("doc_id", "start", "window"), AttentionModel(follow), classes, symbols)
 
     # 3. Words with large counts, so many that at most HEAD_WORDS are sent to the tasks.
     sizes = {int(r["b"]): r["n"] for r in counts.groupBy((F.length(F.bin("c")) - 1).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}

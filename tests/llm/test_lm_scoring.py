@@ -82,6 +82,31 @@ def test_classes_come_from_all_learning_rows(spark, monkeypatch):
     assert (taken[0][0][own] < lm.CLASSES - lm.RARE_CLASSES).all()
 
 
+def test_attention_learns_from_all_windows(spark, monkeypatch):
+    """Every target of long and short texts stands in one window; weights do not move with partitions; none without texts."""
+    monkeypatch.setattr(lm, "START_WINDOWS", 16)
+    monkeypatch.setattr(lm, "TASK_WINDOWS", 24)
+    texts = ["the end of a long story " * 60, "two words", "", "short text of one window"] * 3
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    subwords = lm.Subwords(ranks := lm.read_ranks())
+    ids = [subwords.ids([lm.plain_words(t)], len(ranks))[0] for t in texts]
+    classes, symbols, columns = lm.cluster_classes(ids, len(ranks) + 1)
+    follow = np.log(np.full((lm.SYMBOLS, lm.CLASSES), 1 / lm.CLASSES))
+    weights = []
+    for n in (1, 7):
+        stored = lm.read(docs.repartition(n), ranks).where("ids is not null").select("doc_id", "ids")
+        found = lm.gather(stored, classes, symbols, columns).where("window is not null").select("doc_id", "start", "window")
+        targets = Counter()
+        for r in found.collect():
+            aims = np.frombuffer(r["window"], np.uint16)[lm.WINDOW :]
+            targets.update((r["doc_id"], r["start"] + k, int(a)) for k, a in enumerate(aims) if a != lm.PADDED)
+        assert targets == Counter((i, k, int(a)) for i, x in enumerate(ids) for k, a in enumerate(x))
+        weights.append(lm.trained(found, lm.AttentionModel(follow), classes, symbols).flat())
+    assert np.allclose(weights[0], weights[1], atol=1e-6) and not np.allclose(weights[0], lm.AttentionModel(follow).flat())
+    none = lm.trained(found.where("false"), lm.AttentionModel(follow), classes, symbols)
+    assert not none.p["out"].any() and not none.p["groups"].any()
+
+
 def test_windows_score_each_place_once():
     for length in (1, 23, 24, 25, 48, 49, 500):
         lengths = np.array([length, 3, length])
