@@ -106,7 +106,7 @@ class Finder:
                     ip_end, at, parts = chain.end(), start, chain.group().split(".")
                     for i in range(0, len(parts) - 3, 4):
                         end = at + sum(map(len, parts[i : i + 4])) + 3
-                        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts[i : i + 4]):
+                        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in parts[i : i + 4]):
                             found.append((at, 1, end))
                         at = end + 1
             elif kind == "email":

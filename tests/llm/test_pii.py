@@ -38,6 +38,11 @@ TEXTS = [
 ]
 
 
+def test_long_parts_of_a_chain():
+    assert pii.digest(pii.Finder().spans("1.2.3." + "0" * 5000 + "4")).startswith("ip:0:")
+    assert not any(s[1] == 1 for s in pii.Finder().spans("1.2.3." + "0" * 5000 + "256"))
+
+
 def test_base_spans_equal_plain_search_on_odd_texts():
     finder = pii.Finder()
     rng = random.Random(4)
