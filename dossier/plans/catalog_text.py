@@ -18,7 +18,7 @@ def _path(df):
 
 
 def read_blocks(spark, sf):
-    """Blocks written as shard files of 20 pages, one folder per standard, and read back in order."""
+    """Blocks written as shards of 20 pages, a numbered folder each in the folder of its standard, and read back in order."""
     folder = f"{checkpoint_folder(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
     names = [f.name for f in BLOCK.fields]
     shards = (
@@ -27,9 +27,9 @@ def read_blocks(spark, sf):
         .agg(F.sort_array(F.collect_list(F.struct("block_idx", F.struct(*names).alias("b")))).alias("rows"))
     )
     values = shards.select("standard_id", "shard", F.to_json(F.transform("rows", lambda r: r["b"])).alias("value"))
-    ordered = values.repartition("standard_id").sortWithinPartitions("standard_id", "shard").drop("shard")
-    ordered.write.option("maxRecordsPerFile", 1).partitionBy("standard_id").text(folder)
-    read = shard_files(spark, folder, "*.txt").withColumn("standard_id", F.substring_index("standard_id", "=", -1))
+    spread = values.repartition("standard_id", "shard").withColumn("shard", F.format_string("%012d", "shard"))
+    spread.write.partitionBy("standard_id", "shard").text(folder)
+    read = shard_files(spark, folder, "*.txt", folders=True).withColumn("standard_id", F.substring_index("standard_id", "=", -1))
     return read.select("standard_id", "block_idx", "page_idx", "type", "text", "text_level", "table_body")
 
 

@@ -25,19 +25,20 @@ _WRAPPED = T.StructType([
 ])
 
 
-def read_blocks(spark: SparkSession, path: str, pattern: str = "pages_*_content_list.json") -> DataFrame:
+def read_blocks(spark: SparkSession, path: str, pattern: str = "pages_*_content_list.json", folders: bool = False) -> DataFrame:
     """Blocks of every standard below `path` (one folder per standard) in document order.
 
     A shard file is one bounded row (some tens of pages) and becomes its blocks in place. The
     position of a block is its place in the shard plus the sizes of the shards before it: only
-    one (standard, shard, size) row per file is ever ordered, never the blocks.
+    one (standard, shard, size) row per file is ever ordered, never the blocks. With `folders` each
+    shard file has a folder of its own below its standard's, and these are ordered by their names.
     """
     files = (
         spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
         .text(path, wholetext=True)
         .select(
-            F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("standard_id"),
-            F.col("_metadata.file_name").alias("shard"),
+            F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+/[^/]+$" if folders else r"([^/]+)/[^/]+$", 1).alias("standard_id"),
+            (F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1) if folders else F.col("_metadata.file_name")).alias("shard"),
             F.col("value"),
         )
     )

@@ -91,3 +91,20 @@ def test_streamed_kb_and_calls(spark, tmp_path):
     # the watermark stands at 599 - 120 s: exactly the windows that ended by then are out
     rows = {int(r.window_start.timestamp()): r.n_calls for r in got.collect()}
     assert rows == {s: min(60, s + 60) for s in range(-50, 420, 10)}
+
+
+def test_order_of_more_than_a_thousand_shards(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from dossier.plans import catalog_text, inputs
+
+    n = 1_003
+    given = spark.range(n).select(
+        F.lit("s").alias("standard_id"), F.col("id").alias("block_idx"), F.lit("text").alias("type"), F.col("id").cast("string").alias("text"),
+        F.lit(None).cast("int").alias("text_level"), (F.col("id") * 20).cast("int").alias("page_idx"),
+        *[F.lit(None).cast("array<string>").alias(c) for c in ("list_items", "table_caption", "table_footnote")],
+        *[F.lit(None).cast("string").alias(c) for c in ("table_body", "img_path")],
+    )
+    monkeypatch.setattr(inputs, "blocks", lambda spark, sf: given)
+    read = catalog_text.read_blocks(spark, None).select("standard_id", "block_idx", "text").collect()
+    assert sorted(read) == [("s", i, str(i)) for i in range(n)]
