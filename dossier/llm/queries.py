@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dossier.llm.dart_minhash import op10_dart_minhash
 from dossier.llm.decontaminate import OP5_SQL, op5_decontaminate
+from dossier.llm.fim import OP13_SQL, op13_fill_in_middle
 from dossier.llm.lm_scoring import op1_lm_scoring
 from dossier.llm.mixing import OP8_SQL, op8_mixing
 from dossier.llm.pii import op9_pii
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
     "op10_dart_minhash": op10_dart_minhash,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
@@ -32,4 +34,5 @@ ORACLES: dict[str, str] = {
     "op5_decontaminate": OP5_SQL,
     "op6_warc": OP6_SQL,
     "op8_mixing": OP8_SQL,
+    "op13_fill_in_middle": OP13_SQL,
 }
