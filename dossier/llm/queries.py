@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dossier.llm.conversations import op11_conversation_repair
 from dossier.llm.dart_minhash import op10_dart_minhash
 from dossier.llm.decontaminate import OP5_SQL, op5_decontaminate
 from dossier.llm.fim import OP13_SQL, op13_fill_in_middle
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
     "op10_dart_minhash": op10_dart_minhash,
+    "op11_conversation_repair": op11_conversation_repair,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
