@@ -6,6 +6,7 @@ from dossier.llm.conversations import op11_conversation_repair
 from dossier.llm.dart_minhash import op10_dart_minhash
 from dossier.llm.decontaminate import OP5_SQL, op5_decontaminate
 from dossier.llm.fim import OP13_SQL, op13_fill_in_middle
+from dossier.llm.html_text import op12_html_extraction
 from dossier.llm.lm_scoring import op1_lm_scoring
 from dossier.llm.mixing import OP8_SQL, op8_mixing
 from dossier.llm.pii import op9_pii
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_dart_minhash": op10_dart_minhash,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_html_extraction": op12_html_extraction,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
