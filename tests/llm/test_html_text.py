@@ -38,7 +38,8 @@ def test_links_inside_an_article_are_left_out_and_in_text_kept():
 
 
 def test_missing_ratios_change_the_result(monkeypatch):
-    source = page(f"<div>{NAV}</div><div>{BODY}</div><div><span>tiny</span></div>")
+    tags = "".join(f"<li>topic {i} of many</li>" for i in range(100))  # more text than the article, in scraps
+    source = page(f"<div>{NAV}</div><div>{BODY}</div><div><ul>{tags}</ul></div>")
     assert main_text(source) == WANT
     monkeypatch.setattr(ht.PathRatios, "score", property(lambda self: 1.0))
     assert main_text(source) != WANT
