@@ -362,22 +362,28 @@ def route_counts(routed: DataFrame, *by: str) -> DataFrame:
 _ITEM_START = r"(?U)^(\d{1,3})\.\s+(.*)"
 
 
-def numbered_items(lines: DataFrame, span: int = SPAN_ROWS) -> DataFrame:
-    """Numbered items of each report.
-
-    Input: report_id, line_no (a unique long, increasing), line. A line `12. text` starts an
-    item, later non-blank lines continue it, lines before the first item are dropped.
-    """
+def marked_lines(lines: DataFrame, *more: str) -> DataFrame:
+    """report_id, line_no, no, part, starts of each line: whether it starts an item, its number, its text."""
     # a line is one physical line here: trailing white space is not part of it
     trimmed = rstrip(F.col("line"))
-    numbered = lines.select(
+    return lines.select(
         "report_id",
         "line_no",
         F.regexp_extract(trimmed, _ITEM_START, 1).alias("no"),
         F.when(trimmed.rlike(_ITEM_START), strip(F.regexp_extract(trimmed, _ITEM_START, 2)))
         .otherwise(strip(trimmed)).alias("part"),
         trimmed.rlike(_ITEM_START).alias("starts"),
+        *more,
     )
+
+
+def numbered_items(lines: DataFrame, span: int = SPAN_ROWS) -> DataFrame:
+    """Numbered items of each report.
+
+    Input: report_id, line_no (a unique long, increasing), line. A line `12. text` starts an
+    item, later non-blank lines continue it, lines before the first item are dropped.
+    """
+    numbered = marked_lines(lines)
     opened = Running("item_line", "max", F.when(F.col("starts"), F.col("line_no")))
     placed = running_values(numbered, ["report_id"], "line_no", [opened], span)
     items = (
@@ -392,7 +398,12 @@ def numbered_items(lines: DataFrame, span: int = SPAN_ROWS) -> DataFrame:
             ).alias("parts"),
         )
     )
-    text = strip(F.array_join(F.transform("parts", lambda p: p["part"]), " "))
+    return item_texts(items.withColumn("parts", F.transform("parts", lambda p: p["part"])))
+
+
+def item_texts(items: DataFrame) -> DataFrame:
+    """report_id, item_line, item_no, text of items whose lines stand in `parts`; blank items are dropped."""
+    text = strip(F.array_join("parts", " "))
     return items.select("report_id", "item_line", "item_no", text.alias("text")).filter(F.length("text") > 0)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_GROUPS = ("text", "tables", "retrieval", "indexes", "audit", "evaluation", "scenarios")
+_GROUPS = ("text", "tables", "retrieval", "indexes", "streams", "audit", "evaluation", "scenarios")
 
 
 def _collect(prefix: str, name: str) -> dict:

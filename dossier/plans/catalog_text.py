@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from dossier.functions.lineage import checkpoint_folder
 from dossier.operators import text as tx
 from dossier.plans import inputs
-from dossier.sources.blocks import BLOCK
+from dossier.sources.blocks import BLOCK, placed_blocks, read_shards
 from dossier.sources.blocks import read_blocks as shard_files
 
 
@@ -17,8 +17,11 @@ def _path(df):
     return df.withColumn("section_path", F.array_join("section_path", " > "))
 
 
-def read_blocks(spark, sf):
-    """Blocks written as shards of 20 pages, a numbered folder each in the folder of its standard, and read back in order."""
+def _write_shards(spark, sf, shape=None):
+    """The blocks as shards of 20 pages, a numbered folder each in the folder of its standard.
+
+    `shape` makes a file's text from standard_id, shard and value, the JSON list of its blocks.
+    """
     folder = f"{checkpoint_folder(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
     names = [f.name for f in BLOCK.fields]
     shards = (
@@ -27,12 +30,50 @@ def read_blocks(spark, sf):
         .agg(F.sort_array(F.collect_list(F.struct("block_idx", F.struct(*names).alias("b")))).alias("rows"))
     )
     values = shards.select("standard_id", "shard", F.to_json(F.transform("rows", lambda r: r["b"])).alias("value"))
-    spread = values.repartition("standard_id", "shard").withColumn("shard", F.format_string("%012d", "shard"))
+    shaped = values if shape is None else values.withColumn("value", shape)
+    spread = shaped.repartition("standard_id", "shard").withColumn("shard", F.format_string("%012d", "shard"))
     spread.write.partitionBy("standard_id", "shard").text(folder)
-    read = shard_files(spark, folder, "*.txt", folders=True).withColumn("standard_id", F.substring_index("standard_id", "=", -1))
+    return folder
+
+
+def read_blocks(spark, sf):
+    """Blocks written as shards and read back in order."""
+    read = shard_files(spark, _write_shards(spark, sf), "*.txt", folders=True).withColumn("standard_id", F.substring_index("standard_id", "=", -1))
     return read.select("standard_id", "block_idx", "page_idx", "type", "text", "text_level", "table_body")
 
 
+def _damaged_shards(spark, sf):
+    """Shards of every shape: wrapped in two ways, cut off, without a list, with a block that has no fields."""
+    kind = F.pmod(F.substring("standard_id", 4, 9).cast("int"), F.lit(5))
+    first = F.col("shard") == 0
+    value = F.col("value")
+    shape = (
+        F.when((kind == 0) & first, F.concat(F.lit('{"content_list":'), value, F.lit("}")))
+        .when((kind == 0), F.concat(F.lit('{"data":{"content_list":'), value, F.lit("}}")))
+        .when((kind == 1) & first, F.substr(value, F.lit(1), F.length(value) - 9))
+        .when((kind == 2) & ~first, F.concat(F.lit('{"pages":'), value, F.lit("}")))
+        .when((kind == 3) & first, F.lit('[{"type":"text","text":"a"},"lost"]'))
+        .otherwise(value)
+    )
+    shards = read_shards(spark, _write_shards(spark, sf, shape), "*.txt", folders=True, ranges=False)
+    return shards.withColumn("standard_id", F.substring_index("standard_id", "=", -1))
+
+
+def shard_quarantine(spark, sf):
+    """Every shard file: how many blocks it gives, or why it gives none, and whether its standard is read."""
+    shards = _damaged_shards(spark, sf)
+    whole = shards.groupBy("standard_id").agg((F.count("reason") == 0).alias("standard_read"))
+    return shards.join(whole, "standard_id").select(
+        "standard_id", F.substring_index("shard", "=", -1).cast("long").alias("shard"), F.when(F.col("reason").isNull(), F.size("blocks")).alias("n_blocks"),
+        "reason", "standard_read",
+    )
+
+
+def read_whole_standards(spark, sf):
+    """Blocks of the standards whose shards can all be read, numbered as if nothing had happened."""
+    return placed_blocks(_damaged_shards(spark, sf), "leave_out").select("standard_id", "block_idx", "page_idx", "type", "text", "text_level", "table_body")
+
+
 def block_text(spark, sf):
     return tx.block_text(inputs.blocks(spark, sf)).select("standard_id", "block_idx", "type", "content")
 
@@ -84,6 +125,6 @@ def numbered_items(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (read_blocks, block_text, repeated_lines, strip_repeated_lines, repeated_blocks, section_paths, section_chunks,
+    for f in (read_blocks, shard_quarantine, read_whole_standards, block_text, repeated_lines, strip_repeated_lines, repeated_blocks, section_paths, section_chunks,
               pack_windows, route_language, route_counts, numbered_items)
 }

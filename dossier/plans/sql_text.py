@@ -151,6 +151,14 @@ items as (
 
 ORACLES = {
     "read_blocks": f"with {BLOCKS} select standard_id, block_idx, page_idx, type, text, text_level, table_body from blocks",
+    "shard_quarantine": f"""with {BLOCKS},
+        shards as (select standard_id, cast(page_idx // 20 as bigint) shard, count(*) n, cast(substr(standard_id, 4) as int) % 5 kind from blocks group by all),
+        said as (select standard_id, shard, n, case when kind = 1 and shard = 0 then 'not JSON' when kind = 2 and shard > 0 then 'no list of blocks'
+          when kind = 3 and shard = 0 then 'block without fields' end reason from shards)
+        select standard_id, shard, case when reason is null then n end n_blocks, reason, count(reason) over (partition by standard_id) = 0 as standard_read from said""",
+    "read_whole_standards": f"""with {BLOCKS}, last_page as (select standard_id, max(page_idx) p from blocks group by 1)
+        select standard_id, block_idx, page_idx, type, text, text_level, table_body from blocks join last_page using (standard_id)
+        where cast(substr(standard_id, 4) as int) % 5 in (0, 4) or cast(substr(standard_id, 4) as int) % 5 = 2 and p < 20""",
     "block_text": f"with {BLOCKS}, {BODY} select standard_id, block_idx, type, content from body",
     "repeated_lines": f"with {BLOCKS}, {BODY} select standard_id, line, n_pages from repeated",
     "strip_repeated_lines": f"with {BLOCKS}, {BODY} select standard_id, block_idx, kept as content from stripped",
