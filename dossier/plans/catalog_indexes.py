@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from dossier.config import RetrievalConfig
 from dossier.functions.lineage import checkpoint_folder
+from dossier.operators import postings as po
 from dossier.operators import vector_index as vi
 from dossier.operators import vectors as vx
 from dossier.plans import inputs
@@ -50,4 +51,11 @@ def vector_index_recall(spark, sf):
     return parts[0].unionByName(parts[1]).select("channel", "n_exact", (F.col("recall") >= 0.9).alias("recall_reached"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk_indexed, vector_index_recall)}
+def bm25_topk_stored(spark, sf):
+    """The best documents of every passage from a stored index that prunes by what tokens can add."""
+    folder = _folder(spark, "postings")
+    po.write_postings(inputs.corpus(spark, sf), folder)
+    return po.stored_topk(inputs.passages(spark, sf), po.read_postings(spark, folder), 10).select("kb", "query_id", "doc_id", "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (vector_topk_indexed, vector_index_recall, bm25_topk_stored)}
