@@ -3,13 +3,14 @@
 Sources in code point order (null last) weigh 5, 2, 1, repeating, and share all words; a target stops at three times
 its source's size, and the excess goes to the others by weight. Point i of the golden-ratio sequence falls into the
 cumulative targets and so names the source of slot i; the slots of a source are ranked. A source is one cyclic stream of
-its documents in a shuffled order, cut into blocks of equal tokens: the slot of rank r takes block r, lap after lap.
-
-Ranks stop at the rounded target, and what the points leave short of it follows in a few closing slots, so each source
-gives its rounded target exactly and no document is taken more than three times.
-
-No source meets in one task: ranks come from counts per chunk of slots, positions from counts per bucket of documents.
-Null and empty texts have size 0 and take 0. Repeated rows are documents of their own. A source of size 0 has target 0.
+its documents in a shuffled order, cut into blocks of equal tokens: the slot of rank r takes block r, lap after lap, and
+nothing after the third lap. How much a source gives is the number of points that fall to it, in blocks: the sequence's
+low discrepancy keeps that within a few millionths of all words of the target. `first_slot` is the first slot that takes
+from a document (null if none does).
+
+No source meets in one task: ranks come from counts per chunk of slots, positions from counts per bucket of documents,
+and slots meet documents by block. Null and empty texts have size 0 and take 0. Repeated rows are documents of their own.
+A source of size 0 has target 0.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from dossier.llm.common import cut, map_rows, plain_words, table
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-BLOCK_WORDS = 65_536  # at most; small inputs get blocks of a 100,000th of all words
+POINTS = 1_000_000  # of the schedule, about: a block holds a millionth of all words, and one word at least
 CHUNK = 65_536  # slots ranked together
 BUCKET_DOCS = 20_000  # documents placed together, about
 CELLS = 4096  # of the unit interval, for the join of points and sources
@@ -29,15 +30,17 @@ GOLDEN = 0.6180339887498949  # Fixed value: the fractional part of the golden ra
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size of every row."""
+    """doc_id, source, size and key of every row; the key, an MD5 of id and text, shuffles."""
 
     def make():
         def step(given):
-            yield {"doc_id": given["doc_id"], "source": given["source"], "size": [len(plain_words(t)) for t in given["text"]]}
+            yield {**{c: given[c] for c in ("doc_id", "source", "key")}, "size": [len(plain_words(t)) for t in given["text"]]}
 
         return step
 
-    return map_rows(docs.select("doc_id", "source", "text"), "doc_id long, source string, size long", make)
+    text = F.coalesce("text", F.lit(""))
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text).cast("binary"))
+    return map_rows(docs.select("doc_id", "source", key.alias("key"), "text"), "doc_id long, source string, key string, size long", make)
 
 
 def source_targets(sized: DataFrame) -> DataFrame:
@@ -83,33 +86,32 @@ def schedule(spark: SparkSession, targets: DataFrame, block_words: int, total: i
     return ranked.select("slot", "no", (F.col("first") + F.col("inside")).alias("rank"))
 
 
-def block_plan(slots: DataFrame, targets: DataFrame, block_words: int) -> DataFrame:
-    """What each slot takes: slot, no, rank, block, take (words from the block's start).
+def segments(slots: DataFrame, targets: DataFrame, block_words: int) -> DataFrame:
+    """What each slot takes of its source's stream: slot, no, block, lo, hi (words of one lap, within a block from its start).
 
-    Ranks walk the blocks of a source lap after lap until its rounded target is reached; slots beyond take nothing, and
-    what the points left short of a target follows in closing slots (slot null).
+    Rank r takes words [r, r + 1) * block_words of the laps one after the other, up to the end of the third lap.
     """
-    b = F.lit(block_words)
-    walk = targets.where("source_size > 0").withColumn("goal", F.round("target").cast("long"))
-    walk = walk.withColumn("n_blocks", F.ceil(F.col("source_size") / b)).withColumn("laps", F.expr("goal div source_size"))
-    rest = F.col("goal") - F.col("laps") * F.col("source_size")
-    walk = walk.withColumn("needed", F.col("laps") * F.col("n_blocks") + F.ceil(rest / b))
-    have = slots.groupBy("no").agg(F.count(F.lit(1)).alias("n_slots"))
-    short = walk.join(have, "no", "left").withColumn("n_slots", F.coalesce("n_slots", F.lit(0))).where("n_slots < needed")
-    closing = short.select(F.lit(None).cast("long").alias("slot"), "no", F.explode(F.sequence("n_slots", F.col("needed") - 1)).alias("rank"))
-    ranked = slots.unionByName(closing).join(walk.select("no", "goal", "source_size", "n_blocks"), "no")
-    block = F.col("rank") % F.col("n_blocks")
-    before = F.expr("rank div n_blocks") * F.col("source_size") + block * b
-    length = F.least(b, F.col("source_size") - block * b)
-    take = F.greatest(F.lit(0), F.least(length, F.col("goal") - before))
-    return ranked.select("slot", "no", "rank", block.alias("block"), take.alias("take"), (take == length).alias("whole")).where("take > 0")
+    b = F.lit(block_words).cast("long")
+    ranked = slots.join(targets.select("no", "source_size"), "no").where("source_size > 0")
+    taken = ranked.withColumn("a", F.col("rank") * b).withColumn("z", F.least(F.col("a") + b, MAX_REPEATS * F.col("source_size"))).where("a < z")
+    lapped = taken.withColumn("lap", F.explode(F.expr("sequence(a div source_size, (z - 1) div source_size)")))
+    turn = F.col("lap") * F.col("source_size")
+    lapped = lapped.withColumn("lo", F.greatest("a", turn) - turn).withColumn("hi", F.least(F.col("z"), turn + F.col("source_size")) - turn)
+    return _by_block(lapped.select("slot", "no", "lo", "hi"), block_words)
+
+
+def _by_block(spans: DataFrame, block_words: int) -> DataFrame:
+    """Spans [lo, hi) cut at the borders of blocks: one row for each `block` that a span touches."""
+    b = F.lit(block_words).cast("long")
+    each = spans.withColumn("block", F.explode(F.expr(f"sequence(lo div {block_words}, (hi - 1) div {block_words})")))
+    return each.withColumns({"lo": F.greatest("lo", F.col("block") * b), "hi": F.least(F.col("hi"), (F.col("block") + 1) * b)})
 
 
 def place(sized: DataFrame, targets: DataFrame, n_docs: int) -> DataFrame:
-    """Documents with their source's row and [start, end) in its stream of words, shuffled by the MD5 of the id."""
+    """Documents with their source's row and [start, end) in its stream of words, shuffled by their key."""
     n_buckets = max(16, n_docs // BUCKET_DOCS)
     of = targets.withColumnRenamed("source", "of")
-    known = sized.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).join(of, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    known = sized.join(of, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     # The first digits of the hash: buckets in order hold keys in order.
     known = known.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * n_buckets / (1 << 32)))
     counts = known.groupBy("no", "bucket").agg(F.sum("size").alias("n"))
@@ -122,26 +124,25 @@ def place(sized: DataFrame, targets: DataFrame, n_docs: int) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken and block_words."""
+    """One row per document: doc_id, source, size, source_size, target, taken, first_slot and block_words."""
     spark = docs.sparkSession
     sized = cut(sizes(docs))
     targets = cut(source_targets(sized))
     total, n_docs = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
-    size = max(1, min(BLOCK_WORDS, total // 100_000))
-    b = F.lit(size).cast("long")
-    used = (
-        block_plan(schedule(spark, targets, size, total), targets, size).groupBy("no", "block")
-        .agg(F.sum(F.col("whole").cast("long")).alias("times"), F.sum(F.when(~F.col("whole"), F.col("take"))).alias("part"))
-    )
+    size = max(1, total // POINTS)
+    slots = segments(schedule(spark, targets, size, total), targets, size)
     placed = cut(place(sized, targets, n_docs))
-    pieces = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"start div {size}"), F.expr(f"(end - 1) div {size}"))))
-    first = F.greatest(F.col("start") - F.col("block") * b, F.lit(0))
-    last = F.least(F.col("end") - F.col("block") * b, b)
-    taken = F.coalesce("times", F.lit(0)) * (last - first) + F.greatest(F.lit(0), F.least(last, F.coalesce("part", F.lit(0))) - first)
     columns = ["doc_id", "source", "size", "source_size", "target"]
-    some = pieces.join(used, ["no", "block"], "left").groupBy(*columns, "no", "start").agg(F.sum(taken).alias("taken"))
-    none = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    return some.select(*columns, "taken").union(none.select(*columns, "taken")).withColumn("block_words", b)
+    spans = placed.where("size > 0").select(*columns, "no", "start", F.col("start").alias("lo"), F.col("end").alias("hi"))
+    pieces = _by_block(spans, size).withColumnsRenamed({"lo": "from", "hi": "to"})
+    shared = F.greatest(F.lit(0), F.least("hi", "to") - F.greatest("lo", "from"))
+    met = pieces.join(slots, ["no", "block"], "left").withColumn("words", F.when(F.col("slot").isNull(), 0).otherwise(shared))
+    some = met.groupBy(*columns, "no", "start").agg(
+        F.sum("words").alias("taken"), F.min(F.when(F.col("words") > 0, F.col("slot"))).alias("first_slot")
+    )
+    none = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")).withColumn("first_slot", F.lit(None).cast("long"))
+    result = [*columns, "taken", "first_slot"]
+    return some.select(*result).union(none.select(*result)).withColumn("block_words", F.lit(size).cast("long"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,17 +150,24 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = r"""
-with s as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size from documents),
+with s as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size,
+  md5(coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')) k from documents),
 per as (select source, sum(size)::bigint source_size, row_number() over (order by source nulls last) - 1 no from s group by 1),
 w as (select *, [5.0::double, 2.0, 1.0][no % 3 + 1] weight, 3.0::double * source_size cap from per),
 l as (select *, cap / weight ratio, (sum(source_size) over () - coalesce(sum(cap) over before, 0))
     / (sum(weight) over () - coalesce(sum(weight) over before, 0)) share
   from w window before as (order by cap / weight, no rows between unbounded preceding and 1 preceding)),
 t as (select *, least(cap, weight * (select share from l where ratio >= share order by ratio, no limit 1)) target from l),
-g as (select source, source_size, target, case when source_size > 0 then round(target)::bigint // source_size else 0 end laps,
-    case when source_size > 0 then round(target)::bigint % source_size else 0 end part from t),
-p as (select s.*, g.source_size, target, laps, part, sum(size) over (partition by s.source order by md5(coalesce(doc_id::varchar, '')),
-    doc_id, size rows unbounded preceding) upto from s join g on s.source is not distinct from g.source)
-select doc_id, source, size, source_size, target, (laps * size + greatest(0, least(upto, part) - (upto - size)))::bigint taken,
-  greatest(1, least(65536, (select sum(size) from s) // 100000))::bigint block_words from p
+size_of as (select sum(size)::bigint total, greatest(1, sum(size)::bigint // 1000000) b from s),
+ends as (select no, sum(target) over (order by no) / sum(target) over () hi, no = max(no) over () is_last from t where target > 0),
+spans as (select no, coalesce(lag(hi) over (order by no), 0.0) lo, case when is_last then 2.0 else hi end hi from ends),
+points as (select i slot, ((i + 1) * 0.6180339887498949::double) % 1.0::double u from size_of, range((total + b - 1) // b) r(i)),
+ranked as (select slot, no, row_number() over (partition by no order by slot) - 1 rank from points join spans on u >= lo and u < hi),
+given as (select no, count(*) n_slots from ranked group by 1),
+g as (select t.no, t.source, source_size, target, b, least(coalesce(n_slots, 0) * b, 3 * source_size) words from size_of, t left join given using (no)),
+p as (select s.*, g.no, g.source_size, target, b, words, sum(size) over (partition by s.source order by k, doc_id, size rows unbounded preceding) upto
+  from s join g on s.source is not distinct from g.source)
+select doc_id, source, size, source_size, target, first.slot as first_slot, b as block_words, (case when source_size = 0 then 0 else words // source_size * size
+  + greatest(0, least(upto, words % source_size) - (upto - size)) end)::bigint taken
+from p left join ranked first on first.no = p.no and first.rank = (upto - size) // b and size > 0 and upto - size < words
 """
