@@ -1,11 +1,12 @@
 """Embedding near-duplicates by sorted projection passes.
 
 In each pass vectors are ordered lexicographically by a concatenation of random hashes (cells of random projections),
-so that near vectors tend to stand near each other. Each is compared with its `WINDOW` neighbours, and all vectors that
-share the first hashes of a pass (a run) are compared with each other in tiles, however many they are. How many hashes
-make a run is chosen for each label by the pairs that measured runs would compare; the number of passes with runs follows
-from that alone, so that a pair at the limit shares no run with probability at most `MISS`, whatever stands around it.
-Labels for which one run of all vectors is cheapest are compared exactly.
+so that near vectors tend to stand near each other. Each is compared with its `WINDOW` neighbours, and the window is
+widened to the whole run of vectors that share the first hashes of their keys: a run is compared in tiles, however long it
+is and whatever ranges it was sorted into. How many hashes make a run is chosen for each label by the pairs that measured
+runs would compare, never none; the number of passes follows from that, so that a pair at the limit shares no run with
+probability at most `MISS`, whatever stands around it. `exact=True` compares each label as one run instead; so does a limit
+so low that near vectors share no hash.
 
 Pairs at or above the cosine limit, checked in double precision, are united over all passes into components. Inside a
 component all pairs are then compared in blocks, so that link counts are exact for what the passes connect.
@@ -31,14 +32,12 @@ from pyspark.sql import functions as F
 from dossier.llm.common import components, cut, map_rows, table
 
 COSINE = 0.98
-PASSES = 16  # at least; more vectors of a label need more, see `passes_for`
-HASHES = 12
-MISS = 1e-5  # probability that no pass puts a pair at the limit into one window
+HASHES = 16  # of a key; a run shares the first of them
+MISS = 1e-5  # probability that no pass puts a pair at the limit into one run
 CELL = 1.0  # width of a hash cell; a projection of a unit vector has variance 1
 WINDOW = 12
 BLOCK = 1024
 RUN_BLOCK = 4096
-DEPTH = 16  # most hashes of a run
 MEASURED = 20_000  # vectors of a label whose runs are measured, to choose a depth; they decide cost only
 ROW_COST = 2000.0  # of moving a vector to its tile, in compared pairs
 
@@ -78,18 +77,6 @@ def clean_vectors(rows: DataFrame) -> DataFrame:
     return map_rows(rows.select("vec_id", F.col("label").cast("long").alias("label"), "embedding"), schema, make)
 
 
-def passes_for(most: int, limit: float = COSINE, window: int = WINDOW) -> tuple[int, int]:
-    """Passes and hashes for labels of up to `most` vectors.
-
-    A pair stands in one window if it agrees in so many hashes that about a window of vectors shares them; a hash tells
-    about four cells apart, and two vectors at the limit agree in it unless their projections fall on both sides of an edge.
-    """
-    depth = max(1.0, math.log2(max(2.0, most / window)) / 2)
-    agree = 1 - math.sqrt(max(1e-9, 2 - 2 * limit)) * math.sqrt(2 / math.pi) / CELL
-    together = max(1e-3, agree) ** depth
-    return max(PASSES, math.ceil(math.log(MISS) / math.log(1 - together))), max(HASHES, math.ceil(depth) + 4)
-
-
 def run_passes(depth: int, limit: float) -> int | None:
     """Passes after which a pair at the limit has shared a run of `depth` hashes but for MISS; None if out of reach."""
     agree = 1 - math.sqrt(max(0.0, 2 - 2 * limit)) * math.sqrt(2 / math.pi) / CELL  # at least this, at each hash
@@ -100,12 +87,11 @@ def run_passes(depth: int, limit: float) -> int | None:
     return math.ceil(n) if n <= 1000 else None
 
 
-def hashed(nodes: DataFrame, passes: int = PASSES, hashes: int = HASHES, seed: int = 11) -> DataFrame:
-    """A row per node and pass: label, dim, pass, key (concatenated hashes, in sorting order), node, unit.
+def hashed(nodes: DataFrame, passes: int, hashes: int = HASHES, seed: int = 11) -> DataFrame:
+    """A row per node and pass: label, dim, pass, key (concatenated hashes, in sorting order), depth, node, unit.
 
-    Where nodes have a depth and n_passes, their keys have so many hashes and they are in the first n_passes only.
+    Nodes have `depth`, the hashes of a run, and `n_passes`: they are in the first n_passes of the `passes` only.
     """
-    own = [c for c in ("depth", "n_passes") if c in nodes.columns]
 
     def make():
         planes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -119,18 +105,17 @@ def hashed(nodes: DataFrame, passes: int = PASSES, hashes: int = HASHES, seed: i
                 x = np.frombuffer(b"".join(given["unit"][i] for i in at)).reshape(len(at), dim)
                 g, shift = planes[dim]
                 cell = np.clip(np.floor((x @ g + shift) / CELL) + 128, 0, 255).astype(np.uint8).reshape(len(at), passes, hashes)
-                depth = [given["depth"][i] for i in at] if own else [hashes] * len(at)
-                each = [(k, p) for k, i in enumerate(at) for p in range(given["n_passes"][i] if own else passes)]
+                each = [(k, p) for k, i in enumerate(at) for p in range(given["n_passes"][i])]
                 take = lambda name: [given[name][at[k]] for k, _ in each]
                 yield {
                     "label": take("label"), "dim": [dim] * len(each), "pass": [p for _, p in each],
-                    "key": [cell[k, p, : depth[k]].tobytes() for k, p in each],
-                    "node": take("node"), "unit": take("unit"),
+                    "key": [cell[k, p].tobytes() for k, p in each], "depth": take("depth"), "node": take("node"), "unit": take("unit"),
                 }
 
         return step
 
-    return map_rows(nodes.select("label", "dim", "node", "unit", *own), "label long, dim int, pass int, key binary, node binary, unit binary", make)
+    schema = "label long, dim int, pass int, key binary, depth int, node binary, unit binary"
+    return map_rows(nodes.select("label", "dim", "node", "unit", "depth", "n_passes"), schema, make)
 
 
 def window_links(ordered: DataFrame, limit: float, window: int) -> DataFrame:
@@ -159,28 +144,31 @@ def window_links(ordered: DataFrame, limit: float, window: int) -> DataFrame:
     return ordered.mapInArrow(run, "a binary, b binary")
 
 
-def run_depths(nodes: DataFrame, limit: float) -> DataFrame:
-    """label, dim, depth, n_passes: the cheapest runs of each label and length, by the pairs that they would compare."""
+def run_depths(nodes: DataFrame, limit: float, exact: bool = False) -> DataFrame:
+    """label, dim, depth, n_passes: the cheapest runs of each label and length, by the pairs that they would compare.
+
+    depth 0, one run of the whole label, is taken if `exact`, or where no other depth can hold the limit.
+    """
     spark = nodes.sparkSession
     sizes = cut(nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).withColumn("step", F.ceil(F.col("n") / MEASURED)))
     some = nodes.join(sizes, ["label", "dim"]).where("pmod(xxhash64(node), step) = 0").drop("n", "step")
-    keys = hashed(some, 2, DEPTH, seed=12).groupBy("label", "dim", "pass", "key").agg(F.count(F.lit(1)).alias("n"))
-    runs = keys.select("label", "dim", "pass", "n", "key", F.explode(F.sequence(F.lit(1), F.lit(DEPTH))).alias("depth"))
+    some = some.withColumns({"depth": F.lit(HASHES), "n_passes": F.lit(2)})
+    keys = hashed(some, 2, seed=12).groupBy("label", "dim", "pass", "key").agg(F.count(F.lit(1)).alias("n"))
+    runs = keys.select("label", "dim", "pass", "n", "key", F.explode(F.sequence(F.lit(1), F.lit(HASHES))).alias("depth"))
     runs = runs.groupBy("label", "dim", "pass", "depth", F.expr("substring(key, 1, depth)").alias("key")).agg(F.sum("n").alias("n"))
     pairs = runs.groupBy("label", "dim", "depth").agg((F.sum(F.col("n") * (F.col("n") - 1.0)) / 2).alias("pairs"))
     pairs = pairs.join(sizes, ["label", "dim"]).withColumn("pairs", F.col("pairs") * F.col("step") * F.col("step")).drop("step")
     whole = sizes.select("label", "dim", F.lit(0).alias("depth"), (F.col("n") * (F.col("n") - 1.0) / 2).alias("pairs"), "n")
-    passes = [(d, n) for d in range(DEPTH + 1) if (n := run_passes(d, limit))]
+    passes = [(d, n) for d in range(1 if exact else HASHES + 1) if (n := run_passes(d, limit))]
     cost = pairs.unionByName(whole).join(F.broadcast(spark.createDataFrame(passes, "depth int, n_passes int")), "depth")
     cost = cost.withColumn("cost", F.col("n_passes") * (F.col("pairs") + F.col("n") * ROW_COST))
-    best = cost.groupBy("label", "dim").agg(F.min(F.struct("cost", "depth", "n_passes")).alias("b"))
+    best = cost.groupBy("label", "dim").agg(F.min(F.struct(F.col("depth") == 0, "cost", "depth", "n_passes")).alias("b"))
     return cut(best.select("label", "dim", "b.depth", "b.n_passes"))
 
 
-def run_links(nodes: DataFrame, depths: DataFrame, limit: float, block: int = RUN_BLOCK) -> DataFrame:
+def run_links(keyed: DataFrame, limit: float, block: int = RUN_BLOCK) -> DataFrame:
     """Links (a, b) that connect all that is linked inside runs: every pair of a run is compared, in tiles."""
-    most = depths.agg(F.coalesce(F.max("n_passes"), F.lit(1))).first()[0]
-    runs = hashed(nodes.join(depths, ["label", "dim"]), most, DEPTH, seed=13)
+    runs = keyed.withColumn("key", F.expr("substring(key, 1, depth)"))
     run = ["label", "dim", "pass", "key"]
     sizes = runs.groupBy(*run).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*run, F.ceil(F.col("n") / block).cast("int").alias("k"))
     placed = runs.join(sizes, run).withColumn("c", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
@@ -264,20 +252,20 @@ def link_counts(members: DataFrame, limit: float, block: int = BLOCK) -> DataFra
     return map_rows(tiles, "node binary, n long", make).groupBy("node").agg(F.sum("n").alias("n"))
 
 
-def near_vectors(rows: DataFrame, limit: float = COSINE, passes: int | None = None, window: int = WINDOW) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept. Without `passes` their number follows the largest label."""
+def near_vectors(rows: DataFrame, limit: float = COSINE, window: int = WINDOW, exact: bool = False) -> DataFrame:
+    """One row per vector: vec_id, n_links, component_id, kept. `exact` compares each label as one run."""
     given = cut(clean_vectors(rows))
     # Narrow counts first: of equal vectors one travels.
     nodes = cut(
         given.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"),
                                                              F.first("dim").alias("dim"), F.first("unit").alias("unit"))
     )
-    # Windows find most connections; runs, compared whole, leave none to the density of a label.
+    depths = run_depths(nodes, limit, exact)
+    most = depths.agg(F.coalesce(F.max("n_passes"), F.lit(1))).first()[0]
+    keyed = hashed(nodes.join(depths, ["label", "dim"]), most)
     order = ["label", "dim", "pass", "key", "node"]
-    most = nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    needed, hashes = passes_for(most, limit, window)
-    ordered = hashed(nodes, passes or needed, hashes).repartitionByRange(*order).sortWithinPartitions(*order)
-    links = window_links(ordered, limit, window).union(run_links(nodes, run_depths(nodes, limit), limit))
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    links = window_links(ordered, limit, window).union(run_links(keyed, limit))
     comps = cut(components(links))
     members = nodes.join(comps, "node")
     counts = link_counts(members, limit)

@@ -75,7 +75,7 @@ def test_isolated_links_in_a_hot_group(spark, monkeypatch, depth):
     """All vectors of a label at cosine 0.94, links only in pairs: in runs of the chosen depth, and of six hashes."""
     if depth:
         fixed = spark.createDataFrame([(1, 64, depth, v.run_passes(depth, v.COSINE))], "label long, dim int, depth int, n_passes int")
-        monkeypatch.setattr(v, "run_depths", lambda nodes, limit: fixed)
+        monkeypatch.setattr(v, "run_depths", lambda nodes, limit, exact: fixed)
         monkeypatch.setattr(v.run_links, "__defaults__", (256,))
     rng = np.random.default_rng(3)
     unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
@@ -100,9 +100,19 @@ def test_run_passes():
     assert v.run_passes(0, -1.0) == 1 and v.run_passes(1, -1.0) is None and v.run_passes(8, 1.0) == 1
 
 
-def test_passes_follow_the_size():
-    few, many = v.passes_for(1_000), v.passes_for(10**9)
-    assert few == (16, 12) and many[0] > 60 and many[1] > 12
+def test_fewer_passes_lose_links(spark, monkeypatch):
+    """What is linked comes out of the sorted passes: one pass alone misses pairs, none of them is found another way."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(800, 64))
+    x = np.concatenate([x, x + 0.02 * np.linalg.norm(x, axis=1, keepdims=True) * rng.normal(size=x.shape)])
+    table = spark.createDataFrame([(i, e.tolist(), i % 2) for i, e in enumerate(x)], SCHEMA)
+    links = lambda **o: sum(r["n_links"] for r in v.near_vectors(table, **o).collect())
+    full = links()
+    assert full == links(exact=True) > 1000
+    depth = v.run_depths(v.cut(v.clean_vectors(table).where("node is not null")), v.COSINE).select("depth", "n_passes").distinct().collect()
+    assert all(d >= 1 and n > 1 for d, n in depth)
+    monkeypatch.setattr(v, "run_passes", lambda depth, limit: 1 if depth == 8 else None)
+    assert links() < 0.9 * full
 
 
 def test_empty(spark):
