@@ -15,6 +15,8 @@ A source of size 0 has target 0.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,15 +34,20 @@ GOLDEN = 0.6180339887498949  # Fixed value: the fractional part of the golden ra
 def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source, size and key of every row; the key, an MD5 of id and text, shuffles."""
 
+    def key(doc_id, text):
+        digest = hashlib.md5(f"{'' if doc_id is None else doc_id}:".encode())
+        digest.update((text or "").encode("utf-8", "surrogatepass"))
+        return digest.hexdigest()
+
     def make():
         def step(given):
-            yield {**{c: given[c] for c in ("doc_id", "source", "key")}, "size": [len(plain_words(t)) for t in given["text"]]}
+            keys = [key(i, t) for i, t in zip(given["doc_id"], given["text"])]
+            yield {"doc_id": given["doc_id"], "source": given["source"], "key": keys, "size": [len(plain_words(t)) for t in given["text"]]}
 
         return step
 
-    text = F.coalesce("text", F.lit(""))
-    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text).cast("binary"))
-    return map_rows(docs.select("doc_id", "source", key.alias("key"), "text"), "doc_id long, source string, key string, size long", make)
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
+    return map_rows(wanted, "doc_id long, source string, key string, size long", make, rows=128)
 
 
 def source_targets(sized: DataFrame) -> DataFrame:
