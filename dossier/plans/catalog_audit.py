@@ -24,8 +24,8 @@ def _items(spark, sf):
 
 
 def _matches(spark, sf):
-    ranked = retrieve(inputs.kb_queries(spark, sf), inputs.kb(spark, sf), inputs.nearness_scorer, RetrievalConfig())
-    return attach_evidence(ranked, inputs.kb(spark, sf))
+    docs = inputs.written_kb(spark, sf)
+    return attach_evidence(retrieve(inputs.kb_queries(spark, sf), docs, inputs.nearness_scorer, RetrievalConfig()), docs)
 
 
 def _requests(spark, sf, cfg=AuditConfig()):

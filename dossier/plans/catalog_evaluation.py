@@ -103,7 +103,7 @@ def _rules(scen):
 
 
 def _matches5(spark, sf):
-    docs = inputs.kb(spark, sf)
+    docs = inputs.written_kb(spark, sf)
     return attach_evidence(retrieve(inputs.kb_queries(spark, sf), docs, inputs.nearness_scorer, K5), docs)
 
 

@@ -167,7 +167,7 @@ def vector_topk_by_type(spark, sf):
 
 
 def candidate_pool(spark, sf):
-    docs, asked = inputs.kb(spark, sf), inputs.kb_queries(spark, sf)
+    docs, asked = inputs.written_kb(spark, sf), inputs.kb_queries(spark, sf)
     near = vx.vector_pools(asked, docs, channel_pools(CFG))
     texts = docs.filter("type = 'text_chunk'").select("kb", "doc_id")
     lexical = rt.bm25_topk(asked, ix.lexical_index(docs), CFG.bm25_top_n).join(texts, ["kb", "doc_id"], "left_semi")
@@ -175,7 +175,7 @@ def candidate_pool(spark, sf):
 
 
 def _candidates(spark, sf):
-    return candidates(inputs.kb_queries(spark, sf), inputs.kb(spark, sf), CFG)
+    return candidates(inputs.kb_queries(spark, sf), inputs.written_kb(spark, sf), CFG)
 
 
 def dedupe_candidates(spark, sf):
@@ -230,16 +230,17 @@ def distance_fallback(spark, sf):
     )
 
 
-def _retrieved(spark, sf):
-    return retrieve(inputs.kb_queries(spark, sf), inputs.kb(spark, sf), inputs.nearness_scorer, CFG)
+def _retrieved(spark, sf, docs):
+    return retrieve(inputs.kb_queries(spark, sf), docs, inputs.nearness_scorer, CFG)
 
 
 def format_context(spark, sf):
-    return rt.format_context(attach_evidence(_retrieved(spark, sf), inputs.kb(spark, sf)))
+    docs = inputs.written_kb(spark, sf)
+    return rt.format_context(attach_evidence(_retrieved(spark, sf, docs), docs))
 
 
 def retrieve_all(spark, sf):
-    return _retrieved(spark, sf).select("kb", "query_id", "doc_id", "type", "key", "norm_score", "final_rank")
+    return _retrieved(spark, sf, inputs.written_kb(spark, sf)).select("kb", "query_id", "doc_id", "type", "key", "norm_score", "final_rank")
 
 
 QUERIES = {

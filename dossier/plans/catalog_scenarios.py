@@ -41,12 +41,12 @@ def threshold_claims(spark, sf):
     return claims.select("table_id", "row_idx", "kind", F.round("measure", 6).alias("measure"), F.round("value", 6).alias("value"), "expected", "text")
 
 
-REGIMES = ["alpha", "beta", "gamma", "delta"]
+REGIMES = ["alpha", "beta", "gamma", "delta", "epsilon"]
 
 
 def _titles(spark, sf):
-    """A table per nation of customers' order months (groups) with titles in four regimes."""
-    return inputs.cells(spark, sf, "status").filter("col_idx < 5").withColumn(
+    """A table per nation of customers' order months (groups) with titles in five regimes."""
+    return inputs.cells(spark, sf, "status").withColumn(
         "text",
         F.when(F.col("col_idx") == 0, F.col("text")).when(F.col("text") == "Qualified", F.concat(F.lit("t  "), F.col("col_idx").cast("string"), F.lit("&#1;")))
         .when(F.col("text") == "Note 1", "Nil (x)").otherwise(F.col("text")),
@@ -62,7 +62,13 @@ def balanced_sample(spark, sf):
 
 
 def bridging_claims(spark, sf):
-    return sc.bridging_claims(inputs.cells(spark, sf, "status").filter("col_idx < 3"))
+    """Each two neighbouring columns are a table of their own: qualification and bridging of its tasks."""
+    pair = F.explode(F.sequence(F.lit(1), F.lit(len(REGIMES) - 1))).alias("pair")
+    cells = inputs.cells(spark, sf, "status").select("*", pair).filter("col_idx = 0 or col_idx - pair in (0, 1)")
+    return sc.bridging_claims(cells.select(
+        F.concat_ws("/", "table_id", "pair").alias("table_id"), "row_idx",
+        F.when(F.col("col_idx") == 0, 0).otherwise(F.col("col_idx") - F.col("pair") + 1).alias("col_idx"), "text",
+    ))
 
 
 def stream_calls(spark, sf):

@@ -68,8 +68,7 @@ def stitch_fragments(spark, sf):
 
 
 def resolve_footnotes(spark, sf):
-    body = inputs.cells(spark, sf, "value").filter("row_idx > 0 and col_idx > 0")
-    return tb.resolve_footnotes(body, inputs.table_notes(spark, sf).select("table_id", "footnotes"))
+    return tb.resolve_footnotes(inputs.cells(spark, sf, "value"), inputs.table_notes(spark, sf).select("table_id", "footnotes"))
 
 
 def classify_tables(spark, sf):

@@ -228,11 +228,16 @@ def kb(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def written_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`kb` written once, as a stored base is: a search reads its vectors, its texts and its facts separately."""
+    return cut(kb(spark, sf_dir))
+
+
 def kb_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All passages, asked of every base, with the stored vector of the same number, else one from the text."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
     asked = passages(spark, sf_dir).join(vectors, "query_id", "left")
-    return asked.withColumn("embedding", F.coalesce("embedding", text_vector(F.col("text"))))
+    return cut(asked.withColumn("embedding", F.coalesce("embedding", text_vector(F.col("text")))))
 
 
 def nearness_scorer(pairs: DataFrame) -> DataFrame:

@@ -225,7 +225,10 @@ ORACLES = {
         from quality where reject_reason is not null""",
     "resolve_footnotes": f"""with {cells('value')}
         select table_id, row_idx, col_idx, text, resolved, case when text like '%[%' then 1 else 0 end n_marks,
-          case when text like '%[9]%' then 1 else 0 end n_unresolved from resolved""",
+          case when text like '%[9]%' then 1 else 0 end n_unresolved from resolved
+        union all select table_id, row_idx, 0, rl, rl, 0, 0 from row_labels
+        union all select distinct table_id, 0, p, '1.' || p, '1.' || p, 0, 0 from slots
+        union all select distinct table_id, 0, 0, 'Hazard Class', 'Hazard Class', 0, 0 from row_labels""",
     "classify_tables": " union all ".join(
         f"""select * from (with {cells(style)}
         select '{style}/' || table_id table_id, max(row_idx) + 1 n_rows, 6 n_cols,
