@@ -13,6 +13,7 @@ from dossier.operators import retrieval as rt
 from dossier.plans import inputs
 from dossier.plans.retrieve import attach_evidence, retrieve
 from dossier.sources.kb import export_audit as write_audit
+from dossier.sources.stored_results import read_verdicts, store_verdicts
 
 # Requests carry the whole context. `audit_requests_cut` checks the cut that a model with a short context needs.
 SHORT = AuditConfig(context_char_cap=3000)
@@ -76,6 +77,29 @@ def reuse_verdicts(spark, sf):
     return au.reuse_verdicts(requests, keyed, prompt).select("model", "kb", "query_id", "cache_key", "verdict", "cached")
 
 
+def verdict_store(spark, sf):
+    """Two runs of the same requests: replies are stored, later ones win, errors never count; what is left to ask."""
+    path = f"{checkpoint_folder(spark).rstrip('/')}/verdicts-{uuid.uuid4().hex}"
+    each_model = F.explode(F.array(*[F.lit(m) for m, _, _, _ in inputs.MODELS]))
+    prompt = au.prompt_hash(PROMPT)
+    requests = cut(_requests(spark, sf).withColumn("model", each_model))
+    key = au.cache_key(F.col("model"), prompt, F.col("text"), F.coalesce("context", F.lit("")))
+    n = F.length("text")
+    verdict = F.when(n % 3 == 0, "COMPLIANT").when(n % 3 == 1, "NON_COMPLIANT").otherwise("NOT_EVALUATED")
+    replies = requests.select(key.alias("cache_key"), verdict.alias("verdict"), F.lit("first").alias("reasoning"), F.timestamp_seconds(F.lit(1000)).alias("stored_at"), "text")
+    later = replies.filter(F.substring("text", 1, 1) < "N").withColumns({
+        "verdict": F.when(F.length("text") % 2 == 0, "COMPLIANT").otherwise("NOT_EVALUATED"), "reasoning": F.lit("second"),
+        "stored_at": F.timestamp_seconds(F.lit(2000)),
+    })
+    for run in (later, replies, later):  # out of order, and one merge twice
+        store_verdicts(run.drop("text"), path)
+    reused = au.reuse_verdicts(requests, read_verdicts(spark, path), prompt)
+    to_do = au.requests_to_do(reused).select("model", "kb", "query_id").withColumn("to_do", F.lit(True))
+    return reused.join(to_do, ["model", "kb", "query_id"], "left").select(
+        "model", "kb", "query_id", "cache_key", "verdict", "reasoning", F.coalesce("to_do", F.lit(False)).alias("to_do")
+    )
+
+
 def _results(spark, sf):
     n = F.length("text")
     items = _items(spark, sf)
@@ -115,6 +139,6 @@ def call_rate_breaches(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (audit_requests, audit_requests_cut, request_stats, parse_responses, verdict_counts, reuse_verdicts, audit_results, export_audit,
+    for f in (audit_requests, audit_requests_cut, request_stats, parse_responses, verdict_counts, reuse_verdicts, verdict_store, audit_results, export_audit,
               audit_summary, call_rate_breaches)
 }

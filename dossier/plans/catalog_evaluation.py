@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
 
 from dossier.config import RetrievalConfig
-from dossier.functions.lineage import cut
+from dossier.functions.lineage import checkpoint_folder, cut
 from dossier.functions.scan import Running, running_values
 from dossier.functions.text import word_tokens
 from dossier.operators import evaluate as ev
@@ -20,6 +21,7 @@ from dossier.plans import inputs
 from dossier.plans.catalog_tables import variant_tables
 from dossier.plans.retrieve import attach_evidence, retrieve
 from dossier.sources.scenarios import label_scenarios as with_labels
+from dossier.sources.stored_results import baseline, record_metrics
 
 K5 = RetrievalConfig(top_k=5)
 NAMES = [m for m, _, _, _ in inputs.MODELS]
@@ -137,6 +139,21 @@ def regression_guard(spark, sf):
     return _round(ev.regression_guard(now, base, ["exact", "page"], 0.01), "before", "now")
 
 
+def regression_history(spark, sf):
+    """The suite against its log: the latest snapshot before a day, and the latest of a release."""
+    path = f"{checkpoint_folder(spark).rstrip('/')}/metrics-{uuid.uuid4().hex}"
+    now = cut(eval_suite(spark, sf))
+    day = lambda n: F.timestamp_seconds(F.lit(86_400 * n))
+    for tag, taken, change in (("release", 1, 0.05), ("trial", 2, -0.04), ("release", 3, 0.0), ("trial", 5, 0.5)):
+        record_metrics(now.withColumn("hr3", F.col("hr3") + change), path, tag, day(taken))
+    choices = {"before day 3": {"before": day(3)}, "release": {"tag": "release"}, "release before day 3": {"before": day(3), "tag": "release"}, "none": {"before": day(1)}}
+    guards = [
+        ev.regression_guard(now, baseline(spark, path, **choice), ["exact", "page"], 0.01).withColumn("against", F.lit(name))
+        for name, choice in choices.items()
+    ]
+    return _round(reduce(lambda a, b: a.unionByName(b), guards), "before", "now")
+
+
 def _runs(spark, sf):
     return inputs.verdict_runs(spark, sf)
 
@@ -276,7 +293,7 @@ def serialization_ablation(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (label_scenarios, lexical_gold_rank, gold_rank, retrieval_metrics, eval_suite, regression_guard, verdict_scorecard,
+    for f in (label_scenarios, lexical_gold_rank, gold_rank, retrieval_metrics, eval_suite, regression_guard, regression_history, verdict_scorecard,
               verdict_scorecard_strict, verdict_errors, verdict_confusion, class_recall, model_ladder, accuracy_by_group,
               verdicts_by_model, compare_runs, changed_items, missing_gold, remap_gold, apply_remap, failure_attribution,
               latency_profile, stage_latency, serialization_ablation)

@@ -67,6 +67,11 @@ ORACLES = {
     "reuse_verdicts": f"""with {RUNS}, {chain()}, {_REQUESTS}, {_CACHED}
         select k.model, kb, query_id, k.cache_key, s.verdict, s.verdict is not null cached
         from call_keys k left join (select distinct * from stored where verdict <> 'NOT_EVALUATED') s using (cache_key)""",
+    "verdict_store": f"""with {RUNS}, {chain()}, {_REQUESTS}, {_CACHED}, kept as (
+          select *, early and n % 2 = 0 as second, n % 3 < 2 as first from call_keys)
+        select model, kb, query_id, cache_key,
+          case when second then 'COMPLIANT' when n % 3 = 0 then 'COMPLIANT' when first then 'NON_COMPLIANT' end verdict,
+          case when second then 'second' when first then 'first' end reasoning, not second and not first and context is not null as to_do from kept""",
     "audit_results": f"""with {chain()}, picked as (
           select f.*, case when f.type = 'table' then table_name else title end source, kb.page_idx
           from final f join kb using (kb, doc_id) join passages p using (kb, query_id) where not contains(p.text, chr(10))),

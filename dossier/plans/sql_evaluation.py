@@ -132,6 +132,12 @@ ORACLES = {
           case when run in ('exact', 'page') then case when s.hr3 + 0.01 + 1e-9 < b.hr3 then 'regression' else 'ok' end
             when s.hr3 > b.hr3 + 1e-9 then 'up' when s.hr3 + 1e-9 < b.hr3 then 'down' else 'same' end status
         from suite s join base b using (run)""",
+    "regression_history": f"""with {_SCEN}, {_SUITE}, bases as (
+          select run, against, hr3 + change hr3 from suite, (values ('before day 3', -0.04), ('release', 0.0), ('release before day 3', 0.05)) c(against, change))
+        select against, run, round(b.hr3, 6) as before, round(s.hr3, 6) as now, run in ('exact', 'page') guarded,
+          case when run in ('exact', 'page') then case when s.hr3 + 0.01 + 1e-9 < b.hr3 then 'regression' else 'ok' end
+            when s.hr3 > b.hr3 + 1e-9 then 'up' when s.hr3 + 1e-9 < b.hr3 then 'down' else 'same' end status
+        from suite s join bases b using (run)""",
     "verdict_scorecard": _card("exclude"),
     "verdict_scorecard_strict": _card("wrong"),
     "verdict_errors": f"""with {RUNS}, {_EXPECTED} select run, item_no, grp, expected, predicted from (
