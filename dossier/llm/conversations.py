@@ -563,3 +563,43 @@ def repair_summary(turns: DataFrame, conv_ids: DataFrame | None = None, block: i
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     return repair_summary(damage(conversations), conversations)
+
+
+OP11_SQL = r"""
+with recursive given as (select conv_id, turn, coalesce(role, ' ') r, coalesce(text, ' ') t, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') k from conversations),
+fated as (select *, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(k, ''), lambda c: ascii(c)::bigint)),
+    lambda acc, b: list_reduce([xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end)),
+    4294967295::bigint) % 20 fate from given),
+damaged as (select conv_id, turn, case fate when 4 then 'user' else r end r, case fate when 1 then '' when 2 then translate(t, '.!?', '') else t end t,
+    unnest(case fate when 3 then [0, 1] else [0] end) from fated where fate <> 0),
+placed as (select conv_id, turn, r, t, row_number() over (partition by conv_id order by turn nulls first, r, sha256(t)) i from damaged),
+ended as (select *, regexp_extract(t, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) e, row_number() over (partition by conv_id, r, t order by i) seen,
+    r[1:1] c, lag(r[1:1]) over (partition by conv_id order by i) || r[1:1] two from placed),
+turns as (select *, case when e = '' then 'b' when seen > 1 then 'd' when e not in ('.', '!', '?') then 't' else '' end fault from ended),
+state(conv_id, i, q, best, made) as (
+  select c.conv_id, 0::bigint, [0, 2, 3][n + 1], lpad((2 * n)::varchar, 8, '0') || repeat('I', n::int), ['user:', 'assistant:'][1:n]
+  from (select distinct conv_id from turns) c, range(3) x(n)
+  union all
+  select conv_id, i, q, min(best), arg_min(made, best) from (
+    select conv_id, i, [[q, 2, 3], [q, 2, 3], [q, 3, 2], [q, 2, 3]][q + 1][n + 1] q,
+      lpad((cost + 2 * n)::varchar, 8, '0') || audit || repeat('I', n::int) best,
+      list_concat(made, (case when q = 2 then ['assistant:', 'user:'] else ['user:', 'assistant:'] end)[1:n]) made
+    from (
+      select s.conv_id, s.i + 1 i, s.best[1:8]::int + case edit when 'D' then 3 when 'R' then 2 else 0 end + case when edit <> 'D' and fault = 't' then 1 else 0 end cost,
+        s.best[9:] || edit audit,
+        case edit when 'D' then s.q when 'R' then [2, 2, 3, 2][s.q + 1] else case c when 's' then 1 when 'u' then 2 else 3 end end q,
+        case edit when 'D' then made when 'R' then list_append(made, case when s.q = 2 then 'assistant:' else 'user:' end || t) else list_append(made, r || ':' || t) end made
+      from state s join turns on turns.conv_id is not distinct from s.conv_id and turns.i = s.i + 1, (values ('D'), ('K'), ('R')) e(edit)
+      where edit = 'D' or fault not in ('b', 'd') and (edit = 'R' or c = 's' and s.q = 0 or c = 'u' and s.q <> 2 or c = 'a' and s.q = 2)), range(3) x(n))
+  group by conv_id, i, q),
+counts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, count(*) filter (where fault = 'b') blank,
+    count(*) filter (where fault = 'd') duplicate, count(*) filter (where fault = 't') truncated,
+    count(*) filter (where two is not null and (two not in ('su', 'ua', 'au') or c = '')) illegal, count(*) n from turns group by 1),
+best as (select s.conv_id, min(best) best, arg_min(made, best) made from state s join counts on counts.conv_id is not distinct from s.conv_id
+  where i = n and q in (0, 3) group by 1),
+ids as (select distinct conv_id from conversations)
+select ids.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated,
+  coalesce(illegal, 0) illegal, coalesce(best[1:8]::bigint, 0) cost, coalesce(best[9:], '') audit,
+  sha256(coalesce(array_to_string(made, chr(10)), '')) repaired_sha256, coalesce(n, 0) n_turns, coalesce(len(made), 0)::bigint n_repaired
+from ids left join counts on counts.conv_id is not distinct from ids.conv_id left join best on best.conv_id is not distinct from ids.conv_id
+"""

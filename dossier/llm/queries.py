@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dossier.llm.conversations import op11_conversation_repair
+from dossier.llm.conversations import OP11_SQL, op11_conversation_repair
 from dossier.llm.dart_minhash import op10_dart_minhash
 from dossier.llm.decontaminate import OP5_SQL, op5_decontaminate
 from dossier.llm.fim import OP13_SQL, op13_fill_in_middle
@@ -38,5 +38,6 @@ ORACLES: dict[str, str] = {
     "op5_decontaminate": OP5_SQL,
     "op6_warc": OP6_SQL,
     "op8_mixing": OP8_SQL,
+    "op11_conversation_repair": OP11_SQL,
     "op13_fill_in_middle": OP13_SQL,
 }
