@@ -21,9 +21,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.common import table
+from dossier.llm.common import cut, table
 
 RUN_KEYS = 200_000  # keys of one sorted run, about
+MOST_SENT = 100_000  # groups of rules with their numbers of runs, sent to all tasks; more are joined
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # The rules of the query's contract.
@@ -71,8 +72,12 @@ def _stacks(rules: DataFrame) -> DataFrame:
 def _sweep(keys: DataFrame, rules: DataFrame) -> DataFrame:
     """Distinct keys (g, k, ...) with `fits`: the keys of rules in the same group that are prefixes of k, shortest first."""
     runs = keys.groupBy("g").agg((F.count(F.lit(1)) / RUN_KEYS + 1).cast("int").alias("runs"))
-    runs = runs.join(rules.select("g").distinct(), "g")
-    asked = keys.join(runs, "g").withColumn("run", F.pmod(F.xxhash64("k"), F.col("runs")).cast("int")).drop("runs")
+    runs = cut(runs.join(rules.select("g").distinct(), "g"))  # one row for each group that has rules
+    if runs.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        runs = F.broadcast(runs)
+    # By the whole key: many hosts may have the same path.
+    whole = F.xxhash64(*[c for c in keys.columns if c != "g"])
+    asked = keys.join(runs, "g").withColumn("run", F.pmod(whole, F.col("runs")).cast("int")).drop("runs")
     opened = _stacks(rules).join(runs, "g").withColumn("run", F.explode(F.sequence(F.lit(0), F.col("runs") - 1))).drop("runs")
     both = asked.withColumn("kind", F.lit(1)).unionByName(opened.withColumn("kind", F.lit(0)), allowMissingColumns=True)
     order = Window.partitionBy("g", "run").orderBy("k", "kind").rowsBetween(Window.unboundedPreceding, 0)

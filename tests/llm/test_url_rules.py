@@ -61,3 +61,29 @@ def test_plan_has_no_python(spark):
     pages = spark.range(3).selectExpr("id page_id", "'http://a.com/en/' url")
     plan = u.judge_urls(pages, u.rules_table(spark, u.RULES))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas|CartesianProduct", plan)
+
+
+def test_many_hosts_of_one_path_are_dealt_to_many_runs(spark, monkeypatch):
+    """The most common path of a crawl: its hosts don't share a sorted run."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(u, "RUN_KEYS", 100)
+    urls = [f"http://h{i}.com/" for i in range(2000)]
+    check(spark, urls, [("com", "/", "block"), ("h7.com", "/", "allow")])
+    dealt = []
+    window = u.Window.partitionBy
+
+    def spied(*columns):
+        dealt.append(columns)
+        return window(*columns)
+
+    monkeypatch.setattr(u.Window, "partitionBy", spied)
+    keys = spark.range(2000).select(F.lit("com.").alias("g"), F.concat(F.lit("h"), "id").alias("host"), F.lit("/").alias("k"))
+    swept = u._sweep(keys, spark.createDataFrame([("com.", "/")], "g string, k string"))
+    assert dealt == [("g", "run")] and swept.count() == 2000
+    whole = F.pmod(F.xxhash64("host", "k"), F.lit(21))
+    assert keys.select(whole).distinct().count() == 21
+
+
+def test_very_long_urls(spark):
+    check(spark, ["http://a.com/" + "x/" * 50_000, "http://" + "a." * 2_000 + "com/en/"], [("com", "/en/", "block"), ("a.com", "/x/x", "allow")])
