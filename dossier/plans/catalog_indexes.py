@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from dossier.config import RetrievalConfig
 from dossier.functions.lineage import checkpoint_folder
+from dossier.operators import index_store as ix_store
 from dossier.operators import postings as po
 from dossier.operators import vector_index as vi
 from dossier.operators import vectors as vx
@@ -58,4 +59,18 @@ def bm25_topk_stored(spark, sf):
     return po.stored_topk(inputs.passages(spark, sf), po.read_postings(spark, folder), 10).select("kb", "query_id", "doc_id", "score", "rank")
 
 
-QUERIES = {f.__name__: f for f in (vector_topk_indexed, vector_index_recall, bm25_topk_stored)}
+def index_after_refreshes(spark, sf):
+    """The index of all documents after a first build with mistakes, two refreshes and a compaction."""
+    root, docs = _folder(spark, "index"), inputs.corpus(spark, sf).select("kb", "doc_id", "document")
+    kind = F.pmod(F.col("doc_id"), F.lit(5))
+    wrong = docs.filter(kind == 1).withColumn("document", F.reverse("document"))
+    extra = docs.filter(kind == 2).withColumn("doc_id", -1 - F.col("doc_id"))
+    ix_store.refresh_index(spark, root, docs.filter(kind > 1).unionByName(wrong).unionByName(extra))
+    ix_store.refresh_index(spark, root, docs.filter(kind == 1), extra)
+    ix_store.compact_index(spark, root)
+    ix_store.refresh_index(spark, root, docs.filter(kind == 0))
+    index = ix_store.open_index(spark, root)
+    return index.postings.join(index.terms, ["kb", "token"]).select("kb", "doc_id", "token", "tf", "doc_len", "df", F.round("idf", 6).alias("idf"))
+
+
+QUERIES = {f.__name__: f for f in (vector_topk_indexed, vector_index_recall, bm25_topk_stored, index_after_refreshes)}
