@@ -37,7 +37,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes: doc_id, source, size, source_size, target, taken, block_words."""
+    """How many words of each document the mix takes: doc_id, source, size, source_size, target, taken, first_slot, block_words."""
     return mix(docs)
 
 
