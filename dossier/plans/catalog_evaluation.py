@@ -21,6 +21,7 @@ from dossier.plans import inputs
 from dossier.plans.catalog_tables import variant_tables
 from dossier.plans.retrieve import attach_evidence, retrieve
 from dossier.sources.scenarios import label_scenarios as with_labels
+from dossier.sources.scenarios import read_scenarios as scenario_files
 from dossier.sources.stored_results import baseline, record_metrics
 
 K5 = RetrievalConfig(top_k=5)
@@ -31,16 +32,29 @@ def _round(df, *columns):
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
-def label_scenarios(spark, sf):
+def _scenario_rows(spark, sf):
     n = F.length("text")
-    docs = inputs.table(spark, sf, "documents")
-    rows = docs.select(
-        F.col("doc_id").alias("item_no"),
+    return inputs.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("item_no"), "text",
         F.concat(F.lit("T"), "source").alias("table"),
         F.when(n % 2 == 0, F.concat(F.lit("Section "), "lang")).otherwise("").alias("section"),
         F.when(n % 3 == 0, F.concat(F.lit("chunk_p1_idx"), F.col("doc_id").cast("string"))).alias("chunk_id"),
     )
-    return with_labels(rows).select("item_no", "label", "grp")
+
+
+def label_scenarios(spark, sf):
+    return with_labels(_scenario_rows(spark, sf).drop("text")).select("item_no", "label", "grp")
+
+
+def read_scenarios(spark, sf):
+    """The same scenarios written as JSON lists of up to fifty, item numbers of some as text, and read back."""
+    path = f"{checkpoint_folder(spark).rstrip('/')}/scenarios-{uuid.uuid4().hex}"
+    number = F.col("item_no").cast("string")
+    one = F.struct(F.when(F.col("item_no") % 2 == 0, F.concat(F.lit("0"), number)).otherwise(number).alias("item_no"), "text", "table", "section", "chunk_id")
+    lists = _scenario_rows(spark, sf).groupBy(F.expr("item_no div 50").alias("no")).agg(F.to_json(F.collect_list(one)).alias("value"))
+    lists.repartition("no").write.partitionBy("no").text(path)
+    read = scenario_files(spark, path, "*.txt")
+    return read.select("item_no", "label", "grp", F.length("text").alias("n_chars"))
 
 
 def _lexical_ranks(spark, sf):
@@ -293,7 +307,7 @@ def serialization_ablation(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (label_scenarios, lexical_gold_rank, gold_rank, retrieval_metrics, eval_suite, regression_guard, regression_history, verdict_scorecard,
+    for f in (label_scenarios, read_scenarios, lexical_gold_rank, gold_rank, retrieval_metrics, eval_suite, regression_guard, regression_history, verdict_scorecard,
               verdict_scorecard_strict, verdict_errors, verdict_confusion, class_recall, model_ladder, accuracy_by_group,
               verdicts_by_model, compare_runs, changed_items, missing_gold, remap_gold, apply_remap, failure_attribution,
               latency_profile, stage_latency, serialization_ablation)

@@ -122,6 +122,8 @@ capped_ranks as (select method, query_id, case when rank <= 10 then rank end ran
 ORACLES = {
     "label_scenarios": """select doc_id item_no, case when length(text) % 3 = 0 then 'chunk_p1_idx' || doc_id else 'T' || source end as label,
         case when length(text) % 2 = 0 then 'Section ' || lang else 'T' || source end grp from documents""",
+    "read_scenarios": """select doc_id::int item_no, case when length(text) % 3 = 0 then 'chunk_p1_idx' || doc_id else 'T' || source end as label,
+        case when length(text) % 2 = 0 then 'Section ' || lang else 'T' || source end grp, length(text) n_chars from documents""",
     "lexical_gold_rank": f"with {_LEXICAL} select kb, query_id, label, grp, rank from found",
     "gold_rank": f"with {_SCEN} select kb, query_id, label, grp, rank_chunk rank, 'chunk' as mode from gold_ranks union all select kb, query_id, label, grp, rank_page, 'page' from gold_ranks",
     "retrieval_metrics": f"""with {_LEXICAL} select 'all' as scope, null grp, {_METRICS} from found

@@ -14,7 +14,7 @@ from dossier.plans.retrieve import retrieve
 from dossier.sources import kb_versions as kv
 from dossier.sources.blocks import bad_shards, placed_blocks, read_blocks, read_shards
 from dossier.sources.kb import export_audit, kb_catalog, read_kb, write_kb
-from dossier.sources.scenarios import read_scenarios
+from dossier.sources.scenarios import read_scenario_files, read_scenarios
 from dossier.streaming import report_items as ri
 from dossier.streaming.audit_stream import stream_audit_items, stream_call_rate, stream_kb_refresh
 from tests.test_retrieval import small_kb
@@ -39,6 +39,18 @@ def test_scenarios(spark, tmp_path):
     assert got == {1: ("T4", "T4"), 2: ("chunk_p1_idx2", "S")}
 
 
+def test_bad_scenario_files_are_named(spark, tmp_path):
+    good = json.dumps([{"item_no": "7", "text": 5, "table": "T"}, {"item_no": "x", "text": None}])
+    for name, text in {"a": good, "b": good[:-3], "c": "{}", "d": "[1]", "e": "[]"}.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    said = {r.file[-6]: r.reason for r in read_scenario_files(spark, str(tmp_path), "*.json").collect()}
+    assert said == {"a": None, "b": "not JSON", "c": "no list of scenarios", "d": "scenario without fields", "e": None}
+    rows = read_scenarios(spark, str(tmp_path), "*.json", on_bad="leave_out").orderBy(F.col("item_no").desc_nulls_last()).collect()
+    assert [(r.item_no, r.text, r.label, r.grp) for r in rows] == [(7, "5", "T", "T"), (None, None, "?", "?")]
+    with pytest.raises(Exception, match="[bcd].json"):
+        read_scenarios(spark, str(tmp_path), "*.json").collect()
+
+
 def test_kb_is_replaced_whole(spark, tmp_path):
     path, kb = str(tmp_path / "kb"), small_kb(spark)
     write_kb(kb.unionByName(kb.withColumn("kb", F.lit("other"))), path)
