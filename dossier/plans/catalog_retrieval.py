@@ -106,6 +106,19 @@ def attach_questions(spark, sf):
     return ix.attach_questions(generated, 2)
 
 
+def chunks_to_do(spark, sf):
+    """A run of question generation that was broken off: chunks without a usable question yet, then those of a second round."""
+    chunks = tx.section_chunks(inputs.blocks(spark, sf)).withColumnRenamed("standard_id", "kb")
+    raw = F.replace("content", F.lit(". "), F.lit("? \n- "))
+    rounds = [F.length("content") % 3 == 0, F.length("content") % 3 == 1]
+    left = chunks.select("kb", "chunk_id", "content")
+    for part in rounds:
+        left = cut(left)
+        generated = left.filter(part).select("kb", "chunk_id", raw.alias("raw"))
+        left = ix.chunks_to_do(left, ix.attach_questions(generated, 1))
+    return left.select("kb", "chunk_id", F.length("content").alias("n_chars"))
+
+
 def lexical_index(spark, sf):
     index = ix.lexical_index(inputs.corpus(spark, sf))
     return index.postings.join(index.terms, ["kb", "token"]).select("kb", "doc_id", "token", "tf", "doc_len", "df", r6("idf"))
@@ -245,7 +258,7 @@ def retrieve_all(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (kb_documents, build_knowledge_bases, retrieve_built, kb_catalog, stored_kb, stream_kb_refresh, attach_questions, lexical_index, embed, tokens, bm25_topk, code_overlap, vector_topk,
+    for f in (kb_documents, build_knowledge_bases, retrieve_built, kb_catalog, stored_kb, stream_kb_refresh, attach_questions, chunks_to_do, lexical_index, embed, tokens, bm25_topk, code_overlap, vector_topk,
               vector_topk_by_type, candidate_pool, dedupe_candidates, rerank, znorm_by_modality, fuse_code_bonus,
               table_floor, split_topk, mixed_slot_fill, distance_fallback, format_context)
 }

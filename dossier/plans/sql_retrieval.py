@@ -204,6 +204,13 @@ ORACLES = {
             from (select doc_id, string_split(replace(text, '. ', '? ' || {NL} || '- '), {NL}) ls from documents)))),
         good as (select doc_id, q, row_number() over (partition by doc_id order by i) rn from asked where length(q) >= 15 and q like '%?%')
         select 'main' kb, doc_id chunk_id, rn - 1 question_no, q question from good where rn <= 2""",
+    "chunks_to_do": rf"""with {BLOCKS}, {BODY}, {SECTIONS}, {CHUNKS},
+        asked as (select standard_id, chunk_id, {strip(r"regexp_replace(ln, '^[-*0123456789.) ]+', '')")} q from (
+          select standard_id, chunk_id, {strip('list_extract(ls, i)')} ln from (
+            select standard_id, chunk_id, ls, unnest(range(1, len(ls) + 1)) i
+            from (select standard_id, chunk_id, string_split(replace(content, '. ', '? ' || {NL} || '- '), {NL}) ls from chunks where length(content) % 3 < 2)))),
+        done as (select distinct standard_id, chunk_id from asked where length(q) >= 15 and q like '%?%')
+        select standard_id kb, chunk_id, length(content) n_chars from chunks anti join done using (standard_id, chunk_id)""",
     "lexical_index": f"""with {CORPUS} select kb, doc_id, token, tf, doc_len, df, round(idf, 6) idf
         from postings p join doc_lens using (kb, doc_id) join terms using (kb, token)""",
     "tokens": f"""select item_id query_id, array_to_string({toks('text')}, ' ') tokens, len({codes('text')}) n_codes from benchmark
