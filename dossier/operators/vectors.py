@@ -155,17 +155,23 @@ def vector_pools(
     )
 
 
-def _by_blocks(
-    q: DataFrame, d: DataFrame, pools: list[Pool], metric: str, schema: str, cap: int, doc_block_rows: int
-) -> DataFrame:
-    """More queries than a task may hold: within each base, bounded query blocks meet bounded document blocks."""
+def _met_blocks(q: DataFrame, d: DataFrame, query_rows: int, doc_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Queries and documents with __q and __d: within a base each block of queries meets each block of documents."""
     n = lambda rows: F.ceil(F.count(F.lit(1)) / max(1, rows)).cast("int")
-    n_q, n_d = q.groupBy("kb").agg(n(cap // 2).alias("n_q")), d.groupBy("kb").agg(n(doc_block_rows).alias("n_d"))
+    n_q, n_d = q.groupBy("kb").agg(n(query_rows).alias("n_q")), d.groupBy("kb").agg(n(doc_rows).alias("n_d"))
     blocks = cut(n_q.join(n_d, "kb"))  # one row per base
     numbers = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     part = lambda c, k: F.pmod(F.xxhash64(c), F.col(k)).cast("int")
     left = q.join(blocks, "kb").withColumn("__q", part("query_id", "n_q")).withColumn("__d", numbers("n_d"))
     right = d.join(blocks, "kb").withColumn("__d", part("doc_id", "n_d")).withColumn("__q", numbers("n_q"))
+    return left, right
+
+
+def _by_blocks(
+    q: DataFrame, d: DataFrame, pools: list[Pool], metric: str, schema: str, cap: int, doc_block_rows: int
+) -> DataFrame:
+    """More queries than a task may hold: within each base, bounded query blocks meet bounded document blocks."""
+    left, right = _met_blocks(q, d, cap // 2, doc_block_rows)
 
     def meet(qs: pd.DataFrame, ds: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(ds):
@@ -193,3 +199,50 @@ def vector_topk_by_type(
     """The k nearest documents of one type; the type filter reaches the stored data first."""
     found = vector_pools(queries, docs.filter(F.col("type") == type_), [Pool(type_, k)], metric, **limits).drop("channel")
     return found if "kb" in queries.columns else found.drop("kb")
+
+
+def own_ranks(queries: DataFrame, docs: DataFrame, metric: str = "l2sq", query_rows: int = 4_000, doc_rows: int = 40_000) -> DataFrame:
+    """kb, query_id, rank of each query's own document (`own`) among all documents of its base, however far down.
+
+    `queries`: kb, query_id, own, embedding. Nothing but counts leaves a block: how many documents are nearer, or as near with
+    a smaller doc_id. A document that is not in the base has no rank (null).
+    """
+    q = queries.select("kb", "query_id", "own", "embedding")
+    d = docs.select("kb", "doc_id", "embedding").filter(F.col("embedding").isNotNull())
+    q_type = q.schema["query_id"].dataType.simpleString()
+    pairs = q.filter(F.col("embedding").isNotNull()).join(
+        d.select("kb", F.col("doc_id").alias("own"), F.col("embedding").alias("mine")), ["kb", "own"]
+    )
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                away = _exact(_matrix(b["mine"]), _matrix(b["embedding"]), metric)
+                yield b[["kb", "query_id", "own", "embedding"]].assign(away=away)
+
+    known = cut(pairs.mapInPandas(measure, f"kb string, query_id {q_type}, own {q.schema['own'].dataType.simpleString()}, embedding array<float>, away double"))
+
+    def count(qs: pd.DataFrame, ds: pd.DataFrame) -> pd.DataFrame:
+        if not len(qs) or not len(ds):
+            return pd.DataFrame({"kb": [], "query_id": [], "before": []})
+        vectors, names = _matrix(ds["embedding"]), ds["doc_id"].to_numpy()
+        before = []
+        for lo in range(0, len(qs), 64):
+            some = qs.iloc[lo:lo + 64]
+            matrix, away, own = _matrix(some["embedding"]), some["away"].to_numpy(), some["own"].to_numpy()
+            rough, slack = _rough(vectors, matrix, metric)
+            nearer = (rough < away[:, None] - slack).sum(axis=1)
+            i, j = np.nonzero(np.abs(rough - away[:, None]) <= slack)  # decided exactly
+            close = np.concatenate([_exact(vectors[j[at:at + PAIRS]], matrix[i[at:at + PAIRS]], metric) for at in range(0, len(i), PAIRS)] or [np.zeros(0)])
+            first = (close < away[i]) | ((close == away[i]) & (names[j] < own[i]))
+            before.append(nearer + np.bincount(i[first], minlength=len(some)))
+        return pd.DataFrame({"kb": qs["kb"].to_numpy(), "query_id": qs["query_id"].to_numpy(), "before": np.concatenate(before)})
+
+    left, right = _met_blocks(known, d, query_rows, doc_rows)
+    keys = ["kb", "__q", "__d"]
+    counted = (
+        left.select(*keys, "query_id", "own", "embedding", "away").groupBy(*keys)
+        .cogroup(right.select(*keys, "doc_id", "embedding").groupBy(*keys)).applyInPandas(count, f"kb string, query_id {q_type}, before long")
+    )
+    ranks = counted.groupBy("kb", "query_id").agg((F.sum("before") + 1).alias("rank"))
+    return q.select("kb", "query_id").join(ranks, ["kb", "query_id"], "left")

@@ -288,21 +288,25 @@ def _letter_counts(c):
     return F.array(*[(F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))).cast("float") for x in "abcdefghijklmnopqrstuvwxyz"])
 
 
-def serialization_ablation(spark, sf):
-    """Which text of a table is found best by the table's own words: each method is a base of all tables.
-
-    The serializer's text (method E) is left out here, as SQL cannot make it.
-    """
+def _ablation(spark, sf, keep):
+    """Which text of a table is found best by the table's own words: each method is a base of all tables."""
     tables = variant_tables(spark, sf)
-    variants = cut(tb.serialization_variants(tables).filter("method <> 'E'"))
-    docs = variants.select(
-        F.col("method").alias("kb"), F.col("table_id").alias("doc_id"), F.lit("table").alias("type"), _letter_counts(F.col("document")).alias("embedding")
-    )
+    variants = cut(tb.serialization_variants(tables).filter(keep))
+    docs = variants.select(F.col("method").alias("kb"), F.col("table_id").alias("doc_id"), _letter_counts(F.col("document")).alias("embedding"))
     words = tables.select("table_id", _letter_counts(tb.stripped_html(F.col("html"))).alias("embedding"))
-    asked = variants.select(F.col("method").alias("kb"), F.col("table_id").alias("query_id"), "table_id").join(words, "table_id").drop("table_id")
-    found = vx.vector_topk(asked, docs, 10).filter("doc_id = query_id").select("kb", "query_id", F.col("seq").alias("rank"))
-    ranks = asked.select("kb", "query_id").join(found, ["kb", "query_id"], "left").withColumnRenamed("kb", "method")
-    return _round(ev.serialization_ablation(ranks), "hr1", "hr3", "hr5", "mrr")
+    asked = variants.select(F.col("method").alias("kb"), "table_id").join(words, "table_id")
+    ranks = vx.own_ranks(asked.select("kb", F.col("table_id").alias("query_id"), F.col("table_id").alias("own"), "embedding"), docs)
+    return _round(ev.serialization_ablation(ranks.withColumnRenamed("kb", "method")), "hr1", "hr3", "hr5", "mrr")
+
+
+def serialization_ablation(spark, sf):
+    """The five texts that SQL can make, by ranks however far down."""
+    return _ablation(spark, sf, "method <> 'E'")
+
+
+def serialization_ablation_full(spark, sf):
+    """All six texts, the serializer's own (E) among them."""
+    return _ablation(spark, sf, "true")
 
 
 QUERIES = {
@@ -310,5 +314,5 @@ QUERIES = {
     for f in (label_scenarios, read_scenarios, lexical_gold_rank, gold_rank, retrieval_metrics, eval_suite, regression_guard, regression_history, verdict_scorecard,
               verdict_scorecard_strict, verdict_errors, verdict_confusion, class_recall, model_ladder, accuracy_by_group,
               verdicts_by_model, compare_runs, changed_items, missing_gold, remap_gold, apply_remap, failure_attribution,
-              latency_profile, stage_latency, serialization_ablation)
+              latency_profile, stage_latency, serialization_ablation, serialization_ablation_full)
 }

@@ -115,8 +115,7 @@ near as (
     from method_docs d, own_words w)),
 method_ranks as (
   select method, w.table_id query_id, n.rank from (select distinct method from variants) m cross join own_words w
-  left join near n using (method) where n.query_id = w.table_id and n.table_id = w.table_id),
-capped_ranks as (select method, query_id, case when rank <= 10 then rank end rank from method_ranks)
+  left join near n using (method) where n.query_id = w.table_id and n.table_id = w.table_id)
 """
 
 ORACLES = {
@@ -192,6 +191,6 @@ ORACLES = {
           round(median(elapsed_s), 6) median_s from runs group by 1""",
     "stage_latency": """with s as (select unnest(['chunk', 'index', 'total']) stage, unnest([round(n_chars / 700.0, 2), round(n_chars / 300.0, 2), round(n_chars / 150.0, 2)]) x from documents)
         select stage, count(*) n, round(avg(x), 6) avg_s, round(sum(x), 6) total_s, round(median(x), 6) median_s from s group by 1""",
-    "serialization_ablation": f"""with {_METHODS}, scored as (select method, {_METRICS} from capped_ranks group by 1)
+    "serialization_ablation": f"""with {_METHODS}, scored as (select method, {_METRICS} from method_ranks group by 1)
         select *, row_number() over (order by hr3 desc, mrr desc, method) = 1 is_best from scored""",
 }

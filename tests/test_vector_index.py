@@ -82,3 +82,22 @@ def test_empty_and_tiny_bases(spark):
     tiny = spark.createDataFrame([("x", "a", "t", [0.0] * 8), ("x", "b", "t", [0.0] * 8)], DOC)
     found = vi.indexed_topk(asked, vi.vector_index(tiny), 3)
     assert [(r.doc_id, r.seq) for r in found.orderBy("seq").collect()] == [("a", 1), ("b", 2)]
+
+
+@pytest.mark.parametrize("metric, blocks", [("l2sq", (4_000, 40_000)), ("cosine", (7, 11))])
+def test_own_ranks_equal_a_full_sort(spark, metric, blocks):
+    from dossier.operators.vectors import own_ranks
+
+    docs = clustered(spark, 120).withColumn("kb", F.coalesce("kb", F.lit("main")))
+    rows = [r for r in docs.collect()]
+    asked = [(r.kb, r.doc_id, r.doc_id if i % 9 else "unknown", [x + 0.3 * (i % 4) for x in r.embedding] if r.embedding else None) for i, r in enumerate(rows)]
+    got = {(r.kb, r.query_id): r.rank for r in own_ranks(spark.createDataFrame(asked, "kb string, query_id string, own string, embedding array<float>"), docs, metric, *blocks).collect()}
+
+    def away(a, b):
+        a, b = np.float32(a).astype(float), np.float32(b).astype(float)
+        return ((a - b) ** 2).sum() if metric == "l2sq" else 1 - (a * b).sum() / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum()))
+
+    for kb, query, own, vector in asked:
+        order = sorted((away(r.embedding, vector), r.doc_id) for r in rows if r.kb == kb and r.embedding and vector)
+        want = next((n for n, (_, name) in enumerate(order, 1) if name == own), None)
+        assert got[kb, query] == want or vector and order[got[kb, query] - 1][0] == pytest.approx(order[want - 1][0], abs=1e-12)
