@@ -37,9 +37,9 @@ def read_shards(spark: SparkSession, path: str, pattern: str = PATTERN, folders:
     """standard_id, shard, file, first_page, blocks, reason of every shard file below `path`.
 
     reason is null for a good shard; else it says what is wrong with the file (then blocks is null): `not JSON` (also a
-    file that ends too early or isn't UTF-8), `no list of blocks`, `block without fields`; or, with `ranges`, `pages missing before`, where the
-    page numbers in file names leave a gap to the shard before (Spark skips empty files: only this tells them). With `folders` each shard file has a folder of its own
-    below its standard's, and these are ordered by their names.
+    file that ends too early or isn't UTF-8), `no list of blocks`, `block without fields`; or, with `ranges`, `pages missing
+    before`, where the page numbers in file names leave a gap to the shard before (Spark skips empty files: only this tells
+    them). With `folders` each shard file has a folder of its own below its standard's, and these are ordered by their names.
     """
     place = r"([^/]+)/[^/]+/[^/]+$" if folders else r"([^/]+)/[^/]+$"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select(
