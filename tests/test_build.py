@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from dossier.config import RetrievalConfig, TextConfig
 from dossier.operators.index import lexical_index
+from dossier.plans import build
 from dossier.plans.build import build_kb, encode_queries
 from dossier.plans.retrieve import attach_evidence, retrieve
 from dossier.sources.blocks import BLOCK
@@ -43,3 +44,21 @@ def test_base_is_built_and_searched(spark):
     found = attach_evidence(retrieve(asked, docs, None, RetrievalConfig(top_k=2), lexical_index(docs)), docs)
     texts = {k: " ".join(r.content + r.serialized for r in found.filter(F.col("kb") == k).collect()) for k in "ab"}
     assert "brick" in texts["a"] and "clay" not in texts["a"] and "clay" in texts["b"] and "brick" not in texts["b"]
+
+
+def test_a_chunk_with_many_windows_is_written_once(spark, monkeypatch):
+    lines = [("text", "1 Storage", 1)] + [("text", f"Line {i} about stores that are kept apart from one another.", None) for i in range(12)]
+    rows = [("a", i, t, text, level, 0, [], "", [], [], "") for i, (t, text, level) in enumerate(lines)]
+    written = []
+    write = build.cut
+    monkeypatch.setattr(build, "cut", lambda df: written.append(df.columns) or write(df))
+    blocks = spark.createDataFrame(rows, BLOCKS)
+    asked = spark.createDataFrame([("a", "chunk_p0_idx0", "Which stores are kept apart here?")], "kb string, chunk_id string, raw string")
+    cfg = TextConfig(window_max_chars=120, questions_per_chunk=1)
+    docs = build_kb(blocks, encode, asked, cfg)
+    found = docs.collect()
+    assert len(found) > 5 and {r.content for r in found} == {"\n".join(x[1] for x in lines)}
+    assert sum("content" in c for c in written) == 1
+    narrow = build_kb(blocks, encode, asked, cfg, contents=False)
+    assert narrow.columns == [c for c in docs.columns if c != "content"]
+    assert sorted(map(str, narrow.collect())) == sorted(map(str, docs.drop("content").collect()))
