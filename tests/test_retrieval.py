@@ -1,5 +1,6 @@
 """Index and retrieval against brute force."""
 
+import hashlib
 import math
 import random
 import re
@@ -11,7 +12,9 @@ from dossier.config import RetrievalConfig, TextConfig
 from dossier.operators import index as ix
 from dossier.operators import retrieval as rt
 from dossier.operators import vectors as vx
-from dossier.plans.retrieve import attach_evidence, retrieve
+from dossier.functions.text import CODE_PATTERN
+from dossier.plans import inputs
+from dossier.plans.retrieve import attach_evidence, candidates, retrieve
 
 
 def test_bm25_equals_the_formula(spark):
@@ -172,3 +175,29 @@ def test_kb_documents_windows_and_questions(spark):
     assert ix.duplicate_ids(docs).count() == 0
     load = lambda route: (lambda texts: np.array([[len(t), float(route == "english")] for t in texts]))
     assert {tuple(r.embedding) for r in ix.embed(docs.filter("type = 'table'"), load).collect()} == {(7.0, 1.0)}
+
+
+def test_searches_run_once_and_texts_stay_where_they_are(spark):
+    asked = spark.createDataFrame([("a", 1, "alpha beta 1.2", [1.0, 0.0])], "kb string, query_id long, text string, embedding array<float>")
+    found = candidates(asked, small_kb(spark).withColumn("kb", F.lit("a")), RetrievalConfig(top_k=2))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "regexp_extract_all(document" not in plan
+
+
+def test_a_text_is_hashed_once_for_its_vector(spark):
+    df = spark.createDataFrame([("some text",), (None,), ("",)], "t string")
+    expr = inputs.text_vector(F.col("t"))
+    got = [r[0] for r in df.select(expr).collect()]
+    digits = hashlib.md5(b"some text").hexdigest() + hashlib.md5(b"xsome text").hexdigest()
+    assert np.allclose(got[0], [(int(c, 16) + 1 - 8.5) / 40 for c in digits]) and len(got[2]) == 64
+    assert got[1] == [None] * 64
+    # only the outer transform, over one element, reads the hashes: what stands behind its places doesn't
+    assert "md5" not in expr._jc.toString().split("sequence(1, 64)", 1)[1]
+
+
+def test_codes_are_those_of_the_plain_pattern(spark):
+    plain = r"(?U)\b(?:[A-Z]{1,4}[\s-]?)?\d+(?:\.\d+)+\b|\b[A-Z]{1,4}[\s-]?\d+\b|\bGroup\s+[A-Z]\b"
+    texts = ["HD 1.1 and T4", "xHD1.2 1.2.3.", "Group K, Group  Z9", "ABCDE 12", "É1.2 ٣.٤ A-٣", "", None, "1. 2.3a", "AT4 T4-5 T-5"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select(F.regexp_extract_all("t", F.lit(plain), F.lit(0)).alias("a"), F.regexp_extract_all("t", F.lit(CODE_PATTERN), F.lit(0)).alias("b")).collect():
+        assert r.a == r.b
