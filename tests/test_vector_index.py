@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossier.operators import vector_index as vi
+from dossier.operators import vectors
 from dossier.operators.vectors import vector_topk, vector_topk_by_type
 
 DOC = "kb string, doc_id string, type string, embedding array<float>"
@@ -101,3 +102,30 @@ def test_own_ranks_equal_a_full_sort(spark, metric, blocks):
         order = sorted((away(r.embedding, vector), r.doc_id) for r in rows if r.kb == kb and r.embedding and vector)
         want = next((n for n, (_, name) in enumerate(order, 1) if name == own), None)
         assert got[kb, query] == want or vector and order[got[kb, query] - 1][0] == pytest.approx(order[want - 1][0], abs=1e-12)
+
+
+def test_queries_of_all_lists_are_not_written_for_each_list(spark, tmp_path, monkeypatch):
+    docs = clustered(spark)
+    index = vi.vector_index(docs)
+    monkeypatch.setattr(vi, "probed", lambda *a: pytest.fail("queries written for each list"))
+    named = docs.withColumn("kb", F.coalesce("kb", F.lit("main")))
+    assert exact_rows(vi.indexed_topk(asked_of(docs), index, 5, probe=vi.ALL_LISTS)) == exact_rows(vector_topk(asked_of(docs), named, 5))
+
+
+def test_the_best_are_merged_tile_by_tile(monkeypatch):
+    r = np.random.default_rng(3)
+    queries, docs = r.integers(0, 3, (70, 4)).astype(float), r.integers(0, 3, (500, 4)).astype(float)
+    names = np.array([f"d{i:03d}" for i in r.permutation(500)], dtype=object)
+    monkeypatch.setattr(vectors, "TILE_DOCS", 37)
+    monkeypatch.setattr(vectors, "TILE_QUERIES", 16)
+    best = vectors._Best(queries, [vectors.Pool("all", 9)], "l2sq")
+    best.add(names, np.array(["table"] * 500, dtype=object), docs)
+    assert len(best.kept) == 5 and max(len(q) for q, _, _ in best.kept.values()) == 16 * 9
+    found = {}
+    for frame in best.frames("a", np.arange(70)):
+        for q, name in zip(frame["query_id"], frame["doc_id"]):
+            found.setdefault(q, []).append(name)
+    for q, names_found in found.items():
+        away = ((docs - queries[q]) ** 2).sum(axis=1)
+        assert names_found == [n for _, n in sorted(zip(away, names))[:9]]
+    assert len(found) == 70
