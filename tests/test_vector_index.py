@@ -129,3 +129,21 @@ def test_the_best_are_merged_tile_by_tile(monkeypatch):
         away = ((docs - queries[q]) ** 2).sum(axis=1)
         assert names_found == [n for _, n in sorted(zip(away, names))[:9]]
     assert len(found) == 70
+
+
+@pytest.mark.parametrize("scale", [0.0, 40.0])
+def test_ranks_compare_equal_and_far_vectors_in_groups(monkeypatch, scale):
+    r = np.random.default_rng(9)
+    docs = np.concatenate([r.integers(0, 3, (900, 5)), r.integers(0, 3, (300, 5)) + scale]).astype(float)
+    names = np.array([f"d{i % 700:04d}" for i in r.permutation(1200)], dtype=object)
+    own = r.integers(0, 1200, 200)
+    queries = docs[own] + r.integers(0, 2, (200, 5))
+    away = ((docs[own] - queries) ** 2).sum(axis=1)
+    monkeypatch.setattr(vectors, "LEAF", 16)
+    near = vectors._Nearer(docs, names, "l2sq")
+    compared = []
+    monkeypatch.setattr(vectors._Nearer, "_compared", lambda self, lo, hi, q, *rest, was=vectors._Nearer._compared: compared.append((hi - lo) * len(q)) or was(self, lo, hi, q, *rest))
+    got = near.count(queries, away, names[own])
+    far = ((docs[None] - queries[:, None]) ** 2).sum(axis=2)
+    assert got.tolist() == [int(((f < a) | ((f == a) & (names < n))).sum()) for f, a, n in zip(far, away, names[own])]
+    assert sum(compared) < 200 * 1200 / 2
