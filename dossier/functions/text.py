@@ -72,6 +72,18 @@ def index_tokens(c: Column) -> Column:
     return F.concat(word_tokens(c), F.transform(code_tokens(c), lambda t: F.lower(t)))
 
 
+def token_counts(tokens: Column) -> Column:
+    """Different tokens of a list with how often each stands there (token, tf), counted by sorting the list."""
+    bind = lambda c, f: F.element_at(F.transform(F.array(c), f), 1)  # noqa: E731  (else taken anew for each element)
+
+    def runs(s: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return bind(first, lambda at: F.transform(at, lambda i, j: F.struct(
+            F.get(s, i).alias("token"), (F.coalesce(F.get(at, j + 1), F.size(s)) - i).alias("tf"))))
+
+    return F.when(F.size(tokens) > 0, bind(F.sort_array(tokens), runs))
+
+
 def code_overlap(query: Column, text: Column) -> Column:
     """Share of the query's codes found in the text; 0 if either has none."""
     q, d = code_tokens(query), code_tokens(text)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from dossier.config import TextConfig
 from dossier.functions.lineage import cut
 from dossier.functions.sizes import written_side
-from dossier.functions.text import index_tokens, split_lines, strip
+from dossier.functions.text import index_tokens, split_lines, strip, token_counts
 from dossier.operators.text import pack_windows
 
 # Okapi parameters of the public BM25 implementation.
@@ -150,30 +150,54 @@ class LexicalIndex:
     stats: DataFrame
 
 
+def repeated_ids(docs: DataFrame) -> bool:
+    """True if some document id stands more than once in its base (ids alone are read)."""
+    return not duplicate_ids(docs).isEmpty()
+
+
+def counted_words(docs: DataFrame, ids: list[str], text: str, n: int) -> DataFrame:
+    """Postings (ids, doc_len, token, tf) in `n` partitions by kb and doc_id.
+
+    A text's words are counted inside its row, without a row for each word. Texts under one id count together where
+    they are equally long; then, and only then, words are grouped by id.
+    """
+    spread = docs.select(*ids, F.col(text).alias("t")).repartition(n, "kb", "doc_id")
+    sized = spread.select(*ids, index_tokens(F.col("t")).alias("toks")).withColumn("doc_len", F.size("toks"))
+    # outer: otherwise Spark would first filter on the size of the computed array, below the
+    # shuffle, and so cut every text into words twice
+    if not repeated_ids(docs):
+        return sized.select(*ids, "doc_len", F.inline_outer(token_counts(F.col("toks")))).filter(F.col("token").isNotNull())
+    words = sized.select(*ids, "doc_len", F.explode_outer("toks").alias("token")).filter(F.col("token").isNotNull())
+    return words.groupBy(*ids, "doc_len", "token").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+
+
+def words_of_bases(postings: DataFrame, docs: DataFrame, text: str, n: int) -> DataFrame:
+    """kb, token, df and n_tokens, whose sum over a base is its number of words.
+
+    How many documents hold a word needs no count inside a document; a document's length goes with its first word.
+    """
+    if repeated_ids(docs):
+        return postings.groupBy("kb", "token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n_tokens"))
+    toks = docs.select("kb", index_tokens(F.col(text)).alias("toks"))
+    each = toks.select("kb", F.size("toks").alias("doc_len"), F.posexplode_outer(F.array_distinct("toks")).alias("pos", "token"))
+    return each.filter(F.col("token").isNotNull()).groupBy("kb", "token").agg(
+        F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("pos") == 0, F.col("doc_len")).otherwise(0)).alias("n_tokens")
+    )
+
+
 def lexical_index(docs: DataFrame, text: str = "document") -> LexicalIndex:
     """Postings, document frequencies and corpus statistics of each knowledge base.
 
     Texts are spread by document before they are cut into words, so the words of a document
-    are counted where they are: the groupBy below needs no further shuffle, and a document can
-    later be scored against all queries without moving its postings again. The vocabulary is
+    are counted where they are, and a document can later be scored against all queries without moving its postings again. The vocabulary is
     written once; corpus statistics come from it, not from another pass over the texts.
     """
     # A given number of partitions: scoring multiplies the rows by the queries that match, so
     # small texts must not be packed together by their size.
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ids = ["kb", "doc_id", *[c for c in ("doc_order",) if c in docs.columns]]
-    spread = docs.select(*ids, F.col(text).alias("t")).repartition(n, "kb", "doc_id")
-    sized = spread.select(*ids, index_tokens(F.col("t")).alias("toks")).withColumn("doc_len", F.size("toks"))
-    # outer: otherwise Spark would first filter on the size of the computed array, below the
-    # shuffle, and so cut every text into words twice
-    postings = (
-        sized.select(*ids, "doc_len", F.explode_outer("toks").alias("token"))
-        .filter(F.col("token").isNotNull())
-        .groupBy(*ids, "doc_len", "token").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    )
-    vocabulary = cut(
-        postings.groupBy("kb", "token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n_tokens"))
-    )
+    postings = counted_words(docs, ids, text, n)
+    vocabulary = cut(words_of_bases(postings, docs, text, n))
     sizes = docs.groupBy("kb").agg(F.count(F.lit(1)).alias("n_docs"))
     totals = vocabulary.groupBy("kb").agg(F.sum("n_tokens").alias("total"))
     stats = sizes.join(totals, "kb", "left").select(

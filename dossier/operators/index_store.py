@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from dossier.functions.lineage import cut
 from dossier.functions.sizes import broadcast_if, is_small, written_side
-from dossier.functions.text import index_tokens
-from dossier.operators.index import LexicalIndex, term_weights
+from dossier.functions.text import index_tokens, token_counts
+from dossier.operators.index import LexicalIndex, repeated_ids, term_weights
 
 DOC = ["kb", "doc_id"]
 COMMIT = "segment long, base_segment long"
@@ -98,10 +98,12 @@ def refresh_index(spark: SparkSession, root: str, docs: DataFrame, removed: Data
     """
     first, last = _state(spark, root)
     segment = last + 1
-    sized = docs.select(*DOC, index_tokens(F.col(text)).alias("toks"))
-    words = cut(
-        sized.select(*DOC, F.explode_outer("toks").alias("token")).groupBy(*DOC, "token").agg(F.count("token").cast("int").alias("tf"))
-    )
+    toks = docs.select(*DOC, index_tokens(F.col(text)).alias("toks"))
+    if repeated_ids(docs):  # texts under one id count together
+        counted = toks.select(*DOC, F.explode_outer("toks").alias("token")).groupBy(*DOC, "token").agg(F.count("token").cast("int").alias("tf"))
+    else:
+        counted = toks.select(*DOC, F.inline_outer(token_counts(F.col("toks")))).withColumn("tf", F.coalesce("tf", F.lit(0)))
+    words = cut(counted)
     added = words.groupBy(*DOC).agg(F.sum("tf").cast("int").alias("doc_len"))
     new = words.filter(F.col("token").isNotNull()).join(added, DOC).select("kb", "doc_id", "doc_len", "token", "tf")
     gone = added.select(*DOC) if removed is None else added.select(*DOC).unionByName(removed.select(*DOC)).distinct()

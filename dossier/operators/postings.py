@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from dossier.functions.lineage import cut
 from dossier.functions.sizes import broadcast_if, is_small, written_side
 from dossier.functions.text import index_tokens
-from dossier.operators.index import B, K1, term_weights
+from dossier.operators.index import B, K1, counted_words, term_weights
 from dossier.operators.retrieval import QUERY, SCORE_DIGITS
 
 
@@ -58,13 +58,7 @@ def write_postings(docs: DataFrame, folder: str, text: str = "document", docs_pe
     sizes = cut(docs.groupBy("kb").agg(F.count(F.lit(1)).alias("n_docs")))
     n = max(least, -(-(sizes.agg(F.sum("n_docs")).first()[0] or 0) // docs_per_bucket))
     ids = ["kb", "doc_id", *[c for c in ("doc_order",) if c in docs.columns]]
-    spread = docs.select(*ids, F.col(text).alias("t")).repartition(n, *_BUCKETED)
-    sized = spread.select(*ids, index_tokens(F.col("t")).alias("toks")).withColumn("doc_len", F.size("toks"))
-    counted = (
-        sized.select(*ids, "doc_len", F.explode_outer("toks").alias("token")).filter(F.col("token").isNotNull())
-        .groupBy(*ids, "doc_len", "token").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    )
-    postings = _stored_postings(counted, f"{folder}/postings", n)
+    postings = _stored_postings(counted_words(docs, ids, text, n), f"{folder}/postings", n)
     totals = postings.groupBy("kb").agg(F.sum("tf").alias("total"))
     sizes.join(totals, "kb", "left").select(
         "kb", "n_docs", (F.coalesce("total", F.lit(0)) / F.col("n_docs")).alias("avg_len")

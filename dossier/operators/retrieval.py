@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dossier.functions.lineage import cut
 from dossier.functions.sizes import broadcast_if, is_small
 from dossier.functions.text import code_tokens, index_tokens
 from dossier.operators.index import B, K1, LexicalIndex
@@ -34,7 +37,7 @@ def bm25_topk(queries: DataFrame, index: LexicalIndex, n: int = 10) -> DataFrame
 
     `queries`: kb, query_id, text. Query terms are few and, once their number is checked, go
     to the documents. Postings are partitioned by document, so a document's score is complete
-    inside one task and only each task's best `n` are shuffled; a word found in every document
+    inside one task, which sums it in numpy, and only each task's best `n` are shuffled; a word found in every document
     gathers nowhere. Ties go by doc_id, or by doc_order if the postings carry one.
     """
     asked = (
@@ -48,24 +51,133 @@ def bm25_topk(queries: DataFrame, index: LexicalIndex, n: int = 10) -> DataFrame
         .join(broadcast_if(is_small(index.stats), index.stats.select("kb", "avg_len")), "kb")
         .select("kb", "token", "query_id", (F.col("qtf") * F.col("idf")).alias("w"), "avg_len")
     )
-    # words that nobody asks are dropped before they are counted by document
-    wanted = broadcast_if(small, asked.select("kb", "token").distinct())
-    hits = index.postings.join(wanted, ["kb", "token"], "left_semi").join(broadcast_if(small, weighted), ["kb", "token"])
-    norm = K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len"))
-    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    scored = (
-        hits.groupBy(*QUERY, "doc_id", *[c for c in ("doc_order",) if c in hits.columns])
-        .agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
-        .filter(F.col("score") > 0)
-    )
-    if "doc_order" in index.postings.columns:
-        order = [F.desc("score"), "doc_order", "doc_id"]
+    order = [c for c in ("doc_order",) if c in index.postings.columns]
+    if small:
+        scored = _scored_by_document(index.postings, weighted, order, n)
     else:
-        order = [F.desc("score"), "doc_id"]
-    w = Window.partitionBy(*QUERY).orderBy(*order)
+        # words that nobody asks are dropped before they are counted by document
+        wanted = asked.select("kb", "token").distinct()
+        hits = index.postings.join(wanted, ["kb", "token"], "left_semi").join(weighted, ["kb", "token"])
+        norm = K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len"))
+        part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+        scored = hits.groupBy(*QUERY, "doc_id", *order).agg(F.sum(part).alias("score"))
+    scored = scored.withColumn("score", F.round("score", SCORE_DIGITS)).filter(F.col("score") > 0)
+    w = Window.partitionBy(*QUERY).orderBy(F.desc("score"), *order, "doc_id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
+HITS = 1_000_000  # words met with queries at once, about
+SLACK = 4.0 * 10**-SCORE_DIGITS  # scores nearer than this may be equal once they are rounded
+
+
+def _scored_by_document(postings: DataFrame, weighted: DataFrame, order: list[str], n: int) -> DataFrame:
+    """kb, query_id, doc_id (doc_order), score: the best of each task, from the asked words of each document in one row.
+
+    `weighted` (kb, token, query_id, w, avg_len) is bounded. Documents come in the order of ties, so that of equal scores
+    a task keeps the first `n`; scores that rounding may make equal are all kept.
+    """
+    terms = cut(weighted).toArrow().combine_chunks()
+    spark = postings.sparkSession
+    ids = ["kb", "doc_id", *order]
+    schema = weighted.select(*QUERY).schema.simpleString().removeprefix("struct<").removesuffix(">")
+    kinds = ", ".join(f"{c} {postings.schema[c].dataType.simpleString()}" for c in ("doc_id", *order))
+    out = f"{schema}, {kinds}, score double"
+    if not len(terms):
+        return spark.createDataFrame([], out)
+    (kb, bases), (token, _), (number, numbers) = (_coded(terms[c]) for c in ("kb", "token", "query_id"))
+    by_token = np.lexsort((token, kb))
+    kb, token, number = kb[by_token], token[by_token], number[by_token]
+    starts = np.flatnonzero(np.append(True, (kb[1:] != kb[:-1]) | (token[1:] != token[:-1])))
+    pair, query = np.unique(kb * len(numbers) + number, return_inverse=True)
+    asked = terms.take(pa.array(by_token[starts])).select(["kb", "token", "avg_len"])
+    asked = spark.createDataFrame(asked.append_column("no", pa.array(np.arange(len(starts), dtype="int32"))))
+    found = spark.sparkContext.broadcast((
+        np.append(starts, len(terms)), query, terms["w"].to_numpy()[by_token],
+        [bases.take(pa.array(pair // len(numbers))), numbers.take(pa.array(pair % len(numbers)))],
+    ))
+    norm = K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len"))
+    impact = F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+    hits = postings.join(F.broadcast(asked), ["kb", "token"]).select(*ids, F.struct("no", impact.alias("impact")).alias("hit"))
+    by_doc = hits.groupBy(*ids).agg(F.sort_array(F.collect_list("hit")).alias("hits")).sortWithinPartitions(*order, "doc_id")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, query, weight, names = found.value
+        best = _BestDocuments(len(names[0]), n)
+        for batch in batches:
+            lists = batch.column("hits")
+            docs = batch.select([c for c in batch.schema.names if c not in ("kb", "hits")])
+            flat = lists.flatten()
+            no, impact = flat.field("no").to_numpy(), flat.field("impact").to_numpy()
+            size = lists.value_lengths().to_numpy()
+            met = np.add.reduceat(np.diff(at)[no], np.append(0, np.cumsum(size)[:-1]))
+            part = np.cumsum(met) // HITS
+            first = np.append(0, np.cumsum(size))
+            for p in np.unique(part):
+                rows = np.flatnonzero(part == p)
+                lo, hi = first[rows[0]], first[rows[-1] + 1]
+                n_met = np.diff(at)[no[lo:hi]]
+                step = np.arange(n_met.sum()) - np.repeat(np.cumsum(n_met) - n_met, n_met)
+                term = np.repeat(at[no[lo:hi]], n_met) + step
+                doc = np.repeat(np.repeat(rows, size[rows]), n_met)
+                best.add(doc, query[term], np.repeat(impact[lo:hi], n_met) * weight[term], docs)
+        if best.docs is not None:
+            q, value, docs = best.query, best.value, best.docs
+            head = [c.take(pa.array(q)) for c in names]
+            yield pa.RecordBatch.from_arrays(
+                [*head, *docs.columns, pa.array(value)], names=[*QUERY, *docs.schema.names, "score"]
+            )
+
+    return by_doc.mapInArrow(score, out)
+
+
+def _coded(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """Numbers of a column's values, null among them, and the values."""
+    coded = pa.concat_arrays(column.chunks).dictionary_encode(null_encoding="encode")
+    return coded.indices.to_numpy().astype("int64"), coded.dictionary
+
+
+class _BestDocuments:
+    """Running best `n` documents of each query inside one task; documents come in the order of ties."""
+
+    def __init__(self, n_queries: int, n: int) -> None:
+        self.n, self.bar = n, np.full(n_queries, -np.inf)
+        self.query, self.value, self.docs = np.zeros(0, dtype="int64"), np.zeros(0), None
+
+    def add(self, doc: np.ndarray, query: np.ndarray, part: np.ndarray, docs: pa.RecordBatch) -> None:
+        first = doc[0] if len(doc) else 0  # documents come in order
+        pair = (doc - first) * len(self.bar) + query
+        if len(pair) and pair.max() <= 8 * len(pair):
+            value = np.bincount(pair, weights=part)
+            pair = np.flatnonzero(value)
+            value = value[pair]
+        else:
+            pair, where = np.unique(pair, return_inverse=True)
+            value = np.bincount(where, weights=part, minlength=len(pair))
+        doc, query = np.divmod(pair, len(self.bar))
+        doc = doc + first
+        near = (value > 0) & (value >= self.bar[query] - SLACK)
+        if not near.any():
+            return
+        query, value = np.append(self.query, query[near]), np.append(self.value, value[near])
+        order = np.lexsort((-value, query))  # stable: ties stay in the order they came in
+        q, v = query[order], value[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        nth = place == self.n - 1
+        self.bar[q[nth]] = v[nth]
+        run = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (v[1:] != v[:-1])))
+        equal = np.arange(len(q)) - np.repeat(run, np.diff(np.append(run, len(q))))
+        keep = np.sort(order[(equal < self.n) & (v >= self.bar[q] - SLACK)])
+        new = docs.take(pa.array(doc[near]))
+        table = pa.Table.from_batches([new] if self.docs is None else [self.docs, new])
+        self.query, self.value = query[keep], value[keep]
+        self.docs = _one_batch(table.take(pa.array(keep)), docs.schema)
+
+
+def _one_batch(table: pa.Table, schema: pa.Schema) -> pa.RecordBatch:
+    found = table.combine_chunks().to_batches()
+    return found[0] if found else pa.RecordBatch.from_pylist([], schema=schema)
+
+
 def with_code_overlap(pairs: DataFrame, query: str = "query_codes", doc: str = "doc_codes") -> DataFrame:
     """`code_score`: share of the query's codes (a set) that the document's codes contain; 0 without codes."""
     shared = F.size(F.array_intersect(query, doc)) / F.size(query)
