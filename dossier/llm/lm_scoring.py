@@ -47,6 +47,8 @@ SIDES = 255  # frequent ids that describe the ids beside them; all others are on
 START_WINDOWS = 4_096  # about so many in the first round
 TASK_WINDOWS = 8_192
 PADDED = 65_535  # stands behind a text in its last window; no id
+HELD_CELLS = 1_000_000  # of `sides_of` that a task keeps before they leave it
+RUN = 32  # windows that are stored and dealt together
 _PIECE = 64  # longest part of a word given to the tokenizer at once, in bytes
 _LOG10 = float(np.log(10))
 
@@ -59,7 +61,7 @@ def read_ranks(path: str = TOKENIZER) -> dict[bytes, int]:
 class Subwords(dict):
     """From a word (UTF-8) to the bytes of its subword ids (uint16); the first `most` words are remembered."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 500_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], most: int = 150_000) -> None:
         import tiktoken
 
         self.encode = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
@@ -179,6 +181,30 @@ class Shares:
         return self.table.ravel().take(at) + self.inside.take(target)
 
 
+def longest(rows: np.ndarray) -> float:
+    return float(np.sqrt(np.einsum("ij,ij->i", rows, rows).max()))
+
+
+def sums_by(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places that occur, and the sums of their rows: sorted by place, so that each sum is one run."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")
+    at = at.take(order)
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return at[first], np.add.reduceat(rows.take(order, 0), first, 0)
+
+
+def logits_of(logits: np.ndarray, last: np.ndarray, aim: np.ndarray, biases: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Logits of each target inside its own group, then those of the groups, in rows of GROUP; those rows' places among
+    all such rows; and the target's place in each. `logits` have all classes, then the groups."""
+    n = logits.shape[1] // GROUP
+    own, rows = aim // GROUP, np.arange(0, len(aim) * n, n)
+    pick = np.concatenate([rows + own, rows + (n - 1)])
+    part = logits.reshape(-1, GROUP).take(pick, 0)
+    last = last * n
+    part += biases.take(np.concatenate([last + own, last + (n - 1)]), 0)
+    return part, pick, np.concatenate([aim % GROUP, own]) + np.arange(0, len(pick) * GROUP, GROUP)
+
+
 class AttentionModel:
     """One causal head over symbols, added to the logits of the class behind the last symbol: its group, then inside it."""
 
@@ -206,109 +232,126 @@ class AttentionModel:
         return self
 
     def tables(self) -> tuple[np.ndarray, ...]:
-        """Queries, keys and values by symbol, and the causal weights of distances: what scoring looks up.
+        """By symbol: queries, then keys, values and a one; and the causal weights of distances: what windows look up.
 
         Places from PAD on ask; all places of the window up to their own answer. Exponents stay in range without
         looking for maxima: queries are scaled down where learnt weights could exceed it.
         """
-        e, far = self.p["embed"], np.arange(PAD, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
-        mask = np.where(far >= 0, np.exp(np.clip(self.p["near"][far.clip(0)], -20, 20)), 0)
-        q, k = e @ self.p["wq"] * SIZE**-0.5, e @ self.p["wk"]
-        most = np.linalg.norm(q, axis=1).max() * np.linalg.norm(k, axis=1).max()
-        if most > 40:
-            q = q * (40 / most)
-        return tuple(x.astype(self.p["embed"].dtype) for x in (q, k, e @ self.p["wv"], mask))
+        p = self.p
+        far = np.arange(PAD, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
+        mask = np.where(far >= 0, np.exp(np.clip(p["near"][far.clip(0)], -20, 20)), 0).astype(p["embed"].dtype)
+        both = np.ones((len(p["embed"]), 2 * SIZE + 1), p["embed"].dtype)
+        np.matmul(p["embed"], np.concatenate([p["wk"], p["wv"]], 1), out=both[:, :-1])
+        q = p["embed"] @ (p["wq"] * np.asarray(SIZE**-0.5, p["wq"].dtype))
+        most = longest(q) * longest(both[:, :SIZE])
+        return q if most <= 40 else q * np.asarray(40 / most, q.dtype), both, mask
+
+    def biases(self) -> np.ndarray:
+        """Rows of GROUP: for each symbol the classes of each group, then the groups."""
+        return np.concatenate([self.inside.reshape(len(self.group), -1, GROUP), self.group[:, None]], 1).reshape(-1, GROUP)
 
     def scoring_tables(self) -> tuple[np.ndarray, ...]:
-        """The tables with a column of ones behind the values, and what attention adds to logits, scaled down likewise."""
-        q, k, v, mask = self.tables()
+        """The tables, biases and what attention adds to logits, scaled down likewise."""
+        q, both, mask = self.tables()
         out = np.concatenate([self.p["out"], self.p["groups"]], 1)
-        most = np.linalg.norm(v, axis=1).max() * np.linalg.norm(out, axis=0).max()
-        out = out if most <= 40 else out * np.asarray(40 / most, out.dtype)
-        return q, k, np.concatenate([v, np.ones((len(v), 1), v.dtype)], 1), mask, out
+        most = longest(both[:, SIZE : 2 * SIZE]) * longest(out.T)
+        return q, both, mask, self.biases(), out if most <= 40 else out * np.asarray(40 / most, out.dtype)
+
+    def attended(self, s: np.ndarray, tables) -> tuple[np.ndarray, ...]:
+        """Of windows of symbols: queries, keys, values with a one, weights, their sums' inverse and the mean values."""
+        tq, both, mask = tables
+        q, found = tq.take(s[:, PAD:], 0), both.take(s, 0)
+        k, v = found[:, :, :SIZE], found[:, :, SIZE:]
+        w = np.matmul(q, k.transpose(0, 2, 1))
+        np.exp(w, out=w)
+        w *= mask
+        h = np.matmul(w, v)  # the last column sums the weights
+        z = 1 / h[:, :, SIZE:]
+        return q, k, v, w, z, h[:, :, :SIZE] * z
 
     def class_log_probs(self, s: np.ndarray, target: np.ndarray, tables) -> np.ndarray:
         """Log probability of each target class (n x STRIDE) behind windows of symbols (n x WINDOW)."""
-        tq, tk, tv, mask, out = tables
-        asks = np.ascontiguousarray(s[:, PAD:])
-        w = np.matmul(tq.take(asks, 0), tk.take(s, 0).transpose(0, 2, 1))
-        np.exp(w, out=w)
-        w *= mask
-        h = np.matmul(w, tv.take(s, 0)).reshape(-1, SIZE + 1)  # the last column sums the weights
-        logits = h[:, :SIZE] / h[:, SIZE:] @ out
-        last, aim = asks.ravel(), target.ravel()
-        own, rows = aim // GROUP, np.arange(len(aim))
-        total = np.zeros(len(aim), logits.dtype)
-        n = self.p["out"].shape[1]
-        groups = logits[:, n:] + self.group.take(last, 0)
-        inside = logits[:, :n].reshape(len(aim), -1, GROUP)[rows, own] + self.inside.take(last * (n // GROUP) + own, 0)
-        for part, at in ((groups, own), (inside, aim % GROUP)):
-            total += part[rows, at]
-            np.exp(part, out=part)
-            total -= np.log(part @ np.ones(part.shape[1], part.dtype))
-        return total.reshape(target.shape)
-
-    def gradients(self, s: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss over windows and its gradients, by hand. Targets below 0 do not count."""
-        p = self.p
-        tq, tk, tv, mask = self.tables()
-        asks = s[:, PAD:]
-        e, ea, q, k, v = p["embed"][s], p["embed"][asks], tq[asks], tk[s], tv[s]
-        w = np.exp(np.matmul(q, k.transpose(0, 2, 1))) * mask
-        w /= w.sum(2, keepdims=True)
-        h = np.matmul(w, v)
-        flat_h, last, aim = h.reshape(-1, SIZE), asks.ravel(), target.ravel()
+        h = self.attended(s, tables[:3])[-1].reshape(-1, SIZE)
+        part, _, hit = logits_of(h @ tables[4], s[:, PAD:].ravel(), target.ravel(), tables[3])
+        total = part.ravel().take(hit)
+        np.exp(part, out=part)
+        total -= np.log(part @ np.ones(GROUP, part.dtype))
+        return total.reshape(2, -1).sum(0).reshape(target.shape)
+
+    def gradients(self, s: np.ndarray, target: np.ndarray, biases: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean loss over windows and its gradients, by hand. Targets below 0 do not count.
+
+        Slopes of queries, keys and values are summed by symbol first; all else follows from these sums.
+        """
+        p, g = self.p, {}
+        kind, classes = p["embed"].dtype, p["out"].shape[1]
+        q, k, v, w, z, h = self.attended(s, self.tables())
+        out, flat_h, aim = np.concatenate([p["out"], p["groups"]], 1), h.reshape(-1, SIZE), target.ravel()
         inside_text, aim = aim >= 0, np.maximum(aim, 0)
-        counted = max(1, int(inside_text.sum()))
-        own, rows, n = aim // GROUP, np.arange(len(aim)), p["out"].shape[1]
-        groups = flat_h @ p["groups"] + self.group[last]
-        inside = (flat_h @ p["out"]).reshape(len(aim), -1, GROUP)[rows, own] + self.inside[last * (n // GROUP) + own]
-        loss, slopes = 0.0, []
-        for part, at in ((groups, own), (inside, aim % GROUP)):
-            probs = np.exp(part - part.max(1, keepdims=True))
-            probs /= probs.sum(1, keepdims=True)
-            loss -= float(np.log(probs[rows, at] + 1e-30)[inside_text].sum()) / counted
-            probs[rows, at] -= 1
-            probs[~inside_text] = 0
-            slopes.append(probs / np.asarray(counted, probs.dtype))
-        wide = np.zeros((len(aim), n // GROUP, GROUP), flat_h.dtype)
-        wide[rows, own] = slopes[1]
-        wide = wide.reshape(len(aim), n)
-        g = {"out": flat_h.T @ wide, "groups": flat_h.T @ slopes[0]}
-        dh = (wide @ p["out"].T + slopes[0] @ p["groups"].T).reshape(h.shape)
-        dw = np.matmul(dh, v.transpose(0, 2, 1))
-        dv = np.matmul(w.transpose(0, 2, 1), dh)
-        ds = w * (dw - (dw * w).sum(2, keepdims=True))
+        counted = max(1, int(np.count_nonzero(inside_text)))
+        probs, pick, hit = logits_of(flat_h @ out, s[:, PAD:].ravel(), aim, self.biases() if biases is None else biases)
+        most = probs
+        while most.shape[1] > 1:
+            most = np.maximum(most[:, ::2], most[:, 1::2])
+        probs -= most
+        np.exp(probs, out=probs)
+        probs /= probs @ np.ones((GROUP, 1), kind)
+        right = probs.ravel().take(hit)
+        loss = -float(np.log(right + 1e-30).reshape(2, -1)[:, inside_text].sum()) / counted
+        probs.ravel()[hit] = right - 1
+        probs *= np.asarray(1 / counted, kind)
+        if counted < len(aim):
+            probs.reshape(2, -1, GROUP)[:, ~inside_text] = 0
+        wide = np.zeros((len(aim) * out.shape[1] // GROUP, GROUP), kind)
+        wide[pick] = probs
+        wide = wide.reshape(len(aim), -1)
+        by_class = flat_h.T @ wide
+        g["out"], g["groups"] = by_class[:, :classes], by_class[:, classes:]
+        # The slope of a weight is itself times that of its value less that of the mean: one product, the mean's behind it.
+        dh = np.empty((*h.shape[:2], SIZE + 1), kind)
+        dh[:, :, :SIZE] = (wide @ out.T).reshape(h.shape)
+        dh[:, :, SIZE] = -np.einsum("bij,bij->bi", dh[:, :, :SIZE], h)
+        dh *= z
+        ds = np.matmul(dh, v.transpose(0, 2, 1))
+        ds *= w
         far = np.arange(PAD, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
-        total = ds.sum(0)
+        total = (np.ones(len(s), kind) @ ds.reshape(len(s), -1)).reshape(far.shape)
         g["near"] = np.bincount(far[far >= 0], total[far >= 0], WINDOW).astype(p["near"].dtype)
-        dq = np.matmul(ds, k) * np.asarray(SIZE**-0.5, ds.dtype)
-        dk = np.matmul(ds.transpose(0, 2, 1), q)
-        flat = lambda x: x.reshape(-1, SIZE)
-        g["wq"], g["wk"], g["wv"] = flat(ea).T @ flat(dq), flat(e).T @ flat(dk), flat(e).T @ flat(dv)
+        d = np.empty((*s.shape, 3 * SIZE), kind)
+        d[:, :PAD, :SIZE] = 0
+        np.matmul(ds, k, out=d[:, PAD:, :SIZE])
+        np.matmul(ds.transpose(0, 2, 1), q, out=d[:, :, SIZE : 2 * SIZE])
+        np.matmul(w.transpose(0, 2, 1), dh[:, :, :SIZE], out=d[:, :, 2 * SIZE :])
+        seen, d = sums_by(s.ravel(), d.reshape(-1, 3 * SIZE))
+        d[:, :SIZE] *= np.asarray(SIZE**-0.5, kind)
+        by_place = p["embed"].take(seen, 0).T @ d
+        g["wq"], g["wk"], g["wv"] = (by_place[:, at : at + SIZE] for at in range(0, 3 * SIZE, SIZE))
         g["embed"] = np.zeros_like(p["embed"])
-        np.add.at(g["embed"], s.ravel(), flat(dk) @ p["wk"].T + flat(dv) @ p["wv"].T)
-        np.add.at(g["embed"], asks.ravel(), flat(dq) @ p["wq"].T)
+        g["embed"][seen] = d @ np.concatenate([p["wq"], p["wk"], p["wv"]], 1).T
         return loss, g
 
     def train(self, s: np.ndarray, target: np.ndarray, epochs: int, rate: float, batch: int = 64, seed: int = 1) -> float:
         """Adam over shuffled batches; the mean loss of the last epoch."""
-        rng, t = np.random.default_rng(seed), 0
-        m = {n: np.zeros_like(x) for n, x in self.p.items()}
-        v = {n: np.zeros_like(x) for n, x in self.p.items()}
-        losses = [0.0]
+        rng, t, biases = np.random.default_rng(seed), 0, self.biases()
+        all_p, losses = self.flat(), [0.0]
+        m, v, at = np.zeros_like(all_p), np.zeros_like(all_p), 0
+        for n in self.NAMES:  # now parts of one array, moved together
+            self.p[n] = all_p[at : at + self.p[n].size].reshape(self.p[n].shape)
+            at += self.p[n].size
         for _ in range(epochs):
             losses = []
             order = rng.permutation(len(s))
             for at in range(0, len(s), batch):
                 part = order[at : at + batch]
-                loss, g = self.gradients(s[part], target[part])
+                loss, g = self.gradients(s[part], target[part], biases)
                 losses.append(loss)
                 t += 1
-                for n, x in g.items():
-                    m[n] += 0.1 * (x - m[n])
-                    v[n] += 0.01 * (x * x - v[n])
-                    self.p[n] -= (rate * (m[n] / (1 - 0.9**t)) / (np.sqrt(v[n] / (1 - 0.99**t)) + 1e-7)).astype(np.float32)
+                x = np.concatenate([g[n].ravel() for n in self.NAMES])
+                m += 0.1 * (x - m)
+                v += 0.01 * (x * x - v)
+                down = np.sqrt(v / np.float32(1 - 0.99**t))
+                down += np.float32(1e-7)
+                all_p -= np.float32(rate / (1 - 0.9**t)) * m / down
         return float(np.mean(losses))
 
 
@@ -347,7 +390,7 @@ class Scorer:
             return total
         given, begin = inputs_of(target, lengths, self.end)
         first = np.cumsum(lengths) - lengths
-        s, c = self.symbols[given], self.classes[target]
+        s, c = self.symbols.astype(np.intp)[given], self.classes.astype(np.intp)[target]
         before = given[behind(lengths)]
         total += np.add.reduceat(self.shares.log(before, target), first, dtype=float)
         owner, start = windows_of(lengths)
@@ -388,7 +431,7 @@ def read(train: DataFrame, ranks) -> DataFrame:
             none = [None] * len(own)
             ids = [p.astype(np.uint16).tobytes() for p in np.split(x, np.cumsum(lengths)[:-1])]
             yield {"word": none, "id": none, "n": none, "doc_id": given["doc_id"], "ids": ids}
-            if len(words) > 400_000:
+            if len(words) > 250_000:
                 yield flush()
 
         def rest():
@@ -415,7 +458,8 @@ def summed(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def learnt_classes(texts: DataFrame, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """`classes_of` for all texts, given as ids: sides are counted in every task, in a table of vocabulary x 512."""
+    """`classes_of` for all texts, given as ids: every task sums the cells it saw, at most
+    HELD_CELLS at a time."""
     order, seen = by_count(counts)
     told = np.zeros(len(counts), bool)
     told[seen] = True
@@ -423,19 +467,27 @@ def learnt_classes(texts: DataFrame, counts: np.ndarray) -> tuple[np.ndarray, np
 
     def make():
         order, told = sent.value
-        table = np.zeros(len(order) * 512, np.int32)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def step(given):
-            cells, n = sides_of(*_laid(given["ids"]), len(order) - 1, order, told)
-            table[cells] += n.astype(np.int32)
-            return ()
+        def merged():
+            cells = np.concatenate([c for c, _ in held])
+            cells, at = np.unique(cells, return_inverse=True)
+            held[:] = [(cells, np.bincount(at, np.concatenate([n for _, n in held]), len(cells)).astype(np.int64))]
 
         def rest():
-            for start in range(0, len(table), 1 << 20):
-                part = table[start : start + (1 << 20)]
-                at = np.flatnonzero(part)
-                if len(at):
-                    yield {"id": at + start, "n": part[at]}
+            if held:
+                merged()
+                (cells, n), = held
+                held.clear()
+                for start in range(0, len(cells), 1 << 18):
+                    yield {"id": cells[start : start + (1 << 18)], "n": n[start : start + (1 << 18)]}
+
+        def step(given):
+            held.append(sides_of(*_laid(given["ids"]), len(order) - 1, order, told))
+            if sum(len(c) for c, _ in held) > HELD_CELLS:
+                merged()
+                if len(held[0][0]) > HELD_CELLS // 2:
+                    yield from rest()
 
         step.rest = rest
         return step
@@ -446,8 +498,8 @@ def learnt_classes(texts: DataFrame, counts: np.ndarray) -> tuple[np.ndarray, np
 def gather(texts: DataFrame, classes: np.ndarray, symbols: np.ndarray, columns: np.ndarray) -> DataFrame:
     """What all texts, given as ids, say of the model, in rows of two kinds: (id, n) and (doc_id, start, window).
 
-    id is a pair of symbol and following class; then come pairs of class and following column. Windows have their text's
-    doc_id and their place in it.
+    id is a pair of symbol and following class; then come pairs of class and following column. Up to RUN windows behind
+    each other are one row, with their text's doc_id and their place in it: the inputs of the first, then all targets.
     """
     end = len(classes) - 1
     sent = texts.sparkSession.sparkContext.broadcast((classes, symbols, columns))
@@ -464,16 +516,17 @@ def gather(texts: DataFrame, classes: np.ndarray, symbols: np.ndarray, columns:
             last = before[behind(lengths)]
             pairs[:] += np.bincount(symbols[last] * CLASSES + classes[x], minlength=len(pairs))
             shares[:] += np.bincount(classes[last] * width + columns[x], minlength=len(shares))
-            owner, start = windows_of(lengths)
-            here = start[:, None] + np.arange(STRIDE)
-            aims = np.where(here < lengths[owner][:, None], x[np.minimum(first[owner][:, None] + here, len(x) - 1)], PADDED)
-            there = start[:, None] + np.arange(WINDOW)
-            inputs = before[np.minimum(begin[owner][:, None] + there, len(before) - 1)]
-            inputs[there >= lengths[owner][:, None] + PAD] = end  # not the next text's
-            windows = np.concatenate([inputs, aims], 1).astype(np.uint16)
-            none = [None] * len(owner)
-            doc = [given["doc_id"][i] for i in owner]
-            yield {"id": none, "n": none, "doc_id": doc, "start": start, "window": [w.tobytes() for w in windows]}
+            x, before = x.astype(np.uint16), before.astype(np.uint16)
+            doc, start, window = [], [], []
+            for d, n, at, here in zip(given["doc_id"], lengths.tolist(), first.tolist(), begin.tolist()):
+                for k in range(0, n, RUN * STRIDE):
+                    head = before[here + k : min(here + k + WINDOW, here + n + PAD)]
+                    head = np.pad(head, (0, WINDOW - len(head)), constant_values=end)  # not the next text's
+                    doc.append(d)
+                    start.append(k)
+                    window.append(head.tobytes() + x[at + k : at + min(n, k + RUN * STRIDE)].tobytes())
+            none = [None] * len(doc)
+            yield {"id": none, "n": none, "doc_id": doc, "start": start, "window": window}
 
         def rest():
             both = np.concatenate([pairs, shares])
@@ -488,26 +541,49 @@ def gather(texts: DataFrame, classes: np.ndarray, symbols: np.ndarray, columns:
 
 
 def _window_arrays(rows: list[bytes], classes, symbols) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and target classes of windows; -1 behind a text."""
-    x = np.frombuffer(b"".join(rows), np.uint16).reshape(-1, WINDOW + STRIDE)
-    aims = x[:, WINDOW:]
-    return symbols[x[:, :WINDOW]], np.where(aims == PADDED, -1, classes[np.minimum(aims, len(classes) - 1)])
+    """Symbols and target classes of the windows of runs; -1 behind a text, where inputs are ends."""
+    end, parts = len(classes) - 1, []
+    for r in rows:
+        x = np.frombuffer(r, np.uint16)
+        n = -(-(len(x) - WINDOW) // STRIDE)
+        line = np.full(n * STRIDE + PAD + 1, PADDED, np.uint16)
+        line[: PAD + 1] = x[: PAD + 1]
+        line[PAD + 1 : PAD + 1 + len(x) - WINDOW] = x[WINDOW:]
+        parts.append(np.lib.stride_tricks.sliding_window_view(line, WINDOW + 1)[::STRIDE])
+    x = np.concatenate(parts).astype(np.intp)
+    inputs, aims = np.where(x == PADDED, end, x)[:, :WINDOW], x[:, PAD + 1 :]
+    return symbols.astype(np.intp)[inputs], np.where(aims == PADDED, -1, classes.astype(np.intp)[np.minimum(aims, end)])
+
+
+def windows_in(targets) -> F.Column:
+    return F.ceil(targets / STRIDE)
+
+
+def rounds_of(n: int) -> int:
+    """Rounds of training over n windows."""
+    return max(1, int(np.ceil(np.log2(n / START_WINDOWS + 1))))
+
+
+def round_of(rounds: int):
+    """The round of a run: round k has 2**k of 2**rounds - 1 equal parts of all."""
+    at = F.pmod(F.xxhash64("doc_id", "start", "window"), F.lit(1 << 40))
+    edges = [(1 << 40) * ((1 << k) - 1) // ((1 << rounds) - 1) for k in range(1, rounds)]
+    return sum(((at >= e).cast("int") for e in edges), F.lit(0))
 
 
 def trained(windows: DataFrame, model: AttentionModel, classes: np.ndarray, symbols: np.ndarray) -> AttentionModel:
-    """Rounds of training over all windows (doc_id, start, window); a round's groups start from the mean of the last one's."""
-    n = windows.count()
-    if not n:
+    """Rounds of training over all windows (doc_id, start, window; round, if they are stored by it); a round's groups start
+    from the mean of the last one's."""
+    if "round" not in windows.columns:
+        n = windows.agg(F.sum(windows_in(F.length("window") / 2 - WINDOW))).first()[0] or 0
+        windows = windows.withColumn("round", round_of(rounds_of(n)))
+    sizes = {r["round"]: r["n"] for r in windows.groupBy("round").agg(F.sum(windows_in(F.length("window") / 2 - WINDOW)).alias("n")).collect()}
+    if not sizes:
         model.p["out"][:] = 0
         model.p["groups"][:] = 0
         return model
-    rounds = max(1, int(np.ceil(np.log2(n / START_WINDOWS + 1))))
-    place = F.xxhash64("doc_id", "start", "window")
-    dealt = windows.select("window", place.alias("place"), F.pmod(place, F.lit(1 << 40)).alias("at"))
-    for k in range(rounds):
-        # Round k has 2**k of 2**rounds - 1 equal parts of the windows.
-        low, high = ((1 << 40) * ((1 << j) - 1) // ((1 << rounds) - 1) for j in (k, k + 1))
-        groups = max(1, round(n * (high - low) / (1 << 40) / TASK_WINDOWS))
+    for k in sorted(sizes):
+        groups = max(1, round(sizes[k] / TASK_WINDOWS))
         sent = windows.sparkSession.sparkContext.broadcast((model, classes, symbols))
         epochs, rate = (6, 0.01) if k == 0 else (1, 0.002)
 
@@ -517,12 +593,13 @@ def trained(windows: DataFrame, model: AttentionModel, classes: np.ndarray, symb
             base, classes, symbols = sent.value
             own = copy.deepcopy(base)
             rows = given.sort_by([("place", "ascending"), ("window", "ascending")])["window"].to_pylist()
-            own.train(*_window_arrays(rows, classes, symbols), epochs=epochs, rate=rate)
+            s, c = _window_arrays(rows, classes, symbols)
+            own.train(s, c, epochs=epochs, rate=rate)
             # As whole numbers: their sums do not depend on the order, which training would amplify.
-            w = np.rint(own.flat().astype(float) * (1 << 24)).astype(np.int64) * len(rows)
-            return pa.table({"at": np.arange(len(w), dtype=np.int32), "value": w, "n": np.full(len(w), len(rows), np.int64)})
+            w = np.rint(own.flat().astype(float) * (1 << 24)).astype(np.int64) * len(s)
+            return pa.table({"at": np.arange(len(w), dtype=np.int32), "value": w, "n": np.full(len(w), len(s), np.int64)})
 
-        part = dealt.where((F.col("at") >= low) & (F.col("at") < high))
+        part = windows.where(F.col("round") == k).select(F.xxhash64("doc_id", "start", "window").alias("place"), "window")
         part = part.select(F.pmod(F.xxhash64("place"), F.lit(groups)).alias("g"), "place", "window")
         parts = part.groupBy("g").applyInArrow(learn, "at int, value long, n long")
         mean = parts.groupBy("at").agg((F.sum("value") / F.sum("n") / (1 << 24)).alias("w")).toArrow()
@@ -549,7 +626,8 @@ def score_texts(docs: DataFrame, train: DataFrame, tokenizer: str = TOKENIZER) -
     # 2. Classes from what stands beside each subword, then counts of the model's size and windows.
     texts = found.where("ids is not null").select("doc_id", "ids")
     classes, symbols, columns = learnt_classes(texts, ids)
-    found = cut(gather(texts, classes, symbols, columns))
+    n = texts.agg(F.sum(windows_in(F.length("ids") / 2))).first()[0] or 0
+    found = cut(gather(texts, classes, symbols, columns).withColumn("round", round_of(rounds_of(n))), "round")
     tally = np.zeros(SYMBOLS * CLASSES + CLASSES * (FREQUENT + CLASSES))
     at, n = summed(found.where("id is not null"))
     tally[at] = n
@@ -557,7 +635,7 @@ def score_texts(docs: DataFrame, train: DataFrame, tokenizer: str = TOKENIZER) -
     pairs, shares = pairs.reshape(SYMBOLS, CLASSES), Shares(ids, shares.reshape(CLASSES, -1), classes, columns)
     overall = (pairs.sum(0) + 1) / (pairs.sum() + CLASSES)
     follow = np.log((pairs + 5 * overall) / (pairs.sum(1, keepdims=True) + 5))
-    model = trained(found.where("window is not null").select("doc_id", "start", "window"), AttentionModel(follow), classes, symbols)
+    model = trained(found.where("window is not null").select("doc_id", "start", "window", "round"), AttentionModel(follow), classes, symbols)
 
     # 3. Words with large counts, so many that at most HEAD_WORDS are sent to the tasks.
     sizes = {int(r["b"]): r["n"] for r in counts.groupBy((F.length(F.bin("c")) - 1).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}

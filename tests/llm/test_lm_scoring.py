@@ -107,6 +107,54 @@ def test_attention_learns_from_all_windows(spark, monkeypatch):
     assert not none.p["out"].any() and not none.p["groups"].any()
 
 
+def test_runs_give_all_windows_and_stay_near_the_size_of_ids(spark):
+    """Windows overlap, but stored runs of them hardly do; cut out again they are those of the plain definition."""
+    rng, end, most = np.random.default_rng(7), 300, lm.RUN * lm.STRIDE
+    texts = {i: [*rng.integers(0, end, n).tolist(), end] for i, n in enumerate((0, 1, 23, 24, 25, most - 1, most, 3 * most + 30))}
+    classes, symbols, columns = lm.cluster_classes([np.array(x) for x in texts.values()], end + 1)
+    stored = spark.createDataFrame([(i, np.array(x, np.uint16).tobytes()) for i, x in texts.items()], "doc_id long, ids binary")
+    runs = lm.gather(stored, classes, symbols, columns).where("window is not null").collect()
+    assert sum(len(r["window"]) for r in runs if r["doc_id"] == 7) < 1.2 * 2 * len(texts[7])
+    for i, x in texts.items():
+        own = sorted((r for r in runs if r["doc_id"] == i), key=lambda r: r["start"])
+        s, c = lm._window_arrays([r["window"] for r in own], classes, symbols)
+        line = [end] * (lm.PAD + 1) + x[:-1] + [end] * lm.WINDOW
+        starts = range(0, len(x), lm.STRIDE)
+        aims = [[classes[x[a + k]] if a + k < len(x) else -1 for k in range(lm.STRIDE)] for a in starts]
+        assert c.tolist() == aims
+        inside = [[line[a + k] if a + k < len(x) + lm.PAD else end for k in range(lm.WINDOW)] for a in starts]
+        assert s.tolist() == symbols[np.array(inside)].tolist()
+
+
+def test_sides_are_counted_without_a_table_of_all(spark, monkeypatch):
+    """A task keeps the cells that it saw (a table of vocabulary x 512 was 103 MB), and may give them away in parts."""
+    import tracemalloc
+
+    rng, made, vocabulary = np.random.default_rng(2), [], 50_001
+    texts = [np.append(rng.zipf(1.2, 900) % 3000, vocabulary - 1) for _ in range(40)]
+    counts = np.bincount(np.concatenate(texts), minlength=vocabulary)
+    stored = spark.createDataFrame([(i, x.astype(np.uint16).tobytes()) for i, x in enumerate(texts)], "doc_id long, ids binary")
+    want = lm.cluster_classes([x.astype(np.int32) for x in texts], vocabulary)
+    for held in (lm.HELD_CELLS, 500):
+        monkeypatch.setattr(lm, "HELD_CELLS", held)
+        with monkeypatch.context() as patch:
+            patch.setattr(lm, "map_rows", lambda df, schema, make: made.append(make) or df)
+            patch.setattr(lm, "summed", lambda rows: (np.zeros(0, int), np.zeros(0, int)))
+            lm.learnt_classes(stored, counts)
+        tracemalloc.start()
+        step, cells = made[-1](), Counter()
+        ids = [x.astype(np.uint16).tobytes() for x in texts]
+        parts = [part for at in range(0, 40, 8) for part in step({"ids": ids[at : at + 8]})] + list(step.rest())
+        assert tracemalloc.get_traced_memory()[1] < 30e6
+        tracemalloc.stop()
+        for part in parts:
+            for at, n in zip(part["id"], part["n"]):
+                cells[int(at)] += int(n)
+        at = np.array(sorted(cells))
+        for got, expected in zip(lm.classes_of(counts, at, np.array([cells[k] for k in at])), want):
+            assert np.array_equal(got, expected)
+
+
 def test_windows_score_each_place_once():
     for length in (1, 23, 24, 25, 48, 49, 500):
         lengths = np.array([length, 3, length])
