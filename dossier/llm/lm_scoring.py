@@ -6,9 +6,10 @@ id's share of its class, which for frequent ids depends on the class before. Win
 places before it (ends stand before a text), in batches of masked attention.
 
 What is learned comes from all learning rows: word counts for the base score, subword counts, counts of classes behind
-a subword, and attention weights, trained on all consecutive windows of all texts (the padded last ones included). Windows
-are dealt by hash into rounds, each twice as large as the one before, and in a round into groups of about `TASK_WINDOWS`,
-each trained from the mean of the last round; so weights do not move with partitions. Without any learning row there is
+a subword, and attention weights, trained on all consecutive windows of all texts (the padded last ones included). Runs of
+up to `RUN` windows are stored by round and cut into windows where these train: they are dealt by hash into rounds, each
+about twice as large as the one before, and in a round into groups of about `TASK_WINDOWS` windows, each trained from the
+mean of the last round; so weights do not move with partitions. Without any learning row there is
 no attention term. Classes, input symbols
 and columns of subwords come from the counts of all learning rows too: of subwords, and of the frequent ones on both
 sides of each (a table of vocabulary times 512). Texts are cut into subwords once for all counts.
@@ -48,7 +49,7 @@ START_WINDOWS = 4_096  # about so many in the first round
 TASK_WINDOWS = 8_192
 PADDED = 65_535  # stands behind a text in its last window; no id
 HELD_CELLS = 1_000_000  # of `sides_of` that a task keeps before they leave it
-RUN = 32  # windows that are stored and dealt together
+RUN = 8  # windows that are stored and dealt together
 _PIECE = 64  # longest part of a word given to the tokenizer at once, in bytes
 _LOG10 = float(np.log(10))
 
@@ -555,7 +556,7 @@ def _window_arrays(rows: list[bytes], classes, symbols) -> tuple[np.ndarray, np.
     return symbols.astype(np.intp)[inputs], np.where(aims == PADDED, -1, classes.astype(np.intp)[np.minimum(aims, end)])
 
 
-def windows_in(targets) -> F.Column:
+def windows_in(targets):
     return F.ceil(targets / STRIDE)
 
 
