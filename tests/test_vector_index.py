@@ -162,10 +162,10 @@ def test_calibration_holds_for_each_pool(spark):
     assert vi.calibrated(built, 5, 0.95, 1000).probe < index.probe
 
 
-def test_recall_asks_vectors_divisible_by_twenty(spark, tmp_path):
+def test_recall_asks_every_vector(spark, tmp_path):
     from dossier.plans.catalog_indexes import vector_index_recall
 
     rows = [(i, [float(i % 7), float(i % 11)], i % 10) for i in range(100)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = {r.channel: (r.n_exact, r.recall_reached) for r in vector_index_recall(spark, str(tmp_path)).collect()}
-    assert got == {"all": (60, True), "table": (60, True)}
+    assert got == {"all": (1200, True), "table": (1200, True)}
