@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from dossier.functions.lineage import cut
 from dossier.functions.sizes import broadcast_if, is_small, written_side
 from dossier.functions.text import index_tokens
 from dossier.operators.index import B, K1, counted_words, term_weights
-from dossier.operators.retrieval import QUERY, SCORE_DIGITS
+from dossier.operators.retrieval import QUERY, SCORE_DIGITS, scored_by_document
 
 
 @dataclass(frozen=True)
@@ -88,6 +89,7 @@ def read_postings(spark: SparkSession, folder: str) -> StoredIndex:
 
 # Rare terms, which set the bar: enough for the wanted documents, more while they stand in no more than this many for each.
 BAR_DOCS = 10
+TERMS_AT_ONCE = 400_000  # of all queries together, sent to every task
 _SLACK = 1e-6  # more than sums in another order may differ
 
 
@@ -97,11 +99,24 @@ class _Division:
 
     rare: DataFrame
     leaders: DataFrame
-    heavy: DataFrame
-    light: DataFrame
-    play: DataFrame  # kb, query_id, doc_id (doc_order), s: documents that can still be among the best
+    terms: DataFrame  # all terms with `light`, and with `bar` and `rest` of their query
     small: bool
 
+    @property
+    def heavy(self) -> DataFrame:
+        return self.terms.filter(~F.col("light"))
+
+    @property
+    def light(self) -> DataFrame:
+        return self.terms.filter("light")
+
+    def play(self, index: StoredIndex) -> DataFrame:
+        """kb, query_id, doc_id, s: documents that can still be among the best."""
+        rest = self.terms.groupBy(*QUERY).agg(F.max("bar").alias("bar"), F.max("rest").alias("rest"))
+        seen = _parts(index.postings, self.heavy, self.small).groupBy(*QUERY, "doc_id").agg(F.sum("part").alias("s"))
+        open_ = F.col("bar").isNull() | (F.col("s") + F.col("rest") >= F.col("bar"))
+        return cut(seen.join(broadcast_if(self.small, rest), QUERY).filter(open_).select(*QUERY, "doc_id", "s"))
+
 
 def _weighted(queries: DataFrame, index: StoredIndex) -> DataFrame:
     """kb, token, query_id, w, avg_len, df and `most`, more than which the term adds to no score."""
@@ -133,9 +148,11 @@ def _of_pairs(index: StoredIndex, pairs: DataFrame, terms: DataFrame, small: boo
 
 
 def _divided(queries: DataFrame, index: StoredIndex, n: int) -> _Division:
-    weighted = _weighted(queries, index)
+    return _division(_weighted(queries, index), index, n)
+
+
+def _division(weighted: DataFrame, index: StoredIndex, n: int) -> _Division:
     small = is_small(weighted)
-    ids = [*QUERY, "doc_id", *[c for c in ("doc_order",) if c in index.postings.columns]]
     below = Window.partitionBy(*QUERY).orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)
     counted = weighted.withColumn("below", F.coalesce(F.sum("df").over(below), F.lit(0)))
     rare = counted.filter((F.col("below") < n) | (F.col("below") + F.col("df") <= BAR_DOCS * n))
@@ -151,13 +168,22 @@ def _divided(queries: DataFrame, index: StoredIndex, n: int) -> _Division:
     terms = cut(weighted.join(bar, QUERY, "left").withColumn(
         "light", F.coalesce((F.col("w") >= 0) & (F.sum(gain).over(upto) < F.col("bar")), F.lit(False))
     ))
-    heavy, light = terms.filter(~F.col("light")), terms.filter("light")
-    rest = terms.groupBy(*QUERY).agg(F.max("bar").alias("bar"), F.sum(F.when(F.col("light"), F.col("most")).otherwise(0.0)).alias("rest"))
-    seen = _parts(index.postings, heavy, small).groupBy(*ids).agg(F.sum("part").alias("s"))
-    play = cut(
-        seen.join(broadcast_if(small, rest), QUERY).filter(F.col("bar").isNull() | (F.col("s") + F.col("rest") >= F.col("bar"))).select(*ids, "s")
-    )
-    return _Division(rare, leaders, heavy, light, play, small)
+    rest = F.sum(F.when(F.col("light"), F.col("most")).otherwise(0.0)).over(Window.partitionBy(*QUERY))
+    return _Division(rare, leaders, cut(terms.withColumn("rest", rest)), small)
+
+
+def _documents_in_reach(index: StoredIndex, terms: DataFrame) -> DataFrame:
+    """Postings of documents with a heavy term, where light terms alone have more postings than heavy ones; else all.
+
+    What is light for every query is otherwise read for all documents, which costs less than a second pass over heavy terms.
+    """
+    sums = terms.groupBy("kb", "token").agg(F.max("df").alias("df"), F.min("light").alias("light")).groupBy("light").agg(F.sum("df").alias("n"))
+    n = {r["light"]: r["n"] for r in sums.collect()}
+    if n.get(True, 0) <= n.get(False, 0):
+        return index.postings
+    heavy = terms.filter(~F.col("light")).select("kb", "token").distinct()
+    near = written_side(index.postings.join(broadcast_if(is_small(heavy), heavy), ["kb", "token"], "left_semi").select("kb", "doc_id").distinct())
+    return index.postings.join(near, ["kb", "doc_id"], "left_semi")
 
 
 def stored_topk(queries: DataFrame, index: StoredIndex, n: int = 10) -> DataFrame:
@@ -165,29 +191,31 @@ def stored_topk(queries: DataFrame, index: StoredIndex, n: int = 10) -> DataFram
 
     `queries`: kb, query_id, text. The rarest terms of a query find leading documents; the n-th best whole score of these is
     a bar. Terms that cannot lift a document over the bar even together are light: a document without any other term is
-    never scored, and light terms are read for documents in play only. Terms of negative weight are never light. Ties go by
+    never scored, and light terms are summed for documents in play only. Terms of negative weight are never light. Ties go by
     doc_id, or by doc_order if the postings carry one.
     """
-    found = _divided(queries, index, n)
-    ids = [*QUERY, "doc_id"]
+    weighted = _weighted(queries, index)
     order = [c for c in ("doc_order",) if c in index.postings.columns]
-    late = _of_pairs(index, found.play, found.light, found.small).select(*ids, *order, F.col("part").alias("s"))
-    scored = (
-        found.play.select(*ids, *order, "s").unionByName(late).groupBy(*ids, *order)
-        .agg(F.round(F.sum("s"), SCORE_DIGITS).alias("score")).filter(F.col("score") > 0)
-    )
+    # a bounded number of terms at once: a query's terms stay together
+    parts = max(1, -(-weighted.count() // TERMS_AT_ONCE))
+    scored = []
+    for part in range(parts):
+        some = weighted if parts == 1 else weighted.filter(F.pmod(F.xxhash64(*QUERY), F.lit(parts)) == part)
+        terms = _division(some, index, n).terms
+        best = scored_by_document(_documents_in_reach(index, terms), terms, order, n)
+        scored.append(best.withColumn("score", F.round("score", SCORE_DIGITS)).filter(F.col("score") > 0))
     w = Window.partitionBy(*QUERY).orderBy(F.desc("score"), *order, "doc_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    return reduce(DataFrame.unionByName, scored).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
 def postings_scored(queries: DataFrame, index: StoredIndex, n: int = 10) -> DataFrame:
-    """n_matched: postings that hold a term of a query (once for each such query); n_scored: how many `stored_topk` reads."""
+    """n_matched: postings that hold a term of a query (once for each such query); n_scored: how many `stored_topk` scores."""
     found = _divided(queries, index, n)
     count = lambda df: df.agg(F.count(F.lit(1)).alias("n"))
     matched = _weighted(queries, index).agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n_matched"))
     led = _of_pairs(index, found.leaders, _weighted(queries, index), found.small)
     read = (
         count(led).union(count(_parts(index.postings, found.rare, found.small))).union(count(_parts(index.postings, found.heavy, found.small)))
-        .union(count(_of_pairs(index, found.play, found.light, found.small))).agg(F.sum("n").alias("n_scored"))
+        .union(count(_of_pairs(index, found.play(index), found.light, found.small))).agg(F.sum("n").alias("n_scored"))
     )
     return matched.join(read, F.lit(True))  # one row each

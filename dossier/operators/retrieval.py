@@ -53,7 +53,7 @@ def bm25_topk(queries: DataFrame, index: LexicalIndex, n: int = 10) -> DataFrame
     )
     order = [c for c in ("doc_order",) if c in index.postings.columns]
     if small:
-        scored = _scored_by_document(index.postings, weighted, order, n)
+        scored = scored_by_document(index.postings, weighted, order, n)
     else:
         # words that nobody asks are dropped before they are counted by document
         wanted = asked.select("kb", "token").distinct()
@@ -70,11 +70,12 @@ HITS = 1_000_000  # words met with queries at once, about
 SLACK = 4.0 * 10**-SCORE_DIGITS  # scores nearer than this may be equal once they are rounded
 
 
-def _scored_by_document(postings: DataFrame, weighted: DataFrame, order: list[str], n: int) -> DataFrame:
+def scored_by_document(postings: DataFrame, weighted: DataFrame, order: list[str], n: int) -> DataFrame:
     """kb, query_id, doc_id (doc_order), score: the best of each task, from the asked words of each document in one row.
 
     `weighted` (kb, token, query_id, w, avg_len) is bounded. Documents come in the order of ties, so that of equal scores
-    a task keeps the first `n`; scores that rounding may make equal are all kept.
+    a task keeps the first `n`; scores that rounding may make equal are all kept. With `light`, `rest` and `bar` of each word
+    and query, words that are light are summed only where the others and `rest` together reach the query's `bar`.
     """
     terms = cut(weighted).toArrow().combine_chunks()
     spark = postings.sparkSession
@@ -91,9 +92,14 @@ def _scored_by_document(postings: DataFrame, weighted: DataFrame, order: list[st
     pair, query = np.unique(kb * len(numbers) + number, return_inverse=True)
     asked = terms.take(pa.array(by_token[starts])).select(["kb", "token", "avg_len"])
     asked = spark.createDataFrame(asked.append_column("no", pa.array(np.arange(len(starts), dtype="int32"))))
+    light = rest = bar = None
+    if "light" in terms.column_names:
+        one = np.unique(query, return_index=True)[1]
+        light, rest, bar = (terms[c].to_numpy()[by_token] for c in ("light", "rest", "bar"))
+        rest, bar = rest[one], np.where(np.isnan(bar[one]), -np.inf, bar[one])
     found = spark.sparkContext.broadcast((
         np.append(starts, len(terms)), query, terms["w"].to_numpy()[by_token],
-        [bases.take(pa.array(pair // len(numbers))), numbers.take(pa.array(pair % len(numbers)))],
+        [bases.take(pa.array(pair // len(numbers))), numbers.take(pa.array(pair % len(numbers)))], light, rest, bar,
     ))
     norm = K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len"))
     impact = F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
@@ -101,8 +107,8 @@ def _scored_by_document(postings: DataFrame, weighted: DataFrame, order: list[st
     by_doc = hits.groupBy(*ids).agg(F.sort_array(F.collect_list("hit")).alias("hits")).sortWithinPartitions(*order, "doc_id")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, query, weight, names = found.value
-        best = _BestDocuments(len(names[0]), n)
+        at, query, weight, names, light, rest, bar = found.value
+        best = _BestDocuments(len(names[0]), n, bar)
         for batch in batches:
             lists = batch.column("hits")
             docs = batch.select([c for c in batch.schema.names if c not in ("kb", "hits")])
@@ -119,7 +125,11 @@ def _scored_by_document(postings: DataFrame, weighted: DataFrame, order: list[st
                 step = np.arange(n_met.sum()) - np.repeat(np.cumsum(n_met) - n_met, n_met)
                 term = np.repeat(at[no[lo:hi]], n_met) + step
                 doc = np.repeat(np.repeat(rows, size[rows]), n_met)
-                best.add(doc, query[term], np.repeat(impact[lo:hi], n_met) * weight[term], docs)
+                asks, value = query[term], np.repeat(impact[lo:hi], n_met) * weight[term]
+                if light is not None:
+                    play = _in_play(doc, asks, value, ~light[term], rest, bar)
+                    doc, asks, value = doc[play], asks[play], value[play]
+                best.add(doc, asks, value, docs)
         if best.docs is not None:
             q, value, docs = best.query, best.value, best.docs
             head = [c.take(pa.array(q)) for c in names]
@@ -130,6 +140,19 @@ def _scored_by_document(postings: DataFrame, weighted: DataFrame, order: list[st
     return by_doc.mapInArrow(score, out)
 
 
+def _in_play(doc: np.ndarray, query: np.ndarray, part: np.ndarray, heavy: np.ndarray, rest: np.ndarray, bar: np.ndarray) -> np.ndarray:
+    """True for parts of documents that can still reach the bar of the query; documents come in order."""
+    if not len(doc):
+        return np.zeros(0, dtype=bool)
+    pair = np.cumsum(np.append(0, doc[1:] != doc[:-1])) * len(bar) + query
+    if pair.max() > 8 * len(pair):
+        found, pair = np.unique(pair, return_inverse=True)
+        reached = np.bincount(pair[heavy], weights=part[heavy], minlength=len(found))
+    else:
+        reached = np.bincount(pair[heavy], weights=part[heavy], minlength=pair.max() + 1)
+    return reached[pair] + rest[query] >= bar[query]
+
+
 def _coded(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
     """Numbers of a column's values, null among them, and the values."""
     coded = pa.concat_arrays(column.chunks).dictionary_encode(null_encoding="encode")
@@ -139,8 +162,8 @@ def _coded(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
 class _BestDocuments:
     """Running best `n` documents of each query inside one task; documents come in the order of ties."""
 
-    def __init__(self, n_queries: int, n: int) -> None:
-        self.n, self.bar = n, np.full(n_queries, -np.inf)
+    def __init__(self, n_queries: int, n: int, bar: np.ndarray | None = None) -> None:
+        self.n, self.bar = n, np.full(n_queries, -np.inf) if bar is None else bar.copy()
         self.query, self.value, self.docs = np.zeros(0, dtype="int64"), np.zeros(0), None
 
     def add(self, doc: np.ndarray, query: np.ndarray, part: np.ndarray, docs: pa.RecordBatch) -> None:

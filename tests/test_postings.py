@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from dossier.operators import postings as po
+from dossier.operators import retrieval as rt
 from dossier.operators.index import lexical_index
 from dossier.operators.retrieval import bm25_topk
 
@@ -66,3 +68,28 @@ def test_empty_base(spark, tmp_path):
     docs = spark.createDataFrame([], "kb string, doc_id string, document string")
     stored = po.write_postings(docs, str(tmp_path / "ix"))
     assert po.stored_topk(asked(spark, 1), stored, 3).count() == 0
+
+
+@pytest.mark.parametrize("terms_at_once, at_once", [(400_000, 1_000_000), (20, 3)])
+def test_pairs_in_play_are_summed_where_their_document_is(spark, tmp_path, monkeypatch, terms_at_once, at_once):
+    """Words of nearly equal weight leave most pairs in play: they are not written, and not met with all their document's words."""
+    docs, queries = corpus(spark, 250, 5), asked(spark, 5)
+    stored = po.write_postings(docs, str(tmp_path / "ix"))
+    met = []
+    monkeypatch.setattr(po, "_of_pairs", lambda ix, pairs, *rest, was=po._of_pairs: met.append(pairs.count()) or was(ix, pairs, *rest))
+    monkeypatch.setattr(po, "TERMS_AT_ONCE", terms_at_once, raising=False)
+    monkeypatch.setattr(rt, "HITS", at_once)
+    got = ranked(po.stored_topk(queries, stored, 3))
+    assert sum(met) <= queries.count() * 2 * 3
+    monkeypatch.undo()
+    assert got == ranked(bm25_topk(queries, lexical_index(docs), 3))
+
+
+def test_light_words_count_only_where_the_others_reach():
+    doc, query = np.array([4, 4, 4, 7, 7]), np.array([0, 0, 1, 0, 1])
+    part, heavy = np.array([2.0, 0.5, 0.5, 0.5, 3.0]), np.array([True, False, False, False, True])
+    rest, bar = np.array([0.6, 0.6]), np.array([2.5, -np.inf])
+    assert rt._in_play(doc, query, part, heavy, rest, bar).tolist() == [True, True, True, False, True]
+    far = np.append(query[:-1], 1) * 1_000_000  # few of many queries are met
+    wide = lambda x: np.where(np.arange(1_000_001) == 0, x[0], x[1])
+    assert rt._in_play(doc, far, part, heavy, wide(rest), wide(bar)).tolist() == [True, True, True, False, True]
