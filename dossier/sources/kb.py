@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dossier.functions.lineage import shuffles_let_go
 from dossier.functions.text import safe_kb_name
 
 TYPES = ["table", "text_chunk"]
@@ -15,16 +16,17 @@ def write_kb(docs: DataFrame, path: str) -> None:
 
     Partitions (kb, type) present in the data are overwritten. A base that no longer has one
     of the types gets an empty marker row there, so nothing of its old version stays behind.
-    Rebalancing splits a large base over many files and joins small ones.
+    Rebalancing splits a large base over many files and joins small ones; what it moves is let go of once the files are there.
     """
     kinds = F.explode(F.array(*[F.lit(t) for t in TYPES]))
     marks = docs.select("kb").distinct().select("kb", kinds.alias("type"))
     full = docs.unionByName(marks, allowMissingColumns=True)
-    (
-        full.hint("rebalance", "kb", "type")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("kb", "type").parquet(path)
-    )
+    with shuffles_let_go(docs.sparkSession):
+        (
+            full.hint("rebalance", "kb", "type")
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+            .partitionBy("kb", "type").parquet(path)
+        )
 
 
 def read_kb(spark: SparkSession, path: str, type_: str | None = None, kb: str | None = None) -> DataFrame:

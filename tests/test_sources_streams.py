@@ -248,3 +248,25 @@ def test_streamed_versions(spark, tmp_path):
         spark.createDataFrame([("k", 1, "table", f"d{i}") for i in part], schema).write.mode("append").parquet(str(tmp_path / "in"))
         kv.stream_staged_refresh(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), root, str(tmp_path / "cp")).awaitTermination()
         assert kv.read_current(spark, root).count() == (0 if len(part) == 3 else 4)
+
+
+def test_storing_a_base_leaves_no_shuffle_behind(spark, tmp_path):
+    import time
+
+    import pyarrow.parquet as pq
+
+    held = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split()
+    shuffles = lambda: {x for x in held() if "shuffle_" in x}
+    docs = spark.range(300).selectExpr("concat('k', id % 2) kb", "cast(id as string) doc_id", "if(id % 3 = 0, 'table', 'text_chunk') type", "repeat('text ', 50) document")
+    before, setting = shuffles(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting)
+    write_kb(docs, str(tmp_path / "kb"))
+    for _ in range(50):
+        left = shuffles() - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(setting) == was
+    assert read_kb(spark, str(tmp_path / "kb")).count() == 300
+    one = next((tmp_path / "kb").rglob("*.parquet"))
+    assert pq.ParquetFile(one).metadata.row_group(0).column(0).compression == "ZSTD"
