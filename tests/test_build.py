@@ -62,3 +62,26 @@ def test_a_chunk_with_many_windows_is_written_once(spark, monkeypatch):
     narrow = build_kb(blocks, encode, asked, cfg, contents=False)
     assert narrow.columns == [c for c in docs.columns if c != "content"]
     assert sorted(map(str, narrow.collect())) == sorted(map(str, docs.drop("content").collect()))
+
+
+def test_sections_given_along_are_not_made_again(spark, monkeypatch):
+    from dossier.operators.text import section_chunks
+
+    blocks = spark.createDataFrame(standard("a", "brick") + standard("b", "clay"), BLOCKS)
+    asked = spark.createDataFrame([("a", "chunk_p0_idx0", "Which walls keep stores apart here?")], "kb string, chunk_id string, raw string")
+    cfg = TextConfig(questions_per_chunk=1, window_max_chars=40)
+    want = sorted(map(str, build_kb(blocks, encode, asked, cfg).collect()))
+    sections = section_chunks(blocks, cfg.repeat_min_pages, cfg.min_content_chars)
+    monkeypatch.setattr(build, "section_chunks", None)
+    assert sorted(map(str, build_kb(blocks, encode, asked, cfg, sections=sections).collect())) == want
+
+
+def test_lines_to_drop_are_found_once_however_often_blocks_are_read(spark, monkeypatch):
+    from dossier.operators import text as tx
+
+    rows = [("a", 2 * p + i, "text", t, None, p, [], "", [], [], "") for p in range(6) for i, t in enumerate(("Head", f"Head\nbody {p}"))]
+    blocks = spark.createDataFrame(rows, BLOCKS)
+    repeated = tx.repeated_lines(blocks, 5)
+    kept = tx.strip_repeated_lines(blocks, repeated)
+    assert "Generate" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.block_idx, r.content) for r in kept.collect()) == sorted((2 * p + i, (f"body {p}" if i else "")) for p in range(6) for i in range(2))

@@ -21,6 +21,18 @@ def test_spans_are_written_out():
     assert grid.grid_of(html, expand_spans=False)[0] == ["A", "B"]
 
 
+def test_plain_pages_are_read_as_the_parser_reads_them(monkeypatch):
+    r = random.Random(3)
+    marks = [f"<{end}{tag}>" for tag in ("table", "tbody", "tr", "td", "th") for end in ("", "/")] + ["a", " b ", "c>d", "\n", ""]
+    pages = ["".join(r.choice(marks) for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    plain = [(grid.raw_rows(p), grid.grid_of(p)) for p in pages]
+    with monkeypatch.context() as m:
+        m.setattr(grid, "_plain_rows", lambda html: None)
+        assert [(grid.raw_rows(p), grid.grid_of(p)) for p in pages] == plain
+    monkeypatch.setattr(grid, "_Marks", None)
+    assert grid.grid_of("<table><tr><td>a</td><th> b</th></tr><tr><td> </td></tr></table>") == [["a", "b"]]
+
+
 def test_cells_of_many_tables(spark):
     df = spark.createDataFrame([(i, f"<tr><td>{i}</td><td colspan=2>x</td></tr>") for i in range(50)], "table_id int, html string")
     got = {(r.table_id, r.row_idx, r.col_idx): r.text for r in grid.table_cells(df).collect()}
