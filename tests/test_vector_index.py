@@ -169,3 +169,25 @@ def test_recall_asks_every_vector(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = {r.channel: (r.n_exact, r.recall_reached) for r in vector_index_recall(spark, str(tmp_path)).collect()}
     assert got == {"all": (1200, True), "table": (1200, True)}
+
+
+def test_ranks_in_a_large_base_meet_open_lists_only(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    rows, asked, want = [], [], {}
+    for kb, n in (("", 300), ("main", 120), ("one", 1)):
+        docs = r.integers(0, 4, (n, 5)).astype("float64") + 20 * r.integers(0, 3, (n, 1))
+        queries = docs + r.integers(0, 2, (n, 5))
+        names = [f"d{i:03d}" for i in range(n)]
+        far = ((docs[None] - queries[:, None]) ** 2).sum(axis=2)
+        for i in range(n):
+            rows.append((kb, names[i], [float(x) for x in docs[i]]))
+            asked.append((kb, f"q{i}", names[i], [float(x) for x in queries[i]]))
+            want[kb, f"q{i}"] = 1 + int(((far[i] < far[i, i]) | ((far[i] == far[i, i]) & (np.array(names) < names[i]))).sum())
+    asked.append(("main", "lost", "nobody", [0.0] * 5))
+    docs = spark.createDataFrame([*rows, (None, "d0", [1.0] * 5)], "kb string, doc_id string, embedding array<float>")
+    queries = spark.createDataFrame(asked, "kb string, query_id string, own string, embedding array<float>")
+    monkeypatch.setattr(vectors, "ROUTED_ROWS", 0, raising=False)
+    monkeypatch.setattr(vectors, "LISTS", 6, raising=False)
+    monkeypatch.setattr(vectors, "_met_blocks", lambda *a: pytest.fail("every block of documents shown to every query"))
+    got = {(x.kb, x.query_id): x.rank for x in vectors.own_ranks(queries, docs, query_rows=50, doc_rows=30).collect()}
+    assert got == want | {("main", "lost"): None}
