@@ -191,3 +191,18 @@ def test_ranks_in_a_large_base_meet_open_lists_only(spark, monkeypatch):
     monkeypatch.setattr(vectors, "_met_blocks", lambda *a: pytest.fail("every block of documents shown to every query"))
     got = {(x.kb, x.query_id): x.rank for x in vectors.own_ranks(queries, docs, query_rows=50, doc_rows=30).collect()}
     assert got == want | {("main", "lost"): None}
+
+
+@pytest.mark.parametrize("metric, probe", [("l2sq", 1), ("l2sq", 4), ("cosine", 3)])
+def test_many_queries_are_written_for_blocks_of_lists(spark, monkeypatch, metric, probe):
+    r = np.random.default_rng(6)
+    rows = [(("", "a")[i % 3 == 0], f"d{i:03d}", ("table", "text_chunk")[i % 2], [float(x) for x in r.integers(0, 5, 4)]) for i in range(240)]
+    docs = spark.createDataFrame(rows, DOC)
+    index, pools = vi.vector_index(docs, metric), [vectors.Pool("all", 5), vectors.Pool("table", 3, "table")]
+    key = lambda df: sorted((x.kb, x.query_id, x.channel, x.seq, x.doc_id, round(x.distance, 9)) for x in df.collect())
+    with monkeypatch.context() as m:
+        m.setattr(vi, "_by_list_blocks", lambda *a, **k: None, raising=False)
+        want = key(vi.indexed_pools(asked_of(docs), index, pools, probe))
+    monkeypatch.setattr(vi, "probed", lambda *a: pytest.fail("queries written for each list"))
+    got = key(vi.indexed_pools(asked_of(docs), index, pools, probe, max_query_rows=40, doc_block_floats=4 * 30))
+    assert got == want and len({x[0] for x in got}) == 2
